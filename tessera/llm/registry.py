@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality, sharding
+from tessera.llm import bpe, quality, sharding, tokenfile
 
 QUERIES = {
+    "op2_tokenfile": tokenfile.op2_tokenfile,
+    "op4_bpe": bpe.op4_bpe,
     "op7_sharding": sharding.op7_sharding,
     "op9_quality": quality.op9_quality,
 }
