@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, quality, sharding, tokenfile
+from tessera.llm import bpe, ngram, quality, sharding, tokenfile
 
 QUERIES = {
+    "op1_kneser_ney": ngram.op1_kneser_ney,
     "op2_tokenfile": tokenfile.op2_tokenfile,
     "op4_bpe": bpe.op4_bpe,
     "op7_sharding": sharding.op7_sharding,

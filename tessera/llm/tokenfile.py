@@ -40,7 +40,7 @@ BLOCK = 1_000_000
 LEAST = 12
 ROUNDS = 12
 PER_ROUND = 1024
-BINS = 1 << 20
+BITS = 18
 CACHE = 350_000
 MAX_RANGES = 4096
 _SAFE = regex.compile("[!-~À-ÖØ-öø-ÿ]{1,64}")
@@ -101,42 +101,58 @@ def loaded(path: str) -> Chunks:
 
 
 def repair(seq: np.ndarray, first: int, most: int, stop: int = STOP) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): frequent pairs replaced round by round. No pair holds the stop symbol."""
-    seq, rules = seq.astype(np.uint64), []
+    """(symbols, rules): frequent pairs replaced round by round. No pair holds the stop symbol.
+
+    Pairs are counted in hashed slots; of the fullest slots, the first pair seen in each is replaced, so slots shared by
+    several pairs cost some frequency but nothing else.
+    """
+    seq, rules, total = seq.astype(np.uint32), [], 0
     for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST or len(rules) >= most:
+        top = min(PER_ROUND, most - total)
+        if len(seq) < 2 * LEAST or top <= 0:
             break
-        pair = (seq[:-1] << np.uint64(32)) | seq[1:]
-        open_ = (seq[:-1] != stop) & (seq[1:] != stop)
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        count = np.bincount(slot[open_], minlength=BINS)
-        top = min(PER_ROUND, most - len(rules))
-        least = max(LEAST, int(np.partition(count, BINS - top)[BINS - top]))
-        at = np.flatnonzero((count >= least)[slot] & open_)
-        if not len(at):
+        a, b = seq[:-1], seq[1:]
+        slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) >> np.uint32(32 - BITS)
+        ends = np.flatnonzero(seq == stop)
+        slot[ends[ends < len(slot)]] = 0
+        slot[ends[ends > 0] - 1] = 0
+        count = np.bincount(slot, minlength=1 << BITS)
+        count[0] = 0
+        full = np.flatnonzero(count >= LEAST)
+        if len(full) > top:
+            full = full[np.argpartition(-count[full], top - 1)[:top]]
+        if not len(full):
             break
-        keys, index, number = np.unique(pair[at], return_inverse=True, return_counts=True)
-        good = number >= LEAST
-        if good.sum() > top:
-            good[np.argsort(-number, kind="stable")[top:]] = False
-        use = good[index]
+        name = np.full(1 << BITS, -1, np.int32)
+        name[full] = np.arange(len(full))
+        index = name[slot]
+        at = np.flatnonzero(index >= 0)
+        index = index[at]
+        pa_, pb = np.zeros(len(full), np.uint32), np.zeros(len(full), np.uint32)
+        left, right = a[at], b[at]
+        pa_[index[::-1]], pb[index[::-1]] = left[::-1], right[::-1]
+        same = (left == pa_[index]) & (right == pb[index])
+        at, index = at[same], index[same]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = at[1:] != at[:-1] + 1
+        run = np.flatnonzero(fresh)
+        even = ((np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1) == 0
+        at, index = at[even], index[even]  # of overlapping pairs every second one, from the left
+        often = np.bincount(index, minlength=len(full)) >= LEAST // 2
+        use = often[index]
         at, index = at[use], index[use]
         if not len(at):
             break
-        new_run = np.ones(len(at), bool)
-        new_run[1:] = at[1:] != at[:-1] + 1
-        run = np.flatnonzero(new_run)
-        odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1
-        at, index = at[odd == 0], index[odd == 0]  # of overlapping pairs every second one, from the left
-        used, name = np.unique(index, return_inverse=True)
-        seq[at] = (first + len(rules) + name).astype(np.uint64)
-        rules += [(int(k >> np.uint64(32)), int(k & np.uint64(0xFFFFFFFF))) for k in keys[used]]
+        number = np.cumsum(often) - 1
+        seq[at] = (first + total + number[index]).astype(np.uint32)
+        rules.append(np.stack((pa_[often], pb[often]), axis=1))
+        total += int(often.sum())
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        if len(at) < len(seq) // 200:
+        if len(at) < len(seq) // 100:
             break
-    return seq.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2)
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def packed(ids: np.ndarray, doc_ids: list, counts: np.ndarray, vocab: int) -> bytes:
