@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, ngram, quality, sharding, tokenfile
+from tessera.llm import bpe, minhash, ngram, quality, sharding, tokenfile
 
 QUERIES = {
     "op1_kneser_ney": ngram.op1_kneser_ney,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op7_sharding": sharding.op7_sharding,
     "op9_quality": quality.op9_quality,
+    "op10_minhash": minhash.op10_minhash,
 }
 ORACLE_SQL = {"op7_sharding": sharding.oracle_sql()}
