@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, table, words
+from tessera.llm.common import let, saved, shared_dir, table, words
 
 WORD_SHARE = 0.004
 LANGUAGE_SHARE = 0.002
@@ -132,12 +132,11 @@ def word_distance(tokens: Column, index: Column, mask: Column, q: Column, n: Col
 
 def quality(df: DataFrame, text: str = "text", language: str = "lang", keep: tuple[str, ...] = ("doc_id",), refs: DataFrame | None = None) -> DataFrame:
     """keep, the counts, base_failed, class_distance, word_distance (null where a guard holds) and kept."""
-    refs = references(df, text, language) if refs is None else refs
-    own = F.broadcast(refs.select("_lang", *[F.col(c).alias(f"{c}1") for c in ("_index", "_mask", "_q", "_qc")]))
-    all_ = F.broadcast(refs.where(F.col("_lang") == "").select(F.lit(1).alias("_one"), *[F.col(c).alias(f"{c}0") for c in ("_index", "_mask", "_q", "_qc")]))
-    d = measured(df, text, language, keep).join(own, "_lang", "left").withColumn("_one", F.lit(1)).join(all_, "_one", "left")
-    pick = lambda c: F.when(F.col("_qc1").isNotNull(), F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
-    d = d.withColumns({c: pick(c) for c in ("_index", "_mask", "_q", "_qc")})
+    if refs is None:
+        refs = saved(references(df, text, language), f"{shared_dir(df.sparkSession)}/references")
+    known = [r["_lang"] for r in refs.select("_lang").collect()]  # at most 1/LANGUAGE_SHARE + 1
+    own = F.broadcast(refs.withColumnRenamed("_lang", "_ref"))
+    d = measured(df, text, language, keep).withColumn("_ref", F.when(F.col("_lang").isin(known), F.col("_lang")).otherwise("")).join(own, "_ref", "left")
     chars = F.greatest(F.col("_chars"), F.lit(1)).cast("double")
     classes = sum(_share(F.col(f"_{c}") / chars, F.get("_qc", F.lit(k))) for k, c in enumerate(CLASSES))
     d = d.withColumns(
