@@ -6,9 +6,8 @@ priority queue that keeps sorted runs on disk and hands out all tuples of a rang
 memory; what its suffixes induce inside the same range is ordered there, the rest goes back into the queue. The least
 suffixes come out first, so every tuple that comes out has its final place among those of its class.
 
-Common prefixes are carried along: a tuple's length of the prefix it shares with the one before it in the order is one more than the least
-such length between the suffixes that induced the two; the lengths of the reduced string, turned into symbols, start that off. Only
-whether a length reaches a limit matters here, so lengths are capped there.
+Common prefixes are not carried through the induction: whoever uses the order compares neighbours up to the length needed, which for a
+limit of 200 bytes is cheaper than range minima over the lengths of every level (see suffix.matches).
 """
 
 from __future__ import annotations
