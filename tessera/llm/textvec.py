@@ -14,6 +14,8 @@ _LOWER[65:91] += 32
 _CODE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+#: All ASCII bytes but letters and digits.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[int, np.ndarray] = {}
 BLOCK = 2_000_000
 
@@ -63,9 +65,9 @@ def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK) -> Iterator[tu
         i = j
 
 
-def tokens(data: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word, in order: first byte, end byte, row, and a 64-bit hash of its bytes (A-Z as a-z if lower)."""
-    inside = ~_WS[data]
+def tokens(data: np.ndarray, off: np.ndarray, lower: bool = True, gap: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word, in order: first byte, end byte, row, and a 64-bit hash of its bytes (A-Z as a-z if lower). gap tells of each byte whether it separates words."""
+    inside = ~gap[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     first = inside.copy()
