@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontaminate, minhash, ngram, quality, sharding, suffix, tokenfile
+from tessera.llm import bpe, chat, decontaminate, html, minhash, ngram, quality, sharding, suffix, tokenfile
 
 QUERIES = {
     "op1_kneser_ney": ngram.op1_kneser_ney,
     "op2_tokenfile": tokenfile.op2_tokenfile,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_bpe": bpe.op4_bpe,
+    "op5_chat": chat.op5_chat,
     "op6_suffix": suffix.op6_suffix,
     "op7_sharding": sharding.op7_sharding,
+    "op8_html": html.op8_html,
     "op9_quality": quality.op9_quality,
     "op10_minhash": minhash.op10_minhash,
 }
