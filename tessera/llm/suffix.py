@@ -211,8 +211,8 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     return saved(ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), f"{where}/ranges")
 
 
-def removed(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), most: int = MEMORY) -> DataFrame:
-    """key, keep, n_bytes, n_removed, n_spans and kept, the remaining bytes, of every row."""
+def removed(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), most: int = MEMORY, as_text: bool = False) -> DataFrame:
+    """key, keep, n_bytes, n_removed, n_spans and kept, the remaining bytes, of every row; as_text: as a string without the rests of cut characters."""
     ranges = repeated(df, key, text, most).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     docs = df.select(key, *keep, F.col(text).alias("_text"))
     same = F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("_text"), F.lit(""))) == F.col("_th"))
@@ -233,12 +233,12 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[
                         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     else:
                         spans, kept = 0, raw
-                    for o, v in zip(out, (len(raw), len(raw) - len(kept), spans, kept)):
+                    for o, v in zip(out, (len(raw), len(raw) - len(kept), spans, kept.decode("utf-8", "ignore") if as_text else kept)):
                         o.append(v)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(m)), *(pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], [key, *keep, "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(m)), *(pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())))], [key, *keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
     head = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep))
-    return joined.mapInArrow(run, f"{head}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, f"{head}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
