@@ -3,12 +3,14 @@
 1. A document's set holds the hashes of its distinct five-word shingles (a text of fewer words has one shingle; without words the set
    is empty and linked with nothing). Its signature is the least of HASHES hash functions over the set.
 2. Documents of equal sets form a class; one member stands for it from here on, so copies never make pairs.
-3. Signatures are cut into bands. Equal bands meet in a bucket, read as a sorted stream: every member is paired with the first one only.
+3. Signatures are cut into bands. Equal bands meet in a bucket, read as a sorted stream; a bucket's first member is its hub, and every
+   node is paired with the least of its hubs only.
 4. A pair's signatures are compared batch by batch. Of a pair with m of n equal values the posterior of the similarity is
    Beta(m + 1, n - m + 1); the pair is dropped once the posterior chance of a similarity of 0.75 or more is below MISS.
 5. Survivors are confirmed on their full sets in whole numbers.
-6. Components of the confirmed links are labelled. In buckets whose members still belong to several components, every pair across components
-   is compared in the same way, in blocks and without making rows of pairs that fail, so no link in a bucket is lost to step 3.
+6. Components of the confirmed links are labelled. In buckets whose members still belong to several components, all pairs across components
+   are compared in the same way, in blocks and without making rows of pairs that fail: at first the best of each component, then, with the
+   labels renewed, all that are still across. So no link in a bucket is lost to step 3.
 7. The final components give component_id, the smallest doc_id that can be reached.
 
 With 32 bands of 4 values, a pair at a similarity of 0.75 misses all bands with a chance of 5e-6. Sets are of 64-bit hashes, classes of
@@ -37,6 +39,7 @@ BANDS = 32
 BATCH = 16
 MISS = 1e-6
 SKETCH = 64
+ROWS_OF_BLOCK = 4000
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -183,59 +186,77 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
 
-_LEAST_SKETCH = {n: least_equal(n) for n in range(BATCH, SKETCH + 1, BATCH)}
+def _crossed(best_only: bool):
+    """Of a stream (band, block, part, root, node, sketch) sorted by the first three: pairs of nodes of a bucket in different components.
 
-
-def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a stream (band, block, part, component, node, sketch) sorted by the first three: pairs of nodes of a bucket in different components.
-
-    The rows of part 0 are a block of bucket members, those of part 1 all members that the block is compared with, streamed. One byte of each of SKETCH
+    The rows of part 0 are a block of bucket members, those of part 1 the members that the block is compared with, streamed. One byte of each of SKETCH
     signature values is compared; a pair that can't reach the least number of equal values is no row. A chance match of bytes only adds work.
+    best_only: of the block's members of one component, only the most similar one makes a row.
     """
-    key, comps, nodes, sketches = None, [], [], []
-    comp_array = sketch_array = None
-    for b in batches:
-        found: list[tuple[bytes, bytes]] = []
-        bands, blocks_, parts = (b.column(k).to_pylist() for k in range(3))
-        comp, node, sk = b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()
-        i = 0
-        while i < len(bands):
-            if (bands[i], blocks_[i]) != key:
-                key, comps, nodes, sketches, sketch_array = (bands[i], blocks_[i]), [], [], [], None
-            if parts[i] == 0:
-                comps.append(comp[i])
-                nodes.append(node[i])
-                sketches.append(sk[i])
-                i += 1
-                continue
-            if sketch_array is None:
-                sketch_array = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
-                comp_array = np.array(comps, object)
-            other = np.frombuffer(sk[i], np.uint8)
-            near = np.flatnonzero((sketch_array == other).sum(axis=1) >= _LEAST_SKETCH[SKETCH])
-            for n in near:
-                if comp_array[n] < comp[i]:
-                    found.append((nodes[n], node[i]))
-            i += 1
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, least = None, least_equal(SKETCH)
+        roots, nodes, sketches, array, component = [], [], [], None, None
+        for b in batches:
+            found: list[tuple[bytes, bytes]] = []
+            for band, block, part, root, node, sketch in zip(*(c.to_pylist() for c in b.columns)):
+                if (band, block) != key:
+                    key, roots, nodes, sketches, array = (band, block), [], [], [], None
+                if part == 0:
+                    roots.append(root)
+                    nodes.append(node)
+                    sketches.append(sketch)
+                    continue
+                if array is None:
+                    array = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+                    numbers: dict[bytes, int] = {}
+                    component = np.array([numbers.setdefault(r, len(numbers)) for r in roots], np.int64)
+                equal = (array == np.frombuffer(sketch, np.uint8)).sum(axis=1)
+                near = np.flatnonzero((equal >= least) & (component != numbers.get(root, -1)))
+                if best_only and len(near) > 1:
+                    near = near[np.lexsort((-equal[near], component[near]))]
+                    near = near[np.concatenate(([True], component[near][1:] != component[near][:-1]))]
+                found += [(nodes[n], node) for n in near]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _star(large: bool):
+    """One half of a round of star contraction, on a stream of (u, v) sorted by both: neighbours are tied to the least of them, which comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = least = last = None
+        for b in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if u != at:
+                    at, last = u, None
+                    least = min(u, v) if large else v
+                    if not large:
+                        out.append((u, least))
+                if v != last and v != least and (v > u or not large):
+                    out.append((v, least))
+                last = v
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["u", "v"])
+
+    return run
 
 
 def components(edges: DataFrame, where: str) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): least neighbours are passed on until nothing changes; every round is a written table."""
-    both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{where}/both")
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node")
-    k = 0
+    """(node, root) of every node of the edges (a, b) that isn't a root itself: alternating star contraction, one written table a round."""
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    grouped = lambda df: df.repartition("u").sortWithinPartitions("u", "v")
+    mark, k = None, 0
     while True:
-        labels = saved(labels, f"{where}/round-{k}")
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        wide = grouped(both).mapInArrow(_star(True), "u binary, v binary")
+        pairs = saved(grouped(wide).mapInArrow(_star(False), "u binary, v binary"), f"{where}/round-{k}")
         k += 1
-        low = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("low"))
-        step = labels.join(low, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("mid"))
-        # Jump to the root of the root, so that long chains take few rounds.
-        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        moved = saved(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")), f"{where}/step-{k}")
-        labels = moved.select("node", "root")
-        if moved.where(F.col("old") != F.col("root")).limit(1).count() == 0:
-            return labels
+        seen = pairs.distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == mark:
+            return pairs.distinct().select(F.col("u").alias("node"), F.col("v").alias("root"))
+        mark = seen
 
 
 def _unordered(df: DataFrame) -> DataFrame:
@@ -263,43 +284,48 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep
         checked = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         return saved(checked.mapInArrow(_confirm, "a binary, b binary"), f"{where}/links-{name}")
 
-    stars = _unordered(buckets.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    # A bucket's first member is its hub; every node is tried with the least of its hubs.
+    stars = buckets.where("hub <> node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
     links = confirmed(stars, "star")
-    first = components(links, f"{where}/first")
-
-    member = buckets.select("band", "node").join(first, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = member.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("band", "size")
-    open_ = member.join(mixed, "band")
-    distinct = saved(open_.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")), f"{where}/open")
-    # The largest component of a bucket is only compared with; the members of the others are the blocks.
-    top = distinct.groupBy("band").agg(F.max_by("root", "n").alias("top"))
-    tagged = open_.join(top, "band").join(nodes.select("node", F.substring("sig", 1, 4 * SKETCH).alias("sig")), "node")
-    tagged = saved(tagged.mapInArrow(_small, "band long, root binary, top binary, node binary, sketch binary"), f"{where}/members")
-    block = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("n") / 2000)))
-    small = tagged.where("root <> top").join(tagged.where("root <> top").groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band").withColumn("block", block)
-    blocks_ = small.groupBy("band").agg(F.max(F.greatest(F.lit(1), F.ceil(F.col("n") / 2000))).alias("k"))
-    ask = small.select("band", F.col("block").cast("long"), F.lit(0).alias("part"), "root", "node", "sketch")
-    against = tagged.join(blocks_, "band").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("block"), F.lit(1).alias("part"), "root", "node", "sketch")
-    stream = ask.unionByName(against).repartition("band", "block").sortWithinPartitions("band", "block", "part")
-    more = _unordered(stream.mapInArrow(_crossed, "a binary, b binary"))
-    more = saved(more.join(links, ["a", "b"], "left_anti"), f"{where}/more")
-    if more.limit(1).count():
-        links = links.unionByName(confirmed(more, "cross"))
-        final = components(links, f"{where}/final")
-    else:
-        final = first
+    final = saved(components(links, f"{where}/first"), f"{where}/labels-0")
+
+    # Then, in buckets of several components, pairs across them: first the best of each component, then whatever is left.
+    tried, sketch = stars, _sketches(nodes)
+    for k, best_only in enumerate((True, False)):
+        member = buckets.select("band", "node").join(final, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        size = member.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"), F.mode("root").alias("top")).where("x <> y")
+        blocks_ = F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_OF_BLOCK)).cast("long")
+        open_ = saved(member.join(size.select("band", blocks_.alias("k"), "top"), "band").join(sketch, "node"), f"{where}/open-{k}")
+        # The largest component of a bucket is only compared with, in as many blocks as the bucket needs.
+        ask = open_.where("root <> top").select("band", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"), F.lit(0).alias("part"), "root", "node", "sketch")
+        against = open_.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("block"), F.lit(1).alias("part"), "root", "node", "sketch")
+        stream = ask.unionByName(against).repartition("band", "block").sortWithinPartitions("band", "block", "part")
+        more = _unordered(stream.mapInArrow(_crossed(best_only), "a binary, b binary"))
+        more = saved(more.join(_unordered(tried), ["a", "b"], "left_anti"), f"{where}/more-{k}")
+        if not more.limit(1).count():
+            if best_only:
+                continue
+            break
+        found = confirmed(more, f"cross-{k}")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            final = saved(components(links, f"{where}/after-{k}"), f"{where}/labels-{k + 1}")
+        tried = tried.unionByName(more)
     rooted = nodes.select("node", "least").join(final, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     out = base.drop("sig").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", key))
     return out.select(key, *keep, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures to sketches of a byte a value."""
-    for b in batches:
-        named = {n: b.column(k) for k, n in enumerate(b.schema.names)}
-        sk = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in named["sig"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([named["band"], named["root"], named["top"], named["node"], pa.array(sk, pa.binary())], ["band", "root", "top", "node", "sketch"])
+def _sketches(nodes: DataFrame) -> DataFrame:
+    """(node, sketch): a byte of each of the first SKETCH values of the signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            small = [np.frombuffer(x, np.uint32)[:SKETCH].astype(np.uint8).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(small, pa.binary())], ["node", "sketch"])
+
+    return nodes.select("node", "sig").mapInArrow(run, "node binary, sketch binary")
 
 
 def _texts(df: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
