@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.catalogue import merged
+from tessera.plans import segments
+
+QUERIES: dict = merged(segments.QUERIES)
+ORACLE_SQL: dict = merged(segments.ORACLE_SQL)
