@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.catalogue import merged
-from tessera.plans import segments
+from tessera.plans import segments, text, vectors
 
-QUERIES: dict = merged(segments.QUERIES)
-ORACLE_SQL: dict = merged(segments.ORACLE_SQL)
+QUERIES: dict = merged(segments.QUERIES, vectors.QUERIES, text.QUERIES)
+ORACLE_SQL: dict = merged(segments.ORACLE_SQL, vectors.ORACLE_SQL, text.ORACLE_SQL)
