@@ -20,10 +20,11 @@ Nonterminal k is FIRST_RULE + k, where FIRST_RULE is 65536 less the rules a bloc
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +42,15 @@ LEAST = 12
 ROUNDS = 12
 PER_ROUND = 1024
 BITS = 18
-CACHE = 350_000
+CACHE = 450_000
 MAX_RANGES = 4096
-_SAFE = regex.compile("[!-~À-ÖØ-öø-ÿ]{1,64}")
+_SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]{1,64}").fullmatch
 #: Fixed value: the public split pattern of this vocabulary, for chunks without white space.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
 
 class Chunks(dict):
-    """From a chunk's bytes to its ids."""
+    """From a chunk's bytes to its ids as bytes; two generations, so that chunks that come again stay."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -60,35 +61,48 @@ class Chunks(dict):
         self.tool = tokenizers.Tokenizer.from_file(path)
         self.tool.no_truncation()
         self.tool.no_padding()
-        self.model, self.letters = self.tool.model, {b: c for b, c in byte_letters().items()}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.tokenize, self.letters = self.tool.model.tokenize, byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.size = self.tool.get_vocab_size()
+        self.kind = "<u2" if self.size < 65536 else "<u4"
+        self.code = "H" if self.size < 65536 else "I"
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
+        plain = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+        return array(self.code, [t.id for t in self.tokenize(plain)]).tobytes()
+
+    def kept_piece(self, text: str) -> bytes:
         ids = self.pieces.get(text)
         if ids is None:
-            plain = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
-            ids = tuple([t.id for t in self.model.tokenize(plain)])
-            if len(self.pieces) >= CACHE:
+            if len(self.pieces) >= CACHE // 2:
                 self.pieces.clear()
-            self.pieces[text] = ids
+            ids = self.pieces[text] = self.piece(text)
         return ids
 
-    def __missing__(self, chunk: bytes) -> tuple[int, ...]:
-        text = chunk.decode()
-        if _SAFE.fullmatch(text) and "<|" not in text:
-            low = text.lower()
-            ids = self.piece(low) if low.isalpha() else tuple(chain.from_iterable(map(self.piece, _PIECES.findall(low))))
-        else:
-            ids = tuple(self.tool.encode(text, add_special_tokens=False).ids)
-        if len(chunk) <= 96:
-            if len(self) >= CACHE:
-                self.clear()
-            self[chunk] = ids
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            text = chunk.decode()
+            if _SAFE(text) and "<|" not in text:
+                low = text.lower()
+                ids = self.piece(low) if low.isalpha() else b"".join(map(self.kept_piece, _PIECES(low)))
+            else:
+                ids = array(self.code, self.tool.encode(text, add_special_tokens=False).ids).tobytes()
+            if len(chunk) > 96:
+                return ids
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
         return ids
 
+    def packed(self, text: bytes) -> bytes:
+        """Ids of a text, as little-endian numbers of 2 or 4 bytes."""
+        return b"".join(map(self.__getitem__, text.split()))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, text.encode().split())))
+        return np.frombuffer(self.packed(text.encode()), self.kind).tolist()
 
 
 _loaded: dict[str, Chunks] = {}
@@ -242,10 +256,11 @@ def write(df: DataFrame, path: str, where: str, text: str = "text", key: str = "
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, edge = loaded(path), np.array(bounds, np.int64)
+        end = array(tool.code, [END]).tobytes()
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                ids = [np.array([*tool.encode(t or ""), END], "<u2" if tool.size < 65536 else "<u4").tobytes() for t in part.column(1).to_pylist()]
+                ids = [tool.packed(t or b"") + end for t in part.column(1).cast(pa.binary()).to_pylist()]
                 doc = part.column(0).cast(pa.int64())
                 pid = np.searchsorted(edge, doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(pid), doc, pa.array(ids, pa.binary())], ["pid", "doc_id", "ids"])
