@@ -1,0 +1,202 @@
+"""Frames of sampled signals. Short signals are arrays in a row; each operator works within its row."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.operators.segments import merge_any
+
+RATE = 16_000
+
+
+def rms(x: Column) -> Column:
+    """OP-58: root of the mean square; 0 for no samples."""
+    return F.when(F.size(x) > 0, F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")) / F.size(x))).otherwise(0.0)
+
+
+def not_silent(df: DataFrame, samples: str = "samples", least: float = 0.005, scale: float = 1.0, keep_unreadable: bool = False) -> DataFrame:
+    """OP-24: rows whose RMS over scale reaches least; rows without samples go, or stay if keep_unreadable."""
+    x = F.col(samples)
+    return df.where(F.when(x.isNull() | (F.size(x) == 0), F.lit(keep_unreadable)).otherwise(rms(x) / scale >= least))
+
+
+def down_mixed(channels: Column) -> Column:
+    """OP-05: mean over the channels of array<array<float>>."""
+    n = F.size(channels)
+    total = F.aggregate(F.slice(channels, 2, F.greatest(n, F.lit(1))), F.transform(channels[0], lambda x: x.cast("double")), lambda s, c: F.zip_with(s, c, lambda a, b: a + b))
+    return F.transform(total, lambda x: x / n)
+
+
+def windows(n: Column, win: int, stride: int, least_tail: int) -> Column:
+    """OP-51: array of (start, end) samples: full windows every stride; then the tail from there to the end if longer than least_tail, also where the last full window reaches the end; [0, n) if n is less than a window."""
+    full = F.floor((n - win) / stride).cast("int") + 1
+    part = F.transform(F.sequence(F.lit(0), full - 1), lambda k: F.struct((k * stride).alias("start"), (k * stride + win).alias("end")))
+    tail = F.when(n - full * stride > least_tail, F.array(F.struct((full * stride).alias("start"), n.cast("int").alias("end")))).otherwise(F.slice(part, 1, 0))
+    return F.when(n < win, F.array(F.struct(F.lit(0).alias("start"), n.cast("int").alias("end")))).otherwise(F.concat(part, tail))
+
+
+def frame_rms(df: DataFrame, frame: int, hop: int, samples: str = "samples", short_by_one: bool = False) -> DataFrame:
+    """(file_id, frame, energy) of all full frames; short_by_one leaves the last one out."""
+    n = F.floor((F.size(samples) - frame) / hop).cast("int") + (0 if short_by_one else 1)
+    k = df.where(n > 0).select("file_id", samples, F.posexplode(F.sequence(F.lit(0), n - 1)).alias("frame", "_k"))
+    return k.select("file_id", "frame", rms(F.slice(samples, F.col("_k") * hop + 1, frame)).alias("energy"))
+
+
+def runs(df: DataFrame, flag: str, keys: tuple[str, ...] = ("file_id",), order: str = "frame") -> DataFrame:
+    """(keys, first, n) of the runs of rows where flag holds."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = df.withColumn("_r", F.sum((~F.col(flag)).cast("int")).over(w))
+    return d.where(flag).groupBy(*keys, "_r").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).drop("_r")
+
+
+def probability_segments(df: DataFrame, least_prob: float = 0.5, least_ms: int = 250, rate: int = 100, gap: float = 0.1) -> DataFrame:
+    """OP-53: (file_id, frame, prob) at rate frames a second to speech segments of least_ms or more, near ones merged."""
+    r = runs(df.withColumn("_f", F.col("prob") > least_prob), "_f")
+    s = r.where(F.col("n") * 1000 >= least_ms * rate).select("file_id", F.col("first").cast("long").alias("ord"), (F.col("first") / rate).alias("start"), ((F.col("first") + F.col("n")) / rate).alias("end"))
+    return merge_any(s, gap)
+
+
+def chunk_offsets(duration: Column, chunk: float = 30.0, step: float = 25.0) -> Column:
+    """OP-52: starts of overlapping chunks."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(duration / step).cast("int") - 1, F.lit(0))), lambda k: F.struct((k * step).alias("start"), F.least(k * step + chunk, duration).alias("end")))
+
+
+def energy_speech(df: DataFrame, rate: int = RATE, least: float = 0.01, gap: float = 0.5, samples: str = "samples") -> DataFrame:
+    """OP-54, 55: frames of 30 ms every 10 ms above least, merged where less than gap apart; a file without any is speech throughout."""
+    frame, hop = int(0.03 * rate), int(0.01 * rate)
+    loud = frame_rms(df, frame, hop, samples).where(F.col("energy") > least)
+    s = loud.select("file_id", F.col("frame").cast("long").alias("ord"), (F.col("frame") * hop / rate).alias("start"), ((F.col("frame") * hop + frame) / rate).alias("end"))
+    w = Window.partitionBy("file_id").orderBy("ord")
+    s = s.withColumn("_i", F.sum(F.coalesce((F.col("start") - F.lag("end").over(w) >= gap).cast("int"), F.lit(1))).over(w))
+    found = s.groupBy("file_id", "_i").agg(F.min("start").alias("start"), F.max_by("end", "ord").alias("end")).drop("_i")
+    whole = df.join(found, "file_id", "left_anti").select("file_id", F.lit(0.0).alias("start"), (F.size(samples) / rate).alias("end"))
+    return found.unionByName(whole)
+
+
+def dip_split(df: DataFrame, rate: int = RATE, longest: float = 5.0, ratio: float = 0.35, least_dip: float = 0.15, least_piece: float = 1.0, samples: str = "samples") -> DataFrame:
+    """OP-56: segments (file_id, ord, start, end, samples) of longest seconds or more are cut in the middle of energy dips; pieces under least_piece go; the segment stays whole unless two pieces or more are left."""
+    hop = int(0.02 * rate)
+    seg = df.withColumn("_d", F.col("end") - F.col("start"))
+    energy = frame_rms(seg.where(F.col("_d") >= longest).select(F.struct("file_id", "ord").alias("file_id"), samples), hop, hop, samples, True)
+    w = Window.partitionBy("file_id")
+    low = runs(energy.withColumn("_f", F.col("energy") < ratio * F.median("energy").over(w)), "_f").where(F.col("n") >= max(1, int(least_dip * rate / hop)))
+    cuts = low.groupBy("file_id").agg(F.sort_array(F.collect_list((F.col("first") + F.floor(F.col("n") / 2)) * hop / rate)).alias("_c")).select("file_id.*", "_c")
+    joined = seg.drop(samples).join(cuts, ["file_id", "ord"], "left")
+    edge = F.concat(F.array(F.lit(0.0)), F.coalesce("_c", F.array().cast("array<double>")), F.array(F.col("_d")))
+    pieces = F.zip_with(F.slice(edge, 1, F.size(edge) - 1), F.slice(edge, 2, F.size(edge) - 1), lambda a, b: F.struct(F.round(F.col("start") + a, 4).alias("start"), F.round(F.col("start") + b, 4).alias("end")))
+    joined = joined.withColumn("_p", F.filter(pieces, lambda p: p["end"] - p["start"] >= least_piece))
+    whole = F.array(F.struct(F.col("start").alias("start"), F.col("end").alias("end")))
+    kept = joined.withColumn("_p", F.when((F.size("_p") > 1) & F.col("_c").isNotNull(), F.col("_p")).otherwise(whole))
+    return kept.select("file_id", "ord", F.posexplode("_p").alias("piece", "_s")).select("file_id", "ord", "piece", "_s.start", "_s.end")
+
+
+def frame_pitch(x: np.ndarray, rate: int, low: int, high: int, least: float) -> float:
+    """Pitch of a frame by its autocorrelation at lags low to high (exclusive), 0 if unvoiced."""
+    x = x.astype(float) - x.mean()
+    energy = float(x @ x)
+    if energy <= 0 or len(x) <= low:
+        return 0.0
+    spectrum = np.fft.rfft(x, 2 * len(x))
+    lags = np.fft.irfft(spectrum * spectrum.conj())[low : min(high, len(x))] / energy
+    k = int(np.argmax(lags))
+    return rate / (low + k) if lags[k] >= least else 0.0
+
+
+def pitch(df: DataFrame, rate: int = RATE, frame: int = 2048, hop: int = 512, samples: str = "samples") -> DataFrame:
+    """OP-57: (file_id, pitch_hz, pitch_std): median and population deviation of the voiced frames between 60 and 400 Hz; 0 and 0 without any."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for f, x in zip(pdf["file_id"], pdf[samples]):
+                x = np.asarray(x, float)
+                got = [frame_pitch(x[i : i + frame], rate, int(rate / 300), int(rate / 80), 0.2) for i in range(0, len(x) - frame + 1, hop)]
+                got = [p for p in got if 60 < p < 400]
+                rows.append((f, float(np.median(got)) if got else 0.0, float(np.std(got)) if got else 0.0))
+            yield pd.DataFrame(rows, columns=["file_id", "pitch_hz", "pitch_std"])
+
+    return df.select("file_id", samples).mapInPandas(run, f"file_id {dict(df.dtypes)['file_id']}, pitch_hz double, pitch_std double")
+
+
+def mel_filters(bands: int, bins: int, rate: int) -> np.ndarray:
+    """Triangular filters, evenly spaced in mel."""
+    to_mel = lambda f: 2595 * np.log10(1 + f / 700)
+    points = 700 * (10 ** (np.linspace(0, to_mel(rate / 2), bands + 2) / 2595) - 1)
+    f = np.linspace(0, rate / 2, bins)
+    up = (f[None] - points[:-2, None]) / np.diff(points)[:-1, None]
+    down = (points[2:, None] - f[None]) / np.diff(points)[1:, None]
+    return np.maximum(0, np.minimum(up, down))
+
+
+def fbank(x: np.ndarray, rate: int = RATE, bands: int = 80) -> np.ndarray:
+    """OP-59d: log mel energies of frames of 25 ms every 10 ms under a Hamming window, samples scaled to 16 bits."""
+    size, hop = int(0.025 * rate), int(0.01 * rate)
+    if len(x) < size:
+        return np.zeros((0, bands), np.float32)
+    f = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float) * 32768, size)[::hop]
+    f = (f - f.mean(axis=1, keepdims=True)) * np.hamming(size)
+    power = np.abs(np.fft.rfft(f, 512 if size <= 512 else size)) ** 2
+    return np.log(np.maximum(power @ mel_filters(bands, power.shape[1], rate).T, 1e-10)).astype(np.float32)
+
+
+def mean_removed(frames: Column) -> Column:
+    """OP-59e: each bin less its mean over time, before any padding."""
+    n = F.size(frames)
+    total = F.aggregate(F.slice(frames, 2, F.greatest(n, F.lit(1))), F.transform(frames[0], lambda x: x.cast("double")), lambda s, f: F.zip_with(s, f, lambda a, b: a + b))
+    return F.transform(F.array(total), lambda t: F.transform(frames, lambda f: F.zip_with(f, t, lambda a, b: a - b / n)))[0]
+
+
+def spectral(x: np.ndarray, rate: int = RATE) -> tuple[float, float]:
+    """OP-59b: centroid and 85 % roll-off, means over the frames that have energy."""
+    size, hop = int(0.025 * rate), int(0.01 * rate)
+    if len(x) < size:
+        return 0.0, 0.0
+    s = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), size)[::hop]))
+    f, total = np.fft.rfftfreq(size, 1 / rate), s.sum(axis=1)
+    s, total = s[total > 0], total[total > 0]
+    if not len(s):
+        return 0.0, 0.0
+    return float(((s @ f) / total).mean()), float(f[np.argmax(np.cumsum(s, axis=1) >= 0.85 * total[:, None], axis=1)].mean())
+
+
+def mfcc(x: np.ndarray, rate: int = RATE, n: int = 13) -> np.ndarray:
+    """OP-59a: cosine transform of the log mel energies."""
+    e = fbank(x, rate, 40)
+    k = np.cos(np.pi * np.arange(n)[:, None] * (np.arange(40)[None] + 0.5) / 40)
+    return e @ k.T
+
+
+def profiles(df: DataFrame, rate: int = RATE, samples: str = "samples") -> DataFrame:
+    """OP-59: of segments (file_id, speaker, samples): pitch median and deviation, mean energy, seconds, spectral and MFCC statistics of each speaker."""
+    frame, hop = int(0.03 * rate), int(0.01 * rate)
+    names = ["spectral_centroid", "spectral_rolloff", *(f"mfcc{k}_{s}" for k in range(13) for s in ("mean", "std"))]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for f, who, x in zip(pdf["file_id"], pdf["speaker"], pdf[samples]):
+                x = np.asarray(x, float)
+                pitches, energies = [], []
+                for i in range(0, len(x) - frame + 1, hop):
+                    e = float(np.sqrt(np.mean(x[i : i + frame] ** 2)))
+                    if e >= 1e-4:
+                        energies.append(e)
+                        p = frame_pitch(x[i : i + frame], rate, int(rate / 400), int(rate / 60), 0.25)
+                        if p:
+                            pitches.append(p)
+                c = mfcc(x[: 30 * rate], rate)
+                stats = [*spectral(x[: 30 * rate], rate), *(v for k in range(13) for v in ((float(c[:, k].mean()), float(c[:, k].std())) if len(c) else (0.0, 0.0)))]
+                rows.append((f, who, pitches, energies, len(x) / rate, stats))
+            yield pd.DataFrame(rows, columns=["file_id", "speaker", "pitches", "energies", "seconds", "stats"])
+
+    raw = df.select("file_id", "speaker", samples).mapInPandas(run, f"file_id {dict(df.dtypes)['file_id']}, speaker string, pitches array<double>, energies array<double>, seconds double, stats array<double>")
+    keys = ["file_id", "speaker"]
+    base = raw.groupBy(*keys).agg(F.sum("seconds").alias("total_speech_sec"), *[F.avg(F.col("stats")[k]).alias(n) for k, n in enumerate(names)])
+    p = raw.select(*keys, F.explode("pitches").alias("_p")).groupBy(*keys).agg(F.median("_p").alias("pitch_hz"), F.stddev_pop("_p").alias("pitch_std"))
+    e = raw.select(*keys, F.explode("energies").alias("_e")).groupBy(*keys).agg(F.avg("_e").alias("energy_rms"))
+    return base.join(p, keys, "left").join(e, keys, "left").na.fill(0.0, ["pitch_hz", "pitch_std", "energy_rms"])
