@@ -16,7 +16,7 @@ import tempfile
 
 import numpy as np
 
-MEMORY = 4_000_000
+MEMORY = 500_000
 
 
 class BulkQueue:
@@ -111,12 +111,14 @@ def _induced(text: np.ndarray, member: np.ndarray, seeds: np.ndarray, top: int,
         minor[n_pop : n_pop + n_seed] = np.arange(n_seed)
         inner = parent[head] >= 0
         own = minor[head[~inner]]
+        # One number for both keys: the dense rank of the major one, then the minor one.
+        dense = np.unique(major, return_inverse=True)[1] * np.int64(base + total + len(seeds) + 1)
         order = place_of = None
         inner_up = parent[head[inner]]
         for _ in range(total + 1):
             minor[~inner] = own
             minor[inner] = base + (0 if place_of is None else place_of[inner_up])
-            new = np.lexsort((minor, major))
+            new = np.argsort(dense + minor)
             if order is not None and np.array_equal(new, order):
                 break
             order = new

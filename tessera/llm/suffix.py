@@ -26,6 +26,8 @@ from tessera.llm.induced import MEMORY, suffix_order
 
 LENGTH = 200
 GRAM = 64
+#: Shards a shuffle partition; a task sorts one after the other.
+SHARDS = 16
 _COLUMNS = ["anchor", "seg", "doc_id", "th", "start", "n"]
 _OCCURRENCE = "anchor long, seg long, doc_id long, th long, start int, n int"
 _RANGE = "doc_id long, th long, start int, n int"
@@ -203,7 +205,7 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     found = saved(found, f"{where}/found")
     reps = found.where("kind = 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("reps"))
     joined = long_.alias("d").join(reps.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.th") == F.col("r.th"))).select("d.doc_id", "d.th", "d.text", "r.reps")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    shards = SHARDS * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     pieces = joined.mapInArrow(_cut, "anchor long, doc_id long, th long, start int, n int, piece binary")
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).select("shard", "doc_id", "th", "start", "n", "piece")
     sorted_ = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sorted_shards(most), _RANGE)
