@@ -347,3 +347,21 @@ def _texts(df: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def oracle_sql() -> str:
+    """All pairs with a common shingle, counted; links by the exact rule; components by reachability."""
+    part, whole = SIMILAR
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    g AS (SELECT DISTINCT doc_id, gram FROM (SELECT doc_id, words[i:i + {WORDS - 1}] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WORDS - 2})) AS i FROM w WHERE len(words) >= {WORDS})
+      UNION ALL SELECT doc_id, words FROM w WHERE len(words) BETWEEN 1 AND {WORDS - 1})),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {whole} * both_ >= {part} * (x.n + y.n - both_)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """

@@ -152,3 +152,36 @@ def quality(df: DataFrame, text: str = "text", language: str = "lang", keep: tup
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("class_distance", "word_distance")
+
+
+def oracle_sql() -> str:
+    """The whole operator in SQL."""
+    gap = r"[\x20\x09-\x0D]"
+    n = {c: f"length(body) - length(regexp_replace(body, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for c, p in _CLASS.items()}
+    bins = {c: f"_{c}" for c in CLASSES}
+    part = lambda p, q: f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END) / 2"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body, coalesce(lang, '') AS lang FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(body, '{gap}+'), lambda x: x <> '') AS words FROM d),
+    g AS (SELECT rid, i, words[i:i + {WINDOW - 1}] AS gram FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w WHERE len(words) >= {WINDOW})),
+    dup AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+    rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM dup, range({WINDOW}) AS t(k) GROUP BY rid),
+    m AS (SELECT w.*, length(body) AS _chars, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+      length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+      list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(rep.n, 0) AS n_repeat_words, {", ".join(f"{v} AS _{c}" for c, v in n.items())} FROM w LEFT JOIN rep USING (rid)),
+    c AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, _chars - word_chars AS _space, word_chars - _upper - _digit - _point - _symbol AS _lower FROM m),
+    both_ AS (SELECT lang AS k, * FROM c WHERE lang <> '' UNION ALL SELECT '' AS k, * FROM c),
+    r AS (SELECT k, greatest(sum(_chars), 1)::DOUBLE AS t, count(*) AS docs, {", ".join(f"sum({v})::DOUBLE AS q_{x}" for x, v in bins.items())} FROM both_ GROUP BY k),
+    known AS (SELECT * FROM r WHERE k = '' OR docs >= {LANGUAGE_SHARE} * (SELECT count(*) FROM d)),
+    x AS (SELECT k, rid, lower(unnest(words)) AS word FROM both_), nw AS (SELECT k, word, count(*) AS n FROM x GROUP BY ALL), tw AS (SELECT k, sum(n)::DOUBLE AS t FROM nw GROUP BY k),
+    common AS (SELECT nw.k, word, n / tw.t AS q FROM nw JOIN tw USING (k) JOIN known USING (k) WHERE n >= {WORD_SHARE} * tw.t), rest AS (SELECT k, 1 - sum(q) AS q FROM common GROUP BY k),
+    c2 AS (SELECT c.*, CASE WHEN lang IN (SELECT k FROM known) THEN lang ELSE '' END AS k FROM c),
+    cd AS (SELECT rid, sqrt(greatest(0.0, {" + ".join(part(f"({v} / greatest(_chars, 1)::DOUBLE)", f"(q_{x} / t)") for x, v in bins.items())})) AS d FROM c2 JOIN known USING (k)),
+    dw AS (SELECT c2.rid, c2.k, x.word, count(*) AS n FROM c2 JOIN x ON x.rid = c2.rid AND x.k = c2.k GROUP BY ALL),
+    hit AS (SELECT dw.rid, dw.k, dw.n, common.q, c2.n_words FROM dw JOIN common ON common.k = dw.k AND common.word = dw.word JOIN c2 ON c2.rid = dw.rid),
+    s AS (SELECT rid, sum({part("(n / n_words::DOUBLE)", "q")}) AS d, sum(n) AS seen, sum(q) AS qs FROM hit GROUP BY rid),
+    wd AS (SELECT c2.rid, sqrt(greatest(0.0, coalesce(s.d, 0) + (1 - rest.q - coalesce(s.qs, 0)) / 2 + {part("((n_words - coalesce(s.seen, 0)) / n_words::DOUBLE)", "rest.q")})) AS d FROM c2 LEFT JOIN s USING (rid) JOIN rest ON rest.k = c2.k WHERE n_words >= {MIN_WORDS})
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (_chars < {MIN_CHARS} OR cd.d <= {MAX_CLASS_DISTANCE}) AND coalesce(wd.d <= {MAX_WORD_DISTANCE}, true) AS kept
+    FROM c2 LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid)
+    """

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_minhash": minhash.op10_minhash,
 }
-ORACLE_SQL = {"op7_sharding": sharding.oracle_sql()}
+ORACLE_SQL = {"op7_sharding": sharding.oracle_sql(), "op9_quality": quality.oracle_sql(), "op10_minhash": minhash.oracle_sql()}
