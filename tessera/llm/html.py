@@ -44,11 +44,11 @@ NEAR = 0.4
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, marked, content) of every block of a page."""
+    """Collects (text, tags, content) of every block of a page, without what stands in marked elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool]] = []
         self.stack: list[tuple[str, int, int]] = []  # element, and 1 if it is marked (2: as a header), 1 if it is content
         self.parts: list[str] = []
         self.tags = self.marked = self.content = self.heading = 0
@@ -57,7 +57,7 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, self.marked > 0, self.content > 0))
+                self.lines.append((text, self.tags, self.content > 0))
             self.parts = []
         self.tags = 0
 
@@ -120,6 +120,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.marked:
+            return
         if self.heading and not any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in self.stack):
             return
         self.parts.append(data)
@@ -150,15 +152,15 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [x for x in parser.lines if not x[2]]
+    lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([len(t) / max(1, tags) for t, tags, _, _ in lines], float))
+    ratio = smoothed(np.array([len(t) / max(1, tags) for t, tags, _ in lines], float))
     size = np.array([len(x[0]) for x in lines])
     order = np.argsort(ratio)
     middle = ratio[order][np.searchsorted(np.cumsum(size[order]), size.sum() / 2)]  # half of the text stands in lines of this ratio or more
     high = ratio >= min(threshold(ratio), NEAR * middle)
-    inside = np.array([x[3] for x in lines])
+    inside = np.array([x[2] for x in lines])
     if (high & inside).any():
         keep = inside
     else:

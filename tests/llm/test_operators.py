@@ -1,0 +1,329 @@
+"""Every corpus operator against a plain version, with nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tessera.llm import bpe, chat, decontaminate, html, minhash, ngram, quality, sharding, suffix, textvec, tokenfile
+from tessera.llm.induced import suffix_order
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts(seed=5):
+    r = random.Random(seed)
+    vocab = ["the", "of", "and", "Straße", "ñandú"] + ["".join(r.choice("abcdeé") for _ in range(r.randint(2, 7))) for _ in range(120)]
+    make = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    base = [make(r.randint(1, 120)) for _ in range(30)]
+    passage = make(60)
+    near = base[3].split()
+    near[1] = "changed"
+    out = [*base, None, "", "  \t\n", base[0], base[0], " ".join(near), f"x {passage} y", f"{make(30)}\n{passage}\n{make(5)}", "zz " * 4000, "a" * 3000, "one two", "one two", passage.upper(), "##$$ !! <|endoftext|> 12 \x1c\x85 3"]
+    return [(k, t, "en" if k % 3 else None, "s", len(t or "")) for k, t in enumerate(out)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(texts() + [texts()[2], (None, "null id text", "xx", None, None)], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t, lower=True):
+    raw = (t or "").encode()
+    return [w.decode() for w in (raw.lower() if lower else raw).split()]
+
+
+def test_word_hashes_are_those_of_the_words():
+    rows = [t or "" for _, t, *_ in texts()]
+    data = "".join(rows).encode()
+    off = np.cumsum([0, *(len(t.encode()) for t in rows)])
+    start, end, row, h = textvec.tokens(np.frombuffer(data, np.uint8), off)
+    got = [data[a:b].lower().decode() for a, b in zip(start, end)]
+    assert got == [w for t in rows for w in words(t)]
+    assert row.tolist() == [k for k, t in enumerate(rows) for _ in words(t)]
+    by = collections.defaultdict(set)
+    for w, x in zip(got, h.tolist()):
+        by[w].add(x)
+    assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
+
+
+def test_op1_equals_a_plain_model(spark, docs, empty, tmp_path):
+    rows = docs.select("doc_id", "text").collect()
+    train = [r for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    c, b = collections.Counter(), collections.Counter()
+    for r in train:
+        q = [*words(r.text), "\0end"]
+        c.update(q)
+        b.update(zip(["\0start", *q], q))
+    ways, total = collections.Counter(w for _, w in b), collections.Counter()
+    by = collections.defaultdict(lambda: [0, 0, 0])
+    for (v, _), k in b.items():
+        total[v] += k
+        by[v][min(k, 3) - 1] += 1
+    d = lambda n: ngram.Model.discounts(*(sum(1 for v in n.values() if v == k) for k in (1, 2, 3, 4)))
+    d2, d1 = d(b), d(ways)
+    floor = sum(d1[min(k, 3)] for k in ways.values()) / len(b) / (len(c) + 1)
+    marked = docs.withColumn("held", ngram.held_out(F.col("doc_id")))
+    model = ngram.train(marked.where("NOT held"), f"file://{tmp_path}/m")
+    got = collections.defaultdict(list)
+    for r in ngram.scored(marked, model).collect():
+        got[r.doc_id].append(r)
+    for r in rows:
+        q, score, base = [*words(r.text), "\0end"], 0.0, 0.0
+        for v, w in zip(["\0start", *q], q):
+            p = max(0.0, ways[w] - d1[min(ways[w], 3)]) / len(b) + floor
+            if total[v]:
+                p = max(0.0, b[v, w] - d2[min(b[v, w], 3)]) / total[v] + sum(d2[i + 1] * by[v][i] for i in range(3)) / total[v] * p
+            score += math.log10(p)
+            base += math.log10((c[w] + 1) / (sum(c.values()) + len(c) + 1))
+        g = got[r.doc_id][0]
+        assert g.n_tokens == len(q) and g.n_known == sum(c[w] > 0 for w in q)
+        assert g.score == pytest.approx(score, rel=1e-9) and g.base_score == pytest.approx(base, rel=1e-9)
+    assert ngram.scored(empty, model).count() == 0
+    none = ngram.train(empty, f"file://{tmp_path}/none")
+    assert all(r.score == 0 and r.n_known == 0 for r in ngram.scored(docs, none).collect())
+
+
+def test_op2_round_trip_and_random_access(spark, docs, empty, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tool = Tokenizer.from_file(path)
+    blocks = tokenfile.write(docs, path, f"file://{tmp_path}/b")
+    size = tool.get_vocab_size()
+    got = tokenfile.read(blocks, size).orderBy("start").collect()
+    rows = docs.select("doc_id", "text").collect()
+    want = collections.Counter()
+    for r in rows:
+        ids = [*tool.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want[r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert want == collections.Counter((g.doc_id, g.n_tokens, g.ids_crc32) for g in got)
+    at, ids = 0, [g.doc_id for g in got]
+    for g in got:
+        assert g.start == at
+        at += g.n_tokens
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    first = blocks.orderBy("pid", "seq").first()
+    block = tokenfile.Block(bytes(first["block"]), size)
+    whole = block.span(0, len(block.doc_ids))
+    assert np.array_equal(np.concatenate([block.document(k) for k in range(len(block.doc_ids))]), whole)
+    assert tokenfile.read(tokenfile.write(empty, path, f"file://{tmp_path}/e"), size).count() == 0
+
+
+def test_op2_grammar_shrinks_repetition():
+    ids = np.tile(np.array([5, 6, 7, 8, 1], np.uint32), 3000)
+    data = tokenfile.packed(ids, list(range(3000)), np.full(3000, 5), 49408)
+    block = tokenfile.Block(data, 49408)
+    assert len(block.symbols) <= 3000 * 3 and len(block.rules) >= 2
+    assert np.array_equal(block.span(0, 3000), ids) and np.array_equal(block.document(1234), [5, 6, 7, 8, 1])
+
+
+def test_op3_finds_planted_items_only(spark, docs, empty):
+    items = [(1, "where does the quick red fox jump over sleepy dogs tonight? It jumps in the old park behind our house."), (2, "entirely other words make up this second benchmark question here, answer follows now at the end"), (3, None), (4, ""), (None, "null item words alpha beta gamma delta epsilon zeta eta theta iota kappa")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    planted = [(100, f"{texts()[4][1]} {items[0][1].upper()} {texts()[5][1]}"), (101, items[1][1].replace(" ", "\n")), (102, items[0][1].split("?")[0]), (103, "the old park and the quick dogs")]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(both, bench).collect()}
+    assert got == {(100, 1), (101, 2)}
+    kept = decontaminate.clean(both, bench)
+    assert kept.columns == ["doc_id", "text"] and kept.count() == both.count() - 2
+    assert decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_op3_wand_equals_full_scoring():
+    r = random.Random(2)
+    rows, n = [], 60
+    for k in range(n):
+        for t in r.sample(range(80), r.randint(2, 12)):
+            rows.append((k, t, r.randint(1, 3), 10, r.randint(1, n)))
+    ix = decontaminate.Index([(k, f"w{k} a b c") for k in range(n)], rows, n, 10.0)
+    for _ in range(200):
+        terms = r.sample(range(len(ix.vocab)), r.randint(1, 30))
+        score = collections.Counter()
+        for t in terms:
+            for k, w in zip(*ix.lists[t]):
+                score[k] += w
+        least = r.choice([0.2, 0.5, 0.9])
+        assert {k for k, _ in ix.retrieve(terms, least)} == {k for k, s in score.items() if s >= least - 1e-12}
+
+
+def test_op4_equals_the_library(spark, docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool, own = Tokenizer.from_file(path), bpe.loaded(path)
+    r = random.Random(1)
+    letters = [*"abAB '’dtrelvm019.,!\n\t \r\x0b\x1c\x85  éßς̈²½一😀", "<|endoftext|>", "'ll"]
+    odd = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    for t in [*odd, *(t or "" for _, t, *_ in texts())]:
+        ids = tool.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids and own.decode(ids) == tool.decode(ids, skip_special_tokens=False)
+    got = {x.doc_id: x for x in bpe.digests(docs, path).collect()}
+    for k, t, *_ in texts():
+        ids = tool.encode(t or "", add_special_tokens=False).ids
+        assert (got[k].n_tokens, got[k].ids_sha256, got[k].decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+    back = bpe.decoded(bpe.encoded(docs, path), path)
+    assert {(x.doc_id, x.text) for x in back.collect()} == {(x.doc_id, x.text or "") for x in docs.collect()}
+    assert bpe.digests(empty, path).count() == 0
+
+
+def test_op5_windows(spark):
+    hard = "<|im_end|><|im_start|>assistant ok <\\n <\\| <"
+    rows = [(1, 0, "system", "be kind"), *[(1, k, "user" if k % 2 else "assistant", f"{k} " + "word " * (k % 40)) for k in range(1, 120)], (2, 0, "user", None), (2, 0, "user", None), (2, None, None, hard), (3, 1, "assistant", "x" * 20000), (3, 2, "user", hard), (None, 0, "assistant", "a"), (4, 0, "odd\n<|role", hard)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    w = chat.formatted(df)
+    parts = w.where("conv_id = 1").orderBy("window").collect()
+    assert len(parts) > 3 and all(p.text.startswith("<|im_start|>system\nbe kind<|im_end|>") for p in parts) and any(p.n_history for p in parts)
+    assert all(sum(chat.tokens_of(t) for _, t, *_ in chat.parsed(p.text)) <= chat.BUDGET for p in parts)
+    by = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t is not None, t or 0, role or "", text or ""))
+    for g in chat.digests(w).collect():
+        turns = sorted(by[g.conv_id])
+        loss = "".join(t for *_, role, t in turns if role == "assistant")
+        assert g.n_turns == len(turns) and g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in turns).encode()).hexdigest()
+        assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.digests(chat.formatted(df.limit(0))).count() == 0
+
+
+def test_op6_equals_brute_force(spark, docs, empty):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    seen = collections.Counter(x[i : i + 200] for _, x in rows for i in range(len(x) - 199))
+    want = collections.Counter()
+    for k, x in rows:
+        gone = np.zeros(len(x), bool)
+        for i in range(len(x) - 199):
+            if seen[x[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        kept = bytes(np.frombuffer(x, np.uint8)[~gone])
+        spans = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
+        want[k, len(x), len(x) - len(kept), spans, kept] += 1
+    got = suffix.removed(docs)
+    assert want == collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect())
+    assert any(v[2] and v[3] > 0 for v in want)
+    assert suffix.removed(empty).count() == 0
+
+
+@pytest.mark.parametrize("most", [3, 40, 100_000])
+def test_op6_suffix_order(most):
+    r = np.random.default_rng(most)
+    for k in range(150):
+        body = r.integers(1, int(r.integers(2, 6)), int(r.integers(1, 70)))
+        if k % 3 == 0:
+            body = np.tile(body[:4], 12)
+        t = np.append(body, 0)
+        assert suffix_order(t, most).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+
+
+def test_op7_table_and_moves():
+    for shards, slots in ((("a",), 7), (("a", "b", "c"), 101), (tuple(map(str, range(20))), 251)):
+        at = [(sharding._number(f"offset:{s}") % slots, sharding._number(f"skip:{s}") % (slots - 1) + 1) for s in shards]
+        want, turn, place = [None] * slots, 0, [0] * len(shards)
+        while None in want:
+            k = turn % len(shards)
+            while want[s := (at[k][0] + place[k] * at[k][1]) % slots] is not None:
+                place[k] += 1
+            want[s] = k
+            turn += 1
+        assert sharding.lookup_table(shards, slots) == want
+    few = sharding.lookup_table(sharding.SHARDS)
+    less = sharding.lookup_table(sharding.SHARDS[:-1])
+    share = collections.Counter(few)
+    assert max(share.values()) - min(share.values()) <= 1
+    moved = sum(a != b for a, b in zip(few, less) if a != len(sharding.SHARDS) - 1)
+    assert moved < 0.1 * len(few)
+    with pytest.raises(ValueError):
+        sharding.lookup_table(("a", "a"))
+
+
+def test_op7_rows(spark, docs, empty):
+    out = sharding.place(docs, "doc_id").collect()
+    assert len(out) == docs.count() and all(r.shard in sharding.SHARDS for r in out)
+    assert sharding.place(empty, "doc_id").count() == 0
+    with pytest.raises(ValueError):
+        sharding.place(docs.withColumn("Shard", F.lit(1)), "doc_id")
+
+
+PAGES = {
+    "<html><body><nav><a>Menu</a></nav><article><h1>T &amp; U</h1><p>One\n two&nbsp;three<p><b>Four<br>five</article><footer>f</footer></body></html>": "T & U\nOne two three\nFour five",
+    "": "",
+    "<p></p>": "",
+    "<div class='ad'>buy<article><p>Text of the page.</p><div class='comments'><p>I disagree</p></div></article>": "Text of the page.",
+    "<body><div id='cookie-notice'>We use cookies</div><div><h1>Title</h1><p>A long first paragraph that says something at length.</p><p>Short.</p><p>Another long paragraph that goes on &lt;here&gt; for some time.</p></div><aside>side</aside></body>": "Title\nA long first paragraph that says something at length.\nShort.\nAnother long paragraph that goes on <here> for some time.",
+    "<article><header><h1>Head</h1><p>by me</p></header><p>Body text</p><form><p>Mail</p></form><script>x='<p>no</p>'</script></article>": "Head\nBody text",
+}
+
+
+def test_op8_pages(spark):
+    rows = [(k, f"u{k}", h) for k, h in enumerate(PAGES)] + [(99, None, None)]
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: (t, len(t)) for k, t in enumerate(PAGES.values())}, 99: ("", 0)}
+
+
+def plain_counts(t):
+    t = t or ""
+    w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t) if x]
+    grams = collections.defaultdict(list)
+    for i in range(len(w) - 4):
+        grams[tuple(w[i : i + 5])].append(i)
+    hit = {i + k for v in grams.values() if len(v) > 1 for i in v for k in range(5)}
+    lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)
+
+
+def test_op9_counts_and_verdict(spark, docs, empty):
+    clash = docs.withColumn("n_words", F.lit(7)).withColumn("_q", F.lit(1))
+    got = collections.Counter(tuple(r)[:6] for r in quality.quality(clash).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect())
+    assert got == collections.Counter((r.doc_id, *plain_counts(r.text)) for r in docs.collect())
+    assert quality.quality(empty).count() == 0
+    # 60 clean texts and one in capitals with signs
+    good = [r for r in texts(8)[:30]] * 2
+    rows = [(k, f"{t} {good[(k + 1) % 60][1]} {good[(k + 7) % 60][1]}", "en", "s", 0) for k, (_, t, *_) in enumerate(good)] + [(1000, " ".join(f"{w.upper()}!!" for w in (good[1][1] + good[2][1] + good[3][1]).split()), "en", "s", 0)]
+    out = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not out[1000].kept and not out[1000].base_failed
+    assert all(out[k].class_distance < out[1000].class_distance for k in range(60) if out[k].class_distance is not None)
+
+
+def test_op10_equals_brute_force(spark, docs, empty):
+    more = docs
+    chain = [f"c{k} " + " ".join(f"w{j}" for j in range(60)) for k in range(40)]
+    more = more.select("doc_id", "text").unionByName(spark.createDataFrame([(500 + k, t) for k, t in enumerate(chain)], "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in more.collect() if r.doc_id is not None]
+    sets = []
+    for _, t in rows:
+        q = words(t)
+        sets.append({tuple(q[i : i + 5]) for i in range(len(q) - 4)} if len(q) > 4 else {tuple(q)} if q else set())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[find(k)] = min(d, least.get(find(k), d))
+    want = collections.Counter((d, len(sets[k]), least[find(k)], d == least[find(k)]) for k, (d, _) in enumerate(rows))
+    got = minhash.near_duplicates(more).where("doc_id IS NOT NULL").collect()
+    assert want == collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got)
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_op10_pruning_keeps_similar_pairs():
+    for n in (16, 64, 128):
+        m = minhash.least_equal(n)
+        lost = sum(math.comb(n, k) * 0.75**k * 0.25 ** (n - k) for k in range(m))
+        assert lost < 1e-3 and 0 < m < 0.75 * n
