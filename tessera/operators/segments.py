@@ -42,7 +42,7 @@ def islands(df: DataFrame, gap: float, by_speaker: bool = True, keys: tuple[str,
 def collapse(df: DataFrame, gap: float = 0.0, keys: tuple[str, ...] = FILE) -> DataFrame:
     """OP-31: same-speaker segments at most gap apart become one, from the first start to the greatest end."""
     merged = islands(df, gap, True, keys).groupBy(*keys, "island")
-    return merged.agg(F.min_by("speaker", "ord").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+    return merged.agg(F.min_by("speaker", "ord").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("ord", F.struct("start", "ord")).alias("ord"), F.count(F.lit(1)).alias("n"))
 
 
 def merge_trim(df: DataFrame, gap: float = 1.0) -> DataFrame:
@@ -63,7 +63,7 @@ def merge_any(df: DataFrame, gap: float = 0.1) -> DataFrame:
 def refine(df: DataFrame, gap: float = 1.5, least: float = 0.3) -> DataFrame:
     """OP-34: collapse with a running pairwise mean of the confidences; merged segments shorter than least go."""
     held = islands(df, gap).groupBy("file_id", "island").agg(
-        F.min_by("speaker", "ord").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("ord").alias("ord"), F.sort_array(F.collect_list(F.struct("start", "ord", "confidence"))).alias("_c")
+        F.min_by("speaker", "ord").alias("speaker"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("ord", F.struct("start", "ord")).alias("ord"), F.sort_array(F.collect_list(F.struct("start", "ord", "confidence"))).alias("_c")
     )
     mean = F.aggregate(F.slice("_c", 2, F.greatest(F.size("_c"), F.lit(1))), F.get("_c", F.lit(0))["confidence"], lambda a, x: (a + x["confidence"]) / 2)
     return held.select("file_id", "ord", "speaker", "start", "end", mean.alias("confidence")).where(F.col("end") - F.col("start") >= least)
@@ -109,7 +109,7 @@ def nearest_label(df: DataFrame, label: str = "label") -> DataFrame:
 def identified(df: DataFrame, gap: float = 1.0, legacy: bool = False) -> DataFrame:
     """OP-42: same speaker and start less than gap after the last end; confidences are weighted by duration. legacy: a new piece's duration also counts in the old one's weight."""
     held = islands(df, gap, True, FILE, last_end=True, strict=True).groupBy("file_id", "island").agg(
-        F.min_by("speaker", "ord").alias("speaker"), F.min("ord").alias("ord"), F.sort_array(F.collect_list(F.struct("start", "ord", "end", "confidence"))).alias("_p")
+        F.min_by("speaker", "ord").alias("speaker"), F.min_by("ord", F.struct("start", "ord")).alias("ord"), F.sort_array(F.collect_list(F.struct("start", "ord", "end", "confidence"))).alias("_p")
     )
     first = F.get("_p", F.lit(0))
 

@@ -35,7 +35,7 @@ def _islands(gap: float, by_speaker: bool = True, source: str = "seg") -> str:
     isl AS (SELECT *, sum(br) OVER (PARTITION BY file_id ORDER BY start, ord ROWS UNBOUNDED PRECEDING) AS island FROM c)"""
 
 
-_MERGED = """m AS (SELECT file_id, island, arg_min(speaker, ord) AS speaker, min(start) AS start, max("end") AS "end", min(ord) AS ord, count(*) AS n FROM isl GROUP BY file_id, island)"""
+_MERGED = """m AS (SELECT file_id, island, arg_min(speaker, ord) AS speaker, min(start) AS start, max("end") AS "end", arg_min(ord, (start, ord)) AS ord, count(*) AS n FROM isl GROUP BY file_id, island)"""
 
 
 @query("seg_collapse", f"""WITH {SEG}, {_islands(GAP)}, {_MERGED} SELECT file_id, ord, speaker, round(start, 3) AS start, round("end", 3) AS "end", n FROM m""")
@@ -60,7 +60,7 @@ def vad_merge(spark, d):
 
 @query(
     "seg_refine_conf",
-    f"""WITH {SEG}, {_islands(GAP)}, m AS (SELECT file_id, island, arg_min(speaker, ord) AS speaker, min(start) AS start, max("end") AS "end", min(ord) AS ord,
+    f"""WITH {SEG}, {_islands(GAP)}, m AS (SELECT file_id, island, arg_min(speaker, ord) AS speaker, min(start) AS start, max("end") AS "end", arg_min(ord, (start, ord)) AS ord,
     list(confidence ORDER BY start, ord) AS cs FROM isl GROUP BY file_id, island)
     SELECT file_id, ord, speaker, round(start, 3) AS start, round("end", 3) AS "end", round(list_reduce(cs, lambda a, x: (a + x) / 2), 6) AS confidence FROM m WHERE "end" - start >= 300""",
 )
