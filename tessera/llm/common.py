@@ -38,3 +38,9 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once for the row."""
     return F.transform(F.array(value), body)[0]
+
+
+def fixed(df: DataFrame, keep: list[str], *columns: Column) -> DataFrame:
+    """df with keep and the columns, evaluated here and once: the optimizer moves neither filters nor projections through a generator,
+    so no expression is copied into a filter or, element by element, into a lambda function."""
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))

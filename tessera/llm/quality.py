@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, saved, shared_dir, table, words
+from tessera.llm.common import fixed, let, saved, shared_dir, table, words
 
 WORD_SHARE = 0.004
 LANGUAGE_SHARE = 0.002
@@ -62,7 +62,8 @@ def _counted(rest: Column) -> dict[str, Column]:
 def measured(df: DataFrame, text: str = "text", language: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts of each document: one pass, no shuffle."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = df.select(*[F.col(c) for c in keep], F.coalesce(F.col(language), F.lit("")).alias("_lang"), body.alias("_body"), words(F.col(text)).alias("_words"), F.regexp_replace(body, _PLAIN, "").alias("_rest"))
+    named = df.select(*keep, F.coalesce(F.col(language), F.lit("")).alias("_lang"), body.alias("_body"))
+    out = fixed(named, [*keep, "_lang", "_body"], words(F.col("_body")).alias("_words"), F.regexp_replace("_body", _PLAIN, "").alias("_rest"))
     lines = F.filter(F.split("_body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumn("_lines", lines).select(
         *keep,
@@ -147,7 +148,8 @@ def quality(df: DataFrame, text: str = "text", language: str = "lang", keep: tup
         }
     )
     good = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return d.withColumn("kept", ~F.col("base_failed") & good).select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+    d = d.withColumn("kept", ~F.col("base_failed") & good)
+    return fixed(d, list(keep), *[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
