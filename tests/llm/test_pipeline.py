@@ -1,6 +1,6 @@
 import collections
 
-from test_operators import SCHEMA, texts
+from test_corpus_operators import SCHEMA, texts
 
 import corpus_pipeline
 
