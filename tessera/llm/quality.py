@@ -20,9 +20,11 @@ from tessera.llm.common import fixed, let, saved, shared_dir, table, words
 
 WORD_SHARE = 0.004
 LANGUAGE_SHARE = 0.002
-MIN_CHARS = 100
+MIN_CHARS = 200
 MIN_WORDS = 40
 MAX_CLASS_DISTANCE = 0.20
+#: Short texts stray further by chance: this over the root of the characters is added to the limit.
+CLASS_SLACK = 1.5
 MAX_WORD_DISTANCE = 0.45
 WINDOW = 5
 CLASSES = ("lower", "upper", "digit", "point", "symbol", "space")
@@ -147,7 +149,7 @@ def quality(df: DataFrame, text: str = "text", language: str = "lang", keep: tup
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         }
     )
-    good = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= MAX_WORD_DISTANCE)
+    good = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= MAX_CLASS_DISTANCE + CLASS_SLACK / F.sqrt(chars)) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= MAX_WORD_DISTANCE)
     d = d.withColumn("kept", ~F.col("base_failed") & good)
     return fixed(d, list(keep), *[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")])
 
@@ -184,6 +186,6 @@ def oracle_sql() -> str:
     s AS (SELECT rid, sum({part("(n / n_words::DOUBLE)", "q")}) AS d, sum(n) AS seen, sum(q) AS qs FROM hit GROUP BY rid),
     wd AS (SELECT c2.rid, sqrt(greatest(0.0, coalesce(s.d, 0) + (1 - rest.q - coalesce(s.qs, 0)) / 2 + {part("((n_words - coalesce(s.seen, 0)) / n_words::DOUBLE)", "rest.q")})) AS d FROM c2 LEFT JOIN s USING (rid) JOIN rest ON rest.k = c2.k WHERE n_words >= {MIN_WORDS})
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (_chars < {MIN_CHARS} OR cd.d <= {MAX_CLASS_DISTANCE}) AND coalesce(wd.d <= {MAX_WORD_DISTANCE}, true) AS kept
+      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (_chars < {MIN_CHARS} OR cd.d <= {MAX_CLASS_DISTANCE} + {CLASS_SLACK} / sqrt(greatest(_chars, 1)::DOUBLE)) AND coalesce(wd.d <= {MAX_WORD_DISTANCE}, true) AS kept
     FROM c2 LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid)
     """
