@@ -4,7 +4,8 @@ Which suffixes must be sorted together is settled first. Every 200-byte window h
 hash; equal windows have equal anchors. Consecutive windows with one anchor form a segment. Segments meet by the hash of
 their anchor, read as a sorted stream: an anchor that occurs once matches nothing; equal segments match as a whole, and only one of them goes
 on; only anchors with several different segments need their suffixes sorted. These segments, one of each kind, are dealt to shards, and a
-shard's suffixes are sorted by external induced sorting (see induced), whose queues keep to a memory limit and go on from disk beyond it.
+shard's suffixes are sorted by external induced sorting (see induced). Its pieces, their suffixes and their order keep to a memory limit, also those
+of one anchor, and are in temporary files beyond it.
 Neighbours in the order with a common prefix of 200 bytes or more match. Matches are judged on the input only.
 
 Null and empty texts and texts under 200 bytes lose nothing. Rows that repeat are copies, so all their windows match. Rows are told apart by
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textvec
 from tessera.llm.common import saved, shared_dir, table
-from tessera.llm.induced import MEMORY, suffix_order
+from tessera.llm.induced import MEMORY, Sink, array, spans, suffix_order
 
 LENGTH = 200
 GRAM = 64
@@ -120,29 +121,58 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             carry = carry.set_column(carry.schema.get_field_index(name), name, pa.array(values))
 
 
-def matches(pieces: list[np.ndarray], windows: np.ndarray, length: int = LENGTH, most: int = MEMORY) -> list[np.ndarray]:
-    """For each piece, whether each of its first windows[k] strings of length bytes also starts at another of these places, by the sorted suffixes of all pieces."""
-    size = np.array([len(p) + 1 for p in pieces])
-    begin = np.concatenate(([0], np.cumsum(size)))
-    text = np.ones(int(begin[-1]) + 1, np.int64)
-    for p, at in zip(pieces, begin):
-        text[at : at + len(p)] = p.astype(np.int64) + 2
-    text[-1] = 0
+def repeats(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, length: int = LENGTH, most: int = MEMORY) -> np.ndarray:
+    """Whether each place of text is among the first windows[k] places from a begin[k], and its string of length symbols also starts at another such place."""
     order = suffix_order(text, most)
-    valid = np.zeros(len(text), bool)
-    for at, n in zip(begin, windows):
-        valid[at : at + n] = True
-    order = order[valid[order]]
-    same = np.arange(len(order) - 1)
-    raw = text.astype(np.uint16)
-    for k in range(length):  # the shared prefix of neighbours, for those that have come this far
-        if not len(same):
-            break
-        same = same[raw[order[same] + k] == raw[order[same + 1] + k]]
-    found = np.zeros(len(text), bool)
-    found[order[same]] = True
-    found[order[same + 1]] = True
-    return [found[at : at + n] for at, n in zip(begin, windows)]
+    valid, found = array(len(text), bool, most), array(len(text), bool, most)
+    for k in spans(len(begin), most):
+        for at, n in zip(begin[k].tolist(), windows[k].tolist()):
+            valid[at : at + n] = True
+    last = np.zeros(0, np.int64)
+    for part in spans(len(text), most):
+        places = np.array(order[part])
+        places = np.concatenate((last, places[valid[places]]))
+        same = np.arange(len(places) - 1)
+        for k in range(length):  # the shared prefix of neighbours, for those that have come this far
+            if not len(same):
+                break
+            same = same[text[places[same] + k] == text[places[same + 1] + k]]
+        found[places[same]] = True
+        found[places[same + 1]] = True
+        last = places[-1:]
+    return found
+
+
+class Shard:
+    """Pieces of a shard one after the other, with their rows: in memory up to most bytes, in temporary files beyond."""
+
+    def __init__(self, most: int):
+        self.most, self.text = most, Sink(np.uint16, most)
+        self.rows = [Sink(np.int64, most) for _ in range(6)]
+
+    def add(self, doc: int | None, th: int, start: int, n: int, piece: bytes) -> None:
+        row = (self.text.size, n, doc or 0, doc is None, th, start)
+        for sink, value in zip(self.rows, row):
+            sink.add(np.array([value]))
+        symbols = np.ones(len(piece) + 1, np.uint16)
+        symbols[:-1] = np.frombuffer(piece, np.uint8)
+        symbols[:-1] += 2
+        self.text.add(symbols)
+
+    def matches(self) -> Iterator[pa.RecordBatch]:
+        """(doc_id, th, start, n) of the runs of matching windows."""
+        self.text.add(np.zeros(1, np.uint16))
+        begin, windows, doc, null, th, start = (s.array() for s in self.rows)
+        found = repeats(self.text.array(), begin, windows, LENGTH, self.most)
+        for part in spans(len(begin), 10_000):
+            out = [
+                (None if no else d, t, s + i, n)
+                for at, w, d, no, t, s in zip(*(c[part].tolist() for c in (begin, windows, doc, null, th, start)))
+                if (flags := found[at : at + w]).any()
+                for i, n in _runs(flags)
+            ]
+            cols = [*zip(*out)] or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "th", "start", "n"])
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -166,22 +196,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sorted_shards(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(rows: list[tuple]) -> pa.RecordBatch:
-            hit = matches([np.frombuffer(r[4], np.uint8) for r in rows], np.array([r[3] for r in rows]), LENGTH, most)
-            out = [(d, th, start + i, n) for (d, th, start, _, _), flags in zip(rows, hit) if flags.any() for i, n in _runs(flags)]
-            cols = list(zip(*out)) or [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "th", "start", "n"])
-
-        shard, rows = None, []
+        number, shard = None, None
         for b in batches:
-            for s, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if s != shard and rows:
-                    yield solve(rows)
-                    rows = []
-                shard = s
-                rows.append(tuple(row))
-        if rows:
-            yield solve(rows)
+            for k in range(0, b.num_rows, 500):
+                for s, *row in zip(*(c.to_pylist() for c in b.slice(k, 500).columns)):
+                    if s != number:
+                        if shard is not None:
+                            yield from shard.matches()
+                        number, shard = s, Shard(most)
+                    shard.add(*row)
+        if shard is not None:
+            yield from shard.matches()
 
     return run
 

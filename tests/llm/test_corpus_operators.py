@@ -224,6 +224,31 @@ def test_op6_suffix_order(most):
         assert suffix_order(t, most).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
+def test_op6_one_anchor_in_bounded_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    core = r.integers(97, 123, 64, dtype=np.uint8).tobytes()
+    context = [(r.integers(97, 123, 136, dtype=np.uint8).tobytes(), r.integers(97, 123, 136, dtype=np.uint8).tobytes()) for _ in range(3000)]
+    pieces = [a + core + b for a, b in context]
+    pieces[10] = context[7][0] + core + context[10][1]  # its windows up to the end of the core are those of piece 7
+    pieces[2000] = context[5][0][36:] + core + context[5][1][:60]  # a part of piece 5
+
+    def found(rows):
+        shard = suffix.Shard(10_000)
+        for k, p in rows:
+            shard.add(k if k else None, k, 0, len(p) - 199, p)
+        return [tuple(x.values()) for b in shard.matches() for x in b.to_pylist()]
+
+    found([*enumerate(pieces)][:8])  # what is imported on first use isn't measured
+    tracemalloc.start()
+    got = found(enumerate(pieces))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(got) == [(5, 5, 36, 25), (7, 7, 0, 1), (10, 10, 0, 1), (2000, 2000, 0, 25)]
+    assert most < sum(map(len, pieces)) * 8  # less than one array of 64-bit numbers
+
+
 def test_op7_table_and_moves():
     for shards, slots in ((("a",), 7), (("a", "b", "c"), 101), (tuple(map(str, range(20))), 251)):
         at = [(sharding._number(f"offset:{s}") % slots, sharding._number(f"skip:{s}") % (slots - 1) + 1) for s in shards]
