@@ -111,6 +111,28 @@ def match_clusters(candidates: DataFrame, loose: float = LOOSE, tight: float = T
     return clear_winner(candidates).withColumn("matched", F.col("clear") & (F.col("combined") <= limit))
 
 
+def early_match(windows: DataFrame, labels: DataFrame, prints: DataFrame, close: float = 0.1, mutual: float = 0.2, accept: float = 0.03) -> DataFrame:
+    """OP-64: windows (file_id, ord, v), labels (file_id, ord, cluster) and prints (name, v) to (file_id, cluster, head, final).
+
+    Clusters with the same nearest voiceprint, each within close of it, join the first of them, the head, that is less than mutual away. A head takes
+    the name of the voiceprint within accept of its new centroid; the others are SPEAKERn in order of head. Few clusters of a file share a voiceprint, so they meet in one row.
+    """
+    v = windows.where(F.col("v").isNotNull()).select("file_id", "ord", "v").join(labels.select("file_id", "ord", "cluster"), ["file_id", "ord"])
+    centre = centroids(v, ["file_id", "cluster"])
+    best = nearest(centre.select(F.struct("file_id", "cluster").alias("cluster_id"), "v"), prints.select("name", "v")).where(F.col("dist") <= close).select("cluster_id.*", "name")
+    groups = centre.join(best, ["file_id", "cluster"]).groupBy("file_id", "name").agg(F.sort_array(F.collect_list(F.struct("cluster", "v"))).alias("_c"))
+    row = lambda c, head: F.struct(c["cluster"].alias("cluster"), c["v"].alias("v"), head.alias("head"))
+    near = lambda s, c: F.filter(s, lambda h: (h["head"] == h["cluster"]) & (cosine_distance(h["v"], c["v"]) < mutual))
+    joined = F.aggregate("_c", F.slice(F.transform("_c", lambda c: row(c, c["cluster"])), 1, 0), lambda s, c: F.concat(s, F.array(row(c, F.coalesce(F.get(near(s, c), F.lit(0))["head"], c["cluster"])))))
+    heads = groups.select("file_id", F.explode(joined).alias("_h")).select("file_id", F.col("_h.cluster").alias("cluster"), F.col("_h.head").alias("head"))
+    every = centre.select("file_id", "cluster").join(heads, ["file_id", "cluster"], "left").withColumn("head", F.coalesce("head", "cluster"))
+    again = centroids(v.join(every, ["file_id", "cluster"]), ["file_id", "head"])
+    named = nearest(again.select(F.struct("file_id", "head").alias("cluster_id"), "v"), prints.select("name", "v")).where(F.col("dist") <= accept).select("cluster_id.*", "name")
+    n = F.sum(F.col("name").isNull().cast("int")).over(Window.partitionBy("file_id").orderBy("head"))
+    final = again.select("file_id", "head").join(named, ["file_id", "head"], "left").select("file_id", "head", F.coalesce("name", F.concat(F.lit("SPEAKER"), n)).alias("final"))
+    return every.join(final, ["file_id", "head"]).select("file_id", "cluster", "head", "final")
+
+
 def final_names(matches: DataFrame) -> DataFrame:
     """OP-69: matched clusters take the name; the others SPEAKERn in order of cluster_id."""
     n = F.sum((~F.col("matched")).cast("int")).over(Window.partitionBy("file_id").orderBy("cluster_id"))

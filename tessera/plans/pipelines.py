@@ -12,18 +12,26 @@ from tessera.operators import vectors as V
 
 
 def diarised(windows: DataFrame, prints: DataFrame | None = None, far: float = 0.35, gap: float = 1.0) -> DataFrame:
-    """Windows (file_id, ord, start, end, v, null if too short) to segments (file_id, ord, speaker, start, end): cluster, label, merge, absorb, drop ghosts, name."""
+    """Windows (file_id, ord, start, end, v, null if too short) to segments (file_id, ord, speaker, start, end): cluster, match known speakers (OP-64), label, merge, absorb, drop ghosts, name the rest."""
     keyed = windows.withColumn("vec_id", F.col("ord"))
-    labels = V.clustered(keyed.where(F.col("v").isNotNull()), far=far).select("file_id", F.col("vec_id").alias("ord"), F.concat(F.lit("RAW_"), "cluster").alias("label"))
-    labelled = S.nearest_label(windows.join(labels, ["file_id", "ord"], "left").select("file_id", "ord", "start", "end", "label"))
-    named = S.first_appearance(labelled.select("file_id", "ord", "start", "end", F.col("nearest").alias("speaker")))
-    seg = named.select("file_id", "ord", "start", "end", F.col("name").alias("speaker"))
+    clusters = V.clustered(keyed.where(F.col("v").isNotNull()), far=far).select("file_id", F.col("vec_id").alias("ord"), "cluster")
+    if prints is None:
+        labels = clusters.withColumn("label", F.concat(F.lit("RAW_"), "cluster"))
+    else:
+        labels = clusters.join(V.early_match(windows, clusters, prints), ["file_id", "cluster"]).withColumn("label", F.col("final"))
+    labelled = S.nearest_label(windows.join(labels.select("file_id", "ord", "label"), ["file_id", "ord"], "left").select("file_id", "ord", "start", "end", "label"))
+    seg = labelled.select("file_id", "ord", "start", "end", F.col("nearest").alias("speaker"))
+    if prints is None:
+        seg = S.first_appearance(seg).select("file_id", "ord", "start", "end", F.col("name").alias("speaker"))
     merged = S.merge_trim(seg, gap).select("file_id", "ord", "start", "end", "speaker")
     out = S.drop_ghosts(S.absorb_islands(merged)).select("file_id", "ord", "speaker", "start", "end")
     if prints is None:
         return out
     centre = V.centroids(windows.where(F.col("v").isNotNull()).join(seg.select("file_id", "ord", "speaker"), ["file_id", "ord"]), ["file_id", "speaker"])
     probe = centre.select(F.struct("file_id", "speaker").alias("cluster_id"), "v")
+    # Names of the early match stand; the others are matched once more, by the looser limit.
+    known = prints.select(F.col("name").alias("speaker"))
+    probe = probe.join(V.small(known), probe["cluster_id.speaker"] == F.col("speaker"), "left_anti")
     match = V.nearest(probe, prints.select("name", "v"), 1).where(F.col("dist") <= V.LOOSE).select("cluster_id.*", F.col("name").alias("_name"))
     return out.join(match, ["file_id", "speaker"], "left").withColumn("speaker", F.coalesce("_name", "speaker")).drop("_name").select("file_id", "ord", "speaker", "start", "end")
 

@@ -137,3 +137,21 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r.speaker, r.start, r.end) for r in spark.table("collapsed").collect()}
     want = {(r.speaker, r.start, r.end) for r in S.collapse(d, 1.0).collect()}
     assert got <= want and len(want) - len(got) <= 1
+
+
+def test_early_match_merges_a_split_known_speaker_before_segments_do(spark):
+    from tessera.plans import pipelines as P
+
+    at = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), 0.0]
+    # Clusters 0 and 2 are 20 degrees to both sides of Ann; 1 is near nobody; 3 is within 0.1 of Ben, not 0.03.
+    of = {0: at(-20), 1: [0.0, 0.0, 1.0], 2: at(20), 3: at(110)}
+    rows = [(1, k, float(k), k + 1.0, of[k % 4]) for k in range(8)]
+    windows = spark.createDataFrame(rows, "file_id long, ord long, start double, end double, v array<double>")
+    labels = spark.createDataFrame([(1, k, k % 4) for k in range(8)], "file_id long, ord long, cluster int")
+    prints = spark.createDataFrame([("Ann", at(0)), ("Ben", at(90))], "name string, v array<double>")
+    match = lambda **k: {r.cluster: (r.head, r.final) for r in V.early_match(windows, labels, prints, **k).collect()}
+    assert match(mutual=0.3) == {0: (0, "Ann"), 2: (0, "Ann"), 1: (1, "SPEAKER1"), 3: (3, "SPEAKER2")}
+    assert match() == {0: (0, "SPEAKER1"), 1: (1, "SPEAKER2"), 2: (2, "SPEAKER3"), 3: (3, "SPEAKER4")}
+    # 18 degrees to each side are less than 0.2 apart: by themselves neither is within 0.03 of Ann.
+    near = spark.createDataFrame([(1, k, float(k), k + 1.0, at(-18 if k % 2 else 18)) for k in range(8)], windows.schema)
+    assert {r.speaker for r in P.diarised(near, prints, far=0.01).collect()} == {"Ann"}
