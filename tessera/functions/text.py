@@ -28,9 +28,9 @@ def parse_clock(t: Column) -> Column:
 
 
 def short_hash(stem: Column) -> Column:
-    """OP-83: six letters for a file name: the low six base-32 digits of its MD5, in letters and digits."""
+    """OP-83: six letters for a file name: the low six base-32 digits of its MD5, the lowest first, in letters and digits."""
     n = F.conv(F.right(F.md5(stem.cast("binary")), F.lit(8)), 16, 10).cast("long")
-    letters = F.lit("abcdefghijklmnopqrstuvwxyz0123456789")
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")  # fixed value
     return F.concat(*[F.substring(letters, (F.shiftright(n, 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for k in range(6)])
 
 
@@ -59,80 +59,105 @@ def tagged_tail(text: Column, n: int = 10) -> Column:
     """OP-87: of every "[Speaker k]: ..." turn the last n words, joined; empty without tags."""
     bodies = F.regexp_extract_all(text, F.lit(r"\[Speaker \d+\]:\s*((?:(?!\[Speaker \d+\]:)[\s\S])*)"), F.lit(1))
     tags = F.regexp_extract_all(text, F.lit(r"(\[Speaker \d+\]:)"), F.lit(1))
-    last = lambda b: F.array_join(F.slice(F.split(F.trim(b), r"\s+"), F.greatest(F.size(F.split(F.trim(b), r"\s+")) - (n - 1), F.lit(1)), n), " ")
-    return F.array_join(F.filter(F.zip_with(tags, bodies, lambda t, b: F.when(F.trim(b) != "", F.concat(t, F.lit(" "), last(b)))), lambda x: x.isNotNull()), " ")
+    words = lambda b: F.filter(F.split(b, r"\s+"), lambda w: w != "")
+    last = lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - (n - 1), F.lit(1)), n), " ")
+    turns = F.zip_with(tags, F.transform(bodies, words), lambda t, w: F.when(F.size(w) > 0, F.concat(t, F.lit(" "), last(w))))
+    return F.array_join(F.filter(turns, lambda x: x.isNotNull()), " ")
 
 
 def punctuation_cleaned(text: Column) -> Column:
-    """OP-91: no <|...|>, no letter more than three times nor sign more than once in a row, none of " ,.!?" at the ends."""
-    t = F.regexp_replace(text, r"<\|[^|]*\|>", "")
-    t = F.regexp_replace(t, r"(\p{L})\1{3,}", "$1$1$1")
-    t = F.regexp_replace(t, r"([,.!?])(?:\s*\1)+", "$1")
-    return F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^[ ,.!?]+|[ ,.!?]+$", "")
-
-
-_LOOP = re.compile(r"(.{4,120}?)(?:\s*\1){2,}", re.IGNORECASE)
-_TAGS = re.compile(rf"(?:{re.escape(INAUDIBLE)}[\s.,!?]*)+")
-_BETWEEN = re.compile(rf"{re.escape(INAUDIBLE)}([^\[\]]{{0,60}}){re.escape(INAUDIBLE)}")
-
-
-def _suffix_of(unit: str, left: str) -> int:
-    """OP-80: how many characters at the end of left are the end of the unit."""
-    return next((k for k in range(min(len(unit), len(left)), 2, -1) if left.lower().endswith(unit[-k:].lower())), 0)
-
-
-def _prefix_of(unit: str, right: str) -> int:
-    return next((k for k in range(min(len(unit), len(right)), 2, -1) if right.lower().startswith(unit[:k].lower())), 0)
-
-
-def clean_loops(text: str, block: int = 4000) -> str:
-    """OP-79: units of 4 to 120 characters that repeat three times or more become a tag, with the parts of the unit beside them; tags collapse. Long texts go line by line, then in blocks, as the search is quadratic in a line."""
-    if len(text) > block:
-        cut = text.split("\n") if "\n" in text else [text[i : i + block] for i in range(0, len(text), block)]
-        text = ("\n" if "\n" in text else "").join(clean_loops(p, max(block, len(p))) for p in cut)
-    for _ in range(50):
-        m = _LOOP.search(text)
-        if not m:
+    """OP-91: no <|...|>; a letter or digit that stands alone three times or more, and a sign that repeats, once; none of " ,.!?" at the ends."""
+    t = F.regexp_replace(text, r"<\|[^\n]*?\|>", "")
+    t = F.regexp_replace(t, r"(?U)\b(\w)(?:\s+\1){2,}\b", "$1")
+    t = F.regexp_replace(t, r"(?U)([,.!?])(?:\s+\1){2,}", "$1")
+    t = F.regexp_replace(t, r"([,.!?])\1+", "$1")
+    return F.regexp_replace(t, r"^[ ,.!?]+|[ ,.!?]+\z", "")
+
+
+#: What counts as a loop, as a row of tags, and as the remains between two tags.
+_LOOP = re.compile(r"(.{4,120}?)(?:\s+\1){2,}", re.IGNORECASE)
+_TAGS = re.compile(r"(\[inaudible\]\s*){2,}")
+_BETWEEN = re.compile(r"\[inaudible\]\s+(?:\w[\w\s,\']{0,80}?)\s+\[inaudible\]")
+_LONGEST_UNIT = 120
+
+
+def without_tail(left: str, unit: str) -> str:
+    """OP-80: left without white space at its end and without the most of the unit's last words that it ends with."""
+    left, words = left.rstrip(), unit.lower().split()
+    low = left.lower()
+    tail = next((t for k in range(len(words)) if low.endswith(t := " ".join(words[k:]))), "")
+    return left[: len(left) - len(tail)].rstrip()
+
+
+def without_head(right: str, unit: str) -> str:
+    """OP-80: right without white space at its beginning and without the most of the unit's first words that it begins with."""
+    right, words = right.lstrip(), unit.lower().split()
+    low = right.lower()
+    head = next((h for k in range(len(words), 0, -1) if low.startswith(h := " ".join(words[:k]))), "")
+    return right[len(head) :].lstrip()
+
+
+def _again(text: str, at: int) -> int:
+    """A place from which to look for loops after a change at the given place: no loop that starts before it reaches that place."""
+    need = 3 * _LONGEST_UNIT + 2
+    while at > 0 and need > 0:
+        at -= 1
+        need -= not text[at].isspace()
+    return at
+
+
+def clean_loops(text: str) -> str:
+    """OP-79: units of 4 to 120 characters within a line that follow each other three times or more, with white space between, become a tag, with the parts of the unit
+    beside them; then tags in a row, and tags with a few words between them, become one. The whole text is searched, however long, until no loop is left."""
+    at = 0
+    while m := _LOOP.search(text, at):
+        left, right = without_tail(text[: m.start()], m[1]), without_head(text[m.end() :], m[1])
+        new = " ".join(part for part in (left, INAUDIBLE, right) if part)
+        if new == text:
             break
-        left, right = text[: m.start()], text[m.end() :]
-        left, right = left[: len(left) - _suffix_of(m[1], left.rstrip())] if _suffix_of(m[1], left.rstrip()) else left, right[_prefix_of(m[1], right.lstrip()) :]
-        text = f"{left.rstrip()} {INAUDIBLE} {right.lstrip()}".strip()
-    text = _BETWEEN.sub(INAUDIBLE, text)
-    return _TAGS.sub(INAUDIBLE + " ", text).strip()
+        text, at = new, _again(left, len(left))
+    return _BETWEEN.sub(INAUDIBLE, _TAGS.sub(INAUDIBLE + " ", text)).strip()
 
 
 def loop_cleaned(text: Column | str) -> Column:
+    """clean_loops of a column; a null stays null."""
+
     @pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else clean_loops(t))
+        return pd.Series([None if t is None else clean_loops(t) for t in texts], dtype=object)
 
     return run(text)
 
 
+#: Labels of the punctuation model and their signs.
 _SIGNS = {"PERIOD": ".", "COMMA": ",", "QUESTION": "?", "EXCLAMATION": "!"}
+_SENTENCE = re.compile(r"([.?!]\s+)([a-z])")
+
+
+def word_labels(pieces: list[tuple[str, str]], words: int) -> list[str]:
+    """OP-89: of a model's sub-tokens (piece, label), of which those with U+2581 begin a word, the label of each word's first piece; "0" for words without any."""
+    first = [label for k, (piece, label) in enumerate(pieces) if not k or piece.startswith("▁")]
+    return (first + ["0"] * words)[:words]
 
 
 def punctuated(words: list[str], labels: list[str]) -> str:
-    """OP-89: words with the sign of their label, upper case at the beginning and after . ? !"""
-    out, upper = [], True
-    for w, label in zip(words, labels):
-        w = w.rstrip(".,?!")
-        sign = _SIGNS.get(label, "")
-        out.append((w[:1].upper() + w[1:] if upper else w) + sign)
-        upper = sign in (".", "?", "!") and bool(sign)
-    return " ".join(out)
+    """OP-89: words with the sign of their label appended, an upper-case letter at the beginning and for a-z after . ? ! and white space."""
+    text = _SENTENCE.sub(lambda m: m[1] + m[2].upper(), " ".join(w + _SIGNS.get(label, "") for w, label in zip(words, labels)))
+    return text[:1].upper() + text[1:]
 
 
 def punctuation_udf(model, block: int = 200):
-    """Text to punctuated text; model(words) gives a label for each word of a block."""
+    """Text to punctuated text; model(words) gives the sub-tokens (piece, label) of a block of words. Null and blank texts stay as they are."""
+
+    def one(text: str | None) -> str | None:
+        words = (text or "").split()
+        if not words:
+            return text
+        return punctuated(words, [x for i in range(0, len(words), block) for x in word_labels(model(words[i : i + block]), len(words[i : i + block]))])
 
     @pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            w = (t or "").split()
-            return punctuated(w, [x for i in range(0, len(w), block) for x in model(w[i : i + block])]) if t is not None else None
-
-        return texts.map(one)
+        return pd.Series([one(t) for t in texts], dtype=object)
 
     return run
 
@@ -141,12 +166,18 @@ HEADER = r"\[\d{2}:\d{2}:\d{2}\][^\n]*\n"
 
 
 def blockwise(df: DataFrame, text: str, body) -> DataFrame:
-    """OP-90: body(column) applied to the parts between headers, which stay as they are."""
+    """OP-90: body(column) applied to the parts of each row's text between headers, which stay as they are, as do blank parts; a null text stays null."""
     heads = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(f"({HEADER})"), F.lit(1)))
-    cut = df.withColumn("_id", F.monotonically_increasing_id()).select("*", F.posexplode(F.arrays_zip(heads.alias("h"), F.split(text, HEADER).alias("b"))).alias("_k", "_p"))
-    done = cut.withColumn("_t", F.concat("_p.h", F.when(F.trim("_p.b") != "", body(F.col("_p.b"))).otherwise(F.col("_p.b"))))
-    joined = done.groupBy("_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_t"))), lambda s: s["_t"]), "").alias("_new"), *[F.first(c).alias(c) for c in df.columns if c != text])
-    return joined.withColumnRenamed("_new", text).select(*df.columns)
+    parts = F.arrays_zip(heads.alias("h"), F.split(text, HEADER, -1).alias("b"))
+    joined = F.array_join(F.transform(parts, lambda p: F.concat(p["h"], F.when(p["b"].rlike(r"\S"), body(p["b"])).otherwise(p["b"]))), "")
+    return df.withColumn(text, F.when(F.col(text).isNotNull(), joined))
+
+
+def blockwise_texts(texts: pd.Series, body) -> pd.Series:
+    """OP-90 for a body that is a function of a string, such as a model's; for use in a pandas UDF."""
+    cut = re.compile(f"({HEADER})")
+    parts = [None if t is None else cut.split(t) for t in texts]
+    return pd.Series([None if p is None else "".join(x if k % 2 or not x.strip() else body(x) for k, x in enumerate(p)) for p in parts], dtype=object)
 
 
 def joined_text(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -38,18 +40,22 @@ def parse_time(spark, d):
     return table(spark, d, "events").select("event_id", T.parse_clock(T.clock(F.col("value") * 60)).alias("seconds"))
 
 
-_HEX = "('0x' || right(md5(url), 8))::BIGINT"
+_DIGIT = "((('0x' || right(md5(url), 8))::BIGINT >> (5 * {k})) % 32)"
+_LETTER = f"CASE WHEN {_DIGIT} < 26 THEN chr(CAST(65 + {_DIGIT} AS INTEGER)) ELSE CAST({_DIGIT} - 26 AS VARCHAR) END"
 
 
-@query("name_hash", "SELECT page_id, " + " || ".join(f"substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST(({_HEX} >> {5 * k}) & 31 AS INTEGER) + 1, 1)" for k in range(6)) + " AS hash FROM pages")
+@query("name_hash", "SELECT page_id, concat(" + ", ".join(_LETTER.format(k=k) for k in range(6)) + ") AS hash FROM pages")
 def name_hash(spark, d):
     return table(spark, d, "pages").select("page_id", T.short_hash(F.col("url")).alias("hash"))
 
 
-@query("extension_filter", "SELECT page_id FROM pages WHERE lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\\.[^.]+$')) NOT IN ('.com', '.net')")
+@query("extension_filter", """SELECT page_id, name FROM (SELECT page_id, 'a/' || page_id || list_extract(['.wav', '.MP3', '.txt', '', '.flac', '.m4a', '.wav.bak'], CAST(page_id % 7 AS INTEGER) + 1) AS name FROM pages) WHERE name LIKE '%.wav' OR name LIKE '%.MP3' OR name LIKE '%.flac' OR name LIKE '%.m4a'""")
 def extension_filter(spark, d):
-    path = F.regexp_replace("url", r"[?#].*$", "")
-    return table(spark, d, "pages").where(~F.lower(F.regexp_extract(path, r"\.[^.]+$", 0)).isin(".com", ".net")).select("page_id")
+    from tessera.sources.audio import has_extension
+
+    ends = F.array(*[F.lit(x) for x in (".wav", ".MP3", ".txt", "", ".flac", ".m4a", ".wav.bak")])
+    named = table(spark, d, "pages").select("page_id", F.concat(F.lit("a/"), F.col("page_id").cast("string"), F.get(ends, (F.col("page_id") % 7).cast("int"))).alias("name"))
+    return named.where(has_extension(F.col("name")))
 
 
 _ORDERED = "string_agg({x}, '{s}' ORDER BY ord)"
@@ -79,11 +85,19 @@ def transcript_srt(spark, d):
     return T.transcript_srt(turns(spark, d))
 
 
-@query("transcript_json", f"""WITH {TURNS} SELECT file_id, string_agg(text, ' ' ORDER BY ord) AS full_text, count(*) AS n FROM turns GROUP BY file_id""")
+@query("transcript_json", f"""WITH {TURNS} SELECT file_id, string_agg(text, ' ' ORDER BY ord) AS full_text, list(struct_pack(text := text, start := start, "end" := "end", speaker := speaker) ORDER BY ord) AS segments FROM turns GROUP BY file_id""")
 def transcript_json(spark, d):
     j = T.transcript_json(turns(spark, d))
     got = F.from_json("json", "segments array<struct<text:string,start:double,end:double,speaker:string>>, full_text string")
-    return j.withColumn("_j", got).select("file_id", F.col("_j.full_text").alias("full_text"), F.size("_j.segments").cast("long").alias("n"))
+    return j.withColumn("_j", got).select("file_id", F.col("_j.full_text").alias("full_text"), F.col("_j.segments").alias("segments"))
+
+
+@query("dangling_header", f"""WITH {TURNS} SELECT file_id, ord, CASE WHEN ord % 3 = 1 THEN text || ' tail' ELSE regexp_replace(text, '\\n+$', '') END AS text FROM turns""")
+def dangling_header(spark, d):
+    """A header at the end of two texts of three, with a line feed before and white space behind it or not."""
+    header = F.concat(F.lit("\n["), T.clock(F.col("start")), F.lit("] "), F.col("speaker"), F.when(F.col("ord") % 3 == 2, ": \n").otherwise(":"))
+    made = F.when(F.col("ord") % 3 == 1, F.concat("text", F.lit(" tail"))).otherwise(F.concat("text", header))
+    return turns(spark, d).select("file_id", "ord", T.without_dangling_header(made).alias("text"))
 
 
 @query("joined_text", f"""WITH {TURNS} SELECT file_id, string_agg(text, ' ' ORDER BY ord) AS text FROM turns GROUP BY file_id""")
@@ -97,10 +111,15 @@ def speaker_line(spark, d):
     return seg(spark, d).select("ord", T.speaker_line(F.col("value"), F.col("speaker"), F.col("confidence"), others).alias("line"))
 
 
-@query("tag_parse", """WITH w AS (SELECT conv_id, turn, string_split(regexp_replace(trim(text), '[ \\n\\t\\r]+', ' ', 'g'), ' ') AS w, trim(text) AS t FROM conversations) SELECT conv_id, turn, CASE WHEN t = '' THEN '' ELSE '[Speaker 1]: ' || array_to_string(w[greatest(len(w) - 9, 1):], ' ') END AS prefix FROM w""")
+@query(
+    "tag_parse",
+    """WITH l AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\\s\\v]+'), lambda x: x <> '') AS w FROM conversations)
+    SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN '' ELSE concat('[Speaker 1]: ', array_to_string(w[greatest(len(w) - 9, 1):], ' '), ' [Speaker 22]: ', array_to_string(w[greatest(len(w) - 9, 1):], ' ')) END AS prefix FROM l""",
+)
 def tag_parse(spark, d):
-    c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", T.tagged_tail(F.concat(F.lit("[Speaker 1]: "), F.col("text"))).alias("prefix"))
+    """Two turns with every text, and one without words."""
+    twice = F.concat(F.lit("before [Speaker 1]: "), F.col("text"), F.lit("\n[Speaker 22]:"), F.col("text"), F.lit(" [Speaker 3]:  "))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.tagged_tail(twice).alias("prefix"))
 
 
 @query("detokenise", """SELECT conv_id, turn, trim(replace(text, '▁', ' ')) AS text FROM conversations""")
@@ -115,20 +134,55 @@ def loop_clean(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.loop_cleaned("text").alias("text"))
 
 
-@query("punct_cleanup")
+def _punct_sql(text: str) -> str:
+    """The same rules without references to groups, letter by letter and sign by sign."""
+    t = f"regexp_replace({text}, '<\\|[^\\n]*?\\|>', '', 'g')"
+    for c in string.ascii_letters + string.digits + "_":
+        t = f"regexp_replace({t}, '\\b{c}(?:\\s+{c}){{2,}}\\b', '{c}', 'g')"
+    for c in map(chr, range(0xC0, 0x100)):
+        t = f"regexp_replace({t}, '(^|[^\\pL\\pN_]){c}(?:\\s+{c}){{2,}}($|[^\\pL\\pN_])', '\\1{c}\\2', 'g')"
+    for c in ",.!?":
+        t = f"regexp_replace({t}, '[{c}](?:\\s+[{c}]){{2,}}', '{c}', 'g')"
+    for c in ",.!?":
+        t = f"regexp_replace({t}, '[{c}]{{2,}}', '{c}', 'g')"
+    return f"trim({t}, ' ,.!?')"
+
+
+_STUTTER = "'a a  a B B B B x B B 7 7 7. . . well, , , <|nospeech|> '"
+
+
+@query("punct_cleanup", f"SELECT doc_id, {_punct_sql(f'{_STUTTER} || text')} AS text FROM documents")
 def punct_cleanup(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.punctuation_cleaned(F.col("text")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", T.punctuation_cleaned(F.concat(F.lit(_STUTTER[1:-1]), F.col("text"))).alias("text"))
+
 
+#: White space as Python's split() takes it.
+_GAP = "[\\s\\x{b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
-@query("punctuate")
+
+@query(
+    "punctuate",
+    f"""WITH w AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(text, '{_GAP}'), lambda x: x <> '') AS w FROM conversations),
+    s AS (SELECT *, list_transform(w, lambda x, i: concat(x, CASE ((i - 1) % 200) % 9 WHEN 8 THEN '.' WHEN 4 THEN ',' ELSE '' END)) AS p FROM w),
+    u AS (SELECT *, list_transform(p, lambda x, i: CASE WHEN i = 1 THEN upper(x[1]) || x[2:] WHEN regexp_matches(p[i - 1], '[.?!]$') AND x[1] BETWEEN 'a' AND 'z' THEN upper(x[1]) || x[2:] ELSE x END) AS c FROM s)
+    SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN text ELSE array_to_string(c, ' ') END AS text FROM u""",
+)
 def punctuate(spark, d):
-    udf = T.punctuation_udf(lambda words: ["PERIOD" if k % 9 == 8 else "O" for k in range(len(words))])
-    return table(spark, d, "conversations").select("conv_id", "turn", udf("text").alias("text"))
+    def model(words):
+        """Two pieces a word: in nine words of a block the last ends a sentence, the fifth has a comma. The second piece's label is passed over."""
+        return [x for k, w in enumerate(words) for x in (("▁" + w[:1], {8: "PERIOD", 4: "COMMA"}.get(k % 9, "0")), (w[1:], "QUESTION"))]
+
+    return table(spark, d, "conversations").select("conv_id", "turn", T.punctuation_udf(model)("text").alias("text"))
 
 
-@query("blockwise_punct")
+@query(
+    "blockwise_punct",
+    f"""WITH {TURNS}, x AS (SELECT *, lead(ord) OVER w IS NULL AS last, coalesce(start - lag("end") OVER w > 0.5, true) AS new FROM turns WHERE trim(text) <> '' WINDOW w AS (PARTITION BY file_id ORDER BY ord))
+    SELECT file_id, chr(10) || string_agg('[' || {_hms('start')} || ']' || chr(10) || '<' || trim(text) || ' ' || CASE WHEN last THEN '' ELSE chr(10) END || '>', '' ORDER BY ord) AS text FROM x GROUP BY file_id""",
+)
 def blockwise_punct(spark, d):
-    return T.blockwise(T.transcript_gaps(turns(spark, d), 0.5), "text", F.upper)
+    """Every turn of the table is more than 0.5 s after the one before, so each has a header."""
+    return T.blockwise(T.transcript_gaps(turns(spark, d), 0.5), "text", lambda c: F.concat(F.lit("<"), c, F.lit(">")))
 
 
 @query("path_prefix", "SELECT page_id FROM pages WHERE starts_with(url, 'https://')")

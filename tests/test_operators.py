@@ -1,7 +1,10 @@
 """Single operators on small inputs with known results."""
 
+import hashlib
 import math
 import random
+import re
+import string
 
 import numpy as np
 import pytest
@@ -101,14 +104,66 @@ def test_dip_split(spark):
     assert [g for g in got if g[0] > 0] == [(1, 20.0, 30.0), (2, 40.0, 44.0)]
 
 
+def short_hash(stem):
+    n, out = int(hashlib.md5(stem.encode()).hexdigest(), 16), ""
+    for _ in range(6):
+        n, k = divmod(n, 32)
+        out += (string.ascii_uppercase + string.digits)[k]
+    return out
+
+
+def plain_loops(text):
+    """The rule of clean_loops, searched from the beginning each time."""
+    loop, tag = re.compile(r"(.{4,120}?)(?:\s+\1){2,}", re.IGNORECASE), "[inaudible]"
+    while m := loop.search(text):
+        left, right, words = text[: m.start()].rstrip(), text[m.end() :].lstrip(), m[1].lower().split()
+        for k in range(len(words)):
+            if left.lower().endswith(" ".join(words[k:])):
+                left = left[: len(left) - len(" ".join(words[k:]))].rstrip()
+                break
+        for k in range(len(words), 0, -1):
+            if right.lower().startswith(" ".join(words[:k])):
+                right = right[len(" ".join(words[:k])) :].lstrip()
+                break
+        new = " ".join(x for x in (left, tag, right) if x)
+        if new == text:
+            break
+        text = new
+    text = re.sub(r"(\[inaudible\]\s*){2,}", tag + " ", text)
+    return re.sub(r"\[inaudible\]\s+(?:\w[\w\s,']{0,80}?)\s+\[inaudible\]", tag, text).strip()
+
+
+def test_loops_are_all_found_in_whole_texts(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(1, 6)))
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 8)):
+            unit = " ".join(word() for _ in range(r.randint(1, 4)))
+            parts += [" ".join(word() for _ in range(r.randint(0, 5))), (r.choice([" ", "\n", "  "])).join([unit] * r.randint(1, 5)), unit[: r.randint(0, len(unit))]]
+        texts.append(" ".join(parts))
+    assert [T.clean_loops(t) for t in texts] == [plain_loops(t) for t in texts]
+    sixty = ". ".join(f"part {k} " + f"say{k} again{k} " * 4 + f"unlike{k} words{k * k} that stand{k} between the loops and are too many, with signs; so they stay" for k in range(60))
+    assert len(sixty) > 4000 and T.clean_loops(sixty) == plain_loops(sixty) and T.clean_loops(sixty).count("[inaudible]") == 60
+    across = "word " * 790 + "".join(f"x{k} " for k in range(10)) + "over the edge " * 20 + "end"
+    assert T.clean_loops(across) == plain_loops(across)
+    assert T.clean_loops("the number 100000000000000 is big") == "the number 100000000000000 is big"
+    d = spark.createDataFrame([(1, None), (2, ""), (3, "again and again " * 3)], "id long, text string")
+    assert [r.t for r in d.select("id", T.loop_cleaned("text").alias("t")).orderBy("id").collect()] == [None, "", "[inaudible]"]
+    assert d.limit(0).select(T.loop_cleaned("text")).count() == 0
+
+
 def test_text(spark):
     assert T.clean_loops("start " + "thank you. " * 5 + "end") == "start [inaudible] end"
     assert T.clean_loops("nothing repeats here") == "nothing repeats here"
-    assert T.punctuated(["hello", "world", "again"], ["O", "PERIOD", "O"]) == "Hello world. Again"
+    assert T.punctuated(["hello", "world.", "again"], ["O", "PERIOD", "O"]) == "Hello world.. Again"
+    assert T.word_labels([("▁he", "O"), ("llo", "PERIOD"), ("▁you", "COMMA")], 3) == ["O", "COMMA", "0"]
     one = spark.range(1)
     assert one.select(T.clock(F.lit(3661.9876), "srt").alias("t")).first().t == "01:01:01,987"
     assert one.select(T.parse_clock(F.lit("1:02:03.5")).alias("t")).first().t == 3723.5
-    assert one.select(T.punctuation_cleaned(F.lit("<|a|> sooooo good,, ,. yes!! ")).alias("t")).first().t == "sooo good,. yes"
+    assert one.select(T.punctuation_cleaned(F.lit("<|a|> sooooo D D D good,, ,. yes!! , , , ")).alias("t")).first().t == "sooooo D good, ,. yes"
+    assert one.select(T.short_hash(F.lit("meeting")).alias("t")).first().t == short_hash("meeting")
     assert one.select(T.tagged_tail(F.lit("[Speaker 1]: a b c [Speaker 2]:  [Speaker 3]: " + "w " * 15)).alias("t")).first().t == "[Speaker 1]: a b c [Speaker 3]: " + " ".join(["w"] * 10)
     assert one.select(T.tagged_tail(F.lit("no tags")).alias("t")).first().t == ""
     assert one.select(A.probed_duration(F.lit("  Duration: 01:00:10.50, start")).alias("t")).first().t == 3610.5
