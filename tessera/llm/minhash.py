@@ -8,14 +8,16 @@
 4. A pair's signatures are compared batch by batch. Of a pair with m of n equal values the posterior of the similarity is
    Beta(m + 1, n - m + 1); the pair is dropped once the posterior chance of a similarity of 0.75 or more is below MISS.
 5. Survivors are confirmed on their full sets in whole numbers.
-6. Components of the confirmed links are labelled. In buckets whose members still belong to several components, all pairs across components
-   are compared in the same way, in blocks and without making rows of pairs that fail: at first the best of each component, then, with the
-   labels renewed, all that are still across. So no link in a bucket is lost to step 3.
+6. Components of the confirmed links are labelled. In buckets whose members still belong to several components, members of different components
+   are compared by the same batches, in cells of bounded size; components that may be linked form families, told by one pair for each two parts joined. All
+   members of a family meet once more, with their texts: every pair that its sizes and signatures don't rule out is confirmed on full sets, unless its
+   components have been joined in that cell before, and again a cell gives one link for each two components joined. So no link in a bucket is lost to
+   step 3, and rows stay in proportion to members; only a family with many components that stay apart costs comparisons in proportion to their number times its size.
 7. The final components give component_id, the smallest doc_id that can be reached.
 
 With 32 bands of 4 values, a pair at a similarity of 0.75 misses all bands with a chance of 5e-6. Sets are of 64-bit hashes, classes of
 128-bit ones. Rows of equal doc_id and different texts are different documents; rows that repeat are copies. A null doc_id takes part, but
-is never a component_id unless all ids it reaches are null. Other columns pass through where asked for; an empty table gives no rows.
+is never a component_id unless all ids it reaches are null. Other columns, of any names, pass through where asked for; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ HASHES = 128
 BANDS = 32
 BATCH = 16
 MISS = 1e-6
-SKETCH = 64
-ROWS_OF_BLOCK = 4000
+ROWS_OF_BLOCK = 4096
+BYTES_OF_BLOCK = 32_000_000
+CHECKED = 16
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -186,89 +189,175 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
 
 
-def _crossed(best_only: bool):
-    """Of a stream (band, block, part, root, node, sketch) sorted by the first three: pairs of nodes of a bucket in different components.
-
-    The rows of part 0 are a block of bucket members, those of part 1 the members that the block is compared with, streamed. One byte of each of SKETCH
-    signature values is compared; a pair that can't reach the least number of equal values is no row. A chance match of bytes only adds work.
-    best_only: of the block's members of one component, only the most similar one makes a row.
+class Merging:
+    """Members of one cell that are asked for, and which of their components have been joined so far."""
+
+    def __init__(self) -> None:
+        self.roots: list[bytes] = []
+        self.numbers: dict[bytes, int] = {}
+        self.names: list[bytes] = []
+        self.sketch: list[bytes] = []
+        self.size: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.at = None
+
+    def number(self, root: bytes) -> int:
+        n = self.numbers.get(root)
+        if n is None:
+            n = self.numbers[root] = len(self.names)
+            self.names.append(root)
+            if self.at is not None:
+                self.at = np.append(self.at, n)
+        return n
+
+    def add(self, root: bytes, sketch: bytes, size: int, values: np.ndarray | None = None) -> None:
+        self.roots.append(root)
+        self.sketch.append(sketch)
+        self.size.append(size)
+        if values is not None:
+            self.sets.append(values)
+
+    def begin(self) -> None:
+        self.of = np.array([self.number(r) for r in self.roots], np.int64)
+        self.at = np.arange(len(self.names))
+        self.array = np.frombuffer(b"".join(self.sketch), np.uint8).reshape(-1, HASHES)
+        self.sizes = np.array(self.size, np.int64)
+
+    def near(self, me: int, sketch: np.ndarray, size: int, limits: np.ndarray) -> np.ndarray:
+        """Members of other components that neither their sizes nor a batch of the signatures rules out, the most similar first."""
+        part, whole = SIMILAR
+        left = np.flatnonzero((self.at[self.of] != self.at[me]) & (whole * np.minimum(self.sizes, size) >= part * np.maximum(self.sizes, size)))
+        equal = np.zeros(len(left), np.int64)
+        for n in range(0, HASHES, BATCH):
+            if not len(left):
+                break
+            equal = equal + (self.array[left, n : n + BATCH] == sketch[n : n + BATCH]).sum(axis=1)
+            good = equal >= limits[n // BATCH]
+            left, equal = left[good], equal[good]
+        return left[np.argsort(-equal, kind="stable")]
+
+    def join(self, me: int, other: int) -> None:
+        self.at[self.at == self.at[other]] = self.at[me]
+
+
+def _limits() -> np.ndarray:
+    return np.array([least_equal(n + BATCH) for n in range(0, HASHES, BATCH)])
+
+
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of cells (band, i, j, part, root, sketch, size) sorted by the first four: pairs of components that hold members which may be similar.
+
+    The rows of part 0 are held, those of part 1 streamed past them. Components that a pair has joined are one from then on, so a cell gives fewer
+    pairs than it has components.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, least = None, least_equal(SKETCH)
-        roots, nodes, sketches, array, component = [], [], [], None, None
-        for b in batches:
-            found: list[tuple[bytes, bytes]] = []
-            for band, block, part, root, node, sketch in zip(*(c.to_pylist() for c in b.columns)):
-                if (band, block) != key:
-                    key, roots, nodes, sketches, array = (band, block), [], [], [], None
-                if part == 0:
-                    roots.append(root)
-                    nodes.append(node)
-                    sketches.append(sketch)
+    key, cell, limits = None, Merging(), _limits()
+    for b in batches:
+        out: list[tuple[bytes, bytes]] = []
+        for band, i, j, part, root, sketch, size in zip(*(c.to_pylist() for c in b.columns)):
+            if (band, i, j) != key:
+                key, cell = (band, i, j), Merging()
+            if not part:
+                cell.add(root, sketch, size)
+                continue
+            if cell.at is None:
+                if not cell.roots:
                     continue
-                if array is None:
-                    array = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
-                    numbers: dict[bytes, int] = {}
-                    component = np.array([numbers.setdefault(r, len(numbers)) for r in roots], np.int64)
-                equal = (array == np.frombuffer(sketch, np.uint8)).sum(axis=1)
-                near = np.flatnonzero((equal >= least) & (component != numbers.get(root, -1)))
-                if best_only and len(near) > 1:
-                    near = near[np.lexsort((-equal[near], component[near]))]
-                    near = near[np.concatenate(([True], component[near][1:] != component[near][:-1]))]
-                found += [(nodes[n], node) for n in near]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
-
-    return run
+                cell.begin()
+            me, values = cell.number(root), np.frombuffer(sketch, np.uint8)
+            for n in cell.near(me, values, size, limits).tolist():
+                other = int(cell.of[n])
+                if cell.at[other] != cell.at[me]:
+                    cell.join(me, other)
+                    out.append((root, cell.names[other]))
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["a", "b"])
 
 
-def _star(large: bool):
-    """One half of a round of star contraction, on a stream of (u, v) sorted by both: neighbours are tied to the least of them, which comes first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = least = last = None
-        for b in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if u != at:
-                    at, last = u, None
-                    least = min(u, v) if large else v
-                    if not large:
-                        out.append((u, least))
-                if v != last and v != least and (v > u or not large):
-                    out.append((v, least))
-                last = v
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["u", "v"])
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of cells (family, i, j, part, root, sketch, text) sorted by the first four: links between components, confirmed on full sets, that join them.
 
-    return run
+    As _plausible, with the exact check in place; a pair whose components have been joined in this cell meanwhile is left out.
+    """
+    part_, whole = SIMILAR
+    key, cell, limits = None, Merging(), _limits()
+    for b in batches:
+        out: list[tuple[bytes, bytes]] = []
+        for lo, hi, data, off in textvec.blocks(b.column(6)):
+            value, edge = sets(data, off)
+            for k, (family, i, j, part, root, sketch) in enumerate(zip(*(b.column(c).slice(lo, hi - lo).to_pylist() for c in range(6)))):
+                mine = value[edge[k] : edge[k + 1]]
+                if (family, i, j) != key:
+                    key, cell = (family, i, j), Merging()
+                if not part:
+                    cell.add(root, sketch, len(mine), mine.copy())
+                    continue
+                if cell.at is None:
+                    if not cell.roots:
+                        continue
+                    cell.begin()
+                me = cell.number(root)
+                left = cell.near(me, np.frombuffer(sketch, np.uint8), len(mine), limits)
+                while len(left):
+                    now, left = left[:CHECKED], left[CHECKED:]
+                    others = np.concatenate([cell.sets[n] for n in now.tolist()])
+                    place = np.minimum(np.searchsorted(mine, others), len(mine) - 1)
+                    size = cell.sizes[now]
+                    both = np.add.reduceat((mine[place] == others).astype(np.int64), np.cumsum(size) - size)
+                    for n in now[whole * both >= part_ * (size + len(mine) - both)].tolist():
+                        other = int(cell.of[n])
+                        if cell.at[other] != cell.at[me]:
+                            cell.join(me, other)
+                            out.append((root, cell.names[other]))
+                    left = left[cell.at[cell.of[left]] != cell.at[me]]
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["a", "b"])
 
 
 def components(edges: DataFrame, where: str) -> DataFrame:
-    """(node, root) of every node of the edges (a, b) that isn't a root itself: alternating star contraction, one written table a round."""
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    grouped = lambda df: df.repartition("u").sortWithinPartitions("u", "v")
+    """(node, root) of every node of the edges (a, b) that isn't a root itself: alternating star contraction, one written table a round.
+
+    The least neighbour of a node comes from an aggregation with partial sums and goes back to its edges by a join, which a hub's edges may be split for.
+    """
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     mark, k = None, 0
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        wide = grouped(both).mapInArrow(_star(True), "u binary, v binary")
-        pairs = saved(grouped(wide).mapInArrow(_star(False), "u binary, v binary"), f"{where}/round-{k}")
+        near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # larger neighbours to the least
+        near = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(near, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        pairs = saved(small.where("u <> v").distinct(), f"{where}/round-{k}")
         k += 1
-        seen = pairs.distinct().agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
-            return pairs.distinct().select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = seen
 
 
-def _unordered(df: DataFrame) -> DataFrame:
-    return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _cells(members: DataFrame, group: str, size: str | None = None) -> DataFrame:
+    """members (group, root, node, ...) of groups of several components, dealt to cells (i, j, part): every member that isn't of a group's largest component meets
+    all members. A cell holds about ROWS_OF_BLOCK members, and about BYTES_OF_BLOCK of size, and streams about ROWS_OF_BLOCK; large groups have several."""
+    weight = F.sum(size) if size else F.lit(0)
+    count = members.groupBy(group, "root").agg(F.count(F.lit(1)).alias("n"), weight.alias("w"))
+    whole = count.groupBy(group).agg(F.max(F.struct("n", "root", "w")).alias("top"), F.sum("n").alias("all"), F.sum("w").alias("bytes")).where("all > top.n")
+    parts = lambda x, y: F.greatest(F.lit(1), F.ceil(x / y)).cast("int")
+    held = F.greatest(parts(F.col("all") - F.col("top.n"), ROWS_OF_BLOCK), parts(F.col("bytes") - F.col("top.w"), BYTES_OF_BLOCK))
+    dealt = members.join(whole.select(group, F.col("top.root").alias("_top"), held.alias("_ki"), parts(F.col("all"), ROWS_OF_BLOCK).alias("_kj")), group)
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rest = [c for c in members.columns if c != group]
+    ask = dealt.where("root <> _top").select(group, own("_ki").alias("i"), F.explode(every("_kj")).alias("j"), F.lit(0).alias("part"), *rest)
+    against = dealt.select(group, F.explode(every("_ki")).alias("i"), own("_kj").alias("j"), F.lit(1).alias("part"), *rest)
+    return ask.unionByName(against).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "part")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, keep, n_shingles, component_id (least key that can be reached) and kept."""
+    """key, keep, n_shingles, component_id (least key that can be reached) and kept. A column of keep that is named like one of these is left out."""
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/minhash"
-    base = saved(sketched(df, [key, *keep], text), f"{where}/base")
-    nodes = saved(base.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("least"), F.first("sig").alias("sig")), f"{where}/nodes")
+    keep = tuple(c for c in keep if c not in (key, "n_shingles", "component_id", "kept"))
+    inner = {c: f"_in{k}" for k, c in enumerate((key, *keep))}
+    given = df.select(*[F.col(f"`{c}`").alias(i) for c, i in inner.items()], F.col(f"`{text}`").alias("_text"))
+    base = saved(sketched(given, list(inner.values()), "_text"), f"{where}/base")
+    nodes = saved(base.where("node IS NOT NULL").groupBy("node").agg(F.min("_in0").alias("least"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), f"{where}/nodes")
     buckets = saved(_bands(nodes).repartition("band").sortWithinPartitions("band", "node").mapInArrow(_starred, "band long, hub binary, node binary"), f"{where}/buckets")
 
     # Only texts of nodes in pairs are needed again: each node's by one of its documents.
@@ -278,7 +367,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep
         likely = saved(likely, f"{where}/likely-{name}")
         used = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = nodes.join(used, "node").select("node", "least")
-        texts = _texts(df, key, text, ids)
+        texts = _texts(given, "_in0", "_text", ids)
         texts = saved(texts, f"{where}/texts-{name}")
         side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         checked = likely.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
@@ -289,43 +378,38 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", keep
     links = confirmed(stars, "star")
     final = saved(components(links, f"{where}/first"), f"{where}/labels-0")
 
-    # Then, in buckets of several components, pairs across them: first the best of each component, then whatever is left.
-    tried, sketch = stars, _sketches(nodes)
-    for k, best_only in enumerate((True, False)):
-        member = buckets.select("band", "node").join(final, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        size = member.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n"), F.mode("root").alias("top")).where("x <> y")
-        blocks_ = F.greatest(F.lit(1), F.ceil(F.col("n") / ROWS_OF_BLOCK)).cast("long")
-        open_ = saved(member.join(size.select("band", blocks_.alias("k"), "top"), "band").join(sketch, "node"), f"{where}/open-{k}")
-        # The largest component of a bucket is only compared with, in as many blocks as the bucket needs.
-        ask = open_.where("root <> top").select("band", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"), F.lit(0).alias("part"), "root", "node", "sketch")
-        against = open_.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("block"), F.lit(1).alias("part"), "root", "node", "sketch")
-        stream = ask.unionByName(against).repartition("band", "block").sortWithinPartitions("band", "block", "part")
-        more = _unordered(stream.mapInArrow(_crossed(best_only), "a binary, b binary"))
-        more = saved(more.join(_unordered(tried), ["a", "b"], "left_anti"), f"{where}/more-{k}")
-        if not more.limit(1).count():
-            if best_only:
-                continue
-            break
-        found = confirmed(more, f"cross-{k}")
+    # Buckets whose members are still of several components: components that may be linked form families, and all pairs across a family's components are checked.
+    small = saved(_sketches(nodes), f"{where}/sketches")
+    member = buckets.join(final, "node", "left").select("band", F.coalesce("root", "node").alias("root"), "node")
+    open_ = member.join(member.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band"), "band").join(small, "node")
+    maybe = _cells(saved(open_.select("band", "root", "node", "sketch", "size"), f"{where}/open"), "band").select("band", "i", "j", "part", "root", "sketch", "size")
+    maybe = saved(maybe.mapInArrow(_plausible, "a binary, b binary"), f"{where}/plausible")
+    if maybe.limit(1).count():
+        family = components(maybe, f"{where}/families").withColumnRenamed("root", "family")
+        family = saved(family.unionByName(family.select(F.col("family").alias("node"), "family").distinct()), f"{where}/family")
+        kin = nodes.join(final, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")).join(family.withColumnRenamed("node", "root"), "root")
+        kin = saved(kin, f"{where}/kin")
+        full = kin.drop("least").join(_texts(given, "_in0", "_text", kin.select("node", "least")), "node").join(small, "node")
+        full = saved(full.select("family", "root", "node", "sketch", (F.col("size") * 8).alias("bytes"), "text"), f"{where}/full")
+        found = _cells(full, "family", "bytes").select("family", "i", "j", "part", "root", "sketch", "text")
+        found = saved(found.mapInArrow(_linked, "a binary, b binary"), f"{where}/links-cross")
         if found.limit(1).count():
-            links = links.unionByName(found)
-            final = saved(components(links, f"{where}/after-{k}"), f"{where}/labels-{k + 1}")
-        tried = tried.unionByName(more)
+            final = saved(components(links.unionByName(found), f"{where}/second"), f"{where}/labels-1")
     rooted = nodes.select("node", "least").join(final, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    out = base.drop("sig").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", key))
-    return out.select(key, *keep, "n_shingles", "component_id", F.col(key).eqNullSafe(F.col("component_id")).alias("kept"))
+    out = base.drop("sig").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "_in0"))
+    return out.select(*[F.col(i).alias(c) for c, i in inner.items()], "n_shingles", "component_id", F.col("_in0").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _sketches(nodes: DataFrame) -> DataFrame:
-    """(node, sketch): a byte of each of the first SKETCH values of the signature."""
+    """(node, sketch, size): a byte of each value of the signature, and the size of the set. A chance match of bytes only adds work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            small = [np.frombuffer(x, np.uint32)[:SKETCH].astype(np.uint8).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(small, pa.binary())], ["node", "sketch"])
+            small = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(small, pa.binary()), b.column(2)], ["node", "sketch", "size"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "node binary, sketch binary")
+    return nodes.select("node", "sig", F.col("n_shingles").alias("size")).mapInArrow(run, "node binary, sketch binary, size long")
 
 
 def _texts(df: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
