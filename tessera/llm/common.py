@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset, as in tests."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary one on a local master, as in tests; elsewhere an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = f"file://{tempfile.gettempdir()}/tessera-shared"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/tessera/{uuid.uuid4().hex}"
@@ -30,6 +32,14 @@ def saved(df: DataFrame, where: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in upper or lower case."""
+    have = {c.lower() for c in df.columns}
+    while f"_{name}" in have:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")

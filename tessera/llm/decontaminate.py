@@ -1,33 +1,36 @@
 """Operator 3: benchmark decontamination by a BM25 index of the test items with block-max WAND.
 
 The items are the indexed documents. Each weight is BM25's, divided by the item's score for itself, so a score is the share of the item
-that a passage has, from 0 to 1, and one threshold serves all items. Terms and document frequencies are counted in Spark over all items.
-The index goes to the workers in blocks of items of a checked size (INDEX_BYTES); each block is a pass over the documents, so a
+that a passage has, from 0 to 1, and one threshold serves all items. Terms and document frequencies are counted in Spark over all items, and workers
+build the index, in parts of a checked size (INDEX_BYTES of text; a longer item is a part of its own). The driver hands parts on as bytes; each part is a pass over the documents, so a
 benchmark of any size is searched whole, with the same weights.
 
-Every text is cut into overlapping passages, all of them queries: windows of twice the longest item of the block, moving on by half of that, so
-every item fits in one. A passage whose terms' greatest weights don't add up to the threshold can't have a hit and is left out at once; for the others, block-max WAND
-retrieves all items at or above the threshold. A hit counts if the passage also has SHARED of the word trigrams of the item's
-question, and of its answer: the part after an answer mark, else the last quarter of the words.
+An item of n words is searched in windows of its length class: with L the least power of two that is n or more, windows are of 2 L words and move on by L, so the item fits in one,
+whatever other items there are. A passage whose terms' greatest weights don't add up to the threshold can't have a hit and is left out at once; for the others, block-max WAND
+retrieves all items of the class at or above the threshold. A hit counts if the passage also has SHARED of the word trigrams of the item's
+question, and of its answer: the part after an answer mark, else the last quarter of the words. Of a document's passages the best one is reported, of equals the first.
 
 Words are runs of letters and digits, in lower case. Null or empty texts and items match nothing; an item without words is left out, an item of fewer words
-than a trigram is compared as a whole. Repeated rows are reported each; repeated items too. Empty tables give no rows. Other columns pass through where asked for.
+than a trigram is compared as a whole. Repeated rows are reported each; items that repeat in id and text once. Empty tables give no rows. Columns may have any names.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm import textvec
-from tessera.llm.common import table
+from tessera.llm.common import saved, shared_dir, table, unused
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -36,6 +39,7 @@ GRAM = 3
 ANSWER_SHARE = 0.25
 BLOCK = 4
 DENSE = 4_000_000
+LEAST_CLASS = 8
 INDEX_BYTES = 16_000_000
 _ANSWER = re.compile(r"(?:^|\n)\s*(?:answer|a)\s*:", re.IGNORECASE)
 
@@ -61,37 +65,38 @@ def halves(text: str) -> tuple[np.ndarray, np.ndarray]:
     return h[:k], h[k:]
 
 
+def length_class(n: int) -> int:
+    """The least power of two that is n or more, LEAST_CLASS at least."""
+    return max(LEAST_CLASS, 1 << (max(1, n) - 1).bit_length())
+
+
 class Index:
-    """Postings of one set of items: of each term the items in order and their weights; and the term's greatest weight in every block of BLOCK consecutive items that has it."""
+    """Postings of items of one length class: of each term the items in order and their weights; and the term's greatest weight in every block of BLOCK consecutive items that has it."""
 
-    def __init__(self, items: list[tuple], rows: list[tuple], n_items: int, mean: float):
+    def __init__(self, items: list[tuple], rows: list[tuple], n_items: int, mean: float, step: int | None = None):
         """items: (item_id, text); rows: (place in items, term, tf, length, df)."""
         self.ids = [i for i, _ in items]
-        raw: dict[int, list[tuple[int, float]]] = {}
-        whole = np.zeros(len(items))
-        for k, term, tf, size, df in rows:
-            w = log(1 + (n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-            raw.setdefault(term, []).append((k, w))
-            whole[k] += w
-        self.vocab = np.array(sorted(raw), np.int64).view(np.uint64)
-        self.vocab.sort()
+        place, term, tf, size, df = (np.array(c) for c in zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
+        weight = np.log(1 + (n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+        weight = weight / np.bincount(place, weight, len(items))[place]
+        self.vocab, at = np.unique(term.astype(np.int64).view(np.uint64), return_inverse=True)
+        order = np.lexsort((place, at))
+        edge = np.searchsorted(at[order], np.arange(len(self.vocab) + 1))
         self.lists, self.blocks = [], []
-        for term in self.vocab.view(np.int64).tolist():
-            post = sorted((k, w / whole[k]) for k, w in raw[term])
-            at, weight = np.array([k for k, _ in post]), np.array([w for _, w in post])
-            block, first = np.unique(at // BLOCK, return_index=True)
-            self.lists.append((at.tolist(), weight.tolist()))
-            self.blocks.append((block, np.maximum.reduceat(weight, first)))
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            where, w = place[order[i:j]], weight[order[i:j]]
+            block, first = np.unique(where // BLOCK, return_index=True)
+            self.lists.append((where.tolist(), w.tolist()))
+            self.blocks.append((block, np.maximum.reduceat(w, first)))
         self.most = np.array([m.max() for _, m in self.blocks])
         # The same for a few long spans of items, dense, to bound many passages at once.
         spans = max(1, min(256, -(-len(items) // BLOCK), DENSE // max(1, len(self.vocab))))
         width = -(-max(1, len(items)) // spans)
         self.dense = np.zeros((len(self.vocab), spans), np.float32)
-        for t, (at, weight) in enumerate(self.lists):
-            np.maximum.at(self.dense[t], np.array(at) // width, np.array(weight, np.float32))
+        np.maximum.at(self.dense, (at, place // width), weight.astype(np.float32))
         both = [halves(t) for _, t in items]
         self.parts = [(trigrams(q), trigrams(a)) for q, a in both]
-        self.longest = max((len(q) + len(a) for q, a in both), default=1)
+        self.step = step or max((length_class(len(q) + len(a)) for q, a in both), default=LEAST_CLASS)
 
     def retrieve(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """All items whose weights for the distinct terms add up to least or more: WAND in every block whose greatest weights do."""
@@ -142,17 +147,16 @@ class Index:
             heads = kept
         return out
 
-    def hits(self, data: np.ndarray, off: np.ndarray, least: float, shared: float) -> list[tuple[int, int, int, float]]:
-        """(row, item, first word of the passage, score) of all confirmed passages of a block of texts in lower case."""
-        _, _, row, h = textvec.tokens(data, off, False, textvec.PUNCTUATION)
+    def hits(self, row: np.ndarray, h: np.ndarray, rows: int, least: float, shared: float) -> list[tuple[int, int, int, float]]:
+        """(row, item, first word of the passage, score) of all confirmed passages of rows texts, given the row and hash of every word."""
         if not len(h) or not len(self.vocab):
             return []
         at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
         known = self.vocab[at] == h
         total = np.concatenate(([0.0], np.cumsum(np.where(known, self.most[at], 0.0))))
-        count = np.bincount(row, minlength=len(off) - 1)
+        count = np.bincount(row, minlength=rows)
         begin = np.cumsum(count) - count
-        size, step = 2 * self.longest, self.longest
+        size, step = 2 * self.step, self.step
         windows = np.where(count > 0, np.maximum(1, -(-(count - size) // step) + 1), 0)
         doc = np.repeat(np.arange(len(count)), windows)
         place = (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)) * step
@@ -193,7 +197,7 @@ class Index:
 
 
 def _terms(items: DataFrame) -> DataFrame:
-    """(item_id, text, term, tf, length) of every distinct term of every item."""
+    """(item, term, tf, length) of every distinct term of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,52 +212,90 @@ def _terms(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item string, term long, tf int, length int")
 
 
+def _built(n_items: int, mean: float):
+    """Of items (part, id, text, length, terms) sorted by part: (part, index), the pickled indexes of its length classes. The items of one part, of bounded text, are in memory."""
+
+    def pickled(held: list[tuple]) -> bytes:
+        classes: dict[int, list[tuple]] = {}
+        for row in held:
+            classes.setdefault(length_class(row[2]), []).append(row)
+        made = []
+        for step, rows in sorted(classes.items()):
+            post = [(k, t["term"], t["tf"], size, t["df"]) for k, (_, _, size, terms) in enumerate(rows) for t in terms]
+            made.append(Index([(i, text) for i, text, *_ in rows], post, n_items, mean, step))
+        return pickle.dumps(made, 5)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda part, held: pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([pickled(held)], pa.binary())], ["part", "index"])
+        part, held = None, []
+        for b in batches:
+            for p, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if p != part and held:
+                    yield out(part, held)
+                    held = []
+                part = p
+                held.append(tuple(row))
+        if held:
+            yield out(part, held)
+
+    return run
+
+
+_open: dict[str, list[Index]] = {}
+
+
+def _opened(name: str, broadcast) -> list[Index]:
+    """A part's indexes, unpickled once a worker; only the last part is kept."""
+    if name not in _open:
+        _open.clear()
+        _open[name] = pickle.loads(broadcast.value)
+    return _open[name]
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", least: float = THRESHOLD, shared: float = SHARED) -> DataFrame:
     """(key, item, first_word, score) of the best passage of every document and item that match."""
     spark = df.sparkSession
-    kinds = dict(df.dtypes) | {item: dict(benchmark.dtypes)[item]}
+    kinds = {"key": df.schema[key].dataType.simpleString(), "item": benchmark.schema[item].dataType.simpleString()}
     # Items are told apart by id and text, also where an id repeats or is null.
-    named = benchmark.select(F.col(item), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("_item", F.concat_ws(":", F.coalesce(F.col(item).cast("string"), F.lit("null")), F.md5("text"))).dropDuplicates(["_item"])
-    size = named.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    n_blocks = max(1, ceil(size["b"] / INDEX_BYTES))
-    terms = _terms(named.select("_item", "text"))
+    named = benchmark.select(F.col(f"`{item}`").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    named = named.withColumn("item", F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.md5("text"))).dropDuplicates(["item"])
+    terms = _terms(named.select("item", "text"))
     stats = terms.select("item", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     frequency = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))
-    docs = df.select(F.col(key), F.lower(F.col(text)).alias("_text"))
-    out = None
-    for k in range(n_blocks):
-        items = named.where(block("_item") == k).select("_item", item, "text").collect()  # about INDEX_BYTES
-        place = {r["_item"]: n for n, r in enumerate(items)}
-        rows = terms.where(block("item") == k).join(frequency, "term").select("item", "term", "tf", "length", "df").collect()
-        index = Index([(r[item], r["text"]) for r in items], [(place[r[0]], *r[1:]) for r in rows], stats["n"], stats["mean"] or 1.0)
-        shared_index = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared_index=shared_index) -> Iterator[pa.RecordBatch]:
-            ix = shared_index.value
+    posted = terms.join(frequency, "term").groupBy("item").agg(F.first("length").alias("length"), F.collect_list(F.struct("term", "tf", "df")).alias("terms"))
+    part = F.pmod(F.xxhash64("item"), F.lit(max(1, ceil(size / INDEX_BYTES))))
+    items = named.join(posted, "item").select(part.alias("part"), "id", "text", "length", "terms").repartition("part").sortWithinPartitions("part")
+    index = saved(items.mapInArrow(_built(stats["n"], stats["mean"] or 1.0), "part long, index binary"), f"{shared_dir(spark)}/bm25")
+    docs = df.select(F.col(f"`{key}`").alias("key"), F.lower(F.col(f"`{text}`")).alias("text"))
+    id_type = to_arrow_type(benchmark.schema[item].dataType)
+    out = spark.createDataFrame([], f"key {kinds['key']}, item {kinds['item']}, first_word long, score double")
+    for row in index.select("part").distinct().collect():  # one number for each INDEX_BYTES of the benchmark
+        name, one = uuid.uuid4().hex, spark.sparkContext.broadcast(bytes(index.where(F.col("part") == row["part"]).first()["index"]))
+
+        def run(batches: Iterator[pa.RecordBatch], name=name, one=one) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i, _, data, off in textvec.blocks(b.column(1)):
-                    best: dict[tuple[int, int], tuple[int, float]] = {}
-                    for row, n, first, score in ix.hits(data, off, least, shared):
-                        if (row, n) not in best or score > best[row, n][1]:
-                            best[row, n] = first, score
-                    at = pa.array([i + r for r, _ in best], pa.int64())
-                    ids = pa.array([ix.ids[n] for _, n in best])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(at), ids if len(ids) else pa.array([], pa.int64()), pa.array([f for f, _ in best.values()], pa.int64()), pa.array([s for _, s in best.values()], pa.float64())], [key, item, "first_word", "score"]
-                    )
-
-        found = docs.mapInArrow(run, f"`{key}` {kinds[key]}, `{item}` {kinds[item]}, first_word long, score double")
-        out = found if out is None else out.unionByName(found)
-    return out
+                for i, j, data, off in textvec.blocks(b.column(1)):
+                    _, _, of, h = textvec.tokens(data, off, False, textvec.PUNCTUATION)
+                    best: dict[tuple, tuple[int, float]] = {}
+                    for c, ix in enumerate(_opened(name, one)):
+                        for k, n, first, score in ix.hits(of, h, j - i, least, shared):
+                            if (k, c, n) not in best or score > best[k, c, n][1]:
+                                best[k, c, n] = first, score
+                    ids = pa.array([_opened(name, one)[c].ids[n] for _, c, n in best], id_type)
+                    at = pa.array([i + k for k, *_ in best], pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), ids, pa.array([f for f, _ in best.values()], pa.int64()), pa.array([s for _, s in best.values()], pa.float64())], ["key", "item", "first_word", "score"])
+
+        out = out.unionByName(docs.mapInArrow(run, out.schema))
+    return out.select(F.col("key").alias(key), F.col("item").alias(item), "first_word", "score")
 
 
 def clean(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows that match an item. Rows are told apart by key and text."""
-    marked = df.withColumn("_row", F.struct(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h")))
-    rows = marked.select(F.to_json("_row").alias("_row"), text)
-    hit = contaminated(rows, benchmark, "_row", text).select("_row").distinct()
-    return marked.withColumn("_row", F.to_json("_row")).join(hit, "_row", "left_anti").select(*df.columns)
+    """df, all its columns, without the rows that match an item. Rows are told apart by key and a hash of the text."""
+    mark = unused(df, "row")
+    of = F.concat_ws(":", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("string"))
+    hit = contaminated(df.select(of.alias(mark), F.col(f"`{text}`").alias("text")), benchmark, mark).select(mark).distinct()
+    return df.withColumn(mark, of).join(hit, mark, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

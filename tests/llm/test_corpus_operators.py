@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -141,6 +142,86 @@ def test_op3_finds_planted_items_only(spark, docs, empty):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def plain_hits(docs, items):
+    """Every window of every item's length class scored in full, for texts of ASCII letters, digits and signs."""
+    split = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    items = {(i, t): split(t) for i, t in items if split(t)}
+    df = collections.Counter(w for q in items.values() for w in set(q))
+    mean = sum(map(len, items.values())) / max(1, len(items))
+    out = {}
+    for (item, text), q in items.items():
+        tf = collections.Counter(q)
+        w = {t: math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(q) / mean)) for t, n in tf.items()}
+        m = re.search(r"(?:^|\n)\s*(?:answer|a)\s*:", text, re.IGNORECASE)
+        parts = (split(text[: m.start()]), split(text[m.end() :])) if m and m.start() else ([], [])
+        if not all(parts):
+            k = len(q) - max(min(3, len(q) - 1), math.ceil(0.25 * len(q)))
+            parts = q[:k], q[k:]
+        step = 8
+        while step < len(q):
+            step *= 2
+        for row, (doc, body) in enumerate(docs):
+            b = split(body)
+            for first in range(0, max(1, len(b) - step), step):
+                here = b[first : first + 2 * step]
+                score = sum(w[t] for t in set(here) if t in w) / sum(w.values())
+                if score < 0.5 or not here:
+                    continue
+                share = []
+                for p in parts:
+                    n = min(3, len(p))
+                    grams = {tuple(p[i : i + n]) for i in range(len(p) - n + 1)} if n else set()
+                    have = {tuple(here[i : i + n]) for i in range(len(here) - n + 1)} if n == 3 else None
+                    share.append(1.0 if not grams else sum(g in have if n == 3 else all(t in here for t in g) for g in grams) / len(grams))
+                if min(share) >= 0.5 and ((row, item) not in out or score > out[row, item][1]):
+                    out[row, item] = first, score
+    return collections.Counter((docs[row][0], item, first, round(score, 9)) for (row, item), (first, score) in out.items())
+
+
+def test_op3_equals_a_plain_version(spark):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 3)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, make(r.randint(1, 70)) + (f"\nAnswer: {make(r.randint(1, 6))}" if k % 3 == 0 else "")) for k in range(25)]
+    items += [(50, items[3][1]), (50, items[3][1]), (51, "A"), (52, None), (53, ""), (54, "?! ,")]
+    docs = []
+    for k in range(60):
+        parts = [make(r.randint(0, 60))]
+        for _ in range(r.randint(0, 2)):
+            q = items[r.randrange(25)][1].split()
+            for _ in range(r.randint(0, len(q) // 2)):
+                q[r.randrange(len(q))] = word()
+            parts += [" ".join(q), make(r.randint(0, 40))]
+        docs.append((k, " ".join(parts)))
+    docs += [docs[1], docs[1], (70, None), (71, ""), (72, "x " * 3000 + items[4][1] + " y" * 3000), (None, items[5][1])]
+    table = spark.createDataFrame([(k, t) for k, t in docs], "doc_id int, text string")
+    for kind in ("int", "string", "long"):
+        bench = spark.createDataFrame([(k, t) for k, t in items], "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+        got = decontaminate.contaminated(table, bench)
+        assert dict(got.dtypes) == {"doc_id": "int", "item_id": {"long": "bigint"}.get(kind, kind), "first_word": "bigint", "score": "double"}
+        assert collections.Counter((x.doc_id, int(x.item_id), x.first_word, round(x.score, 9)) for x in got.collect()) == plain_hits(docs, [(k, t) for k, t in dict.fromkeys(items) if t])
+
+
+def test_op3_an_item_is_judged_alike_beside_others(spark):
+    """A long neighbour doesn't lengthen the windows of a short item."""
+    r = random.Random(9)
+    make = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    q = make(12).split()
+    spread = " ".join(f"{w} {make(25)}" for w in q)  # an item's words, far from each other
+    docs = spark.createDataFrame([(1, spread), (2, f"{make(50)} {' '.join(q)} {make(50)}")], "doc_id long, text string")
+    for items in ([(1, " ".join(q))], [(1, " ".join(q)), (2, make(400))]):
+        got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+        assert {(x.doc_id, x.item_id) for x in got.collect()} == {(2, 1)}
+
+
+def test_op3_clean_keeps_columns_of_any_name(spark):
+    schema = "_row string, text string, doc_id long, key string, item string, `a.b` int"
+    rows = [("r", "some words that stand in a benchmark item", 1, "k", "i", 1), ("s", "other words", 1, None, None, None), (None, None, None, None, None, None)]
+    bench = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    out = decontaminate.clean(spark.createDataFrame(rows, schema), bench)
+    assert out.columns == ["_row", "text", "doc_id", "key", "item", "a.b"] and sorted(map(tuple, out.collect()), key=repr) == sorted(rows[1:], key=repr)
+
+
 def test_op3_wand_equals_full_scoring():
     r = random.Random(2)
     rows, n = [], 60
@@ -310,6 +391,8 @@ def test_op9_counts_and_verdict(spark, docs, empty):
     got = collections.Counter(tuple(r)[:6] for r in quality.quality(clash).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect())
     assert got == collections.Counter((r.doc_id, *plain_counts(r.text)) for r in docs.collect())
     assert quality.quality(empty).count() == 0
+    names = docs.select("doc_id", "text", "lang", F.lit(1).alias("_lang"), F.lit(2).alias("_in0"), F.lit(3).alias("kept"), F.lit(4).alias("a.b"))
+    assert quality.quality(names, keep=("_lang", "_in0", "kept", "a.b")).columns == ["_lang", "_in0", "a.b", *quality.RESULTS]
     # 60 clean texts and one in capitals with signs
     good = [r for r in texts(8)[:30]] * 2
     rows = [(k, f"{t} {good[(k + 1) % 60][1]} {good[(k + 7) % 60][1]}", "en", "s", 0) for k, (_, t, *_) in enumerate(good)] + [(1000, " ".join(f"{w.upper()}!!" for w in (good[1][1] + good[2][1] + good[3][1]).split()), "en", "s", 0)]
@@ -318,6 +401,18 @@ def test_op9_counts_and_verdict(spark, docs, empty):
     assert all(out[k].class_distance < out[1000].class_distance for k in range(60) if out[k].class_distance is not None)
 
 
+def test_op9_small_languages_are_judged_by_themselves_or_not_at_all(spark):
+    """An unspaced script is far from all other texts. With enough text of its own it is judged by it; with less, not at all; a larger corpus beside it changes nothing."""
+    r = random.Random(12)
+    other = lambda n: "".join(chr(r.randrange(0x4E00, 0x5000)) + ("\u3002\n" if k % 30 == 29 else "") for k in range(n))
+    small = [(k, other(900), "zz", "s", 0) for k in range(5)]
+    enough = [(100 + k, other(900), "yy", "s", 0) for k in range(30)]
+    big = [(1000 + k, " ".join(t for _, t, *_ in texts(k)[:6]), "en", "s", 0) for k in range(40)]
+    for rows in ([*small, *enough], [*small, *enough, *big]):
+        out = {x.doc_id: x for x in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert all(out[k].kept and out[k].class_distance is None for k in range(5)) and all(out[100 + k].kept and out[100 + k].class_distance < 0.1 for k in range(30))
+
+
 def test_op10_equals_brute_force(spark, docs, empty):
     more = docs
     chain = [f"c{k} " + " ".join(f"w{j}" for j in range(60)) for k in range(40)]
