@@ -1,14 +1,14 @@
 """Operator 9: quality rules by distribution divergence. DataFrame functions only.
 
 A document's histogram of character classes and its histogram of common words are compared with those of its language
-by the Jensen-Shannon distance (base 2, 0 to 1). The references come from all documents: of every language with a share of
-the documents of at least LANGUAGE_SHARE, and of the whole corpus for the others and for null. A word is common if its share
-of the language's words is at least WORD_SHARE, so there are at most 1/WORD_SHARE of them in at most 1/LANGUAGE_SHARE languages:
-that bounds the broadcast. Guards: the classes count from MIN_CHARS characters on, the words from MIN_WORDS words on;
+by the Jensen-Shannon distance (base 2, 0 to 1). Every language with REFERENCE_CHARS characters in all documents has a reference, counted over all of them; null is a language
+of its own. Documents of other languages aren't judged by their distribution, for there is nothing to compare them with. A word is common if its share
+of the language's words is at least WORD_SHARE, so a language has at most 1/WORD_SHARE of them. References are broadcast up to BROADCAST languages
+and joined by language beyond. Guards: the classes count from MIN_CHARS characters on, the words from MIN_WORDS words on;
 a shorter document is not judged by that histogram.
 
 Texts are whole. A null or empty text has no words and so fails the base rule; repeated rows are judged alike; extra columns are
-not read. An empty table gives no rows.
+not read but for those asked for, of any names; one that is named like a result is left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fixed, let, saved, shared_dir, table, words
 
 WORD_SHARE = 0.004
-LANGUAGE_SHARE = 0.002
+REFERENCE_CHARS = 20_000
+BROADCAST = 1000
 MIN_CHARS = 200
 MIN_WORDS = 40
 MAX_CLASS_DISTANCE = 0.20
@@ -32,6 +33,7 @@ _CLASS = {"upper": r"\p{Lu}", "digit": r"\p{N}", "point": r"[.,;:?'()-]", "symbo
 #: Runs of these make up most of a text and are in no counted class; what is left is short.
 _PLAIN = r"[a-z\x20\n\p{Ll}]+"
 SLOTS = 4096
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
 
 def repeated_words(tokens: Column, n: int = WINDOW) -> Column:
@@ -63,8 +65,9 @@ def _counted(rest: Column) -> dict[str, Column]:
 
 def measured(df: DataFrame, text: str = "text", language: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts of each document: one pass, no shuffle."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    named = df.select(*keep, F.coalesce(F.col(language), F.lit("")).alias("_lang"), body.alias("_body"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    named = df.select(*[F.col(f"`{c}`").alias(i) for i, c in keep], F.coalesce(F.col(f"`{language}`"), F.lit("")).alias("_lang"), body.alias("_body"))
+    keep = [i for i, _ in keep]
     out = fixed(named, [*keep, "_lang", "_body"], words(F.col("_body")).alias("_words"), F.regexp_replace("_body", _PLAIN, "").alias("_rest"))
     lines = F.filter(F.split("_body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = out.withColumn("_lines", lines).select(
@@ -82,25 +85,27 @@ def measured(df: DataFrame, text: str = "text", language: str = "lang", keep: tu
     return out.withColumn("_space", F.col("_chars") - F.col("word_chars")).withColumn("_lower", F.col("word_chars") - F.col("_upper") - F.col("_digit") - F.col("_point") - F.col("_symbol"))
 
 
-def references(df: DataFrame, text: str = "text", language: str = "lang", word_share: float = WORD_SHARE, language_share: float = LANGUAGE_SHARE) -> DataFrame:
-    """(_lang, _index map word -> bin, _mask of the slots of their hashes, _q share of each bin, the last for all other words, _qc share of each class); _lang "" is the whole corpus."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = df.select(F.coalesce(F.col(language), F.lit("")).alias("_lang"), body.alias("_body"), F.regexp_replace(body, _PLAIN, "").alias("_rest"))
+def references(df: DataFrame, where: str, text: str = "text", language: str = "lang", word_share: float = WORD_SHARE) -> DataFrame:
+    """(_lang, _index map word -> bin, _mask of the slots of their hashes, _q share of each bin, the last for all other words, _qc share of each class) of every language with enough text.
+
+    One pass over the documents: a row for each word, and one without a word that carries the document's sums, aggregated together and written to where.
+    """
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    base = df.select(F.coalesce(F.col(f"`{language}`"), F.lit("")).alias("_lang"), body.alias("_body"), words(body).alias("_words"), F.regexp_replace(body, _PLAIN, "").alias("_rest"))
     count = _counted(F.col("_rest"))
-    named = base.select("_lang", F.length("_body").cast("long").alias("_chars"), F.length(F.array_join(words(F.col("_body")), "")).cast("long").alias("_solid"), *[v.alias(k) for k, v in count.items()])
-    sums = [F.sum(c).alias(c) for c in ("_chars", "_solid", *count)]
-    per = named.groupBy("_lang").agg(F.count(F.lit(1)).alias("_docs"), *sums)
-    whole = per.agg(F.lit("").alias("_lang"), F.sum("_docs").alias("_docs"), *sums)
-    most = whole.select(F.lit(1).alias("_one"), F.col("_docs").alias("_all"))
-    kept = per.where(F.col("_lang") != "").withColumn("_one", F.lit(1)).join(F.broadcast(most), "_one").where(F.col("_docs") >= language_share * F.col("_all")).drop("_one", "_all")
+    named = base.select("_lang", F.length("_body").cast("long").alias("_chars"), F.length(F.array_join("_words", "")).cast("long").alias("_solid"), *[v.alias(k) for k, v in count.items()], "_words")
+    sums = ["_chars", "_solid", *count]
+    rows = named.select("_lang", *sums, F.explode(F.concat(F.array(F.lit(None).cast("string")), F.transform("_words", F.lower))).alias("_w"))
+    seen = rows.groupBy("_lang", "_w").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.when(F.col("_w").isNull(), F.col(c))).alias(c) for c in sums])
+    seen = saved(seen, where)
+    kept = seen.where(F.col("_w").isNull() & (F.col("_chars") >= REFERENCE_CHARS))
     total = F.greatest(F.col("_chars"), F.lit(1)).cast("double")
     part = {c: F.col(c) for c in count} | {"space": F.col("_chars") - F.col("_solid"), "lower": F.col("_solid") - sum(F.col(c) for c in count)}
-    classes = kept.unionByName(whole.select(*kept.columns)).select("_lang", F.array(*[part[c] / total for c in CLASSES]).alias("_qc"))
+    classes = kept.select("_lang", F.array(*[part[c] / total for c in CLASSES]).alias("_qc"))
 
-    seen = base.select("_lang", F.explode(words(F.col("_body"))).alias("_w")).groupBy("_lang", F.lower("_w").alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
-    both = seen.select(F.explode(F.array_distinct(F.array("_lang", F.lit("")))).alias("_lang"), "_w", "_n").groupBy("_lang", "_w").agg(F.sum("_n").alias("_n"))
+    both = seen.where("_w IS NOT NULL").select("_lang", "_w", "_n")
     sizes = both.groupBy("_lang").agg(F.sum("_n").cast("double").alias("_all"))
-    common = both.join(F.broadcast(sizes.join(classes.select("_lang"), "_lang")), "_lang").where(F.col("_n") >= word_share * F.col("_all"))
+    common = both.join(sizes.join(classes.select("_lang"), "_lang"), "_lang").where(F.col("_n") >= word_share * F.col("_all"))
     bins = common.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col("_w").alias("w"), (F.col("_n") / F.col("_all")).alias("q")))).alias("_bins"))
     q = F.transform("_bins", lambda b: b["q"])
     slots = F.transform("_bins", lambda b: F.pmod(F.hash(b["w"]), F.lit(SLOTS)))
@@ -135,23 +140,25 @@ def word_distance(tokens: Column, index: Column, mask: Column, q: Column, n: Col
 
 def quality(df: DataFrame, text: str = "text", language: str = "lang", keep: tuple[str, ...] = ("doc_id",), refs: DataFrame | None = None) -> DataFrame:
     """keep, the counts, base_failed, class_distance, word_distance (null where a guard holds) and kept."""
+    where = f"{shared_dir(df.sparkSession)}/quality"
     if refs is None:
-        refs = saved(references(df, text, language), f"{shared_dir(df.sparkSession)}/references")
-    known = [r["_lang"] for r in refs.select("_lang").collect()]  # at most 1/LANGUAGE_SHARE + 1
-    own = F.broadcast(refs.withColumnRenamed("_lang", "_ref"))
-    d = measured(df, text, language, keep).withColumn("_ref", F.when(F.col("_lang").isin(known), F.col("_lang")).otherwise("")).join(own, "_ref", "left")
+        refs = saved(references(df, f"{where}/words", text, language), f"{where}/references")
+    few = refs.limit(BROADCAST + 1).count() <= BROADCAST
+    keep = tuple(c for c in keep if c not in RESULTS)
+    d = measured(df, text, language, [(f"_in{k}", c) for k, c in enumerate(keep)]).join(F.broadcast(refs) if few else refs, "_lang", "left")
     chars = F.greatest(F.col("_chars"), F.lit(1)).cast("double")
     classes = sum(_share(F.col(f"_{c}") / chars, F.get("_qc", F.lit(k))) for k, c in enumerate(CLASSES))
     d = d.withColumns(
         {
-            "class_distance": F.when(F.col("_chars") >= MIN_CHARS, F.sqrt(F.greatest(F.lit(0.0), classes))),
+            "class_distance": F.when((F.col("_chars") >= MIN_CHARS) & F.col("_qc").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), classes))),
             "word_distance": F.when((F.col("n_words") >= MIN_WORDS) & F.col("_index").isNotNull(), word_distance(F.col("_words"), F.col("_index"), F.col("_mask"), F.col("_q"), F.col("n_words").cast("double"))),
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         }
     )
     good = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= MAX_CLASS_DISTANCE + CLASS_SLACK / F.sqrt(chars)) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= MAX_WORD_DISTANCE)
     d = d.withColumn("kept", ~F.col("base_failed") & good)
-    return fixed(d, list(keep), *[F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")])
+    out = fixed(d, [f"_in{k}" for k in range(len(keep))], *[F.col(c) for c in RESULTS])
+    return out.select(*[F.col(f"_in{k}").alias(c) for k, c in enumerate(keep)], *RESULTS)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,18 +181,18 @@ def oracle_sql() -> str:
       length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
       list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(rep.n, 0) AS n_repeat_words, {", ".join(f"{v} AS _{c}" for c, v in n.items())} FROM w LEFT JOIN rep USING (rid)),
     c AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, _chars - word_chars AS _space, word_chars - _upper - _digit - _point - _symbol AS _lower FROM m),
-    both_ AS (SELECT lang AS k, * FROM c WHERE lang <> '' UNION ALL SELECT '' AS k, * FROM c),
+    both_ AS (SELECT lang AS k, * FROM c),
     r AS (SELECT k, greatest(sum(_chars), 1)::DOUBLE AS t, count(*) AS docs, {", ".join(f"sum({v})::DOUBLE AS q_{x}" for x, v in bins.items())} FROM both_ GROUP BY k),
-    known AS (SELECT * FROM r WHERE k = '' OR docs >= {LANGUAGE_SHARE} * (SELECT count(*) FROM d)),
+    known AS (SELECT * FROM r WHERE t >= {REFERENCE_CHARS}),
     x AS (SELECT k, rid, lower(unnest(words)) AS word FROM both_), nw AS (SELECT k, word, count(*) AS n FROM x GROUP BY ALL), tw AS (SELECT k, sum(n)::DOUBLE AS t FROM nw GROUP BY k),
     common AS (SELECT nw.k, word, n / tw.t AS q FROM nw JOIN tw USING (k) JOIN known USING (k) WHERE n >= {WORD_SHARE} * tw.t), rest AS (SELECT k, 1 - sum(q) AS q FROM common GROUP BY k),
-    c2 AS (SELECT c.*, CASE WHEN lang IN (SELECT k FROM known) THEN lang ELSE '' END AS k FROM c),
+    c2 AS (SELECT c.*, lang AS k FROM c),
     cd AS (SELECT rid, sqrt(greatest(0.0, {" + ".join(part(f"({v} / greatest(_chars, 1)::DOUBLE)", f"(q_{x} / t)") for x, v in bins.items())})) AS d FROM c2 JOIN known USING (k)),
     dw AS (SELECT c2.rid, c2.k, x.word, count(*) AS n FROM c2 JOIN x ON x.rid = c2.rid AND x.k = c2.k GROUP BY ALL),
     hit AS (SELECT dw.rid, dw.k, dw.n, common.q, c2.n_words FROM dw JOIN common ON common.k = dw.k AND common.word = dw.word JOIN c2 ON c2.rid = dw.rid),
     s AS (SELECT rid, sum({part("(n / n_words::DOUBLE)", "q")}) AS d, sum(n) AS seen, sum(q) AS qs FROM hit GROUP BY rid),
     wd AS (SELECT c2.rid, sqrt(greatest(0.0, coalesce(s.d, 0) + (1 - rest.q - coalesce(s.qs, 0)) / 2 + {part("((n_words - coalesce(s.seen, 0)) / n_words::DOUBLE)", "rest.q")})) AS d FROM c2 LEFT JOIN s USING (rid) JOIN rest ON rest.k = c2.k WHERE n_words >= {MIN_WORDS})
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (_chars < {MIN_CHARS} OR cd.d <= {MAX_CLASS_DISTANCE} + {CLASS_SLACK} / sqrt(greatest(_chars, 1)::DOUBLE)) AND coalesce(wd.d <= {MAX_WORD_DISTANCE}, true) AS kept
+      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(_chars < {MIN_CHARS} OR cd.d <= {MAX_CLASS_DISTANCE} + {CLASS_SLACK} / sqrt(greatest(_chars, 1)::DOUBLE), true) AND coalesce(wd.d <= {MAX_WORD_DISTANCE}, true) AS kept
     FROM c2 LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid)
     """
