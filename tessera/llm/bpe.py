@@ -17,9 +17,11 @@ import json
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CACHE = 400_000
 LONG = 64
@@ -145,8 +147,8 @@ def decoded(df: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return df.select(key, "ids").mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, text string")
 
 
-def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encodes and decodes every row in one pass and returns key, n_tokens, ids_sha256 and decoded_sha256."""
+def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every row in one pass and returns key, n_tokens, ids_sha256 and decoded_sha256, and the ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = loaded(path), hashlib.sha256
@@ -154,15 +156,22 @@ def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                n, one, two = [], [], []
+                n, one, two, every = [], [], [], []
                 for t in part.column(1).to_pylist():
                     ids = bpe.encode(t or "")
                     n.append(len(ids))
+                    if with_ids:
+                        every.append(pa.array(ids, pa.int32()))
                     one.append(sha(",".join(map(decimal, ids)).encode()).hexdigest())
                     two.append(sha(bpe.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
+                if with_ids:
+                    off = np.cumsum([0, *n]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(off), pa.concat_arrays([pa.array([], pa.int32()), *every])))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
