@@ -4,9 +4,10 @@
 2. near_duplicates: of every group of near copies the document of the smallest id stays.
 3. repeated_strings: bytes of strings of 200 bytes that occur more than once go; a document of which nothing is left goes as well.
 4. decontamination: documents that hold a benchmark item go.
-5. tokens: the rest is encoded and, as a check on the round trip, decoded.
+5. tokens: the rest is encoded to token ids and, as a check on the round trip, decoded; doc_id, ids and their digests are returned, and the other columns go.
 
-Rows pass with all columns of documents, also others than text; n_chars follows the text. Rows that repeat are copies, of which one stays.
+The first four stages return all columns of documents, whatever their names, also others than text; n_chars follows the text. Rows that repeat are copies, of which one stays.
+Null and empty texts fail the quality rules; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontaminate, minhash, quality, suffix
-from tessera.llm.common import saved, shared_dir, table
+from tessera.llm.common import saved, shared_dir, table, unused
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +25,18 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = docs.withColumn("_th", F.xxhash64("text"))
-    stay = minhash.near_duplicates(marked, keep=("_th",)).where("kept").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))
-    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_th"]).select(*docs.columns)
+    of = unused(docs, "hash")
+    marked = docs.withColumn(of, F.xxhash64("text"))
+    stay = minhash.near_duplicates(marked, keep=(of,)).where("kept").select(F.col("doc_id").alias("id"), F.col(of).alias("h")).distinct()
+    same = marked["doc_id"].eqNullSafe(stay["id"]) & (marked[of] == stay["h"])
+    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", of]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
     out = suffix.removed(rows, keep=("_row",), as_text=True).where("n_removed < n_bytes OR n_bytes = 0")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [
