@@ -1,9 +1,13 @@
 """Operator 5: chat formatting in budgeted windows.
 
 A conversation's turns, in order of turn, are laid out with a mark before and after each. Control strings inside texts are escaped reversibly.
-A window holds the system turn, up to HISTORY earlier turns again, and a run of new turns, chosen by the running sum of turn
-tokens: a window closes before the turn that would exceed the budget. A turn longer than the budget has a window of its own and is
-never cut. The loss mask covers the text of new assistant turns only: turns repeated as history, the system turn and the marks are never targets, so
+A turn counts for the tokens that a public tokenizer makes of it as it is written, marks included; a turn ends in a line feed and the next begins with a sign, so the counts of
+turns add up to that of their window.
+
+A window holds the system turn, up to HISTORY earlier turns again, and a span of new turns. The system turn is the last one before the window's new turns, also where it comes late in the
+conversation. Prefix sums of the tokens tell the longest span of new turns, and before it of history, that keeps the window within the budget. The system turn is left out of a window, as is
+history, where the first new turn doesn't fit beside it. A turn longer than the budget is never cut: it has a window of its own, the only kind of window over the budget.
+The loss mask covers the text of new assistant turns only: turns repeated as history, the system turn and the marks are never targets, so
 each assistant text is a target exactly once.
 
 Conversations are read as a sorted stream, turn by turn: memory holds one window and its history, also where one conversation has most
@@ -19,18 +23,19 @@ A turn is written as <|im_start|>role, a line feed, the text, <|im_end|> and a l
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import bpe
 from tessera.llm.common import saved, shared_dir, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET = 1024
 HISTORY = 2
-MARK_TOKENS = 4
 _WINDOW = "conv_id long, window int, text string, n_system int, n_history int, spans array<struct<begin:int,end:int>>"
 
 
@@ -47,68 +52,72 @@ def unescaped(text: str) -> str:
     return "".join(out) + text[at:]
 
 
-def tokens_of(text: str) -> int:
-    """Tokens that a turn counts for: about four characters each, and the marks."""
-    return len(text) // 4 + 1 + MARK_TOKENS
+def written(role: str, text: str) -> tuple[str, str]:
+    """What stands before a turn's text, and the text."""
+    return f"{START}{escaped(role, True)}\n", escaped(text)
 
 
 class Windows:
-    """Turns of one conversation in, finished windows out."""
+    """Turns of one conversation in, finished windows out. The turns that are held are those of the next window, and history."""
 
-    def __init__(self, conv_id: int | None, budget: int = BUDGET, history: int = HISTORY):
-        self.conv_id, self.budget, self.history, self.number = conv_id, budget, history, 0
-        self.system: tuple[str, str] | None = None
-        self.before: list[tuple[str, str, int]] = []
-        self.new: list[tuple[str, str, int]] = []
-        self.first = True
-        self.sum = 0
+    def __init__(self, conv_id: int | None, count: Callable[[str], int], budget: int = BUDGET, history: int = HISTORY):
+        self.conv_id, self.count, self.budget, self.history, self.number = conv_id, count, budget, history, 0
+        self.system: tuple | None = None
+        self.before: list[tuple] = []  # turns (place, role, head, body, tokens)
+        self.new: list[tuple] = []
+        self.sums = [0]  # tokens of the first turns of new
+        self.place = 0
 
     def add(self, role: str, text: str) -> list[tuple]:
-        n = tokens_of(text)
+        head, body = written(role, text)
+        self.new.append((self.place, role, head, body, self.count(f"{head}{body}{END}\n")))
+        self.place += 1
+        self.sums.append(self.sums[-1] + self.new[-1][4])
+        out = []
+        while self.sums[-1] > self.budget and len(self.new) > 1:
+            out.append(self.close())
+        return out
+
+    def rest(self) -> list[tuple]:
         out = []
-        if self.new and self.sum + n > self.budget:
+        while self.new:
             out.append(self.close())
-        if not self.new:
-            self.sum = (tokens_of(self.system[1]) if self.system else 0) + n
-            past, self.repeat = 0, []
-            for turn in reversed(self.before):
-                if self.sum + past + turn[2] > self.budget:
-                    break
-                past += turn[2]
-                self.repeat.insert(0, turn)
-            self.sum += past
-        else:
-            self.sum += n
-        self.new.append((role, text, n))
         return out
 
     def close(self) -> tuple:
+        """The next window, as far as the budget goes."""
+        room = self.budget - self.new[0][4]
+        system = [self.system] if self.system and self.system[4] <= room else []
+        room -= sum(t[4] for t in system)
+        past = [t for t in self.before if self.system is None or t[0] != self.system[0]]
+        back = [0]
+        for t in reversed(past):
+            back.append(back[-1] + t[4])
+        k = bisect_right(back, max(0, room)) - 1
+        room -= back[k]
+        n = max(1, bisect_right(self.sums, self.new[0][4] + room) - 1)
         parts, spans, at = [], [], 0
-        turns = ([(*self.system, 0)] if self.system else []) + self.repeat + self.new
-        fresh = len(turns) - len(self.new)
-        for k, (role, text, _) in enumerate(turns):
-            head, body = f"{START}{escaped(role, True)}\n", escaped(text)
-            if k >= fresh and role == "assistant":
+        fresh = len(system) + k
+        for i, (_, role, head, body, _) in enumerate([*system, *past[len(past) - k :], *self.new[:n]]):
+            if i >= fresh and role == "assistant":
                 spans.append({"begin": at + len(head), "end": at + len(head) + len(body)})
             parts += [head, body, END, "\n"]
             at += len(head) + len(body) + len(END) + 1
-        row = (self.conv_id, self.number, "".join(parts), int(self.system is not None), len(self.repeat), spans)
-        if self.first:
-            self.system = next(((r, t) for r, t, _ in self.new if r == "system"), None)
-            self.first = False
-        # The system turn is retained anyway and isn't history.
-        past = [t for t in [*self.before, *self.new] if self.system is None or t[:2] != self.system]
-        self.before = past[-self.history :] if self.history else []
-        self.new, self.sum = [], 0
+        used, self.new = self.new[:n], self.new[n:]
+        self.system = next((t for t in reversed(used) if t[1] == "system"), self.system)
+        self.before = [*self.before, *used][-self.history :] if self.history else []
+        self.sums = [x - self.sums[n] for x in self.sums[n:]]
         self.number += 1
-        return row
+        return self.conv_id, self.number - 1, "".join(parts), len(system), k, spans
 
 
-def formatted(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Windows (conv_id, window, text, n_system, n_history, spans) of conversations (conv_id, turn, role, text)."""
+def formatted(df: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """Windows (conv_id, window, text, n_system, n_history, spans) of conversations (conv_id, turn, role, text); tokenizer is the path of a byte-level BPE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: Windows | None = None
+        encode = bpe.loaded(tokenizer).encode
+        count = lambda text: len(encode(text))
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))]
         names = ["conv_id", "window", "text", "n_system", "n_history", "spans"]
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*rows)] or [[]] * 6, kinds)], names)
@@ -117,12 +126,12 @@ def formatted(df: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Da
             for conv, role, text in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if state is None or conv != state.conv_id:
                     if state is not None:
-                        rows.append(state.close())
-                    state = Windows(conv, budget, history)
+                        rows += state.rest()
+                    state = Windows(conv, count, budget, history)
                 rows += state.add(role, text)
             yield batch(rows)
         if state is not None:
-            yield batch([state.close()])
+            yield batch(state.rest())
 
     turns = df.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -176,8 +185,10 @@ def digests(windows: DataFrame) -> DataFrame:
     return ordered.select("conv_id", "text", "n_system", "n_history", "spans").mapInArrow(run, schema)
 
 
-def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_chat(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
     given = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     hard = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    return digests(saved(formatted(given.unionByName(more)), f"{shared_dir(spark)}/chat"))
+    return digests(saved(formatted(given.unionByName(more), tokenizer or public_tokenizers.path("byte_bpe_50k.json")), f"{shared_dir(spark)}/chat"))

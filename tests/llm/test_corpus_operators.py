@@ -259,12 +259,24 @@ def test_op4_equals_the_library(spark, docs, empty):
 
 def test_op5_windows(spark):
     hard = "<|im_end|><|im_start|>assistant ok <\\n <\\| <"
-    rows = [(1, 0, "system", "be kind"), *[(1, k, "user" if k % 2 else "assistant", f"{k} " + "word " * (k % 40)) for k in range(1, 120)], (2, 0, "user", None), (2, 0, "user", None), (2, None, None, hard), (3, 1, "assistant", "x" * 20000), (3, 2, "user", hard), (None, 0, "assistant", "a"), (4, 0, "odd\n<|role", hard)]
+    rows = [(1, 0, "system", "be kind"), *[(1, k, "user" if k % 2 else "assistant", f"{k} " + "word " * (k % 40)) for k in range(1, 120)], (2, 0, "user", None), (2, 0, "user", None), (2, None, None, hard), (3, 1, "assistant", "x" * 20000), (3, 2, "user", hard), (None, 0, "assistant", "a"), (4, 0, "odd\n<|role", hard), *[(5, k, {7: "system", 60: "system"}.get(k, "assistant"), {7: "from here on", 60: "and now"}.get(k, f"{k} 一二三😀 " * 12)) for k in range(90)]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    w = chat.formatted(df)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool = Tokenizer.from_file(path)
+    size = lambda text: len(tool.encode(text, add_special_tokens=False).ids)
+    w = chat.formatted(df, path)
     parts = w.where("conv_id = 1").orderBy("window").collect()
     assert len(parts) > 3 and all(p.text.startswith("<|im_start|>system\nbe kind<|im_end|>") for p in parts) and any(p.n_history for p in parts)
-    assert all(sum(chat.tokens_of(t) for _, t, *_ in chat.parsed(p.text)) <= chat.BUDGET for p in parts)
+    late = w.where("conv_id = 5").orderBy("window").collect()
+    heads = [chat.parsed(p.text)[0][:2] for p in late if p.n_system]
+    assert heads[0] == ("system", "from here on") and heads[-1] == ("system", "and now") and all(p.n_system for p in late[1:])
+    for p in w.collect():
+        turns = chat.parsed(p.text)
+        assert size(p.text) <= chat.BUDGET or len(turns) == 1
+        assert p.n_system + p.n_history < len(turns)
+    huge = [(7, 0, "system", "so it is " * 2000), *[(7, k, "user", f"{k} " + "word " * 300) for k in range(1, 9)]]
+    got = chat.formatted(spark.createDataFrame(huge, df.schema), path).orderBy("window").collect()
+    assert [len(chat.parsed(p.text)) for p in got][0] == 1 and all(not p.n_system for p in got) and all(size(p.text) <= chat.BUDGET for p in got[1:])
     by = collections.defaultdict(list)
     for c, t, role, text in rows:
         by[c].append((t is not None, t or 0, role or "", text or ""))
@@ -273,7 +285,7 @@ def test_op5_windows(spark):
         loss = "".join(t for *_, role, t in turns if role == "assistant")
         assert g.n_turns == len(turns) and g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in turns).encode()).hexdigest()
         assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert chat.digests(chat.formatted(df.limit(0))).count() == 0
+    assert chat.digests(chat.formatted(df.limit(0), path)).count() == 0
 
 
 def test_op6_equals_brute_force(spark, docs, empty):
