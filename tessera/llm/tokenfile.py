@@ -5,17 +5,19 @@ chunks between ASCII white space, one after the other; ids of recent chunks are
 plain Latin letters, digits and ASCII signs go to the library's BPE model piece by piece, all others through its whole chain.
 
 The ids of all documents in ascending id order, each closed by the end id, are dealt to ranges of document ids and there to
-blocks of about BLOCK ids. A block is a grammar of its own: in rounds, the most frequent pairs of neighbouring symbols become
-nonterminals (Re-Pair, many pairs a round), never across a document's end. The block's bytes hold the rules, the length of each
-rule's expansion, the symbols, and for each document its id, its last symbol and its number of ids: any document, or any position
-in it, is decoded without the others. Blocks are rows of a Parquet table in the shared folder, so any store that Spark writes will do.
+blocks of about BLOCK ids. A block is a grammar of its own, by Re-Pair: pairs of neighbouring symbols that repeat become nonterminals, never across a document's end, until
+no pair occurs twice in the block. Symbols are linked, so only places whose pairs have changed are counted again. A round replaces all pairs that repeat, of overlapping
+ones the more frequent one, so that rules are found in order of frequency wherever they compete.
+The block's bytes hold the rules, the length of each rule's expansion, the symbols, and for each document its id, its last symbol and its number of ids: a document, or a position
+in it, is decoded from its own symbols and the rules they lead to, without the others. Blocks are rows of a Parquet table in the shared folder, so any store that Spark writes will do.
 
 Null and empty texts have the end id only. Null ids come first, in one block row or more; rows of equal id are ordered by their ids' bytes.
 An empty table gives an empty file.
 
-Block bytes, little endian: magic TRP1; four uint32: documents, rules, symbols, bytes a symbol (2 or 4); then int64 id and uint8 "id is
-null" of each document, uint32 end symbol and uint32 ids of each document, uint32 pairs of the rules, uint32 length of each rule, symbols.
-Nonterminal k is FIRST_RULE + k, where FIRST_RULE is 65536 less the rules a block may have, or the first id beyond the vocabulary if that is larger.
+Block bytes, little endian: magic TRP2; seven uint32: documents, ids that occur, rules, symbols, bits a symbol, bytes of the rules' first symbols, bytes of the lengths; then int64 id
+and uint8 "id is null" of each document, uint32 end symbol and uint32 ids of each document, uint32 ids that occur in ascending order; of all rules the first symbols, as differences from rule to
+rule (int32, deflated), the lengths less two (uint32, deflated) and the second symbols; symbols. A symbol below the number of ids that occur stands for that one of them, others for
+rules in order. Second symbols and symbols are uint16 of the low bits, then one bit plane for each higher bit.
 """
 
 from __future__ import annotations
@@ -38,10 +40,6 @@ END = 1
 #: Stands for the end id at a document's end while pairs are replaced; the same id may occur inside a text.
 STOP = 2**32 - 1
 BLOCK = 1_000_000
-LEAST = 12
-ROUNDS = 12
-PER_ROUND = 1024
-BITS = 18
 CACHE = 450_000
 MAX_RANGES = 4096
 _SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]{1,64}").fullmatch
@@ -114,85 +112,144 @@ def loaded(path: str) -> Chunks:
     return _loaded[path]
 
 
-def repair(seq: np.ndarray, first: int, most: int, stop: int = STOP) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): frequent pairs replaced round by round. No pair holds the stop symbol.
-
-    Pairs are counted in hashed slots; of the fullest slots, the first pair seen in each is replaced, so slots shared by
-    several pairs cost some frequency but nothing else.
-    """
-    seq, rules, total = seq.astype(np.uint32), [], 0
-    for _ in range(ROUNDS):
-        top = min(PER_ROUND, most - total)
-        if len(seq) < 2 * LEAST or top <= 0:
-            break
-        a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32(2654435761)) ^ (b * np.uint32(2246822519))) >> np.uint32(32 - BITS)
-        ends = np.flatnonzero(seq == stop)
-        slot[ends[ends < len(slot)]] = 0
-        slot[ends[ends > 0] - 1] = 0
-        count = np.bincount(slot, minlength=1 << BITS)
-        count[0] = 0
-        full = np.flatnonzero(count >= LEAST)
-        if len(full) > top:
-            full = full[np.argpartition(-count[full], top - 1)[:top]]
-        if not len(full):
-            break
-        name = np.full(1 << BITS, -1, np.int32)
-        name[full] = np.arange(len(full))
-        index = name[slot]
-        at = np.flatnonzero(index >= 0)
-        index = index[at]
-        pa_, pb = np.zeros(len(full), np.uint32), np.zeros(len(full), np.uint32)
-        left, right = a[at], b[at]
-        pa_[index[::-1]], pb[index[::-1]] = left[::-1], right[::-1]
-        same = (left == pa_[index]) & (right == pb[index])
-        at, index = at[same], index[same]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = at[1:] != at[:-1] + 1
-        run = np.flatnonzero(fresh)
-        even = ((np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1) == 0
-        at, index = at[even], index[even]  # of overlapping pairs every second one, from the left
-        often = np.bincount(index, minlength=len(full)) >= LEAST // 2
-        use = often[index]
-        at, index = at[use], index[use]
-        if not len(at):
-            break
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each value's group, and a member of each group."""
+    order = np.argsort(key)
+    new = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
+
+
+def repair(seq: np.ndarray, first: int, stop: int = STOP) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rule k is nonterminal first + k. Nothing but overlapping places of one pair occurs twice in the symbols; no pair holds the stop symbol."""
+    n = len(seq)
+    sym = np.append(np.where(seq == stop, -1, seq.astype(np.int64)), -1)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[-1] = n
+    alive, marked = np.ones(n + 1, bool), np.zeros(n + 1, bool)
+    alive[n] = False
+    rank = np.zeros(n + 1, np.int64)  # of a place's pair in this round, the most frequent first; 0 for no candidate
+    rules, total, whole = [], 0, True
+    at = np.arange(n)
+    while True:
+        at = at[(sym[at] >= 0) & (sym[after[at]] >= 0)]
+        right = after[at]
+        group, one = _groups(sym[at] << 32 | sym[right]) if len(at) else (at, at)
+        # Of places of one pair that overlap, as in a run of one id, every second one counts.
+        again = np.zeros(len(at), bool)
+        again[1:] = (group[1:] == group[:-1]) & (right[:-1] == at[1:])
+        index = np.arange(len(at))
+        odd = ((index - np.maximum.accumulate(np.where(again, 0, index))) & 1) == 1
+        count = np.bincount(group[~odd], minlength=len(one))
+        good = (count[group] > 1) & ~odd
+        if not good.any():
+            if whole:
+                break
+            at, whole = np.flatnonzero(alive), True
+            continue
+        pairs = np.stack((sym[at[one]], sym[right[one]]), axis=1)
+        place = np.empty(len(one), np.int64)
+        place[np.argsort(-count, kind="stable")] = np.arange(1, len(one) + 1)
+        cand, of = at[good], group[good]
+        rank[cand] = place[of]
+        undecided, won = cand, []
+        while len(undecided):
+            mine, left_, right_ = rank[undecided], rank[before[undecided]], rank[after[undecided]]
+            best = ((left_ == 0) | (mine < left_)) & ((right_ == 0) | (mine <= right_))
+            now = undecided[best]
+            won.append(now)
+            rank[now] = 0
+            rank[before[now]] = 0
+            rank[after[now]] = 0
+            undecided = undecided[~best]
+            undecided = undecided[rank[undecided] > 0]
+        marked[np.concatenate(won)] = True
+        good = marked[cand]
+        marked[cand] = False
+        cand, of = cand[good], of[good]
+        often = np.bincount(of, minlength=len(one)) > 1
         number = np.cumsum(often) - 1
-        seq[at] = (first + total + number[index]).astype(np.uint32)
-        rules.append(np.stack((pa_[often], pb[often]), axis=1))
+        cand, of = cand[often[of]], of[often[of]]
+        gone = after[cand]
+        sym[cand] = first + total + number[of]
+        rules.append(pairs[often])
         total += int(often.sum())
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        if len(at) < len(seq) // 100:
-            break
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-
-
-def packed(ids: np.ndarray, doc_ids: list, counts: np.ndarray, vocab: int) -> bytes:
+        alive[gone] = False
+        after[cand] = after[gone]
+        before[after[cand]] = cand
+        # Pairs that repeated and are still there, and those around a new symbol.
+        marked[at[count[group] > 1]] = True
+        marked[cand] = True
+        marked[before[cand]] = True
+        at = np.flatnonzero(marked & alive)
+        marked[:] = False
+        whole = False
+    out = sym[:n][alive[:n]]
+    return np.where(out < 0, stop, out), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+
+
+def expansions(rules: np.ndarray, first: int) -> np.ndarray:
+    """The length of each rule's expansion: those of its two symbols, which are ids or earlier rules."""
+    size = np.ones(first + len(rules), np.int64)
+    left = np.arange(len(rules))
+    known = np.zeros(first + len(rules), bool)
+    known[:first] = True
+    while len(left):
+        ready = known[rules[left, 0]] & known[rules[left, 1]]
+        k = left[ready]
+        size[first + k] = size[rules[k, 0]] + size[rules[k, 1]]
+        known[first + k] = True
+        left = left[~ready]
+    return size
+
+
+def _planes(x: np.ndarray, bits: int) -> bytes:
+    x = x.reshape(-1).astype(np.uint32)
+    return b"".join([(x & 0xFFFF).astype("<u2").tobytes(), *(np.packbits((x >> b) & 1 == 1).tobytes() for b in range(16, bits))])
+
+
+class Planes:
+    """Random access to numbers written by _planes."""
+
+    def __init__(self, data: memoryview, at: int, n: int, bits: int):
+        self.low = np.frombuffer(data, "<u2", n, at)
+        size = -(-n // 8)
+        self.high = [np.frombuffer(data, np.uint8, size, at + 2 * n + k * size) for k in range(max(0, bits - 16))]
+        self.end = at + 2 * n + size * len(self.high)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        i, j = part.start, part.stop
+        out = self.low[i:j].astype(np.int64)
+        for b, plane in enumerate(self.high):
+            out |= np.unpackbits(plane[i // 8 : -(-j // 8)])[i % 8 : i % 8 + j - i].astype(np.int64) << (16 + b)
+        return out
+
+
+def packed(ids: np.ndarray, doc_ids: list, counts: np.ndarray) -> bytes:
     """The bytes of a block."""
-    most = max(1024, 65536 - vocab)
-    first = max(vocab, 65536 - most)
     ids = ids.astype(np.uint32)
+    used, ids = np.unique(np.append(ids, END), return_inverse=True)
+    ids = ids[:-1].astype(np.uint32)
     ids[np.cumsum(counts) - 1] = STOP
-    seq, rules = repair(ids, first, most)
+    seq, rules = repair(ids, len(used))
     ends = np.flatnonzero(seq == STOP) + 1
-    seq[ends - 1] = END
-    length = np.ones(first + len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        length[first + k] = length[a] + length[b]
-    width = 2 if first + len(rules) <= 65536 else 4
-    head = struct.pack("<4s4I", b"TRP1", len(doc_ids), len(rules), len(seq), width)
+    seq[ends - 1] = np.searchsorted(used, END)
+    bits = max(16, (len(used) + len(rules) - 1).bit_length())
+    lengths = zlib.compress((expansions(rules, len(used))[len(used) :] - 2).astype("<u4").tobytes(), 6)
+    left = zlib.compress(np.diff(rules[:, 0], prepend=0).astype("<i4").tobytes(), 6)  # a round's rules are in order of their pairs
     return b"".join(
         (
-            head,
+            struct.pack("<4s7I", b"TRP2", len(doc_ids), len(used), len(rules), len(seq), bits, len(left), len(lengths)),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             np.array([d is None for d in doc_ids], np.uint8).tobytes(),
             ends.astype("<u4").tobytes(),
             counts.astype("<u4").tobytes(),
-            rules.astype("<u4").tobytes(),
-            length[first:].astype("<u4").tobytes(),
-            seq.astype(f"<u{width}").tobytes(),
+            used.astype("<u4").tobytes(),
+            left,
+            lengths,
+            _planes(rules[:, 1], bits),
+            _planes(seq, bits),
         )
     )
 
@@ -200,11 +257,11 @@ def packed(ids: np.ndarray, doc_ids: list, counts: np.ndarray, vocab: int) -> by
 class Block:
     """Random access to a block's documents."""
 
-    def __init__(self, data: bytes, vocab: int):
-        magic, docs, rules, symbols, width = struct.unpack_from("<4s4I", data)
-        if magic != b"TRP1":
+    def __init__(self, data: bytes | memoryview):
+        magic, docs, used, self.n_rules, self.n_symbols, bits, *size = struct.unpack_from("<4s7I", data)
+        if magic != b"TRP2":
             raise ValueError("not a block of token ids")
-        at = 20
+        at = 32
 
         def take(n: int, kind: str) -> np.ndarray:
             nonlocal at
@@ -214,37 +271,58 @@ class Block:
 
         ids, null = take(docs, "<i8"), take(docs, "u1")
         self.doc_ids = [None if z else int(i) for i, z in zip(ids, null)]
-        self.ends, self.counts = take(docs, "<u4"), take(docs, "<u4")
-        self.rules, self.lengths = take(2 * rules, "<u4").reshape(-1, 2), take(rules, "<u4")
-        self.symbols = take(symbols, f"<u{width}")
-        self.first = max(vocab, 65536 - max(1024, 65536 - vocab))
-        self._flat = None
-
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lengths and places of all symbols' expansions, and the expansions one after the other."""
-        if self._flat is None:
-            n = len(self.rules)
-            size = np.concatenate((np.ones(self.first, np.int64), self.lengths.astype(np.int64)))
-            place = np.concatenate((np.arange(self.first, dtype=np.int64), self.first + np.concatenate(([0], np.cumsum(self.lengths[:-1], dtype=np.int64)))[:n]))
-            flat = np.empty(self.first + int(self.lengths.sum()), np.uint32)
-            flat[: self.first] = np.arange(self.first)
-            for k, (a, b) in enumerate(self.rules.tolist()):
-                p, la, lb = place[self.first + k], size[a], size[b]
-                flat[p : p + la] = flat[place[a] : place[a] + la]
-                flat[p + la : p + la + lb] = flat[place[b] : place[b] + lb]
-            self._flat = size, place, flat
-        return self._flat
+        self.ends, self.counts, self.used = take(docs, "<u4"), take(docs, "<u4"), take(used, "<u4")
+        self.first = used
+        self._left, self._lengths = bytes(data[at : at + size[0]]), bytes(data[at + size[0] : at + sum(size)])
+        self.right = Planes(data, at + sum(size), self.n_rules, bits)
+        self.symbols = Planes(data, self.right.end, self.n_symbols, bits)
+        self._size = self._first = None
+
+    @property
+    def size(self) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        if self._size is None:
+            self._size = np.concatenate((np.ones(self.first, np.int64), np.frombuffer(zlib.decompress(self._lengths), "<u4").astype(np.int64) + 2))
+        return self._size
+
+    @property
+    def left(self) -> np.ndarray:
+        """The first symbol of each rule."""
+        if self._first is None:
+            self._first = np.cumsum(np.frombuffer(zlib.decompress(self._left), "<i4"), dtype=np.int64)
+        return self._first
+
+    def span(self, i: int, j: int) -> np.ndarray:
+        """Ids of documents i to j, by putting its pair in the place of every nonterminal until none is left."""
+        seq = self.symbols[slice(int(self.ends[i - 1]) if i else 0, int(self.ends[j - 1]) if j else 0)]
+        right = self.right[0 : self.n_rules]
+        out, at = np.empty(int(self.size[seq].sum()), np.int64), np.cumsum(self.size[seq]) - self.size[seq]
+        while len(seq):
+            plain = seq < self.first
+            out[at[plain]] = seq[plain]
+            seq, at = seq[~plain], at[~plain]
+            rule = seq - self.first
+            first = self.left[rule]
+            at = np.stack((at, at + self.size[first]), axis=1).reshape(-1)
+            seq = np.stack((first, right[rule]), axis=1).reshape(-1)
+        return self.used[out]
 
     def document(self, k: int) -> np.ndarray:
         return self.span(k, k + 1)
 
-    def span(self, i: int, j: int) -> np.ndarray:
-        """Ids of documents i to j."""
-        size, place, flat = self._expansions()
-        part = self.symbols[self.ends[i - 1] if i else 0 : self.ends[j - 1]]
-        n = size[part]
-        begin = np.cumsum(n) - n
-        return flat[np.repeat(place[part] - begin, n) + np.arange(int(n.sum()))]
+    def at(self, k: int, position: int) -> int:
+        """The id at a position of document k: lengths lead to the symbol, and down its rules to the id."""
+        if not 0 <= position < int(self.counts[k]):
+            raise IndexError(position)
+        seq = self.symbols[slice(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))]
+        ends = np.cumsum(self.size[seq])
+        n = int(np.searchsorted(ends, position, "right"))
+        symbol, position = int(seq[n]), position - int(ends[n] - self.size[seq[n]])
+        while symbol >= self.first:
+            rule = symbol - self.first
+            a, b = int(self.left[rule]), int(self.right[rule : rule + 1][0])
+            symbol, position = (a, position) if position < self.size[a] else (b, position - int(self.size[a]))
+        return int(self.used[symbol])
 
 
 def write(df: DataFrame, path: str, where: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -266,15 +344,14 @@ def write(df: DataFrame, path: str, where: str, text: str = "text", key: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(pid), doc, pa.array(ids, pa.binary())], ["pid", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = loaded(path).size
-        kind = "<u2" if vocab < 65536 else "<u4"
+        kind = loaded(path).kind
         state = {"pid": None, "seq": 0, "start": 0}
         docs, ids, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal docs, ids, held
             counts = np.array([len(x) for x in ids], np.int64)
-            row = [state["pid"], state["seq"], state["start"], int(counts.sum()), packed(np.concatenate(ids), docs, counts, vocab)]
+            row = [state["pid"], state["seq"], state["start"], int(counts.sum()), packed(np.concatenate(ids), docs, counts)]
             state["seq"] += 1
             state["start"] += row[3]
             docs, ids, held = [], [], 0
@@ -299,7 +376,7 @@ def write(df: DataFrame, path: str, where: str, text: str = "text", key: str = "
     return saved(blocks, where)
 
 
-def read(blocks: DataFrame, vocab: int) -> DataFrame:
+def read(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document of a table of blocks."""
     totals = blocks.groupBy("pid").agg(F.sum("n_ids").alias("_n"))  # at most MAX_RANGES rows
     offset = totals.select("pid", (F.sum("_n").over(Window.orderBy("pid")) - F.col("_n")).alias("_before"))
@@ -307,7 +384,7 @@ def read(blocks: DataFrame, vocab: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for begin, data in zip(b.column(0).to_pylist(), b.column(1)):
-                block = Block(memoryview(data.as_buffer()), vocab)
+                block = Block(memoryview(data.as_buffer()))
                 ids = block.span(0, len(block.doc_ids)).astype("<u4")
                 edge = np.concatenate(([0], np.cumsum(block.counts, dtype=np.int64)))
                 crc = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(edge[:-1], edge[1:])]
@@ -322,4 +399,4 @@ def op2_tokenfile(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     import public_tokenizers
 
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    return read(write(table(spark, sf_dir, "documents"), path, f"{shared_dir(spark)}/blocks"), loaded(path).size)
+    return read(write(table(spark, sf_dir, "documents"), path, f"{shared_dir(spark)}/blocks"))

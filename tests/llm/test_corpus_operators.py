@@ -101,8 +101,7 @@ def test_op2_round_trip_and_random_access(spark, docs, empty, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     tool = Tokenizer.from_file(path)
     blocks = tokenfile.write(docs, path, f"file://{tmp_path}/b")
-    size = tool.get_vocab_size()
-    got = tokenfile.read(blocks, size).orderBy("start").collect()
+    got = tokenfile.read(blocks).orderBy("start").collect()
     rows = docs.select("doc_id", "text").collect()
     want = collections.Counter()
     for r in rows:
@@ -115,18 +114,67 @@ def test_op2_round_trip_and_random_access(spark, docs, empty, tmp_path):
         at += g.n_tokens
     assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
     first = blocks.orderBy("pid", "seq").first()
-    block = tokenfile.Block(bytes(first["block"]), size)
+    block = tokenfile.Block(bytes(first["block"]))
     whole = block.span(0, len(block.doc_ids))
     assert np.array_equal(np.concatenate([block.document(k) for k in range(len(block.doc_ids))]), whole)
-    assert tokenfile.read(tokenfile.write(empty, path, f"file://{tmp_path}/e"), size).count() == 0
+    for k in range(len(block.doc_ids)):
+        ids = block.document(k)
+        assert [block.at(k, i) for i in range(0, len(ids), 7)] == ids[::7].tolist() and block.at(k, len(ids) - 1) == 1
+    with pytest.raises(IndexError):
+        block.at(0, int(block.counts[0]))
+    assert tokenfile.read(tokenfile.write(empty, path, f"file://{tmp_path}/e")).count() == 0
+    clash = docs.select("doc_id", "text", F.lit(1).alias("pid"), F.lit(2).alias("ids"), F.lit(3).alias("block"))
+    again = tokenfile.read(tokenfile.write(clash, path, f"file://{tmp_path}/c"))
+    assert collections.Counter(map(tuple, again.collect())) == collections.Counter(map(tuple, got))
+
+
+def non_overlapping(seq, stop):
+    """Of every pair without the stop symbol, how many times it occurs beside itself."""
+    last, count = {}, collections.Counter()
+    for i in range(len(seq) - 1):
+        pair = seq[i], seq[i + 1]
+        if stop not in pair and last.get(pair, -2) < i - 1:
+            count[pair] += 1
+            last[pair] = i
+    return count
+
+
+def test_op2_grammar_leaves_no_pair_twice():
+    r = np.random.default_rng(2)
+    for k in range(200):
+        ids = r.integers(0, int(r.integers(1, 30)), int(r.integers(1, 400))).astype(np.uint32)
+        if k % 4 == 0:
+            ids = np.tile(ids[:9], 30)
+        if k % 5 == 0:
+            ids[:] = 3
+        ids[r.integers(0, len(ids), int(r.integers(0, 6)))] = tokenfile.STOP
+        seq, rules = tokenfile.repair(ids, 100)
+        assert max(non_overlapping(seq.tolist(), tokenfile.STOP).values(), default=0) < 2
+        full = {}
+        for j, (x, y) in enumerate(rules.tolist()):
+            full[100 + j] = [*full.get(x, [x]), *full.get(y, [y])]
+        assert [v for x in seq.tolist() for v in full.get(x, [x])] == ids.tolist()
+        assert tokenfile.expansions(rules, 100)[100:].tolist() == [len(full[100 + j]) for j in range(len(rules))]
+
+
+def test_op2_grammar_is_smaller_than_deflated_ids():
+    r = np.random.default_rng(4)
+    phrases = [r.integers(2, 3000, int(r.integers(3, 12))) for _ in range(6000)]
+    ids = [np.append(np.concatenate([phrases[k] for k in r.integers(0, 6000, 60)]), 1) for _ in range(500)]
+    data = tokenfile.packed(np.concatenate(ids), list(range(len(ids))), np.array([len(x) for x in ids]))
+    assert len(data) < len(zlib.compress(np.concatenate(ids).astype("<u2").tobytes(), 9))
+    block = tokenfile.Block(data)
+    assert all(np.array_equal(block.document(k), x) for k, x in enumerate(ids))
 
 
 def test_op2_grammar_shrinks_repetition():
     ids = np.tile(np.array([5, 6, 7, 8, 1], np.uint32), 3000)
-    data = tokenfile.packed(ids, list(range(3000)), np.full(3000, 5), 49408)
-    block = tokenfile.Block(data, 49408)
-    assert len(block.symbols) <= 3000 * 3 and len(block.rules) >= 2
+    block = tokenfile.Block(tokenfile.packed(ids, list(range(3000)), np.full(3000, 5)))
+    assert block.n_symbols == 3000 * 2 and block.n_rules == 3
     assert np.array_equal(block.span(0, 3000), ids) and np.array_equal(block.document(1234), [5, 6, 7, 8, 1])
+    wide = np.concatenate([np.arange(70_000, dtype=np.uint32), [1]])
+    block = tokenfile.Block(tokenfile.packed(np.concatenate([wide, wide]), [None, 7], np.array([len(wide)] * 2)))
+    assert block.doc_ids == [None, 7] and np.array_equal(block.document(1), wide) and block.at(1, 69_999) == 69_999
 
 
 def test_op3_finds_planted_items_only(spark, docs, empty):
