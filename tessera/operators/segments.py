@@ -6,11 +6,13 @@ are hours of audio, thousands of segments at most. Joins within a file are dealt
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FILE = ("file_id",)
 
@@ -278,6 +280,32 @@ def clamp_boundaries(df: DataFrame, proposals: DataFrame, shift: float = 0.05, l
     return _stateful(joined, fold, _SEGMENT)
 
 
+def boundary_windows(df: DataFrame, rate: int = 16_000, search: float = 1.5, window: float = 0.5, stride: float = 0.1, least: float = 0.3) -> DataFrame:
+    """OP-38, the sub-windows: of every change of speaker (file_id, ord of the left segment, left, right, k, start, end, t), windows every stride within search seconds of the left segment's end.
+
+    A window that would pass the file's last segment ends there; one under least seconds is left out. t is its middle.
+    """
+    w = in_order()
+    most = F.max("end").over(Window.partitionBy("file_id"))
+    d = df.withColumn("right", F.lead("speaker").over(w)).withColumn("_m", F.floor(most * rate)).where(F.col("right") != F.col("speaker"))
+    a, b = F.floor(F.greatest(F.lit(0.0), F.col("end") - search) * rate), F.floor(F.least(F.col("_m") / rate, F.col("end") + search) * rate)
+    step, size, short = int(stride * rate), int(window * rate), int(least * rate)
+    d = d.withColumn("_a", a).withColumn("_n", F.floor((b - F.col("_a") - short) / step)).where("_n >= 0")
+    k = d.select("file_id", "ord", F.col("speaker").alias("left"), "right", "_a", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n"))).alias("k"))
+    k = k.withColumn("_s", F.col("_a") + F.col("k") * step).withColumn("_e", F.least(F.col("_s") + size, F.col("_m"))).where(F.col("_e") - F.col("_s") >= short)
+    return k.select("file_id", "ord", "left", "right", "k", (F.col("_s") / rate).alias("start"), (F.col("_e") / rate).alias("end"), ((F.col("_s") + F.col("_e")) / 2 / rate).alias("t"))
+
+
+def boundary_sides(windows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """OP-38, the comparison: sub-windows (file_id, ord, left, right, t, v) to (file_id, ord, t, side): left or right if the nearest of the file's centroids (file_id, speaker, v) is that speaker's, else null."""
+    from tessera.operators.vectors import cosine_distance
+
+    some = windows.where(F.col("v").isNotNull())
+    near = some.alias("w").join(centroids.select("file_id", "speaker", F.col("v").alias("_c")), "file_id")
+    best = near.groupBy("file_id", "ord", "t").agg(F.min_by("speaker", F.struct(cosine_distance(F.col("v"), F.col("_c")), "speaker")).alias("_s"), F.first("left").alias("left"), F.first("right").alias("right"))
+    return best.select("file_id", "ord", "t", F.when(F.col("_s") == F.col("left"), "left").when(F.col("_s") == F.col("right"), "right").alias("side"))
+
+
 def boundary_proposals(samples: DataFrame) -> DataFrame:
     """OP-38, the vote: of sub-windows (file_id, ord, t, side) around a boundary, side left or right by nearest centroid, the mean of the last left and the first later right."""
     last = samples.groupBy("file_id", "ord").agg(F.max(F.when(F.col("side") == "left", F.col("t"))).alias("_l"))
@@ -308,6 +336,14 @@ def speaker_totals(df: DataFrame) -> DataFrame:
     return df.groupBy("file_id", "speaker").agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum(d), 1).alias("seconds"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
 
 
+def review(df: DataFrame) -> DataFrame:
+    """OP-19: (file_id, json) with each speaker's totals, by name, and all segments in order."""
+    t = speaker_totals(df).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("speaker", "segments", "seconds", "mean_confidence"))).alias("speakers"))
+    s = df.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("start", "ord", "end", "speaker", "confidence"))).alias("_s"))
+    rows = F.transform("_s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["speaker"].alias("speaker"), x["confidence"].alias("confidence")))
+    return t.join(s, "file_id").select("file_id", F.to_json(F.struct("speakers", rows.alias("segments"))).alias("json"))
+
+
 def talkative(df: DataFrame, least: float = 10.0) -> DataFrame:
     """OP-28: segments of speakers with least seconds or more in the file."""
     return df.withColumn("_t", F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("file_id", "speaker"))).where(F.col("_t") >= least).drop("_t")
@@ -341,10 +377,24 @@ def transcribe_carried(chunks: DataFrame, model, prefix) -> DataFrame:
     return chunks.groupBy("file_id").applyInPandas(run, "file_id long, text string")
 
 
-def mapped_batches(df: DataFrame, model, schema: str) -> DataFrame:
-    """Model calls: model(iterator of pandas frames) -> iterator of frames, loaded once a worker; errors belong in a column."""
+def mapped_batches(df: DataFrame, model, schema: str, tries: int = 3, wait: float = 1.0, most: float = 30.0) -> DataFrame:
+    """OP-96: model(pandas frame) -> frame with the columns of the schema, batch by batch. schema ends in "error string".
+
+    A call that raises is repeated after wait * 2**k seconds, most at most; after tries calls the batch's rows come out with the error and nulls in what the model would have added,
+    so there are as many rows as went in.
+    """
+    names = [f.name for f in StructType.fromDDL(schema)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from model(frames)
+        for pdf in frames:
+            for k in range(tries):
+                try:
+                    yield model(pdf).assign(error=None)[names]
+                    break
+                except Exception as e:  # noqa: BLE001 - goes to the error column
+                    if k + 1 == tries:
+                        yield pdf.reindex(columns=names).assign(error=f"{type(e).__name__}: {e}")
+                    else:
+                        time.sleep(min(wait * 2**k, most))
 
     return df.mapInPandas(run, schema)

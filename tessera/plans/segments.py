@@ -62,10 +62,10 @@ def vad_merge(spark, d):
     "seg_refine_conf",
     f"""WITH {SEG}, {_islands(GAP)}, m AS (SELECT file_id, island, arg_min(speaker, ord) AS speaker, min(start) AS start, max("end") AS "end", arg_min(ord, (start, ord)) AS ord,
     list(confidence ORDER BY start, ord) AS cs FROM isl GROUP BY file_id, island)
-    SELECT file_id, ord, speaker, round(start, 3) AS start, round("end", 3) AS "end", round(list_reduce(cs, lambda a, x: (a + x) / 2), 6) AS confidence FROM m WHERE "end" - start >= 300""",
+    SELECT file_id, ord, speaker, round(start, 3) AS start, round("end", 3) AS "end", round(list_reduce(cs, lambda a, x: (a + x) / 2), 9) AS confidence FROM m WHERE "end" - start >= 300""",
 )
 def seg_refine_conf(spark, d):
-    return S.refine(seg(spark, d), GAP, 300.0).select("file_id", "ord", "speaker", *_r("start", "end"), *_r("confidence", n=6))
+    return S.refine(seg(spark, d), GAP, 300.0).select("file_id", "ord", "speaker", *_r("start", "end"), *_r("confidence", n=9))
 
 
 @query(
@@ -146,14 +146,29 @@ def pack_greedy(spark, d):
     return S.pack_greedy(seg(spark, d).select("file_id", "ord", "start", "end"), 90000.0).select("file_id", "ord", "group")
 
 
-@query("group_capped")
+_ORDERED = f"""{SEG}, o AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start, ord) AS k FROM seg)"""
+
+
+@query(
+    "group_capped",
+    f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT file_id, k, ord, speaker, start AS s, "end" AS e, ord AS head FROM o WHERE k = 1
+      UNION ALL SELECT file_id, k, ord, speaker, CASE WHEN j THEN s ELSE start END, "end", CASE WHEN j THEN head ELSE ord END
+      FROM (SELECT o.*, r.s, r.head, r.speaker = o.speaker AND o.start - r.e <= {GAP} AND o."end" - r.s <= 90000 AS j FROM r JOIN o ON o.file_id = r.file_id AND o.k = r.k + 1))
+    SELECT file_id, head AS ord, any_value(speaker) AS speaker, round(any_value(s), 3) AS start, round(arg_max(e, k), 3) AS "end" FROM r GROUP BY file_id, head""",
+)
 def group_capped(spark, d):
     return S.group_capped(seg(spark, d).select("file_id", "ord", "start", "end", "speaker"), GAP, 90000.0).select("file_id", "ord", "speaker", *_r("start", "end"))
 
 
-@query("identified_merge")
+@query(
+    "identified_merge",
+    f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT file_id, k, speaker, start AS s, "end" AS e, confidence AS c, ord AS head FROM o WHERE k = 1
+      UNION ALL SELECT file_id, k, speaker, CASE WHEN j THEN s ELSE start END, "end", CASE WHEN NOT j THEN confidence WHEN e - s + "end" - start > 0 THEN (c * (e - s) + confidence * ("end" - start)) / (e - s + "end" - start) ELSE c END, CASE WHEN j THEN head ELSE ord END
+      FROM (SELECT o.*, r.s, r.e, r.c, r.head, r.speaker = o.speaker AND o.start - r.e < {GAP} AS j FROM r JOIN o ON o.file_id = r.file_id AND o.k = r.k + 1))
+    SELECT file_id, head AS ord, any_value(speaker) AS speaker, round(any_value(s), 3) AS start, round(arg_max(e, k), 3) AS "end", round(arg_max(c, k), 8) AS confidence FROM r GROUP BY file_id, head""",
+)
 def identified_merge(spark, d):
-    return S.identified(seg(spark, d), GAP).select("file_id", "ord", "speaker", *_r("start", "end"), *_r("confidence", n=6))
+    return S.identified(seg(spark, d), GAP).select("file_id", "ord", "speaker", *_r("start", "end"), *_r("confidence", n=8))
 
 
 @query("island_absorb")
@@ -166,27 +181,60 @@ def ghost_flag(spark, d):
     return S.ghosts(seg(spark, d), 200000.0).select("file_id", "ord", "speaker", "ghost")
 
 
-@query("ghost_full")
+@query(
+    "ghost_full",
+    f"""WITH RECURSIVE {SEG}, t AS (SELECT *, sum("end" - start) OVER (PARTITION BY file_id, speaker) < 200000 AS ghost FROM seg),
+    f AS (SELECT file_id, bool_or(ghost) AND NOT bool_and(ghost) AS mixed, list(speaker ORDER BY start, ord) AS s, list((start + "end") / 2 ORDER BY start, ord) AS m, list(ghost ORDER BY start, ord) AS g FROM t GROUP BY file_id),
+    r AS (SELECT f.*, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS a FROM f WHERE mixed
+      UNION ALL SELECT file_id, mixed, s, m, g, k + 1, list_append(a, CASE WHEN g[k + 1] THEN list_sort(list_transform(list_filter(range(1, len(s) + 1), lambda j: j <> k + 1 AND (j <= k OR NOT g[j])), lambda j: struct_pack(d := abs(m[j] - m[k + 1]), j := j, who := CASE WHEN j <= k THEN a[j] ELSE s[j] END)))[1].who ELSE s[k + 1] END)
+      FROM r WHERE k < len(s)),
+    o AS (SELECT seg.*, row_number() OVER (PARTITION BY file_id ORDER BY start, ord) AS k FROM seg),
+    x AS (SELECT o.file_id, o.ord, o.start, o."end", r.mixed, coalesce(r.a[o.k], o.speaker) AS speaker FROM o LEFT JOIN r ON o.file_id = r.file_id AND r.k = len(r.s)), {_islands(1.0, True, "x")}
+    SELECT file_id, arg_min(ord, (start, ord)) AS ord, any_value(speaker) AS speaker, round(min(start), 3) AS start, round(max("end"), 3) AS "end" FROM isl GROUP BY file_id, CASE WHEN mixed THEN island ELSE -ord - 1 END""",
+)
 def ghost_full(spark, d):
     return S.drop_ghosts(seg(spark, d).select("file_id", "ord", "start", "end", "speaker"), 200000.0, 1.0).select("file_id", "ord", "speaker", *_r("start", "end"))
 
 
+_VOTE = f"""{SEG}, t AS (SELECT speaker, ord, start, CASE WHEN value < 50 THEN 'left' ELSE 'right' END AS side, ord // 40 AS k FROM seg)"""
+
+
 @query(
     "boundary_vote",
-    f"""WITH {SEG}, t AS (SELECT file_id, speaker AS s, ord // 10 AS k, start, CASE WHEN confidence < 0.5 THEN 'left' ELSE 'right' END AS side FROM seg),
-    l AS (SELECT file_id, k, max(start) AS l FROM t WHERE side = 'left' GROUP BY ALL), r AS (SELECT t.file_id, t.k, min(t.start) AS r, any_value(l.l) AS l FROM t JOIN l USING (file_id, k) WHERE side = 'right' AND start > l.l GROUP BY ALL)
-    SELECT file_id, k AS ord, round(round((l + r) / 2, 4), 3) AS boundary FROM r""",
+    f"""WITH {_VOTE}, l AS (SELECT k, max(start) AS l FROM t WHERE side = 'left' GROUP BY k), r AS (SELECT t.k, min(t.start) AS r, any_value(l.l) AS l FROM t JOIN l USING (k) WHERE side = 'right' AND start > l.l GROUP BY ALL)
+    SELECT k AS ord, round(round((l + r) / 2, 4), 3) AS boundary FROM r""",
 )
 def boundary_vote(spark, d):
-    t = seg(spark, d).select("file_id", F.floor(F.col("ord") / 10).alias("ord"), F.col("start").alias("t"), F.when(F.col("confidence") < 0.5, "left").otherwise("right").alias("side"))
-    return S.boundary_proposals(t).select("file_id", "ord", *_r("boundary"))
+    """Forty events stand for the sub-windows around a boundary."""
+    t = seg(spark, d).select(F.lit(0).alias("file_id"), F.floor(F.col("ord") / 40).alias("ord"), F.col("start").alias("t"), F.when(F.col("value") < 50, "left").otherwise("right").alias("side"))
+    return S.boundary_proposals(t).select("ord", *_r("boundary"))
+
+
+@query(
+    "boundary_windows",
+    f"""WITH {SEG}, x AS (SELECT *, lead(speaker) OVER w AS after, max("end") OVER (PARTITION BY file_id) AS most FROM seg WINDOW w AS (PARTITION BY file_id ORDER BY start, ord)),
+    e AS (SELECT file_id, ord, speaker AS "left", after AS "right", greatest(0.0, "end" - 1800) AS a, least(most, "end" + 1800) AS b, most FROM x WHERE after <> speaker),
+    p AS (SELECT *, unnest(range(CAST(floor((floor(b) - floor(a) - 400) / 300) AS BIGINT) + 1)) AS k FROM e WHERE floor(b) - floor(a) >= 400)
+    SELECT file_id, ord, "left", "right", k, round(floor(a) + k * 300, 3) AS start, round(least(floor(a) + k * 300 + 600, floor(most)), 3) AS "end" FROM p WHERE least(floor(a) + k * 300 + 600, floor(most)) - (floor(a) + k * 300) >= 400""",
+)
+def boundary_windows(spark, d):
+    w = S.boundary_windows(seg(spark, d), 1, 1800.0, 600.0, 300.0, 400.0)
+    return w.select("file_id", "ord", "left", "right", "k", *_r("start", "end"))
 
 
-@query("boundary_refine")
+@query(
+    "boundary_refine",
+    f"""WITH RECURSIVE {SEG}, {_islands(GAP)}, {_MERGED}, q AS (SELECT file_id, ord, speaker,
+      CASE WHEN start < lag("end") OVER w THEN (start + lag("end") OVER w) / 2 ELSE start END AS start, CASE WHEN lead(start) OVER w < "end" THEN (lead(start) OVER w + "end") / 2 ELSE "end" END AS "end" FROM m WINDOW w AS (PARTITION BY file_id ORDER BY start, ord)),
+    o AS (SELECT *, row_number() OVER w AS k, lead(speaker) OVER w AS next_speaker, lead("end") OVER w AS next_end, lead(start) OVER w AS next_start, round("end" + ord % 5 - 2, 4) AS b FROM q WINDOW w AS (PARTITION BY file_id ORDER BY start, ord)),
+    r AS (SELECT *, start AS s, speaker <> next_speaker AND abs(b - "end") > 0.05 AND b - start >= 0.3 AND next_end - b >= 0.3 AS moved FROM o WHERE k = 1
+      UNION ALL SELECT *, speaker <> next_speaker AND abs(b - "end") > 0.05 AND b - s >= 0.3 AND next_end - b >= 0.3 FROM (SELECT o.*, CASE WHEN coalesce(r.moved, false) THEN r.b ELSE o.start END AS s FROM r JOIN o ON o.file_id = r.file_id AND o.k = r.k + 1))
+    SELECT file_id, ord, speaker, round(s, 2) AS start, round(CASE WHEN coalesce(moved, false) THEN b ELSE "end" END, 2) AS "end" FROM r WHERE CASE WHEN coalesce(moved, false) THEN b ELSE "end" END - s >= 0.3""",
+)
 def boundary_refine(spark, d):
     m = S.merge_trim(seg(spark, d), GAP).select("file_id", "ord", "start", "end", "speaker")
     p = m.select("file_id", "ord", (F.col("end") + F.pmod(F.col("ord"), F.lit(5)) - 2).alias("boundary"))
-    return S.clamp_boundaries(m, p).select("file_id", "ord", "speaker", *_r("start", "end"))
+    return S.clamp_boundaries(m, p).select("file_id", "ord", "speaker", *_r("start", "end", n=2))
 
 
 @query(
@@ -211,13 +259,24 @@ def min_duration(spark, d):
 
 @query(
     "speaker_totals",
-    f"""WITH {SEG} SELECT file_id, speaker, count(*) AS segments, round(sum(CAST(value * {SCALE} AS DECIMAL(18, 3))), 0)::DOUBLE AS seconds, round(avg(confidence), 2) AS mean_confidence FROM seg GROUP BY ALL""",
+    f"""WITH {SEG} SELECT file_id, speaker, count(*) AS segments, round(sum("end" - start), 1) AS seconds, round(avg(confidence), 3) AS mean_confidence FROM seg GROUP BY ALL""",
 )
 def speaker_totals(spark, d):
+    return S.speaker_totals(seg(spark, d)).select("file_id", "speaker", "segments", "seconds", "mean_confidence")
+
+
+@query(
+    "review_json",
+    f"""WITH {SEG}, t AS (SELECT file_id, speaker, count(*) AS segments, round(sum("end" - start), 1) AS seconds, round(avg(confidence), 3) AS mean_confidence FROM seg GROUP BY ALL)
+    SELECT t.file_id, t.speaker, segments, seconds, mean_confidence, len(l) AS listed, round(l[1], 3) AS first_start FROM t JOIN (SELECT file_id, speaker, list(start ORDER BY start, ord) AS l FROM seg GROUP BY ALL) USING (file_id, speaker)""",
+)
+def review_json(spark, d):
+    """The review of each file, written as JSON and parsed again."""
     s = seg(spark, d)
-    return S.speaker_totals(s).select("file_id", "speaker", "segments").join(
-        s.groupBy("file_id", "speaker").agg(F.round(F.sum((F.col("value") * SCALE).cast("decimal(18,3)")), 0).cast("double").alias("seconds"), F.round(F.avg("confidence"), 2).alias("mean_confidence")), ["file_id", "speaker"]
-    )
+    got = F.from_json("json", "speakers array<struct<speaker:string,segments:bigint,seconds:double,mean_confidence:double>>, segments array<struct<start:double,end:double,speaker:string,confidence:double>>")
+    j = S.review(s).withColumn("_j", got).select("file_id", F.explode("_j.speakers").alias("s"), F.col("_j.segments").alias("l"))
+    mine = F.filter("l", lambda x: x["speaker"] == F.col("s.speaker"))
+    return j.select("file_id", "s.*", F.size(mine).cast("long").alias("listed"), F.round(mine[0]["start"], 3).alias("first_start"))
 
 
 @query("talkative", f"""WITH {SEG} SELECT file_id, ord FROM seg QUALIFY sum("end" - start) OVER (PARTITION BY file_id, speaker) >= 300000""")
@@ -242,10 +301,17 @@ def first_appearance(spark, d):
     return S.first_appearance(seg(spark, d)).select("file_id", "ord", "name")
 
 
-@query("carried_context")
+@query(
+    "carried_context",
+    f"""WITH RECURSIVE {TURNS}, o AS (SELECT file_id, ord, text, row_number() OVER (PARTITION BY file_id ORDER BY ord) AS k FROM turns),
+    r AS (SELECT file_id, k, CASE WHEN text = '' THEN '' ELSE '0:' || text END AS got FROM o WHERE k = 1
+      UNION ALL SELECT o.file_id, o.k, CASE WHEN o.text = '' THEN '' ELSE length(right(r.got, 20)) || ':' || right(r.got, 3) || o.text END FROM r JOIN o ON o.file_id = r.file_id AND o.k = r.k + 1)
+    SELECT file_id, coalesce(string_agg(got, ' ' ORDER BY k) FILTER (WHERE got <> ''), '') AS text FROM r GROUP BY file_id""",
+)
 def carried_context(spark, d):
+    """A stand-in for a model whose text shows what it was given: the length and the last three characters of the carried context."""
     t = turns(spark, d).select("file_id", "ord", "text")
-    return S.transcribe_carried(t, lambda text, before: f"{len(before)}:{text[:20]}" if text else "", lambda text: " ".join(text.split()[-10:]))
+    return S.transcribe_carried(t, lambda text, before: f"{len(before)}:{before[-3:]}{text}" if text else "", lambda text: text[-20:])
 
 
 @query("job_totals", f"""WITH {SEG} SELECT count(*) AS files, count(*) FILTER (WHERE confidence < 0.5) AS failed, count(DISTINCT speaker) AS speakers FROM seg""")
