@@ -241,7 +241,7 @@ def drop_ghosts(df: DataFrame, least: float = 10.0, gap: float = 1.0) -> DataFra
     """OP-39: ghosts' segments go to the first alternative that is no ghost, else to the nearest segment's speaker by midpoint, in order; then segments collapse. Unchanged if all are ghosts."""
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        alternatives = p["alternatives"].tolist() if "alternatives" in p else [None] * len(p)
+        alternatives = [None if o is None else [a["speaker"] if isinstance(a, dict) else a for a in o] for o in p["alternatives"]] if "alternatives" in p else [None] * len(p)
         rows = p[_FIELDS].values.tolist()
         total: dict = {}
         for r in rows:
@@ -393,7 +393,7 @@ def mapped_batches(df: DataFrame, model, schema: str, tries: int = 3, wait: floa
                     break
                 except Exception as e:  # noqa: BLE001 - goes to the error column
                     if k + 1 == tries:
-                        yield pdf.reindex(columns=names).assign(error=f"{type(e).__name__}: {e}")
+                        yield pdf.assign(**{c: None for c in names if c not in pdf.columns} | {"error": f"{type(e).__name__}: {e}"})[names]
                     else:
                         time.sleep(min(wait * 2**k, most))
 

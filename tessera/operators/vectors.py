@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.config import Config
+
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,26 +51,46 @@ def embed_files(windows: DataFrame, raw_mean: bool = False) -> DataFrame:
     return windows.select("file_id").distinct().join(mean, "file_id", "left")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most rows rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most rows rows and, with about eight bytes for each number and its own length for each string, at most size bytes."""
+    width = sum((F.coalesce(F.size(c) * 8, F.lit(0)) if k.startswith("array") else F.coalesce(F.length(c), F.lit(0)) if k == "string" else F.lit(8) for c, k in df.dtypes), F.lit(0))
+    got = df.select(width.cast("long").alias("w")).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    return got["n"] <= rows and got["w"] <= size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small enough; else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, rows, size) else df
+
+
+BLOCKS = 64
+
+
+def paired(probes: DataFrame, prints: DataFrame) -> DataFrame:
+    """probes, each row once for every block of prints, with _prints, the block's prints as structs. The prints are a query set against all probes: broadcast if they are small
+    enough, else each block meets its copy of the probes by a shuffle."""
+    blocks = prints.groupBy(F.pmod(F.xxhash64("name"), F.lit(BLOCKS)).alias("_b")).agg(F.collect_list(F.struct(*prints.columns)).alias("_prints"))
+    every = probes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    return every.join(F.broadcast(blocks) if fits(prints) else blocks, "_b").drop("_b")
 
 
 def nearest(probes: DataFrame, prints: DataFrame, k: int = 1) -> DataFrame:
-    """OP-66: (cluster_id, name, dist, rank) of the k nearest voiceprints of each probe. Probes (cluster_id, v), prints (name, v), joined in blocks of prints: each block's best k are kept before blocks meet."""
-    blocks = prints.groupBy(F.pmod(F.xxhash64("name"), F.lit(64)).alias("_b")).agg(F.collect_list(F.struct("name", "v")).alias("_prints"))
-    pairs = probes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).join(small(blocks), "_b")
-    best = F.slice(F.sort_array(F.transform("_prints", lambda p: F.struct(cosine_distance(F.col("v"), p["v"]).alias("dist"), p["name"].alias("name")))), 1, k)
-    found = pairs.select("cluster_id", F.explode(best).alias("_m")).select("cluster_id", "_m.*")
+    """OP-66: (cluster_id, name, dist, rank) of the k nearest voiceprints of each probe. Probes (cluster_id, v), prints (name, v): each block's best k are kept before blocks meet.
+    Prints without a vector are left out (OP-27); a probe without one, or a zero vector, has no neighbours."""
+    pairs = paired(probes.select("cluster_id", "v"), prints.where(F.col("v").isNotNull()).select("name", "v"))
+    near = F.filter(F.transform("_prints", lambda p: F.struct(cosine_distance(F.col("v"), p["v"]).alias("dist"), p["name"].alias("name"))), lambda m: m["dist"].isNotNull())
+    found = pairs.select("cluster_id", F.explode(F.slice(F.sort_array(near), 1, k)).alias("_m")).select("cluster_id", "_m.*")
     w = Window.partitionBy("cluster_id").orderBy("dist", "name")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Weights and scales of the composite distance, and thresholds.
-WEIGHTS = {"emb": 0.6, "pitch": 0.15, "energy": 0.05, "spectral": 0.1, "mfcc": 0.1}
-PITCH_SCALE, ENERGY_SCALE, CONFIDENCE_SCALE = 50.0, 0.05, 0.5
-CLEAR_GAP, SPEECH_FACTOR, STRONG_EMBEDDING = 0.02, 2.0, 0.16
-LOOSE, TIGHT = 0.35, 0.22
+_CONFIG = Config()
+WEIGHTS, SCALES, MATCHING = _CONFIG.get("weights"), _CONFIG.get("normalization"), _CONFIG.get("matching")
+SPEECH_FACTOR = 2.0  # fixed value
+LOOSE, TIGHT = MATCHING["accept_threshold"], MATCHING["embed_only_accept_threshold"]
+#: Further features of a speaker, by name.
+SPECTRAL = ("spectral_centroid", "spectral_rolloff")
+MFCC = tuple(f"mfcc{k}_{s}" for k in range(13) for s in ("mean", "std"))
 
 
 def capped_difference(a: Column, b: Column, scale: float) -> Column:
@@ -76,36 +99,79 @@ def capped_difference(a: Column, b: Column, scale: float) -> Column:
     return F.when(known, F.least(F.lit(1.0), F.abs(a - b) / scale)).otherwise(0.5)
 
 
-def composite(pairs: DataFrame) -> DataFrame:
-    """OP-65: pairs with v/pitch_hz/energy_rms/spectral/mfcc of both sides (suffixes _a, _b) get emb_dist, combined and confidence. spectral and mfcc are distances already, null for unknown."""
-    emb = cosine_distance(F.col("v_a"), F.col("v_b"))
+def spectral_distance(a: Column, b: Column, scales: dict[str, float] = SCALES) -> Column:
+    """OP-65: mean of the scaled differences of those features of SPECTRAL that both structs have above 0; 0.5 with none."""
+    both = {n: (F.coalesce(a[n], F.lit(0.0)) > 0) & (F.coalesce(b[n], F.lit(0.0)) > 0) for n in SPECTRAL}
+    total = sum(F.when(ok, F.abs(a[n] - b[n]) / scales[f"{n}_per_unit"]).otherwise(0.0) for n, ok in both.items())
+    count = sum(ok.cast("int") for ok in both.values())
+    return F.when(count > 0, total / count).otherwise(0.5)
+
+
+def mfcc_distance(a: Column, b: Column, scales: dict[str, float] = SCALES) -> Column:
+    """OP-65: mean, over the coefficients whose mean isn't 0 on both sides, of the mean of the scaled differences of mean and deviation; 0.5 with none. A missing value is 0."""
+    get = lambda s, n: F.coalesce(s[n], F.lit(0.0))
+    total, count = F.lit(0.0), F.lit(0)
+    for k in range(13):
+        m, d = f"mfcc{k}_mean", f"mfcc{k}_std"
+        used = (get(a, m) != 0) | (get(b, m) != 0)
+        part = (F.abs(get(a, m) - get(b, m)) / scales[f"{m}_per_unit"] + F.abs(get(a, d) - get(b, d)) / scales[f"{d}_per_unit"]) / 2
+        total, count = total + F.when(used, part).otherwise(0.0), count + used.cast("int")
+    return F.when(count > 0, total / count).otherwise(0.5)
+
+
+def composite(pairs: DataFrame, config: Config = _CONFIG) -> DataFrame:
+    """OP-65: pairs with v/pitch_hz/energy_rms of both sides (suffixes _a, _b), and features_a, features_b (structs of SPECTRAL and MFCC) or not, get emb_dist, spectral_dist, mfcc_dist, combined and confidence."""
+    weights, scales = config.get("weights"), config.get("normalization")
+    emb = F.coalesce(cosine_distance(F.col("v_a"), F.col("v_b")), F.lit(1.0))
+    known = "features_a" in pairs.columns
+    spectral = spectral_distance(F.col("features_a"), F.col("features_b"), scales) if known else F.lit(0.5)
+    mfcc = mfcc_distance(F.col("features_a"), F.col("features_b"), scales) if known else F.lit(0.5)
     part = {
-        "emb": F.coalesce(emb, F.lit(1.0)),
-        "pitch": capped_difference(F.col("pitch_hz_a"), F.col("pitch_hz_b"), PITCH_SCALE),
-        "energy": capped_difference(F.col("energy_rms_a"), F.col("energy_rms_b"), ENERGY_SCALE),
-        "spectral": F.least(F.lit(1.0), F.coalesce("spectral", F.lit(0.5))),
-        "mfcc": F.least(F.lit(1.0), F.coalesce("mfcc", F.lit(0.5))),
+        "embedding": emb,
+        "pitch": capped_difference(F.col("pitch_hz_a"), F.col("pitch_hz_b"), scales["pitch_hz_per_unit"]),
+        "energy": capped_difference(F.col("energy_rms_a"), F.col("energy_rms_b"), scales["energy_rms_per_unit"]),
+        "spectral": F.least(F.lit(1.0), spectral),
+        "mfcc": F.least(F.lit(1.0), mfcc),
     }
-    combined = sum(WEIGHTS[k] * v for k, v in part.items())
-    out = pairs.withColumn("emb_dist", F.round(part["emb"], 3)).withColumn("combined", F.round(combined, 3))
-    return out.withColumn("confidence", F.round(F.greatest(F.lit(0.0), 1 - combined / CONFIDENCE_SCALE), 3))
+    combined = sum(weights[k] * v for k, v in part.items()) / sum(weights[k] for k in part)
+    out = pairs.withColumn("emb_dist", F.round(emb, 3)).withColumn("spectral_dist", F.round(spectral, 3)).withColumn("mfcc_dist", F.round(mfcc, 3)).withColumn("combined", F.round(combined, 3))
+    return out.withColumn("confidence", F.round(F.greatest(F.lit(0.0), 1 - combined / scales["confidence_max_distance"]), 3))
+
+
+def candidates(clusters: DataFrame, prints: DataFrame, config: Config = _CONFIG) -> DataFrame:
+    """OP-65, 66: clusters (file_id, cluster_id, v, pitch_hz, energy_rms and features) against all voiceprints (name, the same, total_speech_sec): (file_id, cluster_id, name, emb_dist,
+    spectral_dist, mfcc_dist, combined, confidence, total_speech_sec). Features that a table lacks are unknown."""
+
+    def side(df: DataFrame) -> Column:
+        have = [n for n in (*SPECTRAL, *MFCC) if n in df.columns]
+        return F.struct(*[(F.col(n) if n in have else F.lit(None).cast("double")).alias(n) for n in (*SPECTRAL, *MFCC)])
+
+    a = clusters.select("file_id", "cluster_id", F.col("v").alias("v_a"), F.col("pitch_hz").alias("pitch_hz_a"), F.col("energy_rms").alias("energy_rms_a"), side(clusters).alias("features_a"))
+    b = prints.where(F.col("v").isNotNull()).select("name", F.col("v").alias("v_b"), F.col("pitch_hz").alias("pitch_hz_b"), F.col("energy_rms").alias("energy_rms_b"), side(prints).alias("features_b"), "total_speech_sec")
+    pairs = paired(a, b).select(*a.columns, F.inline("_prints"))
+    return composite(pairs, config).select("file_id", "cluster_id", "name", "emb_dist", "spectral_dist", "mfcc_dist", "combined", "confidence", "total_speech_sec")
+
+
+def _of(df: DataFrame) -> list[str]:
+    """What tells clusters apart: cluster_id, within file_id where there is one."""
+    return ["file_id", "cluster_id"] if "file_id" in df.columns else ["cluster_id"]
 
 
 def ranked(candidates: DataFrame) -> DataFrame:
-    """Candidates (cluster_id, name, combined, ...) with rank, least first."""
-    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy("combined", "name")))
+    """Candidates ((file_id,) cluster_id, name, combined, ...) with rank, least first."""
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*_of(candidates)).orderBy("combined", "name")))
 
 
 def clear_winner(candidates: DataFrame) -> DataFrame:
-    """OP-67: the best candidate of each cluster and clear: no second one, a gap of CLEAR_GAP, or over twice the second's speech and a strong embedding."""
-    w = Window.partitionBy("cluster_id").orderBy("combined", "name")
+    """OP-67: the best candidate of each cluster and clear: no second one, a gap of clear_winner_gap, or over twice the second's speech and a strong embedding."""
+    w = Window.partitionBy(*_of(candidates)).orderBy("combined", "name")
     gap = F.lead("combined").over(w) - F.col("combined")
     d = candidates.withColumn("_gap", gap).withColumn("_speech", F.lead("total_speech_sec").over(w)).withColumn("rank", F.row_number().over(w)).where("rank = 1")
-    much = (F.col("total_speech_sec") > SPEECH_FACTOR * F.col("_speech")) & (F.col("combined") < STRONG_EMBEDDING)
-    return d.withColumn("clear", F.col("_gap").isNull() | (F.col("_gap") >= CLEAR_GAP) | F.coalesce(much, F.lit(False))).drop("_gap", "_speech", "rank")
+    much = (F.col("total_speech_sec") > SPEECH_FACTOR * F.col("_speech")) & (F.col("combined") < MATCHING["embed_only_threshold"])
+    return d.withColumn("clear", F.col("_gap").isNull() | (F.col("_gap") >= MATCHING["clear_winner_gap"]) | F.coalesce(much, F.lit(False))).drop("_gap", "_speech", "rank")
 
 
-def match_clusters(candidates: DataFrame, loose: float = LOOSE, tight: float = TIGHT, strong: float = STRONG_EMBEDDING) -> DataFrame:
+def match_clusters(candidates: DataFrame, loose: float = LOOSE, tight: float = TIGHT, strong: float = MATCHING["embed_only_threshold"]) -> DataFrame:
     """OP-68: the clear winner with matched: near enough, by a tighter threshold where the embeddings alone are near."""
     limit = F.when(F.col("emb_dist") < strong, tight).otherwise(loose)
     return clear_winner(candidates).withColumn("matched", F.col("clear") & (F.col("combined") <= limit))
@@ -141,9 +207,9 @@ def final_names(matches: DataFrame) -> DataFrame:
 
 def alternatives(candidates: DataFrame, least: float = 0.3) -> DataFrame:
     """OP-29, 70: ranks 2 to 4 of each cluster with a confidence of least or more, rounded to 2 places."""
-    top = ranked(candidates).where("rank <= 4").groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name", "confidence"))).alias("_t"))
+    top = ranked(candidates).where("rank <= 4").groupBy(*_of(candidates)).agg(F.sort_array(F.collect_list(F.struct("rank", "name", "confidence"))).alias("_t"))
     kept = F.filter(F.filter("_t", lambda c: c["rank"] > 1), lambda c: c["confidence"] >= least)
-    return top.select("cluster_id", F.transform(kept, lambda c: F.struct(c["name"].alias("speaker"), F.round(c["confidence"], 2).alias("confidence"))).alias("alternatives"))
+    return top.select(*_of(candidates), F.transform(kept, lambda c: F.struct(c["name"].alias("speaker"), F.round(c["confidence"], 2).alias("confidence"))).alias("alternatives"))
 
 
 def merge_named(clusters: DataFrame) -> DataFrame:
@@ -153,10 +219,10 @@ def merge_named(clusters: DataFrame) -> DataFrame:
 
 
 def similar_profiles(distances: DataFrame, common: int = 3, tolerance: float = 0.05) -> DataFrame:
-    """OP-72: pairs of clusters whose distances (cluster_id, name, dist) to at least common voiceprints all differ by less than tolerance."""
-    a = distances.select("name", F.col("cluster_id").alias("a"), F.col("dist").alias("_da"))
-    b = distances.select("name", F.col("cluster_id").alias("b"), F.col("dist").alias("_db"))
-    both = a.join(b, "name").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("_da") - F.col("_db"))).alias("worst"))
+    """OP-72: pairs of a file's clusters whose distances (file_id, cluster_id, name, dist) to at least common voiceprints all differ by less than tolerance. A file has max_clusters (15) at most."""
+    a = distances.select("file_id", "name", F.col("cluster_id").alias("a"), F.col("dist").alias("_da"))
+    b = distances.select("file_id", "name", F.col("cluster_id").alias("b"), F.col("dist").alias("_db"))
+    both = a.join(b, ["file_id", "name"]).where("a < b").groupBy("file_id", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("_da") - F.col("_db"))).alias("worst"))
     return both.where((F.col("n") >= common) & (F.col("worst") < tolerance))
 
 
@@ -222,10 +288,10 @@ def _merge_centroids(v: np.ndarray, label: np.ndarray, near: float) -> np.ndarra
 
 
 def clustered(df: DataFrame, clusters: int | None = None, far: float = 0.35, most: int | None = None, near: float | None = 0.25, keys: str = "file_id") -> DataFrame:
-    """OP-62, 62b, 62c, 76: (file_id, vec_id, cluster) by average linkage within each file; an exact number of clusters or a distance, then a cap, then the merge of near centroids."""
+    """OP-62, 62b, 62c, 76: (file_id, vec_id, cluster) by average linkage within each file; an exact number of clusters or a distance, then a cap, then the merge of near centroids. Rows without a vector are left out."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
+        pdf = pdf.sort_values("vec_id", kind="stable")
         v = np.stack(pdf["v"].to_numpy()).astype(float)
         label = _linkage(v, clusters, None if clusters else far)
         if clusters is None:
@@ -236,11 +302,19 @@ def clustered(df: DataFrame, clusters: int | None = None, far: float = 0.35, mos
         return pd.DataFrame({keys: pdf[keys], "vec_id": pdf["vec_id"], "cluster": label.astype("int64")})
 
     kind = dict(df.dtypes)[keys]
-    return df.select(keys, "vec_id", "v").groupBy(keys).applyInPandas(run, f"{keys} {kind}, vec_id long, cluster long")
+    return df.where(F.col("v").isNotNull()).select(keys, "vec_id", "v").groupBy(keys).applyInPandas(run, f"{keys} {kind}, vec_id long, cluster long")
+
+
+def unknown_clusters(windows: DataFrame, far: float = 0.35, most: int = 10, near: float = 0.25) -> DataFrame:
+    """OP-76: windows (file_id, ord, v) that no voiceprint was found for, to (file_id, ord, name, confidence, dist): UNKNOWN_n by clusters, numbered from 1 without gaps by first appearance."""
+    c = clustered(windows.withColumn("vec_id", F.col("ord")), far=far, most=most, near=near)
+    return c.select("file_id", F.col("vec_id").alias("ord"), F.concat(F.lit("UNKNOWN_"), F.col("cluster") + 1).alias("name"), F.lit(0.0).alias("confidence"), F.lit(1.0).alias("dist"))
 
 
-def refined(samples: DataFrame, stored: DataFrame) -> DataFrame:
-    """OP-61, 61d: samples (name, v, pitch_hz, energy_rms, duration) blended into stored voiceprints (name, v, pitch_hz, energy_rms, total_speech_sec) by seconds of speech, all speakers at once."""
+def refined(samples: DataFrame, stored: DataFrame, skip_existing: bool = False) -> DataFrame:
+    """OP-61, 61d: samples (name, v, pitch_hz, energy_rms, duration) blended into stored voiceprints (name, v, pitch_hz, energy_rms, total_speech_sec) by seconds of speech, all speakers at once. skip_existing: samples of stored names are left out."""
+    if skip_existing:
+        samples = samples.join(stored.select("name"), "name", "left_anti")
     new_v = mean_vector(samples.where(F.col("v").isNotNull()), ["name"], "v", "duration").withColumn("v", normalised(F.col("v")))
     d, p = F.col("duration"), F.col("pitch_hz")
     pitched = F.when(p > 0, d)
@@ -278,7 +352,7 @@ def renamed_unknown(df: DataFrame) -> DataFrame:
 
 def reassigned(files: DataFrame, moves: DataFrame) -> DataFrame:
     """OP-78: files (speaker, file_name) of moves (speaker, target) go to the target and are numbered anew there; start and end come from names like hash_MM-SS_conf_dur."""
-    to = files.join(F.broadcast(moves), "speaker", "left").withColumn("speaker", F.coalesce("target", "speaker")).drop("target")
+    to = files.join(small(moves), "speaker", "left").withColumn("speaker", F.coalesce("target", "speaker")).drop("target")
     m = lambda k: F.try_element_at(F.regexp_extract_all("file_name", F.lit(r"_(\d+)-(\d+)_"), F.lit(k)), F.lit(1)).cast("int")
     return to.withColumn("start", (m(1) * 60 + m(2)).cast("double")).withColumn("number", F.row_number().over(Window.partitionBy("speaker").orderBy("file_name")))
 

@@ -31,11 +31,15 @@ def cos(a: str, b: str) -> str:
 
 
 def _profiles(spark, d):
-    """Voiceprints: centroids of the labels of even vectors; clusters: those of odd ones, with pitch, energy and speech made of the label."""
-    v = vec(spark, d)
-    extra = lambda df, k: df.select("*", (F.lit(120.0) + 5 * F.col("label") + k).alias("pitch_hz"), (F.lit(0.05) + 0.01 * F.col("label")).alias("energy_rms"), (F.lit(10.0) + F.pmod(F.col("label") * 7, F.lit(5)) * 30).alias("total_speech_sec"))
-    prints = extra(V.mean_vector(v.where("vec_id % 2 = 0"), ["label"]), 0)
-    clusters = extra(V.mean_vector(v.where("vec_id % 2 = 1"), ["label"]), 3)
+    """Voiceprints: centroids of the labels of even vectors; clusters: those of odd ones, with pitch, energy, features and speech made of the label. Label 3 has no centroid of its spectrum, odd voiceprints no roll-off."""
+    v, label = vec(spark, d), F.col("label").cast("double")
+    extra = lambda df, k: df.select("*", (F.lit(120.0) + 5 * label + k).alias("pitch_hz"), (F.lit(0.05) + 0.01 * label).alias("energy_rms"), (F.lit(10.0) + F.pmod(label * 7, F.lit(5.0)) * 30).alias("total_speech_sec"))
+    prints = extra(V.mean_vector(v.where("vec_id % 2 = 0"), ["label"]), 0).withColumns(
+        {"spectral_centroid": 1050 + 130 * label, "spectral_rolloff": F.when(F.col("label") % 2 == 0, 2100 + 60 * label), "mfcc0_mean": 2 * label - 5, "mfcc0_std": F.lit(1.0)}
+    )
+    clusters = extra(V.mean_vector(v.where("vec_id % 2 = 1"), ["label"]), 3).withColumns(
+        {"spectral_centroid": F.when(F.col("label") != 3, 1000 + 100 * label).otherwise(0.0), "spectral_rolloff": 2000 + 80 * label, "mfcc0_mean": 2 * label - 6, "mfcc0_std": 1 + label, "mfcc5_mean": label}
+    )
     return clusters, prints
 
 
@@ -45,16 +49,18 @@ mean_odd AS (SELECT label, list(m ORDER BY p) AS v FROM (SELECT label, p, avg(x)
 
 def _candidates(spark, d):
     c, p = _profiles(spark, d)
-    a = c.select(F.col("label").alias("cluster_id"), F.col("v").alias("v_a"), F.col("pitch_hz").alias("pitch_hz_a"), F.col("energy_rms").alias("energy_rms_a"), F.lit(1).alias("_k"))
-    b = p.select(F.col("label").alias("name"), F.col("v").alias("v_b"), F.col("pitch_hz").alias("pitch_hz_b"), F.col("energy_rms").alias("energy_rms_b"), "total_speech_sec", F.lit(1).alias("_k"))
-    pairs = a.join(V.small(b), "_k").withColumn("spectral", F.lit(None).cast("double")).withColumn("mfcc", F.lit(None).cast("double"))
-    return V.composite(pairs).select("cluster_id", F.col("name").cast("string").alias("name"), "emb_dist", "combined", "confidence", "total_speech_sec")
-
-
-_CAND = f"""{VEC}, {_MEAN}, cand0 AS (SELECT o.label AS cluster_id, CAST(e.label AS VARCHAR) AS name, {cos('o.v', 'e.v')} AS emb,
-least(1.0, abs((123.0 + 5 * o.label) - (120.0 + 5 * e.label)) / 50.0) AS dp, least(1.0, abs((0.05 + 0.01 * o.label) - (0.05 + 0.01 * e.label))::DOUBLE / 0.05) AS de, 10.0 + (e.label * 7 % 5) * 30 AS total_speech_sec FROM mean_odd o, mean_even e),
-cand AS (SELECT cluster_id, name, round(emb, 3) AS emb_dist, round(0.6 * emb + 0.15 * dp + 0.05 * de + 0.1 * 0.5 + 0.1 * 0.5, 3) AS combined,
-round(greatest(0.0, 1 - (0.6 * emb + 0.15 * dp + 0.05 * de + 0.1) / 0.5), 3) AS confidence, total_speech_sec FROM cand0)"""
+    got = V.candidates(c.withColumn("file_id", F.lit(0)).withColumnRenamed("label", "cluster_id"), p.withColumnRenamed("label", "name"))
+    return got.drop("file_id").withColumn("name", F.col("name").cast("string"))
+
+
+_CAND = f"""{VEC}, {_MEAN}, cand00 AS (SELECT o.label AS o, e.label AS e, o.label AS cluster_id, CAST(e.label AS VARCHAR) AS name, {cos('o.v', 'e.v')} AS emb,
+least(1.0, abs((123.0 + 5 * o.label) - (120.0 + 5 * e.label)) / 50.0) AS dp, least(1.0, abs((0.05 + 0.01 * o.label) - (0.05 + 0.01 * e.label))::DOUBLE / 0.05) AS de,
+CASE WHEN o.label <> 3 THEN abs(1000.0 + 100 * o.label - 1050 - 130 * e.label) / 500 ELSE 0 END + CASE WHEN e.label % 2 = 0 THEN abs(2000.0 + 80 * o.label - 2100 - 60 * e.label) / 1000 ELSE 0 END AS sp_sum,
+CASE WHEN o.label <> 3 THEN 1 ELSE 0 END + CASE WHEN e.label % 2 = 0 THEN 1 ELSE 0 END AS sp_n,
+((abs(2.0 * o.label - 6 - 2 * e.label + 5) / 10 + o.label / 5.0) / 2 + CASE WHEN o.label <> 0 THEN o.label / 5.0 / 2 ELSE 0 END) / CASE WHEN o.label <> 0 THEN 2 ELSE 1 END AS mf, 10.0 + (e.label * 7 % 5) * 30 AS total_speech_sec FROM mean_odd o, mean_even e),
+cand0 AS (SELECT *, CASE WHEN sp_n = 0 THEN 0.5 ELSE sp_sum / sp_n END AS sp FROM cand00),
+cand AS (SELECT cluster_id, name, round(emb, 3) AS emb_dist, round(sp::DOUBLE, 3) AS spectral_dist, round(mf::DOUBLE, 3) AS mfcc_dist, round(0.6 * emb + 0.15 * dp + 0.05 * de + 0.1 * least(1.0, sp) + 0.1 * least(1.0, mf), 3) AS combined,
+round(greatest(0.0, 1 - (0.6 * emb + 0.15 * dp + 0.05 * de + 0.1 * least(1.0, sp) + 0.1 * least(1.0, mf)) / 0.5), 3) AS confidence, total_speech_sec FROM cand0)"""
 _BEST = """best AS (SELECT *, row_number() OVER w AS rank, lead(combined) OVER w - combined AS gap, lead(total_speech_sec) OVER w AS speech2 FROM cand WINDOW w AS (PARTITION BY cluster_id ORDER BY combined, name)),
 win AS (SELECT *, gap IS NULL OR gap >= 0.02 OR coalesce(total_speech_sec > 2 * speech2 AND combined < 0.16, false) AS clear FROM best WHERE rank = 1)"""
 
@@ -64,11 +70,12 @@ def l2_norm(spark, d):
     return vec(spark, d).select("vec_id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.transform(V.normalised(F.col("v")), lambda x: F.round(x, 5)).alias("unit"))
 
 
-@query("cosine_pairs", f"WITH {VEC} SELECT a.vec_id AS a, b.vec_id AS b, round({cos('a.v', 'b.v')}, 5) AS dist FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id < b.vec_id")
+@query("cosine_pairs", f"WITH {VEC} SELECT a.vec_id AS a, b.vec_id AS b, round({cos('a.v', 'b.v')}, 5) AS dist FROM vec a JOIN vec b ON a.vec_id // 40 = b.vec_id // 40 AND a.vec_id < b.vec_id")
 def cosine_pairs(spark, d):
-    v = vec(spark, d)
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("v").alias("va")), v.select("label", F.col("vec_id").alias("b"), F.col("v").alias("vb"))
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(V.cosine_distance(F.col("va"), F.col("vb")), 5).alias("dist"))
+    """Forty vectors are a file; pairs are of one file."""
+    v = vec(spark, d).withColumn("file_id", F.floor(F.col("vec_id") / 40))
+    a, b = v.select("file_id", F.col("vec_id").alias("a"), F.col("v").alias("va")), v.select("file_id", F.col("vec_id").alias("b"), F.col("v").alias("vb"))
+    return a.join(b, "file_id").where("a < b").select("a", "b", F.round(V.cosine_distance(F.col("va"), F.col("vb")), 5).alias("dist"))
 
 
 @query("centroids", f"WITH {VEC}, m AS (SELECT label, list(m ORDER BY p) AS v FROM (SELECT label, p, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM vec) GROUP BY ALL) GROUP BY label) SELECT label, list_transform(v, lambda x: round(x / {NORM.format(a='v')}, 5)) AS v FROM m")
@@ -82,17 +89,29 @@ def weighted_mean(spark, d):
     return V.mean_vector(v, ["label"], "v", "w").select("label", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
 
 
+def _unit(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / {NORM.format(a=v)})"
+
+
+def _by_label(name: str, where: str, weight: str = "1") -> str:
+    """A table of the weighted mean vector of each label."""
+    return f"{name} AS (SELECT label, list(m ORDER BY p) AS v FROM (SELECT label, p, sum(x * w) / sum(w) AS m FROM (SELECT label, {weight} AS w, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM vec WHERE {where}) GROUP BY ALL) GROUP BY label)"
+
+
 @query(
     "weighted_blend",
-    f"""WITH {VEC}, s AS (SELECT label, 120.0 + vec_id % 5 AS p, vec_id % 9 + 1.0 AS dur FROM vec WHERE vec_id % 2 = 1), n AS (SELECT label, sum(p * dur) / sum(dur) AS p, sum(dur) AS t FROM s GROUP BY label),
-    o AS (SELECT DISTINCT label FROM vec WHERE vec_id % 2 = 0 AND label < 8) SELECT coalesce(n.label, o.label) AS label, round(round(CASE WHEN o.label IS NULL THEN n.p WHEN n.label IS NULL THEN 100.0 ELSE (100.0 * 60 + n.p * n.t) / (60 + n.t) END, 1), 1)::DOUBLE AS pitch_hz,
-    (CASE WHEN o.label IS NULL THEN 0 ELSE 60 END + coalesce(n.t, 0))::DOUBLE AS total_speech_sec FROM n FULL JOIN o ON n.label = o.label""",
+    f"""WITH {VEC}, s AS (SELECT label, 120.0 + vec_id % 5 AS p, 0.05 + 0.001 * (vec_id % 3) AS e, vec_id % 9 + 1.0 AS dur FROM vec WHERE vec_id % 2 = 1), n AS (SELECT label, sum(p * dur) / sum(dur) AS p, sum(e * dur) / sum(dur) AS e, sum(dur) AS t FROM s GROUP BY label),
+    {_by_label("o0", "vec_id % 2 = 0 AND label < 8")}, {_by_label("n0", "vec_id % 2 = 1", "vec_id % 9 + 1.0::DOUBLE")}, o AS (SELECT label, {_unit('v')} AS v FROM o0), nv AS (SELECT label, {_unit('v')} AS v FROM n0),
+    b AS (SELECT coalesce(n.label, o.label) AS label, n.p, n.e, n.t, o.v AS old, nv.v AS new, (60 / (60 + n.t))::DOUBLE AS share FROM n JOIN nv USING (label) FULL JOIN o ON n.label = o.label),
+    c AS (SELECT *, CASE WHEN old IS NULL THEN new WHEN new IS NULL THEN old ELSE list_transform(range(1, len(old) + 1), lambda i: old[i] * share + new[i] * (1 - share)) END AS mixed FROM b)
+    SELECT label, round((CASE WHEN old IS NULL THEN p WHEN new IS NULL THEN 100.0 ELSE 100.0 * share + p * (1 - share) END)::DOUBLE, 1) AS pitch_hz, round((CASE WHEN old IS NULL THEN e WHEN new IS NULL THEN 0.04 ELSE 0.04 * share + e * (1 - share) END)::DOUBLE, 4) AS energy_rms,
+    (CASE WHEN old IS NULL THEN 0 ELSE 60 END + coalesce(t, 0))::DOUBLE AS total_speech_sec, list_transform({_unit('mixed')}, lambda x: round(x, 5)) AS v FROM c""",
 )
 def weighted_blend(spark, d):
     v = vec(spark, d)
-    samples = v.where("vec_id % 2 = 1").select(F.col("label").alias("name"), "v", (F.lit(120.0) + F.col("vec_id") % 5).alias("pitch_hz"), F.lit(0.05).alias("energy_rms"), (F.col("vec_id") % 9 + 1).cast("double").alias("duration"))
+    samples = v.where("vec_id % 2 = 1").select(F.col("label").alias("name"), "v", (F.lit(120.0) + F.col("vec_id") % 5).alias("pitch_hz"), (F.lit(0.05) + 0.001 * (F.col("vec_id") % 3)).alias("energy_rms"), (F.col("vec_id") % 9 + 1).cast("double").alias("duration"))
     stored = V.centroids(v.where("vec_id % 2 = 0 AND label < 8"), ["label"]).select(F.col("label").alias("name"), "v", F.lit(100.0).alias("pitch_hz"), F.lit(0.04).alias("energy_rms"), F.lit(60.0).alias("total_speech_sec"))
-    return V.refined(samples, stored).select(F.col("name").alias("label"), "pitch_hz", "total_speech_sec")
+    return V.refined(samples, stored).select(F.col("name").alias("label"), "pitch_hz", "energy_rms", "total_speech_sec", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
 
 
 @query("nearest_prints", f"WITH {VEC}, {_MEAN}, p AS (SELECT a.vec_id AS cluster_id, e.label AS name, {cos('a.v', 'e.v')} AS dist FROM vec a, mean_even e WHERE a.vec_id % 2 = 1) SELECT cluster_id, name, round(dist, 5) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dist, name) AS rank FROM p) WHERE rank <= 3")
@@ -102,9 +121,9 @@ def nearest_prints(spark, d):
     return V.nearest(v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("cluster_id"), "v"), prints, 3).select("cluster_id", "name", F.round("dist", 5).alias("dist"), "rank")
 
 
-@query("composite_distance", f"WITH {_CAND} SELECT cluster_id, name, emb_dist, combined FROM cand")
+@query("composite_distance", f"WITH {_CAND} SELECT cluster_id, name, emb_dist, spectral_dist, mfcc_dist, combined, confidence FROM cand")
 def composite_distance(spark, d):
-    return _candidates(spark, d).select("cluster_id", "name", "emb_dist", "combined")
+    return _candidates(spark, d).select("cluster_id", "name", "emb_dist", "spectral_dist", "mfcc_dist", "combined", "confidence")
 
 
 @query("best_match", f"WITH {_CAND}, {_BEST} SELECT cluster_id, name, combined FROM best WHERE rank = 1")
@@ -128,23 +147,23 @@ def final_names(spark, d):
     return V.final_names(m).select("cluster_id", "final")
 
 
-@query("topk_alternatives", f"WITH {_CAND}, {_BEST}, k AS (SELECT cluster_id, list(name ORDER BY rank) FILTER (WHERE rank > 1 AND confidence >= 0.0) AS names FROM best WHERE rank <= 4 GROUP BY cluster_id) SELECT cluster_id, coalesce(names, []) AS names FROM k")
+@query("topk_alternatives", f"""WITH {_CAND}, {_BEST}, k AS (SELECT cluster_id, list(struct_pack(speaker := name, confidence := round(CAST(confidence AS DECIMAL(6, 3)), 2)::DOUBLE) ORDER BY rank) FILTER (WHERE rank > 1 AND confidence >= 0.05) AS alternatives FROM best WHERE rank <= 4 GROUP BY cluster_id)
+SELECT cluster_id, coalesce(alternatives, []) AS alternatives FROM k""")
 def topk_alternatives(spark, d):
-    return V.alternatives(_candidates(spark, d), 0.0).select("cluster_id", F.transform("alternatives", lambda a: a["speaker"]).alias("names"))
+    return V.alternatives(_candidates(spark, d), 0.05)
 
 
-@query("merge_named", "WITH l AS (SELECT label, vec_id % 3 AS g, 100.0 + vec_id % 11 AS p, vec_id % 9 + 1.0 AS t FROM embeddings) SELECT label * 10 + g AS name, round((sum(p * t) / sum(t))::DOUBLE, 4) AS pitch_hz, sum(t)::DOUBLE AS total_speech_sec, count(*) AS n FROM l GROUP BY ALL")
+@query("merge_named", "WITH l AS (SELECT label, vec_id % 3 AS g, 100.0 + vec_id % 11 AS p, 0.05 + 0.01 * (vec_id % 4) AS e, vec_id % 9 + 1.0 AS t FROM embeddings) SELECT label * 10 + g AS name, round((sum(p * t) / sum(t))::DOUBLE, 4) AS pitch_hz, round((sum(e * t) / sum(t))::DOUBLE, 6) AS energy_rms, sum(t)::DOUBLE AS total_speech_sec, count(*) AS n FROM l GROUP BY ALL")
 def merge_named(spark, d):
-    c = vec(spark, d).select((F.col("label") * 10 + F.col("vec_id") % 3).alias("name"), (F.lit(100.0) + F.col("vec_id") % 11).alias("pitch_hz"), F.lit(0.05).alias("energy_rms"), (F.col("vec_id") % 9 + 1).cast("double").alias("total_speech_sec"))
-    return V.merge_named(c).select("name", F.round("pitch_hz", 4).alias("pitch_hz"), "total_speech_sec", "n")
+    c = vec(spark, d).select((F.col("label") * 10 + F.col("vec_id") % 3).alias("name"), (F.lit(100.0) + F.col("vec_id") % 11).alias("pitch_hz"), (F.lit(0.05) + 0.01 * (F.col("vec_id") % 4)).alias("energy_rms"), (F.col("vec_id") % 9 + 1).cast("double").alias("total_speech_sec"))
+    return V.merge_named(c).select("name", F.round("pitch_hz", 4).alias("pitch_hz"), F.round("energy_rms", 6).alias("energy_rms"), "total_speech_sec", "n")
 
 
 @query("similar_profiles", f"WITH {_CAND} SELECT a.cluster_id AS a, b.cluster_id AS b, count(*) AS n FROM cand0 a JOIN cand0 b ON a.name = b.name AND a.cluster_id < b.cluster_id GROUP BY ALL HAVING count(*) >= 3 AND max(abs(a.emb - b.emb)) < 0.35")
 def similar_profiles(spark, d):
     c, p = _profiles(spark, d)
-    a = c.select(F.col("label").alias("cluster_id"), F.col("v").alias("va"), F.lit(1).alias("_k"))
-    pairs = a.join(V.small(p.select(F.col("label").alias("name"), F.col("v").alias("vb"), F.lit(1).alias("_k"))), "_k")
-    return V.similar_profiles(pairs.select("cluster_id", "name", V.cosine_distance(F.col("va"), F.col("vb")).alias("dist")), 3, 0.35).select("a", "b", "n")
+    near = V.nearest(c.select(F.col("label").alias("cluster_id"), "v"), p.select(F.col("label").alias("name"), "v"), 1000)
+    return V.similar_profiles(near.select(F.lit(0).alias("file_id"), "cluster_id", "name", "dist"), 3, 0.35).select("a", "b", "n")
 
 
 def _window_distances(spark, d):
@@ -177,14 +196,14 @@ def segment_confidence(spark, d):
 
 @query(
     "vote_identify",
-    f"""WITH {_WD}, x AS (SELECT window_id // 5 AS seg_id, window_id AS ord, CASE WHEN dist <= 0.8 THEN CAST(cluster_id AS VARCHAR) END AS name, dist FROM wd WHERE r = 1), p AS (SELECT seg_id, name, count(*) AS n, min(ord) AS o FROM x GROUP BY ALL),
-    t AS (SELECT *, sum(n) OVER (PARTITION BY seg_id) AS total FROM p), b AS (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY n DESC, o) AS r FROM t WHERE name IS NOT NULL)
-    SELECT s.seg_id, CASE WHEN b.n / b.total >= 0.4 THEN b.name ELSE 'UNKNOWN' END AS name FROM (SELECT DISTINCT seg_id FROM x) s LEFT JOIN b ON s.seg_id = b.seg_id AND b.r = 1""",
+    f"""WITH {_WD}, x AS (SELECT window_id // 5 AS seg_id, window_id AS ord, CASE WHEN dist <= 0.8 THEN CAST(cluster_id AS VARCHAR) END AS name, dist FROM wd WHERE r = 1), p AS (SELECT seg_id, name, count(*) AS n, min(ord) AS o, avg(dist) AS d FROM x GROUP BY ALL),
+    t AS (SELECT *, sum(n) OVER (PARTITION BY seg_id) AS total FROM p), b AS (SELECT *, n / total >= 0.4 AS ok, row_number() OVER (PARTITION BY seg_id ORDER BY n DESC, o) AS r FROM t WHERE name IS NOT NULL)
+    SELECT s.seg_id, CASE WHEN b.ok THEN b.name ELSE 'UNKNOWN' END AS name, CASE WHEN b.ok THEN round(1 - b.d, 3) ELSE 0.0::DOUBLE END AS confidence, CASE WHEN b.ok THEN round(b.d, 4) ELSE 1.0::DOUBLE END AS dist FROM (SELECT DISTINCT seg_id FROM x) s LEFT JOIN b ON s.seg_id = b.seg_id AND b.r = 1""",
 )
 def vote_identify(spark, d):
     w = _window_distances(spark, d)
     best = w.groupBy("window_id").agg(F.min_by("cluster_id", F.struct("dist", "cluster_id")).cast("string").alias("name"), F.min("dist").alias("dist"))
-    return V.vote(best.select(F.floor(F.col("window_id") / 5).alias("seg_id"), F.col("window_id").alias("ord"), "name", "dist"), 0.8, 0.4).select("seg_id", "name")
+    return V.vote(best.select(F.floor(F.col("window_id") / 5).alias("seg_id"), F.col("window_id").alias("ord"), "name", "dist"), 0.8, 0.4).select("seg_id", "name", "confidence", "dist")
 
 
 @query("agglomerative")
@@ -202,20 +221,25 @@ def embed_files(spark, d):
     return V.embed_files(vec(spark, d).select(F.col("label").alias("file_id"), "v")).select("file_id", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
 
 
-@query("add_new_prints", "SELECT DISTINCT label AS name, label >= 5 AS fresh FROM embeddings")
+@query(
+    "add_new_prints",
+    f"WITH {VEC}, {_by_label('m', 'true')}, r AS (SELECT label AS name, list_transform(v, lambda x: round(x, 5)) AS v FROM m) SELECT false AS overwritten, name, name >= 5 AS fresh, v FROM r WHERE name <> 7 UNION ALL SELECT true, name, true, v FROM r WHERE name <> 7",
+)
 def add_new_prints(spark, d):
+    """Labels under 5 are stored, all are found anew, label 7 without a vector; kept and overwritten."""
     v = vec(spark, d)
     old = V.mean_vector(v.where("label < 5"), ["label"]).select(F.col("label").alias("name"), "v", F.lit(False).alias("fresh"))
-    new = V.mean_vector(v, ["label"]).select(F.col("label").alias("name"), "v", F.lit(True).alias("fresh"))
-    return V.add_new(old, new).select("name", "fresh")
+    new = V.mean_vector(v, ["label"]).select(F.col("label").alias("name"), F.when(F.col("label") != 7, F.col("v")).alias("v"), F.lit(True).alias("fresh"))
+    both = V.add_new(old, new).withColumn("overwritten", F.lit(False)).unionByName(V.add_new(old, new, True).withColumn("overwritten", F.lit(True)))
+    return both.select("overwritten", "name", "fresh", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
 
 
-@query("add_samples", f"WITH {VEC} SELECT label AS name, round(avg(100.0 + vec_id % 5)::DOUBLE, 4) AS pitch_hz, 0.05::DOUBLE AS energy_rms, (60 + count(*))::DOUBLE AS total_speech_sec FROM vec GROUP BY label")
+@query("add_samples", f"WITH {VEC}, {_by_label('m', 'true')}, a AS (SELECT label, round(avg(100.0 + vec_id % 5)::DOUBLE, 4) AS pitch_hz, 0.05::DOUBLE AS energy_rms, (60 + count(*))::DOUBLE AS total_speech_sec FROM vec GROUP BY label) SELECT label AS name, pitch_hz, energy_rms, total_speech_sec, list_transform({_unit('v')}, lambda x: round(x, 5)) AS v FROM a JOIN m USING (label)")
 def add_samples(spark, d):
     v = vec(spark, d)
     samples = v.select(F.col("label").alias("name"), "v", (F.lit(100.0) + F.col("vec_id") % 5).alias("pitch_hz"), F.lit(0.06).alias("energy_rms"), F.lit(1.0).alias("duration"))
-    stored = V.centroids(v, ["label"]).select(F.col("label").alias("name"), "v", F.lit(90.0).alias("pitch_hz"), F.lit(0.04).alias("energy_rms"), F.lit(60.0).alias("total_speech_sec"))
-    return V.add_samples(samples, stored).select("name", F.round("pitch_hz", 4).alias("pitch_hz"), F.round("energy_rms", 6).alias("energy_rms"), "total_speech_sec")
+    stored = v.select(F.col("label").alias("name")).distinct().select("name", F.array_repeat(F.lit(1.0), 64).alias("v"), F.lit(90.0).alias("pitch_hz"), F.lit(0.04).alias("energy_rms"), F.lit(60.0).alias("total_speech_sec"))
+    return V.add_samples(samples, stored).select("name", F.round("pitch_hz", 4).alias("pitch_hz"), F.round("energy_rms", 6).alias("energy_rms"), "total_speech_sec", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
 
 
 @query("rename_unknown", "WITH x AS (SELECT DISTINCT label % 2 AS file_id, CASE WHEN label > 3 THEN 'UNKNOWN_' || label ELSE 'name' || label END AS old FROM embeddings) SELECT file_id, old, CASE WHEN old LIKE 'UNKNOWN%' THEN 'SPEAKER' || row_number() OVER (PARTITION BY file_id, old LIKE 'UNKNOWN%' ORDER BY old) ELSE old END AS speaker FROM x")

@@ -109,13 +109,15 @@ def probed_duration(log: Column) -> Column:
 
 
 def guarded(df: DataFrame, most: float = MAX_SECONDS) -> DataFrame:
-    """OP-26: an error in the error column for audio of over most seconds."""
-    return df.withColumn("error", F.when(duration(F.col("samples")) > most, F.lit("audio too long")))
+    """OP-26: an error in the error column for audio of over most seconds; an error that is there stays."""
+    had = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("error", F.coalesce(had, F.when(duration(F.col("samples")) > most, F.lit("audio too long"))))
 
 
 def parse_vocabulary(lines: DataFrame) -> DataFrame:
-    """OP-10: (token, id) of lines, split at the last space."""
-    return lines.select(F.regexp_extract("value", r"^(.*) (\d+)$", 1).alias("token"), F.regexp_extract("value", r"^(.*) (\d+)$", 2).cast("int").alias("id"))
+    """OP-10: (token, id) of lines, split at the last space; lines that end in no number are left out."""
+    part = lambda k: F.regexp_extract("value", r"^(.*) (\d+)$", k)
+    return lines.select(part(1).alias("token"), part(2).try_cast("int").alias("id")).where(F.col("id").isNotNull())
 
 
 _PRINT = "name string, v array<double>, pitch_hz double, energy_rms double, total_speech_sec double"
@@ -148,10 +150,32 @@ def write_text(df: DataFrame, path: str, text: str = "text") -> None:
     df.select(F.col(text).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_segments(df: DataFrame, path: str) -> None:
-    """OP-18: samples of segments, a folder for each speaker, with names of hash, time, confidence and length."""
+def segment_files(df: DataFrame, rate: int = RATE) -> DataFrame:
+    """OP-18: segments (path, speaker, start, end, confidence, samples) to (speaker, file_name, content): PCM WAV files, named by hash of the stem, time, confidence and length. Null samples give an empty file."""
     from tessera.functions.text import clock, short_hash
 
-    d = F.col("end") - F.col("start")
-    name = F.concat_ws("_", short_hash(F.col("path")), clock(F.col("start"), "ms"), F.bround(100 * F.col("confidence")).cast("int").cast("string"), F.format_string("%.1f", d))
-    df.withColumn("file_name", name).write.mode("overwrite").partitionBy("speaker").parquet(path)
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    name = F.concat_ws("_", short_hash(stem), clock(F.col("start"), "ms"), F.bround(100 * F.col("confidence")).cast("int").cast("string"), F.format_string("%.1fs", F.col("end") - F.col("start")))
+
+    @F.pandas_udf("binary")
+    def wav(samples: pd.Series) -> pd.Series:
+        return pd.Series([encode_wav(np.asarray([] if x is None else x, np.float32), rate) for x in samples], dtype=object)
+
+    return df.select("speaker", F.concat(name, F.lit(".wav")).alias("file_name"), wav("samples").alias("content"))
+
+
+def concatenated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """OP-48: samples of the rows (ord, samples) of a group, one after the other. A group is a chunk of at most half a minute."""
+    return df.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "samples"))), lambda s: F.coalesce(s["samples"], F.array().cast("array<float>")))).alias("samples"))
+
+
+def write_segments(df: DataFrame, path: str, rate: int = RATE) -> None:
+    """OP-18: the files of segment_files, a folder for each speaker; rows of Parquet, from which any store can be filled."""
+    segment_files(df, rate).write.mode("overwrite").partitionBy("speaker").parquet(path)
+
+
+def write_review(df: DataFrame, path: str) -> None:
+    """OP-19: the review of each file (see segments.review), a line of JSON each."""
+    from tessera.operators.segments import review
+
+    review(df).select("json").write.mode("overwrite").text(path)
