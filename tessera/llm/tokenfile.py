@@ -112,45 +112,55 @@ def loaded(path: str) -> Chunks:
     return _loaded[path]
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each value's group, and a member of each group."""
-    order = np.argsort(key)
-    new = np.concatenate(([True], key[order[1:]] != key[order[:-1]]))
-    group = np.empty(len(key), np.int64)
-    group[order] = np.cumsum(new) - 1
+def _groups(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each pair's group, groups in order of their pairs, and a member of each group. Symbols have bits bits."""
+    size = max(1, (len(left) - 1).bit_length())
+    if 2 * bits + size < 64:  # a value sort of pair and index in one number is faster than a sort of indexes
+        both = np.sort((((left.astype(np.int64) << bits) | right) << size) | np.arange(len(left)))
+        order, key = both & ((1 << size) - 1), both >> size
+    else:
+        key = (left.astype(np.int64) << 32) | right
+        order = np.argsort(key)
+        key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    group = np.empty(len(left), np.int32)
+    group[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return group, order[new]
 
 
 def repair(seq: np.ndarray, first: int, stop: int = STOP) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule k is nonterminal first + k. Nothing but overlapping places of one pair occurs twice in the symbols; no pair holds the stop symbol."""
     n = len(seq)
-    sym = np.append(np.where(seq == stop, -1, seq.astype(np.int64)), -1)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    sym = np.append(np.where(seq == stop, -1, seq.astype(np.int64)), -1).astype(np.int32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[-1] = n
     alive, marked = np.ones(n + 1, bool), np.zeros(n + 1, bool)
     alive[n] = False
-    rank = np.zeros(n + 1, np.int64)  # of a place's pair in this round, the most frequent first; 0 for no candidate
+    rank = np.zeros(n + 1, np.int32)  # of a place's pair in this round, the most frequent first; 0 for no candidate
     rules, total, whole = [], 0, True
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     while True:
         at = at[(sym[at] >= 0) & (sym[after[at]] >= 0)]
         right = after[at]
-        group, one = _groups(sym[at] << 32 | sym[right]) if len(at) else (at, at)
+        group, one = _groups(sym[at], sym[right], max(1, (first + total).bit_length())) if len(at) else (at, at)
         # Of places of one pair that overlap, as in a run of one id, every second one counts.
         again = np.zeros(len(at), bool)
         again[1:] = (group[1:] == group[:-1]) & (right[:-1] == at[1:])
-        index = np.arange(len(at))
-        odd = ((index - np.maximum.accumulate(np.where(again, 0, index))) & 1) == 1
+        odd = again
+        if again.any():
+            index = np.arange(len(at))
+            odd = ((index - np.maximum.accumulate(np.where(again, 0, index))) & 1) == 1
         count = np.bincount(group[~odd], minlength=len(one))
         good = (count[group] > 1) & ~odd
         if not good.any():
             if whole:
                 break
-            at, whole = np.flatnonzero(alive), True
+            at, whole = np.flatnonzero(alive).astype(np.int32), True
             continue
         pairs = np.stack((sym[at[one]], sym[right[one]]), axis=1)
-        place = np.empty(len(one), np.int64)
-        place[np.argsort(-count, kind="stable")] = np.arange(1, len(one) + 1)
+        often = np.flatnonzero(count > 1)
+        place = np.zeros(len(one), np.int32)
+        place[often[np.argsort(65535 - np.minimum(count[often], 65535).astype(np.uint16), kind="stable")]] = np.arange(1, len(often) + 1)
         cand, of = at[good], group[good]
         rank[cand] = place[of]
         undecided, won = cand, []
@@ -182,10 +192,10 @@ def repair(seq: np.ndarray, first: int, stop: int = STOP) -> tuple[np.ndarray, n
         marked[at[count[group] > 1]] = True
         marked[cand] = True
         marked[before[cand]] = True
-        at = np.flatnonzero(marked & alive)
+        at = np.flatnonzero(marked & alive).astype(np.int32)
         marked[:] = False
         whole = False
-    out = sym[:n][alive[:n]]
+    out = sym[:n][alive[:n]].astype(np.int64)
     return np.where(out < 0, stop, out), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
@@ -228,16 +238,17 @@ class Planes:
 
 def packed(ids: np.ndarray, doc_ids: list, counts: np.ndarray) -> bytes:
     """The bytes of a block."""
-    ids = ids.astype(np.uint32)
-    used, ids = np.unique(np.append(ids, END), return_inverse=True)
-    ids = ids[:-1].astype(np.uint32)
+    seen = np.zeros(max(int(ids.max(initial=0)), END) + 1, bool)
+    seen[ids] = seen[END] = True
+    used = np.flatnonzero(seen)
+    ids = (np.cumsum(seen) - 1).astype(np.uint32)[ids]
     ids[np.cumsum(counts) - 1] = STOP
     seq, rules = repair(ids, len(used))
     ends = np.flatnonzero(seq == STOP) + 1
     seq[ends - 1] = np.searchsorted(used, END)
     bits = max(16, (len(used) + len(rules) - 1).bit_length())
-    lengths = zlib.compress((expansions(rules, len(used))[len(used) :] - 2).astype("<u4").tobytes(), 6)
-    left = zlib.compress(np.diff(rules[:, 0], prepend=0).astype("<i4").tobytes(), 6)  # a round's rules are in order of their pairs
+    lengths = zlib.compress((expansions(rules, len(used))[len(used) :] - 2).astype("<u4").tobytes(), 2)
+    left = zlib.compress(np.diff(rules[:, 0], prepend=0).astype("<i4").tobytes(), 2)  # a round's rules are in order of their pairs
     return b"".join(
         (
             struct.pack("<4s7I", b"TRP2", len(doc_ids), len(used), len(rules), len(seq), bits, len(left), len(lengths)),
