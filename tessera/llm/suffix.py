@@ -3,13 +3,14 @@
 Which suffixes must be sorted together is settled first. Every 200-byte window has an anchor, its 64-byte substring of least
 hash; equal windows have equal anchors. Consecutive windows with one anchor form a segment. Segments meet by the hash of
 their anchor, read as a sorted stream: an anchor that occurs once matches nothing; equal segments match as a whole, and only one of them goes
-on; only anchors with several different segments need their suffixes sorted. These segments, one of each kind, are dealt to shards, and a
+on; only anchors with several different segments need their suffixes sorted. These segments, one of each kind, are dealt to shards, as many as their bytes ask for, and a
 shard's suffixes are sorted by external induced sorting (see induced). Its pieces, their suffixes and their order keep to a memory limit, also those
 of one anchor, and are in temporary files beyond it.
 Neighbours in the order with a common prefix of 200 bytes or more match. Matches are judged on the input only.
 
 Null and empty texts and texts under 200 bytes lose nothing. Rows that repeat are copies, so all their windows match. Rows are told apart by
-doc_id and a 64-bit hash of the text; segments by 128 bits. Other columns are not read; an empty table gives no rows.
+doc_id and a 64-bit hash of the text; segments by 128 bits. Other columns are not read but for those asked for, of any names; one that is named like a
+result is left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from tessera.llm.induced import MEMORY, Sink, array, spans, suffix_order
 
 LENGTH = 200
 GRAM = 64
-#: Shards a shuffle partition; a task sorts one after the other.
-SHARDS = 16
+#: Bytes of pieces a shard has on average; a task sorts one shard after the other. One anchor's pieces are in one shard, however many.
+SHARD_BYTES = 80_000
 _COLUMNS = ["anchor", "seg", "doc_id", "th", "start", "n"]
 _OCCURRENCE = "anchor long, seg long, doc_id long, th long, start int, n int"
 _RANGE = "doc_id long, th long, start int, n int"
@@ -224,15 +225,16 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     """(doc_id, th, ranges): of each text that has any, the starts of its matching windows as runs (start, n); th is xxhash64 of the text."""
     spark = df.sparkSession
     where = f"{shared_dir(spark)}/suffix"
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("text"))
+    docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("th"), F.col(f"`{text}`").alias("text"))
     long_ = docs.where(F.octet_length("text") >= LENGTH)
     found = long_.mapInArrow(_anchored, _OCCURRENCE).repartition("anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_resolved, f"kind tinyint, {_OCCURRENCE}")
     found = saved(found, f"{where}/found")
     reps = found.where("kind = 1").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("reps"))
     joined = long_.alias("d").join(reps.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.th") == F.col("r.th"))).select("d.doc_id", "d.th", "d.text", "r.reps")
-    shards = SHARDS * max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    size = found.where("kind = 1").agg(F.coalesce(F.sum(F.col("n") + LENGTH - 1), F.lit(0)).alias("b")).first()["b"]
+    shards = max(1, -(-size // SHARD_BYTES))
     pieces = joined.mapInArrow(_cut, "anchor long, doc_id long, th long, start int, n int, piece binary")
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).select("shard", "doc_id", "th", "start", "n", "piece")
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select("shard", "doc_id", "th", "start", "n", "piece")
     sorted_ = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sorted_shards(most), _RANGE)
     ranges = found.where("kind = 0").select("doc_id", "th", "start", "n").unionByName(sorted_)
     return saved(ranges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "n")).alias("ranges")), f"{where}/ranges")
@@ -241,10 +243,12 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", most: int =
 def removed(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), most: int = MEMORY, as_text: bool = False) -> DataFrame:
     """key, keep, n_bytes, n_removed, n_spans and kept, the remaining bytes, of every row; as_text: as a string without the rests of cut characters."""
     ranges = repeated(df, key, text, most).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    docs = df.select(key, *keep, F.col(text).alias("_text"))
-    same = F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("_text"), F.lit(""))) == F.col("_th"))
-    joined = docs.join(ranges, same, "left").select(key, *keep, "_text", "ranges")
-    kinds = dict(df.dtypes)
+    keep = tuple(c for c in keep if c not in (key, "n_bytes", "n_removed", "n_spans", "kept"))
+    kinds = [df.schema[c].dataType.simpleString() for c in (key, *keep)]
+    inner = [f"_in{k}" for k in range(len(kinds))]
+    docs = df.select(*[F.col(f"`{c}`").alias(i) for c, i in zip((key, *keep), inner)], F.col(f"`{text}`").alias("_text"))
+    same = F.col("_in0").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("_text"), F.lit(""))) == F.col("_th"))
+    joined = docs.join(ranges, same, "left").select(*inner, "_text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = 1 + len(keep)
@@ -262,10 +266,11 @@ def removed(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[
                         spans, kept = 0, raw
                     for o, v in zip(out, (len(raw), len(raw) - len(kept), spans, kept.decode("utf-8", "ignore") if as_text else kept)):
                         o.append(v)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(m)), *(pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())))], [key, *keep, "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(m)), *(pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())))], [*inner, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep))
-    return joined.mapInArrow(run, f"{head}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    head = ", ".join(f"{i} {kind}" for i, kind in zip(inner, kinds))
+    out = joined.mapInArrow(run, f"{head}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, (key, *keep))], "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,6 +352,10 @@ def test_op6_equals_brute_force(spark, docs, empty):
     assert want == collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect())
     assert any(v[2] and v[3] > 0 for v in want)
     assert suffix.removed(empty).count() == 0
+    names = docs.select("doc_id", "text", F.lit(1).alias("_text"), F.lit("2").alias("_id"), F.lit(3).alias("kept"), F.lit(4).alias("a.b"))
+    again = suffix.removed(names, keep=("_text", "_id", "kept", "a.b"))
+    assert again.columns == ["doc_id", "_text", "_id", "a.b", "n_bytes", "n_removed", "n_spans", "kept"]
+    assert want == collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in again.collect() if (r["_text"], r["_id"], r["a.b"]) == (1, "2", 4))
 
 
 @pytest.mark.parametrize("most", [3, 40, 100_000])
@@ -497,11 +501,47 @@ def test_op10_equals_brute_force(spark, docs, empty):
     for k, (d, _) in enumerate(rows):
         least[find(k)] = min(d, least.get(find(k), d))
     want = collections.Counter((d, len(sets[k]), least[find(k)], d == least[find(k)]) for k, (d, _) in enumerate(rows))
-    got = minhash.near_duplicates(more).where("doc_id IS NOT NULL").collect()
+    clash = more.select("doc_id", "text", F.lit(1).alias("node"), F.lit(2).alias("kept"), F.lit(3).alias("sig"), F.lit(4).alias("a.b"))
+    out = minhash.near_duplicates(clash, keep=("node", "kept", "sig", "a.b"))
+    assert out.columns == ["doc_id", "node", "sig", "a.b", "n_shingles", "component_id", "kept"]
+    got = out.where("doc_id IS NOT NULL").collect()
     assert want == collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got)
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_op10_large_groups_are_split_into_cells_without_losing_links(spark, monkeypatch):
+    """Near copies of two texts, most pairs of which aren't similar enough, in cells of a few members; rows of the cells stay in proportion to the members."""
+    monkeypatch.setattr(minhash, "ROWS_OF_BLOCK", 8)
+    monkeypatch.setattr(minhash, "BYTES_OF_BLOCK", 3000)
+    r = random.Random(21)
+    made = []
+    for g in range(2):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for _ in range(45):
+            t = list(base)
+            for _ in range(r.randint(0, 3)):
+                t[r.randrange(60)] = f"x{r.randrange(1000)}"
+            made.append(" ".join(t))
+        made += [made[-1]] * 5
+    r.shuffle(made)
+    sets = [{tuple(q[i : i + 5]) for i in range(len(q) - 4)} for q in (t.split() for t in made)]
+    root = list(range(len(made)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(made)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert len({find(k) for k in range(len(made))}) > 4
+    got = minhash.near_duplicates(spark.createDataFrame([(k, t) for k, t in enumerate(made)], "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {k: find(k) for k in range(len(made))}
+
+
 def test_op10_pruning_keeps_similar_pairs():
     for n in (16, 64, 128):
         m = minhash.least_equal(n)
