@@ -85,11 +85,11 @@ def transcript_srt(spark, d):
     return T.transcript_srt(turns(spark, d))
 
 
-@query("transcript_json", f"""WITH {TURNS} SELECT file_id, string_agg(text, ' ' ORDER BY ord) AS full_text, list(struct_pack(text := text, start := start, "end" := "end", speaker := speaker) ORDER BY ord) AS segments FROM turns GROUP BY file_id""")
+@query("transcript_json", f"""WITH {TURNS} SELECT file_id, string_agg(text, ' ' ORDER BY ord) AS full_text, list(text ORDER BY ord) AS texts, list(start::DOUBLE ORDER BY ord) AS starts, list("end"::DOUBLE ORDER BY ord) AS ends, list(speaker ORDER BY ord) AS speakers FROM turns GROUP BY file_id""")
 def transcript_json(spark, d):
     j = T.transcript_json(turns(spark, d))
     got = F.from_json("json", "segments array<struct<text:string,start:double,end:double,speaker:string>>, full_text string")
-    return j.withColumn("_j", got).select("file_id", F.col("_j.full_text").alias("full_text"), F.col("_j.segments").alias("segments"))
+    return j.withColumn("_j", got).select("file_id", F.col("_j.full_text").alias("full_text"), *[F.col(f"_j.segments.{c}").alias(f"{c}s") for c in ("text", "start", "end", "speaker")])
 
 
 @query("dangling_header", f"""WITH {TURNS} SELECT file_id, ord, CASE WHEN ord % 3 = 1 THEN text || ' tail' ELSE regexp_replace(text, '\\n+$', '') END AS text FROM turns""")

@@ -147,10 +147,10 @@ def final_names(spark, d):
     return V.final_names(m).select("cluster_id", "final")
 
 
-@query("topk_alternatives", f"""WITH {_CAND}, {_BEST}, k AS (SELECT cluster_id, list(struct_pack(speaker := name, confidence := round(CAST(confidence AS DECIMAL(6, 3)), 2)::DOUBLE) ORDER BY rank) FILTER (WHERE rank > 1 AND confidence >= 0.05) AS alternatives FROM best WHERE rank <= 4 GROUP BY cluster_id)
-SELECT cluster_id, coalesce(alternatives, []) AS alternatives FROM k""")
+@query("topk_alternatives", f"""WITH {_CAND}, {_BEST}, k AS (SELECT cluster_id, list(name ORDER BY rank) FILTER (WHERE rank > 1 AND confidence >= 0.05) AS names, list(round(CAST(confidence AS DECIMAL(6, 3)), 2)::DOUBLE ORDER BY rank) FILTER (WHERE rank > 1 AND confidence >= 0.05) AS confidences FROM best WHERE rank <= 4 GROUP BY cluster_id)
+SELECT cluster_id, coalesce(names, []) AS names, coalesce(confidences, []) AS confidences FROM k""")
 def topk_alternatives(spark, d):
-    return V.alternatives(_candidates(spark, d), 0.05)
+    return V.alternatives(_candidates(spark, d), 0.05).select("cluster_id", F.col("alternatives.speaker").alias("names"), F.col("alternatives.confidence").alias("confidences"))
 
 
 @query("merge_named", "WITH l AS (SELECT label, vec_id % 3 AS g, 100.0 + vec_id % 11 AS p, 0.05 + 0.01 * (vec_id % 4) AS e, vec_id % 9 + 1.0 AS t FROM embeddings) SELECT label * 10 + g AS name, round((sum(p * t) / sum(t))::DOUBLE, 4) AS pitch_hz, round((sum(e * t) / sum(t))::DOUBLE, 6) AS energy_rms, sum(t)::DOUBLE AS total_speech_sec, count(*) AS n FROM l GROUP BY ALL")

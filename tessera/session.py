@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,5 +26,13 @@ def session(app: str = "tessera", cores: str = "*", shuffle_partitions: int | No
     return builder.getOrCreate()
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Sends this package to the workers, so that functions in it load there wherever the driver was started from. Not needed where it is installed on all nodes."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="tessera-")  # read by the driver alone, which serves it
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tessera", "zip", top, "tessera"))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
