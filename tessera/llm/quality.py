@@ -104,8 +104,9 @@ def references(df: DataFrame, where: str, text: str = "text", language: str = "l
     classes = kept.select("_lang", F.array(*[part[c] / total for c in CLASSES]).alias("_qc"))
 
     both = seen.where("_w IS NOT NULL").select("_lang", "_w", "_n")
-    sizes = both.groupBy("_lang").agg(F.sum("_n").cast("double").alias("_all"))
-    common = both.join(sizes.join(classes.select("_lang"), "_lang"), "_lang").where(F.col("_n") >= word_share * F.col("_all"))
+    sizes = both.groupBy("_lang").agg(F.sum("_n").cast("double").alias("_all")).join(classes.select("_lang"), "_lang")
+    few = classes.limit(BROADCAST + 1).count() <= BROADCAST  # a row each of known languages; without a broadcast, a language's words would meet in one task
+    common = both.join(F.broadcast(sizes) if few else sizes, "_lang").where(F.col("_n") >= word_share * F.col("_all"))
     bins = common.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("n"), F.col("_w").alias("w"), (F.col("_n") / F.col("_all")).alias("q")))).alias("_bins"))
     q = F.transform("_bins", lambda b: b["q"])
     slots = F.transform("_bins", lambda b: F.pmod(F.hash(b["w"]), F.lit(SLOTS)))
