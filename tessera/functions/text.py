@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,11 +107,40 @@ def _again(text: str, at: int) -> int:
     return at
 
 
+def _candidates(piece: str, reach: int, most: int) -> list[int]:
+    """The first most places of a piece whose next four characters, whatever their case, come again within reach and once more within twice reach: no loop begins elsewhere."""
+    low = piece.lower().replace("ς", "σ")
+    if len(low) != len(piece):
+        low = "".join(c.lower()[0] for c in piece).replace("ς", "σ")
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(c) - 3
+    if n < 3:
+        return []
+    gram = (c[:n] | c[1 : n + 1] << np.uint64(21) | c[2 : n + 2] << np.uint64(42)) * np.uint64(0x9E3779B97F4A7C15) + c[3:]
+    order = np.argsort(gram, kind="stable")
+    again = gram[order[1:]] == gram[order[:-1]]
+    after = np.full(2 * n + 2 * reach + 2, 2 * n + 2 * reach + 1)
+    after[order[:-1][again]] = order[1:][again]
+    at = np.arange(min(n, most))
+    return at[(after[at] - at <= reach) & (after[after[at]] - at <= 2 * reach)].tolist()
+
+
+def _next_loop(text: str, at: int, space: int) -> re.Match | None:
+    """The first loop that starts at a place or later, looked for piece by piece; space is the longest run of white space."""
+    reach = _LONGEST_UNIT + space
+    step = max(8192, 4 * reach)
+    for begin in range(at, len(text), step):
+        for k in _candidates(text[begin : begin + step + 2 * reach + 4], reach, step):
+            if m := _LOOP.match(text, begin + k):
+                return m
+    return None
+
+
 def clean_loops(text: str) -> str:
     """OP-79: units of 4 to 120 characters within a line that follow each other three times or more, with white space between, become a tag, with the parts of the unit
     beside them; then tags in a row, and tags with a few words between them, become one. The whole text is searched, however long, until no loop is left."""
-    at = 0
-    while m := _LOOP.search(text, at):
+    at, space = 0, max(map(len, re.findall(r"\s+", text)), default=0)
+    while m := _next_loop(text, at, space):
         left, right = without_tail(text[: m.start()], m[1]), without_head(text[m.end() :], m[1])
         new = " ".join(part for part in (left, INAUDIBLE, right) if part)
         if new == text:

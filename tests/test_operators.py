@@ -148,6 +148,8 @@ def test_loops_are_all_found_in_whole_texts(spark):
     assert len(sixty) > 4000 and T.clean_loops(sixty) == plain_loops(sixty) and T.clean_loops(sixty).count("[inaudible]") == 60
     across = "word " * 790 + "".join(f"x{k} " for k in range(10)) + "over the edge " * 20 + "end"
     assert T.clean_loops(across) == plain_loops(across)
+    odd = ["ΣΑΣ ΟΣ σας ος σασ οσ end", "İabc İabc iabc x", "a  b  a  b  a  b", "ab" + " " * 300 + "abcd abcd" + " " * 300 + "abcd", "x y z w " * 3 + "\ud83d\ude00" * 3, "STRASSE strasse StraSSe", "\n".join(["line of it"] * 4)]
+    assert [T.clean_loops(t) for t in odd] == [plain_loops(t) for t in odd]
     assert T.clean_loops("the number 100000000000000 is big") == "the number 100000000000000 is big"
     d = spark.createDataFrame([(1, None), (2, ""), (3, "again and again " * 3)], "id long, text string")
     assert [r.t for r in d.select("id", T.loop_cleaned("text").alias("t")).orderBy("id").collect()] == [None, "", "[inaudible]"]
