@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import tempfile
@@ -76,16 +77,19 @@ def put(uri: str, arrays: list[np.ndarray]) -> None:
 
 
 def mapped(uri: str) -> list[np.ndarray]:
-    """The arrays of a file, mapped and not read; from a store that isn't local, of a copy that this worker makes once."""
+    """The arrays of a file, mapped and not read; from a store that isn't local, of a copy that the workers of a node share."""
     path = _local(uri) or _fetched.get(uri)
     if path is None:
         from pyarrow import fs
 
         store, at = fs.FileSystem.from_uri(uri)
-        path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), os.path.basename(at))
-        with store.open_input_stream(at) as f, open(path, "wb") as g:
-            while chunk := f.read(1 << 24):
-                g.write(chunk)
+        path = os.path.join(tempfile.gettempdir(), f"tessera-{hashlib.sha256(uri.encode()).hexdigest()[:32]}")
+        if not os.path.exists(path):
+            draft = f"{path}.{uuid.uuid4().hex}"
+            with store.open_input_stream(at) as f, open(draft, "wb") as g:
+                while chunk := f.read(1 << 24):
+                    g.write(chunk)
+            os.replace(draft, path)  # whole or not at all; workers that meet make it twice at most
         _fetched[uri] = path
     if os.path.getsize(path) == 0:
         return []

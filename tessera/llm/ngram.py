@@ -268,19 +268,22 @@ def train(df: DataFrame, where: str, text: str = "text") -> Model:
 
 
 def scored(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_tokens, n_known, base_score and score of every row."""
+    """keep, n_tokens, n_known, base_score and score of every row. Columns of keep may have any names; one that is named like a result is left out."""
     where, parts, ranges, sums = model.where, model.parts, model.ranges, model.sums
-    kinds = dict(df.dtypes)
+    names = ["n_tokens", "n_known", "base_score", "score"]
+    keep = tuple(c for c in keep if c not in names)
+    inner = [f"_in{k}" for k in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(where, parts, ranges, sums)
         for b in batches:
             for i, j, data, off in textvec.blocks(b.column(len(keep))):
                 n, known, base, score = m.score(data, off)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(len(keep))), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], [*keep, "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(len(keep))), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], [*inner, *names])
 
-    out = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return df.select(*keep, text).mapInArrow(run, f"{out}, n_tokens long, n_known long, base_score double, score double")
+    out = "".join(f"{k} {df.schema[c].dataType.simpleString()}, " for k, c in zip(inner, keep))
+    rows = df.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(inner, keep)], F.col(f"`{text}`").alias("_text"))
+    return rows.mapInArrow(run, f"{out}n_tokens long, n_known long, base_score double, score double").select(*[F.col(k).alias(c) for k, c in zip(inner, keep)], *names)
 
 
 def held_out(key: Column) -> Column:

@@ -63,7 +63,7 @@ def place(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: int
     """df with the columns slot and shard."""
     if clash := {"slot", "shard"} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns already there: {sorted(clash)}")
-    return df.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(slots_frame(df.sparkSession, shards, slots, weights)), "slot", "left").select(*df.columns, "slot", "shard")
+    return df.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(slots_frame(df.sparkSession, shards, slots, weights)), "slot", "left").select(*[F.col(f"`{c}`") for c in df.columns], "slot", "shard")
 
 
 def write_shards(df: DataFrame, key: str, where: str, shards: tuple[str, ...] = SHARDS, files_per_shard: int = 4, **options) -> None:

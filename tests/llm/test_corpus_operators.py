@@ -93,6 +93,10 @@ def test_op1_equals_a_plain_model(spark, docs, empty, tmp_path):
         assert g.n_tokens == len(q) and g.n_known == sum(c[w] > 0 for w in q)
         assert g.score == pytest.approx(score, rel=1e-9) and g.base_score == pytest.approx(base, rel=1e-9)
     assert ngram.scored(empty, model).count() == 0
+    names = marked.select("doc_id", "text", F.lit(1).alias("score"), F.lit(2).alias("_in0"), F.lit(3).alias("a.b"), F.lit(4).alias("_text"))
+    again = ngram.scored(names, model, keep=("_text", "score", "_in0", "a.b", "doc_id"))
+    assert again.columns == ["_text", "_in0", "a.b", "doc_id", "n_tokens", "n_known", "base_score", "score"]
+    assert collections.Counter((r.doc_id, r.score) for r in again.collect()) == collections.Counter((r.doc_id, r.score) for v in got.values() for r in v)
     none = ngram.train(empty, f"file://{tmp_path}/none")
     assert all(r.score == 0 and r.n_known == 0 for r in ngram.scored(docs, none).collect())
 
@@ -415,6 +419,14 @@ def test_op7_table_and_moves():
         sharding.lookup_table(("a", "a"))
 
 
+def test_op7_written_shards(spark, docs, empty, tmp_path):
+    named = docs.withColumn("a.b", F.lit(1))
+    sharding.write_shards(named, "doc_id", f"{tmp_path}/s")
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert collections.Counter((r.doc_id, r.text, r["a.b"], r.shard) for r in back.collect()) == collections.Counter((r.doc_id, r.text, r["a.b"], r.shard) for r in sharding.place(named, "doc_id").collect())
+    sharding.write_shards(empty, "doc_id", f"{tmp_path}/e")
+
+
 def test_op7_rows(spark, docs, empty):
     out = sharding.place(docs, "doc_id").collect()
     assert len(out) == docs.count() and all(r.shard in sharding.SHARDS for r in out)
