@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontaminate, html, minhash, ngram, quality, sharding, suffix, tokenfile
+from tessera.llm import balls, bpe, chat, decontaminate, errata, html, minhash, ngram, pieces, quality, sharding, suffix, tokenfile
 
 QUERIES = {
     "op1_kneser_ney": ngram.op1_kneser_ney,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_quality": quality.op9_quality,
     "op10_minhash": minhash.op10_minhash,
+    "op11_balls": balls.op11_balls,
+    "op12_errata": errata.op12_errata,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
-ORACLE_SQL = {"op7_sharding": sharding.oracle_sql(), "op9_quality": quality.oracle_sql(), "op10_minhash": minhash.oracle_sql()}
+ORACLE_SQL = {"op7_sharding": sharding.oracle_sql(), "op9_quality": quality.oracle_sql(), "op10_minhash": minhash.oracle_sql(), "op11_balls": balls.oracle_sql(), "op12_errata": errata.oracle_sql()}
