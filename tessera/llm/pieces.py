@@ -20,13 +20,17 @@ import re
 import struct
 from collections.abc import Iterator
 from itertools import groupby
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE = 400_000
+#: Parts of each of two generations of the cache.
+CACHE = 750_000
+PLACE = (1 << 32) - 1
+SHORT, NEVER = 32, 1 << 31
 LONG = 64
 BATCH = 200
 SPACE = "▁"
@@ -66,6 +70,7 @@ class Pieces(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         with open(path, "rb") as f:
             model = list(fields(f.read()))
         trainer = dict(fields(next((v for k, v in model if k == 2), b"")))
@@ -96,6 +101,10 @@ class Pieces(dict):
         frozen = sorted((p for p, i in self.id.items() if self.kind[i] == USER), key=len, reverse=True)
         self.symbols = re.compile("|".join([*map(re.escape, frozen), "(?s:.)"])).findall
         self.frozen = set(frozen)
+        place = {x: k for k, x in enumerate(sorted({-self.score[i] for i in self.id.values()}))}
+        self.rank = {p: place[-self.score[i]] for p, i in self.id.items()}
+        self.unused = UNUSED in self.kind
+        self.plain = {p: i for p, i in self.id.items() if p not in self.own and self.kind[i] != UNUSED}
         self.cut = self._cut()
 
     def _cut(self):
@@ -117,39 +126,65 @@ class Pieces(dict):
         return re.compile("|".join([*kinds, f"{SPACE}+", "(?s:.)"])).findall
 
     def merged(self, part: str) -> list[int]:
-        """Ids of one part."""
+        """Ids of one part. An entry of the agenda is the rank of a piece's score and the place where the piece would begin, in one number. The agenda of a short part is a plain list, without stale entries."""
+        if len(part) <= SHORT and not self.frozen and not self.unused:
+            return self._merged_short(part)
         sym = self.symbols(part) if self.frozen else list(part)
-        n, ids, score, frozen = len(sym), self.id, self.score, self.frozen
+        n, rank, made, pop, push = len(sym), self.rank, {}, heapq.heappop, heapq.heappush
         right, left = [*range(1, n), -1], [*range(-1, n - 1)]
-        agenda, made, push, pop = [], {}, heapq.heappush, heapq.heappop
-
-        def pair(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and sym[i] not in frozen and sym[j] not in frozen:
-                new = sym[i] + sym[j]
-                k = ids.get(new)
-                if k is not None:
-                    push(agenda, (-score[k], i, j, new))
-                    if self.kind[k] == UNUSED:
-                        made[new] = (sym[i], sym[j])
-
-        for i in range(n - 1):
-            pair(i, i + 1)
+        agenda = [r << 32 | i for i, r in enumerate(map(rank.get, map(add, sym, sym[1:]))) if r is not None]
+        if self.frozen:
+            agenda = [e for e in agenda if not self.frozen.intersection(sym[e & PLACE : (e & PLACE) + 2])]
+        heapq.heapify(agenda)
         while agenda:
-            _, i, j, new = pop(agenda)
-            if sym[i] is None or sym[j] is None or len(sym[i]) + len(sym[j]) != len(new):
+            e = pop(agenda)
+            i = e & PLACE
+            j = right[i]
+            if j < 0 or sym[i] is None:
                 continue  # stale
+            new = sym[i] + sym[j]
+            if rank.get(new) != e >> 32:
+                continue  # stale
+            if self.unused:
+                made[new] = (sym[i], sym[j])
             sym[i], sym[j] = new, None
             k = right[i] = right[j]
             if k >= 0:
                 left[k] = i
-            pair(left[i], i)
-            pair(i, k)
+                if (r := rank.get(new + sym[k])) is not None and sym[k] not in self.frozen:
+                    push(agenda, r << 32 | i)
+            h = left[i]
+            if h >= 0 and (r := rank.get(sym[h] + new)) is not None and sym[h] not in self.frozen:
+                push(agenda, r << 32 | h)
+        ids = self.plain.get
         out: list[int] = []
         for s in sym:
             if s is not None:
-                self._found(s, made, out)
+                if (i := ids(s)) is not None:
+                    out.append(i)
+                else:
+                    self._found(s, made, out)
         return out
 
+    def _merged_short(self, part: str) -> list[int]:
+        sym, rank = list(part), self.rank.get
+        agenda = [rank(p, NEVER) for p in map(add, sym, part[1:])]
+        while agenda and (best := min(agenda)) != NEVER:
+            i = agenda.index(best)  # of equal ones the first
+            new = sym[i] = sym[i] + sym.pop(i + 1)
+            agenda.pop(i)
+            if i < len(agenda):
+                agenda[i] = rank(new + sym[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = rank(sym[i - 1] + new, NEVER)
+        try:
+            return [self.plain[s] for s in sym]
+        except KeyError:
+            out: list[int] = []
+            for s in sym:
+                self._found(s, {}, out)
+            return out
+
     def _found(self, piece: str, made: dict, out: list[int]) -> None:
         i = self.own.get(piece, self.id.get(piece, self.unknown))
         if self.kind[i] == UNUSED and piece in made:
@@ -161,9 +196,12 @@ class Pieces(dict):
             out.append(i)
 
     def __missing__(self, part: str) -> bytes:
-        ids = b"".join(map(self.packed.__getitem__, self.merged(part)))
+        ids = self.before.get(part)
+        if ids is None:
+            ids = b"".join(map(self.packed.__getitem__, self.merged(part)))
         if len(part) <= LONG:
             if len(self) >= CACHE:
+                self.before = dict(self)
                 self.clear()
             self[part] = ids
         return ids
@@ -267,7 +305,7 @@ def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -
             packed = [pieces.encode(t) for t in texts]
             ids = [np.frombuffer(p, "<u4").tolist() for p in packed]
             back = [pieces.decode(x) for x in ids]
-            same = [x == y and t == u for x, y, t, u in zip(ids, library.encode(texts, add_bos=True, add_eos=True, num_threads=1), back, library.decode(ids, num_threads=1))]
+            same = [x == y.astype("<u4").tobytes() and t == u for x, y, t, u in zip(packed, library.encode_as_numpy(texts, add_bos=True, add_eos=True, num_threads=1), back, library.decode(ids, num_threads=1))]
             columns = [keys, pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(p) for p in packed], pa.string()), pa.array([sha(t.encode()) for t in back], pa.string()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
