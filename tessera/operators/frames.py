@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,25 +70,36 @@ def chunk_offsets(duration: Column, chunk: float = 30.0, step: float = 25.0) ->
 def energy_speech(df: DataFrame, rate: int = RATE, least: float = 0.01, gap: float = 0.5, samples: str = "samples") -> DataFrame:
     """OP-54, 55: frames of 30 ms every 10 ms above least, merged where less than gap apart; a file without any is speech throughout."""
     frame, hop = int(0.03 * rate), int(0.01 * rate)
-    loud = frame_rms(df, frame, hop, samples).where(F.col("energy") > least)
+    return loud_speech(frame_rms(df, frame, hop, samples), df.select("file_id", F.size(samples).alias("n")), rate, frame, hop, least, gap)
+
+
+def loud_speech(energy: DataFrame, lengths: DataFrame, rate: int, frame: int, hop: int, least: float, gap: float) -> DataFrame:
+    """OP-54 from the energies (file_id, frame, energy) and sizes (file_id, n) of files."""
+    loud = energy.where(F.col("energy") > least)
     s = loud.select("file_id", F.col("frame").cast("long").alias("ord"), (F.col("frame") * hop / rate).alias("start"), ((F.col("frame") * hop + frame) / rate).alias("end"))
     w = Window.partitionBy("file_id").orderBy("ord")
     s = s.withColumn("_i", F.sum(F.coalesce((F.col("start") - F.lag("end").over(w) >= gap).cast("int"), F.lit(1))).over(w))
     found = s.groupBy("file_id", "_i").agg(F.min("start").alias("start"), F.max_by("end", "ord").alias("end")).drop("_i")
-    whole = df.join(found, "file_id", "left_anti").select("file_id", F.lit(0.0).alias("start"), (F.size(samples) / rate).alias("end"))
+    whole = lengths.join(found, "file_id", "left_anti").select("file_id", F.lit(0.0).alias("start"), (F.col("n") / rate).alias("end"))
     return found.unionByName(whole)
 
 
 def dip_split(df: DataFrame, rate: int = RATE, longest: float = 5.0, ratio: float = 0.35, least_dip: float = 0.15, least_piece: float = 1.0, samples: str = "samples") -> DataFrame:
     """OP-56: segments (file_id, ord, start, end, samples) of longest seconds or more are cut in the middle of energy dips; pieces under least_piece go; the segment stays whole unless two pieces or more are left."""
     hop = int(0.02 * rate)
-    seg = df.withColumn("_d", F.col("end") - F.col("start"))
-    energy = frame_rms(seg.where(F.col("_d") >= longest).select(F.struct("file_id", "ord").alias("file_id"), samples), hop, hop, samples, True)
+    seg = df.where(F.col("end") - F.col("start") >= longest)
+    energy = frame_rms(seg.select(F.struct("file_id", "ord").alias("file_id"), samples), hop, hop, samples, True)
+    return split_at_dips(df.drop(samples), energy, hop, rate, longest, ratio, least_dip, least_piece)
+
+
+def split_at_dips(segments: DataFrame, energy: DataFrame, hop: int, rate: int, longest: float, ratio: float, least_dip: float, least_piece: float) -> DataFrame:
+    """OP-56 from the energies (file_id: struct of file_id and ord, frame, energy) of the segments of longest seconds or more."""
+    seg = segments.withColumn("_d", F.col("end") - F.col("start"))
     w = Window.partitionBy("file_id")
     energy = energy.withColumn("_m", F.median("energy").over(w)).withColumn("_n", F.count(F.lit(1)).over(w)).where("_m >= 1e-6 AND _n >= 2")  # else silent, or too few frames: whole
     low = runs(energy.withColumn("_f", F.col("energy") < ratio * F.col("_m")), "_f").where(F.col("n") >= max(1, int(least_dip * rate / hop)))
     cuts = low.groupBy("file_id").agg(F.sort_array(F.collect_list((F.col("first") + F.floor(F.col("n") / 2)) * hop / rate)).alias("_c")).select("file_id.*", "_c")
-    joined = seg.drop(samples).join(cuts, ["file_id", "ord"], "left")
+    joined = seg.join(cuts, ["file_id", "ord"], "left")
     edge = F.concat(F.array(F.lit(0.0)), F.coalesce("_c", F.array().cast("array<double>")), F.array(F.col("_d")))
     pieces = F.zip_with(F.slice(edge, 1, F.size(edge) - 1), F.slice(edge, 2, F.size(edge) - 1), lambda a, b: F.struct(F.round(F.col("start") + a, 4).alias("start"), F.round(F.col("start") + b, 4).alias("end")))
     joined = joined.withColumn("_p", F.filter(pieces, lambda p: p["end"] - p["start"] >= least_piece))
@@ -124,25 +136,57 @@ def pitch(df: DataFrame, rate: int = RATE, frame: int = 2048, hop: int = 512, sa
     return df.select("file_id", samples).mapInPandas(run, f"file_id {dict(df.dtypes)['file_id']}, pitch_hz double, pitch_std double")
 
 
-def mel_filters(bands: int, bins: int, rate: int) -> np.ndarray:
-    """Triangular filters, evenly spaced in mel."""
-    to_mel = lambda f: 2595 * np.log10(1 + f / 700)
-    points = 700 * (10 ** (np.linspace(0, to_mel(rate / 2), bands + 2) / 2595) - 1)
-    f = np.linspace(0, rate / 2, bins)
-    up = (f[None] - points[:-2, None]) / np.diff(points)[:-1, None]
-    down = (points[2:, None] - f[None]) / np.diff(points)[1:, None]
-    return np.maximum(0, np.minimum(up, down))
+def _mel(f):
+    return 1127.0 * np.log(1.0 + np.asarray(f) / 700.0)
 
 
-def fbank(x: np.ndarray, rate: int = RATE, bands: int = 80) -> np.ndarray:
-    """OP-59d: log mel energies of frames of 25 ms every 10 ms under a Hamming window, samples scaled to 16 bits."""
+def hamming(size: int) -> np.ndarray:
+    return 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(size) / (size - 1))
+
+
+def povey(size: int) -> np.ndarray:
+    return (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1))) ** 0.85
+
+
+def log_mel(x: np.ndarray, rate: int, bands: int, window) -> np.ndarray:
+    """Log mel energies as the Kaldi toolkit defines them: whole frames of 25 ms every 10 ms less their mean, pre-emphasis of 0.97, a window, power spectrum,
+    bands that are triangles in mel from 20 Hz to half the rate, and the smallest step of single precision as the floor."""
     size, hop = int(0.025 * rate), int(0.01 * rate)
     if len(x) < size:
-        return np.zeros((0, bands), np.float32)
-    f = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float) * 32768, size)[::hop]
-    f = (f - f.mean(axis=1, keepdims=True)) * np.hamming(size)
-    power = np.abs(np.fft.rfft(f, 512 if size <= 512 else size)) ** 2
-    return np.log(np.maximum(power @ mel_filters(bands, power.shape[1], rate).T, 1e-10)).astype(np.float32)
+        return np.zeros((0, bands))
+    f = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), size)[::hop]
+    f = f - f.mean(axis=1, keepdims=True)
+    f = f - 0.97 * np.concatenate((f[:, :1], f[:, :-1]), axis=1)
+    fft = 1 << (size - 1).bit_length()
+    power = np.abs(np.fft.rfft(f * window(size), fft)) ** 2
+    low, high = _mel(20.0), _mel(rate / 2)
+    step = (high - low) / (bands + 1)
+    centre = low + step * (np.arange(bands)[:, None] + 1)
+    mel = _mel(rate / fft * np.arange(fft // 2))[None]
+    filters = np.maximum(0, np.minimum((mel - (centre - step)) / step, ((centre + step) - mel) / step))
+    return np.log(np.maximum(power[:, : fft // 2] @ filters.T, np.finfo(np.float32).eps))
+
+
+def fbank(x: np.ndarray, rate: int = RATE, bands: int = 80) -> np.ndarray:
+    """OP-59d: log mel energies under a Hamming window, of samples scaled to 16 bits, without dither."""
+    return log_mel(np.asarray(x, float) * 32768, rate, bands, hamming).astype(np.float32)
+
+
+def filterbanks(df: DataFrame, rate: int = RATE, bands: int = 80, samples: str = "samples") -> DataFrame:
+    """OP-59d: (keys, frames) of rows (keys, samples): what an embedding model takes, after mean_removed. Null samples, or fewer than a frame's, have no frames."""
+    keys = [c for c in df.columns if c != samples]
+    schema = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in keys) + ", frames array<array<float>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 16):
+                part = b.slice(k, 16)
+                got = [fbank(np.asarray(x.values) if x.is_valid else np.zeros(0), rate, bands) for x in part.column(part.num_columns - 1)]
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(sum(map(len, got)) + 1) * bands, pa.int32()), pa.array(np.concatenate(got).ravel(), pa.float32()))
+                frames = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], frames], [*keys, "frames"])
+
+    return df.select(*[F.col(f"`{c}`") for c in keys], samples).mapInArrow(run, schema)
 
 
 def mean_removed(frames: Column) -> Column:
@@ -172,27 +216,9 @@ def spectral(x: np.ndarray, rate: int = RATE) -> tuple[float, float]:
     return centroid, rolloff
 
 
-def _mel(f):
-    return 1127.0 * np.log(1.0 + np.asarray(f) / 700.0)
-
-
 def mfcc(x: np.ndarray, rate: int = RATE, n: int = 13, bands: int = 23) -> np.ndarray:
-    """OP-59a: MFCC as the Kaldi toolkit defines them: frames of 25 ms every 10 ms less their mean, pre-emphasis of 0.97, Povey window, power spectrum, bands from 20 Hz in mel, orthonormal cosine transform, lifter of 22."""
-    size, hop = int(0.025 * rate), int(0.01 * rate)
-    if len(x) < size:
-        return np.zeros((0, n))
-    f = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), size)[::hop]
-    f = f - f.mean(axis=1, keepdims=True)
-    f = f - 0.97 * np.concatenate((f[:, :1], f[:, :-1]), axis=1)
-    f = f * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1))) ** 0.85
-    fft = 1 << (size - 1).bit_length()
-    power = np.abs(np.fft.rfft(f, fft)) ** 2
-    low, high = _mel(20.0), _mel(rate / 2)
-    step = (high - low) / (bands + 1)
-    centre = low + step * (np.arange(bands)[:, None] + 1)
-    mel = _mel(rate / fft * np.arange(fft // 2))[None]
-    filters = np.maximum(0, np.minimum((mel - (centre - step)) / step, ((centre + step) - mel) / step))
-    e = np.log(np.maximum(power[:, : fft // 2] @ filters.T, np.finfo(np.float32).eps))
+    """OP-59a: MFCC as the Kaldi toolkit defines them: log mel energies under a Povey window, orthonormal cosine transform, lifter of 22."""
+    e = log_mel(x, rate, bands, povey)
     k = np.sqrt(2 / bands) * np.cos(np.pi / bands * np.arange(n)[:, None] * (np.arange(bands)[None] + 0.5))
     k[0] = np.sqrt(1 / bands)
     return (e @ k.T) * (1 + 11 * np.sin(np.pi * np.arange(n) / 22))
@@ -227,12 +253,23 @@ def profiles(df: DataFrame, rate: int = RATE, samples: str = "samples") -> DataF
     Without any voiced frame pitch is 0, and the spectral and MFCC figures are null. Figures are rounded if there is one. Null samples are no samples. Pitches are gathered by position-free
     aggregates, and of no speaker more than PROFILE_SECONDS of samples meet in a task.
     """
-    kind, keys = dict(df.dtypes)["file_id"], ["file_id", "speaker"]
+    keys = ["file_id", "speaker"]
+    base = df.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("total_speech_sec"))
+    n = F.coalesce(F.size(samples), F.lit(0)).cast("long")
+    before = F.sum(n).over(Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    first = df.where(n > 0).withColumn("_at", F.coalesce(before, F.lit(0))).where(F.col("_at") < PROFILE_SECONDS * rate)
+    first = first.select(*keys, "start", "_at", F.slice(samples, 1, (F.lit(PROFILE_SECONDS * rate) - F.col("_at")).cast("int")).alias("_part"))
+    return profiled(base, df.select(*keys, F.col(samples).alias("samples")), first, rate)
+
+
+def profiled(base: DataFrame, parts: DataFrame, first: DataFrame, rate: int) -> DataFrame:
+    """profiles of speakers (file_id, speaker, total_speech_sec) from parts (file_id, speaker, samples) of what they say and from the first seconds of it (file_id, speaker, start, _at, _part)."""
+    kind, keys = dict(base.dtypes)["file_id"], ["file_id", "speaker"]
     names = ["spectral_centroid", "spectral_rolloff", *(f"mfcc{k}_{s}" for k in range(13) for s in ("mean", "std"))]
 
     def figures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(f, who, *_frame_figures(np.asarray([] if x is None else x, float), rate)) for f, who, x in zip(pdf["file_id"], pdf["speaker"], pdf[samples])]
+            rows = [(f, who, *_frame_figures(np.asarray([] if x is None else x, float), rate)) for f, who, x in zip(pdf["file_id"], pdf["speaker"], pdf["samples"])]
             yield pd.DataFrame(rows, columns=["file_id", "speaker", "pitches", "energies"])
 
     def shape(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -241,14 +278,9 @@ def profiles(df: DataFrame, rate: int = RATE, samples: str = "samples") -> DataF
         stats = [v for k in range(13) for v in ((float(c[:, k].mean()), float(c[:, k].std())) if len(c) else (0.0, 0.0))]
         return pd.DataFrame([(*key, *spectral(x, rate), *stats)], columns=[*keys, *names])
 
-    raw = df.select(*keys, samples).mapInPandas(figures, f"file_id {kind}, speaker string, pitches array<double>, energies array<double>")
-    base = df.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("total_speech_sec"))
+    raw = parts.select(*keys, "samples").mapInPandas(figures, f"file_id {kind}, speaker string, pitches array<double>, energies array<double>")
     p = raw.select(*keys, F.explode("pitches").alias("_p")).groupBy(*keys).agg(F.median("_p").alias("pitch_hz"), F.stddev_pop("_p").alias("pitch_std"))
     e = raw.select(*keys, F.explode("energies").alias("_e")).groupBy(*keys).agg(F.avg("_e").alias("energy_rms"))
-    n = F.coalesce(F.size(samples), F.lit(0)).cast("long")
-    before = F.sum(n).over(Window.partitionBy(*keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    first = df.where(n > 0).withColumn("_at", F.coalesce(before, F.lit(0))).where(F.col("_at") < PROFILE_SECONDS * rate)
-    first = first.select(*keys, "start", "_at", F.slice(samples, 1, (F.lit(PROFILE_SECONDS * rate) - F.col("_at")).cast("int")).alias("_part"))
     shapes = first.groupBy(*keys).applyInPandas(shape, f"file_id {kind}, speaker string, " + ", ".join(f"{c} double" for c in names))
     out = base.join(p, keys, "left").join(e, keys, "left").join(shapes, keys, "left").na.fill(0.0, ["pitch_hz", "pitch_std", "energy_rms"])
     voiced = F.col("pitch_hz") > 0
@@ -264,10 +296,14 @@ def energy_vad(df: DataFrame) -> DataFrame:
 def speech_segments(df: DataFrame, vad=energy_vad, gap: float = 0.5, least: float = 0.3) -> DataFrame:
     """OP-55: speech (file_id, ord, start, end) of files (file_id, samples) by any VAD, a function of such a frame to (file_id, start, end): pieces less than gap apart become one, those under least seconds go;
     a file of which nothing is left is speech throughout."""
+    return joined_speech(vad(df).select("file_id", "start", "end"), df.select("file_id", F.coalesce(F.size("samples"), F.lit(0)).alias("n")), gap, least)
+
+
+def joined_speech(got: DataFrame, lengths: DataFrame, gap: float, least: float) -> DataFrame:
+    """OP-55 from what a VAD has got (file_id, start, end) and the sizes (file_id, n) of files."""
     w = Window.partitionBy("file_id").orderBy("start", "end")
-    got = vad(df).select("file_id", "start", "end")
     most = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     got = got.withColumn("_i", F.coalesce((F.col("start") - most >= gap).cast("int"), F.lit(1))).withColumn("_i", F.sum("_i").over(w))
     found = got.groupBy("file_id", "_i").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("end") - F.col("start") >= least).drop("_i")
-    whole = df.join(found.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit(0.0).alias("start"), (F.coalesce(F.size("samples"), F.lit(0)) / RATE).alias("end"))
+    whole = lengths.join(found.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit(0.0).alias("start"), (F.col("n") / RATE).alias("end"))
     return found.unionByName(whole).withColumn("ord", F.row_number().over(Window.partitionBy("file_id").orderBy("start")).cast("long") - 1)

@@ -1,6 +1,6 @@
 """Interval segments (file_id, ord, start, end, speaker, ...): merging, trimming, overlap, splitting, packing, relabelling.
 
-A file is the unit of all of them. Order is by start and then ord, the original place. Window functions sort one file in one task; files
+A file is the unit of all of them; its id has any type. Order is by start and then ord, the original place. Window functions sort one file in one task; files
 are hours of audio, thousands of segments at most. Joins within a file are dealt by file and time bucket, so they don't pair all of a file.
 """
 
@@ -160,13 +160,17 @@ def chunk_padded(df: DataFrame, samples: str = "samples", size: int = 480_000) -
     return cut.withColumn(samples, F.concat(part.cast("array<float>"), F.array_repeat(zero, F.lit(size) - F.size(part))))
 
 
-def _stateful(df: DataFrame, fold, schema: str) -> DataFrame:
-    """fold(rows of a file in order) -> rows, for steps that depend on the one before."""
+_FIELDS = ["file_id", "ord", "start", "end", "speaker"]
+
+
+def _stateful(df: DataFrame, fold, columns: list[str], **more: str) -> DataFrame:
+    """fold(rows of a file in order) -> rows, for steps that depend on the one before. The columns are of the types that they have in df, and more is added. Rows without a start or end are left out."""
+    schema = ", ".join(f"`{c}` {more.get(c) or dict(df.dtypes)[c]}" for c in [*columns, *more])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fold(pdf.sort_values(["start", "ord"], kind="stable").reset_index(drop=True))
 
-    return df.groupBy("file_id").applyInPandas(run, schema)
+    return df.where(F.col("start").isNotNull() & F.col("end").isNotNull()).groupBy("file_id").applyInPandas(run, schema)
 
 
 def pack_greedy(df: DataFrame, most: float = 30.0) -> DataFrame:
@@ -181,7 +185,7 @@ def pack_greedy(df: DataFrame, most: float = 30.0) -> DataFrame:
             out.append(group)
         return p.assign(group=out)[["file_id", "ord", "start", "end", "group"]]
 
-    return _stateful(df, fold, "file_id long, ord long, start double, end double, group long")
+    return _stateful(df, fold, ["file_id", "ord", "start", "end"], group="long")
 
 
 def group_capped(df: DataFrame, gap: float = 1.5, most: float = 30.0) -> DataFrame:
@@ -196,7 +200,7 @@ def group_capped(df: DataFrame, gap: float = 1.5, most: float = 30.0) -> DataFra
                 out.append([f, o, s, e, who])
         return pd.DataFrame(out, columns=["file_id", "ord", "start", "end", "speaker"])
 
-    return _stateful(df, fold, "file_id long, ord long, start double, end double, speaker string")
+    return _stateful(df, fold, _FIELDS)
 
 
 def _collapsed(rows: list[list], gap: float) -> list[list]:
@@ -209,10 +213,6 @@ def _collapsed(rows: list[list], gap: float) -> list[list]:
     return out
 
 
-_SEGMENT = "file_id long, ord long, start double, end double, speaker string"
-_FIELDS = ["file_id", "ord", "start", "end", "speaker"]
-
-
 def absorb_islands(df: DataFrame, short: float = 1.0) -> DataFrame:
     """OP-37: a segment under short between two of one other speaker takes that speaker, from left to right; then equal neighbours collapse; until nothing changes."""
 
@@ -228,7 +228,7 @@ def absorb_islands(df: DataFrame, short: float = 1.0) -> DataFrame:
                 return pd.DataFrame(rows, columns=_FIELDS)
             rows = _collapsed(rows, 0.0)
 
-    return _stateful(df, fold, _SEGMENT)
+    return _stateful(df, fold, _FIELDS)
 
 
 def ghosts(df: DataFrame, least: float = 10.0) -> DataFrame:
@@ -259,7 +259,7 @@ def drop_ghosts(df: DataFrame, least: float = 10.0, gap: float = 1.0) -> DataFra
             rows = _collapsed(rows, gap)
         return pd.DataFrame(rows, columns=_FIELDS)
 
-    return _stateful(df, fold, _SEGMENT)
+    return _stateful(df, fold, _FIELDS)
 
 
 def clamp_boundaries(df: DataFrame, proposals: DataFrame, shift: float = 0.05, least: float = 0.3) -> DataFrame:
@@ -277,7 +277,7 @@ def clamp_boundaries(df: DataFrame, proposals: DataFrame, shift: float = 0.05, l
                 left[3] = right[2] = b
         return pd.DataFrame([r for r in rows if r[3] - r[2] >= least], columns=_FIELDS)
 
-    return _stateful(joined, fold, _SEGMENT)
+    return _stateful(joined, fold, _FIELDS)
 
 
 def boundary_windows(df: DataFrame, rate: int = 16_000, search: float = 1.5, window: float = 0.5, stride: float = 0.1, least: float = 0.3) -> DataFrame:
@@ -374,7 +374,7 @@ def transcribe_carried(chunks: DataFrame, model, prefix) -> DataFrame:
                 out.append(got)
         return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "text": [" ".join(out)]})
 
-    return chunks.groupBy("file_id").applyInPandas(run, "file_id long, text string")
+    return chunks.groupBy("file_id").applyInPandas(run, f"file_id {dict(chunks.dtypes)['file_id']}, text string")
 
 
 def mapped_batches(df: DataFrame, model, schema: str, tries: int = 3, wait: float = 1.0, most: float = 30.0) -> DataFrame:

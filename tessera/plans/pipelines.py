@@ -1,4 +1,7 @@
-"""The reference's three flows as plans: diarised transcript, silence-split transcription, voiceprint refinement. Models are pluggable; a deterministic stand-in serves tests."""
+"""The reference's three flows as plans: diarised transcript, silence-split transcription, voiceprint refinement. Models are pluggable; a deterministic stand-in serves tests.
+
+Audio is a frame (file_id, samples), or chunks of files of any length as in operators.signals; file ids have any type.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +12,16 @@ from tessera.config import Config
 from tessera.functions import text as T
 from tessera.operators import frames as R
 from tessera.operators import segments as S
+from tessera.operators import signals as G
 from tessera.operators import vectors as V
 from tessera.sources import audio as A
 from tessera.storage import saved
 
 
 def sliced(audio: DataFrame, pieces: DataFrame) -> DataFrame:
-    """pieces (file_id, start, end, ...) with their samples. A file's pieces meet its audio in one row, so the audio isn't copied for each of them."""
+    """pieces (file_id, start, end, ...) with their samples. A file's pieces meet its audio in one row, or those of a chunk the chunk, so the audio isn't copied for each of them."""
+    if G.is_chunked(audio):
+        return G.sliced(audio, pieces)
     rest = [c for c in pieces.columns if c != "file_id"]
     held = pieces.groupBy("file_id").agg(F.collect_list(F.struct(*rest)).alias("_w")).join(audio.select("file_id", F.col("samples").alias("_x")), "file_id")
     cut = F.transform("_w", lambda w: F.struct(*[w[c].alias(c) for c in rest], A.cut(F.col("_x"), w["start"], w["end"]).alias("samples")))
@@ -27,11 +33,14 @@ def embedded(audio: DataFrame, pieces: DataFrame, embed) -> DataFrame:
     return sliced(audio, pieces).withColumn("v", F.when(F.size("samples") >= int(0.3 * R.RATE), embed(F.col("samples")))).drop("samples")
 
 
-def speech_windows(audio: DataFrame, vad=R.energy_vad, win: float = 1.5, stride: float = 0.75, least: float = 0.5) -> DataFrame:
-    """Audio (file_id, samples) to windows (file_id, ord, start, end): speech by a VAD, long segments cut at energy dips, sliding windows in each piece."""
-    speech = R.speech_segments(audio, vad)
-    joined = sliced(audio, speech)
-    pieces = R.dip_split(joined.select("file_id", "ord", "start", "end", "samples"))
+def speech_windows(audio: DataFrame, vad=None, win: float = 1.5, stride: float = 0.75, least: float = 0.5) -> DataFrame:
+    """Audio to windows (file_id, ord, start, end): speech by a VAD (a function of the audio, by energy if none is given), long segments cut at energy dips, sliding windows in each piece."""
+    if G.is_chunked(audio):
+        speech = saved(G.speech_segments(audio, vad or G.energy_speech))
+        pieces = G.dip_split(audio, speech)
+    else:
+        speech = R.speech_segments(audio, vad or R.energy_vad)
+        pieces = R.dip_split(sliced(audio, speech).select("file_id", "ord", "start", "end", "samples"))
     n = F.floor((F.col("end") - F.col("start")) * R.RATE).cast("int")
     inner = pieces.select("file_id", F.col("start").alias("_a"), F.inline(R.windows(n, int(win * R.RATE), int(stride * R.RATE), int(least * R.RATE))))
     out = inner.select("file_id", (F.col("_a") + F.col("start") / R.RATE).alias("start"), (F.col("_a") + F.col("end") / R.RATE).alias("end"))
@@ -72,8 +81,10 @@ def diarised(windows: DataFrame, prints: DataFrame | None = None, far: float = 0
         centre = V.centroids(some.select("file_id", F.col("label").alias("speaker"), "v"), ["file_id", "speaker"])
         sides = S.boundary_sides(embedded(audio, S.boundary_windows(seg), embed), centre)
         seg = saved(S.clamp_boundaries(seg, S.boundary_proposals(sides)))
-        samples = sliced(audio, seg)
-        profiles = saved(R.profiles(samples.select("file_id", "speaker", "start", "end", "samples")))
+        if G.is_chunked(audio):
+            profiles = saved(G.profiles(audio, seg.select("file_id", "speaker", "start", "end")))
+        else:
+            profiles = saved(R.profiles(sliced(audio, seg).select("file_id", "speaker", "start", "end", "samples")))
         names = V.relabelled_by_pitch(profiles).select("file_id", "speaker", F.col("label").alias("_label"))
         keep = F.col("speaker").rlike("^SPEAKER[0-9]+$")
         seg = seg.join(names, ["file_id", "speaker"]).withColumn("speaker", F.when(keep, F.col("_label")).otherwise(F.col("speaker"))).drop("_label")
@@ -93,6 +104,14 @@ def diarised(windows: DataFrame, prints: DataFrame | None = None, far: float = 0
     return _confident(out, labelled, prints).join(seg.select("file_id", "ord", *(["alternatives"] if prints is not None else [F.array().cast("array<struct<speaker:string,confidence:double>>").alias("alternatives")])), ["file_id", "ord"], "left")
 
 
+def diarised_files(audio: DataFrame, embed, prints: DataFrame | None = None, vad=None, far: float = 0.35, config: Config = Config()) -> DataFrame:
+    """Sound to named segments in one call: audio is what sources.sound reads from files, chunks (file_id, chunk, first, n, samples, ...), or (file_id, samples). Files that can't be read, which have an error and no samples, are left out."""
+    names = [c for c in ("file_id", "chunk", "first", "n", "samples") if c in audio.columns]
+    some = audio.where("samples IS NOT NULL").select(*names)
+    windows = saved(embedded(some, speech_windows(some, vad), embed).select("file_id", "ord", "start", "end", "v"))
+    return diarised(windows, prints, far, audio=some, embed=embed, config=config)
+
+
 def _named(seg: DataFrame, found: DataFrame) -> DataFrame:
     """seg with names and alternatives by the candidates (file_id, cluster_id, name, ...) of its speakers."""
     match = V.match_clusters(found, tight=V.LOOSE).select("file_id", "cluster_id", "name", "matched", "combined")

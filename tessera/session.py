@@ -16,6 +16,8 @@ def session(app: str = "tessera", cores: str = "*", shuffle_partitions: int | No
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))  # rows hold minutes of sound
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

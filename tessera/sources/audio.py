@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.resample import resampled
+
 RATE = 16_000
 #: File name extensions of media files, by tool.
 MEDIA = (".wav", ".mp3", ".flac", ".m4a", ".ogg", ".opus", ".aac", ".wma", ".mp4", ".mkv")
@@ -33,14 +35,6 @@ def media_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ME
     return files.where(has_extension(F.col("path"), extensions)).withColumn("speaker", F.element_at(F.split("path", "/"), -2))
 
 
-def resampled(x: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
-    """Linear interpolation to another rate."""
-    if rate == to or not len(x):
-        return x.astype(np.float32)
-    n = int(round(len(x) * to / rate))
-    return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x).astype(np.float32)
-
-
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
     """Mono samples in -1..1 and the rate of a PCM WAV of 8, 16 or 32 bits."""
     with wave.open(io.BytesIO(content)) as w:

@@ -11,7 +11,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.sources.audio import parse_progress
 
-_OUT = "file_id long, speaker string, start double, end double, n long"
 _STATE = "speaker string, start double, end double, n long"
 
 
@@ -39,7 +38,7 @@ def collapse_stream(segments: DataFrame, gap: float = 0.0, delay: str = "10 minu
         yield pd.DataFrame(out, columns=["file_id", "speaker", "start", "end", "n"])
 
     marked = segments.withWatermark("ts", delay).select("file_id", "ts", "start", "end", "speaker")
-    return marked.groupBy("file_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("file_id").applyInPandasWithState(step, f"file_id {dict(segments.dtypes)['file_id']}, {_STATE}", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def progress_stream(lines: DataFrame) -> DataFrame:

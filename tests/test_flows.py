@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.operators import frames as R
 from tessera.operators import segments as S
+from tessera.operators import signals as G
 from tessera.operators import vectors as V
 from tessera.plans import pipelines as P
 from tessera.sources import audio as A
@@ -134,6 +135,16 @@ def test_segments_of_no_rows(spark):
         assert f(none).count() == 0, f.__name__
 
 
+def test_file_ids_of_any_type_and_rows_without_times(spark):
+    rows = [("a/b.wav", k, k * 2.0, k * 2.0 + 1.9, "xyx"[k % 3]) for k in range(9)]
+    d = spark.createDataFrame([*rows, ("a/b.wav", 20, None, 3.0, "x"), ("c", 21, 3.0, None, "x")], "file_id string, ord int, start double, end double, speaker string")
+    for f in (S.pack_greedy, S.group_capped, S.absorb_islands, S.drop_ghosts, lambda d: S.clamp_boundaries(d, d.select("file_id", "ord", F.lit(1.0).alias("boundary")))):
+        got = f(d)
+        assert dict(got.dtypes)["file_id"] == "string" and dict(got.dtypes)["ord"] == "int" and got.select("file_id").distinct().collect() == [("a/b.wav",)]
+    said = S.transcribe_carried(spark.createDataFrame([("f", 1, "x"), ("f", 0, "y")], "file_id string, ord long, text string"), lambda t, p: p + t, lambda t: t[-1:])
+    assert [tuple(r) for r in said.collect()] == [("f", "y yx")]
+
+
 def plain_islands(rows, short):
     rows = [list(r) for r in rows]
     while True:
@@ -219,11 +230,11 @@ def test_whole_flow_on_made_up_sound(spark):
     x = np.concatenate(sound).astype(np.float32)
     audio = spark.createDataFrame([("f", x.tolist())], "file_id string, samples array<float>")
     windows = P.embedded(audio, P.speech_windows(audio), embed).select("file_id", "ord", "start", "end", "v")
-    windows = windows.withColumn("file_id", F.lit(1).cast("long"))
-    audio = audio.withColumn("file_id", F.lit(1).cast("long"))
     ann = spectrum(pd.Series([voice(120, 3.0)]))[0]
     prints = spark.createDataFrame([("Ann", ann, 120.0, 0.15, 60.0)], "name string, v array<double>, pitch_hz double, energy_rms double, total_speech_sec double")
     got = P.diarised(windows, prints, audio=audio, embed=embed).orderBy("start").collect()
+    assert [tuple(g) for g in P.diarised_files(G.chunked(audio, 5 * RATE + 123), embed, prints).orderBy("start").collect()] == [tuple(g) for g in got]
+    assert {g.file_id for g in got} == {"f"}
     assert [g.speaker for g in got] == ["Ann", "SPEAKER2", "Ann", "SPEAKER2"]  # by pitch, Ann being the first
     for g, (a, b, _) in zip(got, want):
         assert abs(g.start - a) < 1.0 and abs(g.end - b) < 1.0 and 0.5 < g.confidence <= 1.0
