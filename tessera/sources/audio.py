@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import flac, sound
 from tessera.sources.resample import resampled
 
 RATE = 16_000
@@ -36,45 +36,29 @@ def media_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ME
 
 
 def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in -1..1 and the rate of a PCM WAV of 8, 16 or 32 bits."""
-    with wave.open(io.BytesIO(content)) as w:
-        raw, width, channels, rate = w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate()
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 2:
-        x = np.frombuffer(raw, "<i2").astype(np.float32) / 32768
-    elif width == 4:
-        x = np.frombuffer(raw, "<i4").astype(np.float32) / 2147483648
-    else:
-        raise ValueError(f"{8 * width} bits a sample")
-    return x.reshape(-1, channels).mean(axis=1), rate
+    """Mono samples in -1..1 and the rate of a WAV (PCM of 8, 16, 24 or 32 bits, or floats) or FLAC file."""
+    return sound.decoded_bytes(content)
 
 
 def encode_wav(x: np.ndarray, rate: int = RATE) -> bytes:
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
-    return out.getvalue()
+    return sound.wav(np.asarray(x, np.float32), rate)
 
 
 def decoded(files: DataFrame, rate: int = RATE) -> DataFrame:
-    """OP-01, 02, 05: (path, sr, samples, error) at the rate, mono; what can't be read has an error and no samples."""
+    """OP-01, 02, 05: (path, sr, samples, error) at the rate, mono; what can't be read has an error and no samples. For files longer than a row, see sources.sound."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                path, content = b.column(0)[k].as_py(), b.column(1)[k].as_py()
                 try:
                     x, r = decode_wav(content)
-                    rows.append((path, rate, resampled(x, r, rate).tolist(), None))
+                    x, sr, error = pa.array([resampled(x, r, rate)], pa.list_(pa.float32())), rate, None
                 except Exception as e:  # noqa: BLE001 - goes to the error column
-                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "sr", "samples", "error"])
+                    x, sr, error = pa.array([None], pa.list_(pa.float32())), None, f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([sr], pa.int32()), x, pa.array([error], pa.string())], ["path", "sr", "samples", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, sr int, samples array<float>, error string")
+    return files.select("path", "content").mapInArrow(run, "path string, sr int, samples array<float>, error string")
 
 
 def not_converted(files: DataFrame, done: DataFrame) -> DataFrame:
@@ -144,18 +128,37 @@ def write_text(df: DataFrame, path: str, text: str = "text") -> None:
     df.select(F.col(text).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def segment_files(df: DataFrame, rate: int = RATE) -> DataFrame:
-    """OP-18: segments (path, speaker, start, end, confidence, samples) to (speaker, file_name, content): PCM WAV files, named by hash of the stem, time, confidence and length. Null samples give an empty file."""
+def named_segments(df: DataFrame) -> DataFrame:
+    """OP-18: segments (path, speaker, start, end, confidence, samples) to (speaker, file_name, samples): named by hash of the stem, time, confidence and length, without an extension."""
     from tessera.functions.text import clock, short_hash
 
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     name = F.concat_ws("_", short_hash(stem), clock(F.col("start"), "ms"), F.bround(100 * F.col("confidence")).cast("int").cast("string"), F.format_string("%.1fs", F.col("end") - F.col("start")))
+    return df.select("speaker", name.alias("file_name"), "samples")
+
+
+def segment_files(df: DataFrame, rate: int = RATE, encoding: str = "wav") -> DataFrame:
+    """OP-18: segments (path, speaker, start, end, confidence, samples) to (speaker, file_name, content): PCM WAV or FLAC files. Null samples give an empty file."""
 
     @F.pandas_udf("binary")
-    def wav(samples: pd.Series) -> pd.Series:
-        return pd.Series([encode_wav(np.asarray([] if x is None else x, np.float32), rate) for x in samples], dtype=object)
+    def content(samples: pd.Series) -> pd.Series:
+        each = (np.asarray([] if x is None else x, np.float32) for x in samples)
+        return pd.Series([encode_wav(x, rate) if encoding == "wav" else flac.encoded(sound.whole(x)[:, None], rate) for x in each], dtype=object)
+
+    return named_segments(df).select("speaker", F.concat("file_name", F.lit(f".{encoding}")).alias("file_name"), content("samples").alias("content"))
+
+
+def write_sound(df: DataFrame, path: str, rate: int = RATE, encoding: str = "wav", mode: str = "append") -> None:
+    """OP-18: segments as files in a folder for each speaker; nothing is left of tasks that failed (see sources.sound)."""
+    named = named_segments(df)
+    sound.register(df.sparkSession)
+    named.write.format("sound").option("path", path).option("rate", rate).option("encoding", encoding).mode(mode).save()
+
 
-    return df.select("speaker", F.concat(name, F.lit(".wav")).alias("file_name"), wav("samples").alias("content"))
+def read_sound(spark: SparkSession, path: str, rate: int = RATE, seconds: float = 30.0, **options: object) -> DataFrame:
+    """OP-01, 02, 04, 05, 07: WAV and FLAC files of any length as chunks at the rate, mono; comparisons of start and end with constants read those parts only."""
+    sound.register(spark)
+    return spark.read.format("sound").options(path=path, rate=rate, seconds=seconds, **options).load()
 
 
 def concatenated(df: DataFrame, keys: list[str]) -> DataFrame:
