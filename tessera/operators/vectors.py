@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Config
+from tessera.storage import saved
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64_000_000
@@ -51,11 +52,17 @@ def embed_files(windows: DataFrame, raw_mean: bool = False) -> DataFrame:
     return windows.select("file_id").distinct().join(mean, "file_id", "left")
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether df has at most rows rows and, with about eight bytes for each number and its own length for each string, at most size bytes."""
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[int, int]:
+    """Rows of df, or rows + 1 if there are more, and their bytes: about eight for each number and its own length for each string."""
     width = sum((F.coalesce(F.size(c) * 8, F.lit(0)) if k.startswith("array") else F.coalesce(F.length(c), F.lit(0)) if k == "string" else F.lit(8) for c, k in df.dtypes), F.lit(0))
     got = df.select(width.cast("long").alias("w")).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
-    return got["n"] <= rows and got["w"] <= size
+    return got["n"], got["w"]
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most rows rows and size bytes."""
+    n, w = sized(df, rows)
+    return n <= rows and w <= size
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
@@ -63,15 +70,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if fits(df, rows, size) else df
 
 
-BLOCKS = 64
+#: Prints of a block at most, on average.
+BLOCK = 512
 
 
 def paired(probes: DataFrame, prints: DataFrame) -> DataFrame:
-    """probes, each row once for every block of prints, with _prints, the block's prints as structs. The prints are a query set against all probes: broadcast if they are small
-    enough, else each block meets its copy of the probes by a shuffle."""
-    blocks = prints.groupBy(F.pmod(F.xxhash64("name"), F.lit(BLOCKS)).alias("_b")).agg(F.collect_list(F.struct(*prints.columns)).alias("_prints"))
-    every = probes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
-    return every.join(F.broadcast(blocks) if fits(prints) else blocks, "_b").drop("_b")
+    """probes, each row once for every block of prints, with _prints, the block's prints as structs. The prints are a query set against all probes: written once, as they are looked at twice, and broadcast if they are small
+    enough, else each block meets its copy of the probes by a shuffle. There are as many blocks as the prints need."""
+    prints = saved(prints)
+    n, size = sized(prints)
+    few = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    count = max(1, -(-(n if few else prints.count()) // BLOCK))
+    blocks = prints.groupBy(F.pmod(F.xxhash64("name"), F.lit(count)).alias("_b")).agg(F.collect_list(F.struct(*prints.columns)).alias("_prints"))
+    every = probes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    return every.join(F.broadcast(blocks) if few else blocks, "_b").drop("_b")
 
 
 def nearest(probes: DataFrame, prints: DataFrame, k: int = 1) -> DataFrame:
@@ -253,24 +265,88 @@ def vote(windows: DataFrame, most: float = 0.3, share: float = 0.8) -> DataFrame
     return windows.select("seg_id").distinct().join(named, "seg_id", "left").na.fill({"name": "UNKNOWN", "confidence": 0.0, "dist": 1.0})
 
 
+#: Up to so many vectors of a file their distances are kept (200 MB); beyond, they are computed from the clusters' sums when they are needed.
+MATRIX = 5000
+
+
+class _Distances:
+    """Mean cosine distances between clusters; rows(k) has those of the clusters k to all others, infinite to themselves and to those that are gone."""
+
+    def __init__(self, v: np.ndarray):
+        self.unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        self.weight, self.gone, self.kept = np.ones(len(v)), np.zeros(len(v), bool), None
+        if len(v) <= MATRIX:
+            self.kept = 1 - self.unit @ self.unit.T
+            np.fill_diagonal(self.kept, np.inf)
+        else:
+            self._shrunk(np.arange(len(v)), self.unit.copy())
+
+    def _shrunk(self, live: np.ndarray, sums: np.ndarray) -> None:
+        self.live, self.sum = live, sums
+        self.at = np.zeros(len(self.gone), np.int64)
+        self.at[live] = np.arange(len(live))
+
+    def rows(self, k: np.ndarray) -> np.ndarray:
+        if self.kept is not None:
+            return self.kept[k]
+        # The mean of 1 - a.b over the pairs of two clusters of unit vectors is 1 less the product of the clusters' means.
+        d = np.full((len(k), len(self.gone)), np.inf)
+        d[:, self.live] = 1 - (self.sum[self.at[k]] @ self.sum.T) / (self.weight[k][:, None] * self.weight[self.live][None])
+        d[:, self.gone] = np.inf
+        d[np.arange(len(k)), k] = np.inf
+        return d
+
+    def merge(self, i: int, j: int) -> None:
+        if self.kept is not None:
+            d, w = self.kept, self.weight
+            row = (d[i] * w[i] + d[j] * w[j]) / (w[i] + w[j])
+            d[i], d[:, i] = row, row
+            d[i, i] = np.inf
+            d[j], d[:, j] = np.inf, np.inf
+        else:
+            self.sum[self.at[i]] += self.sum[self.at[j]]
+        self.weight[i] += self.weight[j]
+        self.gone[j] = True
+        if self.kept is None and 2 * (~self.gone[self.live]).sum() < len(self.live):
+            stay = ~self.gone[self.live]
+            self._shrunk(self.live[stay], self.sum[stay])
+
+
 def _linkage(v: np.ndarray, most: int | None, far: float | None) -> np.ndarray:
-    """Average-linkage labels by cosine distance, down to most clusters or up to a distance of far, numbered by first appearance."""
+    """Average-linkage labels by cosine distance, down to most clusters or up to a distance of far, numbered by first appearance. Of equally near pairs the first is merged.
+
+    Every cluster knows its nearest other; a merge looks at all again for those clusters only that had one of the two as theirs, so steps are quadratic but for odd cases.
+    """
     n = len(v)
-    size = np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    d = 1 - (v / size) @ (v / size).T
-    np.fill_diagonal(d, np.inf)
-    label, weight, left = np.arange(n), np.ones(n), n
+    d = _Distances(v)
+    near, dist = np.zeros(n, np.int64), np.full(n, np.inf)
+
+    def look(k: np.ndarray) -> None:
+        for at in range(0, len(k), 256):
+            some = k[at : at + 256]
+            rows = d.rows(some)
+            near[some] = rows.argmin(axis=1)
+            dist[some] = rows[np.arange(len(some)), near[some]]
+
+    if n > 1:
+        look(np.arange(n))
+    label, left = np.arange(n), n
     while left > 1 and (most is None or left > most):
-        i, j = sorted(divmod(int(np.argmin(d)), n))
-        if far is not None and d[i, j] >= far:
+        i = int(dist.argmin())
+        i, j = sorted((i, int(near[i])))
+        if far is not None and dist[i] >= far:
             break
-        row = (d[i] * weight[i] + d[j] * weight[j]) / (weight[i] + weight[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        weight[i] += weight[j]
+        d.merge(i, j)
+        dist[j] = np.inf
         label[label == j] = i
         left -= 1
+        if left > 1:
+            again = ((near == i) | (near == j)) & ~d.gone
+            row = d.rows(np.array([i]))[0]
+            closer = ((row < dist) | ((row == dist) & (i < near))) & ~d.gone
+            near[closer], dist[closer] = i, row[closer]
+            again[i] = True
+            look(np.flatnonzero(again))
     return pd.factorize(label)[0]
 
 
@@ -288,10 +364,13 @@ def _merge_centroids(v: np.ndarray, label: np.ndarray, near: float) -> np.ndarra
 
 
 def clustered(df: DataFrame, clusters: int | None = None, far: float = 0.35, most: int | None = None, near: float | None = 0.25, keys: str = "file_id") -> DataFrame:
-    """OP-62, 62b, 62c, 76: (file_id, vec_id, cluster) by average linkage within each file; an exact number of clusters or a distance, then a cap, then the merge of near centroids. Rows without a vector are left out."""
+    """OP-62, 62b, 62c, 76: (file_id, vec_id, cluster) by average linkage within each file; an exact number of clusters or a distance, then a cap, then the merge of near centroids. Rows without a vector are left out; vectors of unequal length in a file are an error."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
+        sizes = pdf["v"].map(len)
+        if sizes.nunique() > 1:
+            raise ValueError(f"vectors of {sizes.min()} and of {sizes.max()} numbers in {pdf[keys].iloc[0]}")
         v = np.stack(pdf["v"].to_numpy()).astype(float)
         label = _linkage(v, clusters, None if clusters else far)
         if clusters is None:
@@ -301,8 +380,8 @@ def clustered(df: DataFrame, clusters: int | None = None, far: float = 0.35, mos
                 label = _merge_centroids(v, label, near)
         return pd.DataFrame({keys: pdf[keys], "vec_id": pdf["vec_id"], "cluster": label.astype("int64")})
 
-    kind = dict(df.dtypes)[keys]
-    return df.where(F.col("v").isNotNull()).select(keys, "vec_id", "v").groupBy(keys).applyInPandas(run, f"{keys} {kind}, vec_id long, cluster long")
+    kinds = dict(df.dtypes)
+    return df.where(F.col("v").isNotNull()).select(keys, "vec_id", "v").groupBy(keys).applyInPandas(run, f"{keys} {kinds[keys]}, vec_id {kinds['vec_id']}, cluster long")
 
 
 def unknown_clusters(windows: DataFrame, far: float = 0.35, most: int = 10, near: float = 0.25) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import frames as R
 from tessera.operators import segments as S
+from tessera.operators import signals as G
 from tessera.plans.adapters import VEC, vec
 from tessera.sources import audio as A
 
@@ -88,6 +89,12 @@ def chunk_padded(spark, d):
     return c.select("file_id", "chunk", F.transform("samples", lambda x: F.round(x.cast("double"), 5)).alias("samples"))
 
 
+def _chunks(spark, d, size: int, times: int = 1):
+    """The signals as chunks, so that frames, dips and speech lie across cuts."""
+    s = _signal(spark, d)
+    return G.chunked(s.withColumn("samples", F.flatten(F.array_repeat("samples", times))) if times > 1 else s, size)
+
+
 @query("mean_removed", f"WITH {VEC}, f AS (SELECT vec_id, list_transform(range(8), lambda k: v[8 * k + 1:8 * k + 8]) AS f FROM vec) SELECT vec_id AS file_id, list_transform(f, lambda r: list_transform(r, lambda x, i: round(x - list_sum(list_transform(f, lambda g: g[i])) / 8, 5))) AS frames FROM f")
 def mean_removed(spark, d):
     f = F.array(*[F.slice("samples", 8 * k + 1, 8) for k in range(8)])
@@ -164,3 +171,65 @@ def _profiled(spark, d):
 @query("speaker_spectra")
 def speaker_spectra(spark, d):
     return _profiled(spark, d).drop("pitch_hz", "pitch_std", "energy_rms", "total_speech_sec")
+
+
+# The same on chunks, held against the SQL of the whole signals.
+
+
+@query("frame_energy_chunked", ORACLE_SQL["frame_energy"])
+def frame_energy_chunked(spark, d):
+    return G.frame_rms(_chunks(spark, d, 21), 16, 8).select("file_id", F.col("frame").cast("int").alias("frame"), F.round("energy", 6).alias("energy"))
+
+
+@query("energy_speech_chunked", ORACLE_SQL["energy_speech"])
+def energy_speech_chunked(spark, d):
+    return G.energy_speech(_chunks(spark, d, 13), 100, 0.2, 0.05).select("file_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
+
+
+@query("dip_split_chunked", ORACLE_SQL["dip_split"])
+def dip_split_chunked(spark, d):
+    c = _chunks(spark, d, 97, 10)
+    whole = G.lengths(c).select("file_id", F.lit(0).alias("ord"), F.lit(0.0).alias("start"), F.lit(6.4).alias("end"))
+    return G.dip_split(c, whole, 100, ratio=0.7, least_dip=0.04, least_piece=0.2)
+
+
+@query("pitch_chunked", ORACLE_SQL["pitch"])
+def pitch_chunked(spark, d):
+    return G.pitch(_chunks(spark, d, 2050, 40)).select("file_id", F.round("pitch_hz", 4).alias("pitch_hz"), F.round("pitch_std", 4).alias("pitch_std"))
+
+
+@query("audio_cut_chunked", f"WITH {VEC}, p AS (SELECT vec_id AS file_id, k, v, vec_id % 7 + k * 9 AS a, vec_id % 7 + k * 19 + 3 AS b FROM vec, range(3) r(k)) SELECT file_id, k AS ord, list_transform(v[a + 1:least(b, 64)], lambda x: round(x, 5)) AS samples FROM p")
+def audio_cut_chunked(spark, d):
+    """Pieces of every signal, of one sample to several chunks."""
+    c = _chunks(spark, d, 10)
+    a = (F.col("file_id") % 7).cast("double")
+    p = G.lengths(c).select("file_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord")).select("file_id", F.col("ord").cast("long").alias("ord"), (a + F.col("ord") * 9).alias("start"), (a + F.col("ord") * 19 + 3).alias("end"))
+    return G.sliced(c, p, 1, 8).select("file_id", "ord", F.transform("samples", lambda x: F.round(x, 5)).alias("samples"))
+
+
+@query("speaker_profiles_chunked", ORACLE_SQL["speaker_profiles"])
+def speaker_profiles_chunked(spark, d):
+    s = _signal(spark, d).select("file_id", "speaker")
+    seg = s.select("file_id", "speaker", F.lit(0.0).alias("start"), F.lit(0.04).alias("end"))
+    # A file is a signal here; the speakers of all files are one, as in the query on whole signals.
+    c = _chunks(spark, d, 500, 10)
+    per = G.sliced(c, seg, halo=500)
+    return R.profiles(per.select(F.lit(0).cast("long").alias("file_id"), "speaker", F.col("file_id").cast("double").alias("start"), (F.col("file_id") + 0.04).alias("end"), "samples")).select("speaker", "pitch_hz", "pitch_std", "energy_rms", "total_speech_sec")
+
+
+@query("filterbank")
+def filterbank(spark, d):
+    """Each signal nine times over, as an embedding model's input: Kaldi's filterbank less its mean over time."""
+    s = _signal(spark, d).select("file_id", F.flatten(F.array_repeat("samples", 9)).alias("samples"))
+    return R.filterbanks(s).select("file_id", F.transform(R.mean_removed(F.col("frames")), lambda r: F.transform(r, lambda x: F.round(x, 2))).alias("frames"))
+
+
+@query("resampled", f"WITH {VEC} SELECT vec_id AS file_id, CAST(ceil(640 * 160 / 441.0) AS BIGINT) AS n, true AS level FROM vec")
+def resampled(spark, d):
+    """A signal of its own mean throughout, at 44,100 hertz in chunks, keeps its level at 16,000: its middle is that mean."""
+    mean = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x) / 64
+    s = _signal(spark, d).select("file_id", F.transform(F.sequence(F.lit(1), F.lit(640)), lambda _: mean).alias("samples"))
+    c = G.resampled(G.chunked(s, 200), 44_100)
+    back = c.groupBy("file_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "samples"))), lambda x: x["samples"])).alias("x"))
+    flat = F.forall(F.slice("x", 60, 110), lambda x: F.abs(x - F.col("m")) < 1e-3)
+    return back.join(s.select("file_id", F.get("samples", F.lit(0)).alias("m")), "file_id").select("file_id", F.size("x").cast("long").alias("n"), flat.alias("level"))

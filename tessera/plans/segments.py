@@ -171,11 +171,45 @@ def identified_merge(spark, d):
     return S.identified(seg(spark, d), GAP).select("file_id", "ord", "speaker", *_r("start", "end"), *_r("confidence", n=8))
 
 
-@query("island_absorb")
+# A round goes from left to right over a file's list of (start, end, speaker), each step seeing what the last has changed; then neighbours that touch become one. A file is done after a round without changes.
+_ABSORB_SQL = f"""WITH RECURSIVE {SEG}, f AS (SELECT {{key}} AS file_id, list(struct_pack(s := start, e := "end", w := speaker, o := ord) ORDER BY start, ord) AS l FROM seg GROUP BY ALL),
+    r AS (SELECT file_id, l, CAST(2 AS BIGINT) AS k, false AS changed, false AS done FROM f
+      UNION ALL SELECT file_id, CASE WHEN k < len(l) THEN CASE WHEN hit THEN list_concat(list_concat(l[:k - 1], [struct_pack(s := l[k].s, e := l[k].e, w := l[k - 1].w, o := l[k].o)]), l[k + 1:]) ELSE l END
+        WHEN changed THEN list_reduce(list_transform(l, lambda x: [x]), lambda a, x: CASE WHEN a[-1].w = x[1].w AND x[1].s - a[-1].e <= 0
+          THEN list_concat(a[:len(a) - 1], [struct_pack(s := a[-1].s, e := greatest(a[-1].e, x[1].e), w := a[-1].w, o := a[-1].o)]) ELSE list_concat(a, x) END) ELSE l END,
+        CASE WHEN k < len(l) THEN k + 1 ELSE 2 END, CASE WHEN k < len(l) THEN changed OR hit ELSE false END, k >= len(l) AND NOT changed
+      FROM (SELECT *, k < len(l) AND l[k].e - l[k].s < 6000 AND l[k - 1].w = l[k + 1].w AND l[k - 1].w <> l[k].w AS hit FROM r WHERE NOT done)),
+    x AS (SELECT file_id, unnest(l) AS x FROM r WHERE done) SELECT file_id, x.o AS ord, x.w AS speaker, round(x.s, 3) AS start, round(x.e, 3) AS "end" FROM x"""
+
+
+@query("island_absorb", _ABSORB_SQL.format(key="file_id"))
 def island_absorb(spark, d):
     return S.absorb_islands(seg(spark, d).select("file_id", "ord", "start", "end", "speaker"), 6000.0).select("file_id", "ord", "speaker", *_r("start", "end"))
 
 
+def _named(spark, d):
+    return seg(spark, d).select(F.concat(F.lit("calls/"), F.col("file_id"), F.lit(".wav")).alias("file_id"), "ord", "start", "end", "speaker")
+
+
+_NAME = "SELECT * REPLACE ('calls/' || file_id || '.wav' AS file_id) FROM"
+
+
+@query("island_absorb_paths", _ABSORB_SQL.format(key="'calls/' || file_id || '.wav'"))
+def island_absorb_paths(spark, d):
+    """File ids that are paths, as the sources give them."""
+    return S.absorb_islands(_named(spark, d), 6000.0).select("file_id", "ord", "speaker", *_r("start", "end"))
+
+
+@query("pack_greedy_paths", f"{_NAME} ({ORACLE_SQL['pack_greedy']})")
+def pack_greedy_paths(spark, d):
+    return S.pack_greedy(_named(spark, d), 90000.0).select("file_id", "ord", "group")
+
+
+@query("group_capped_paths", f"{_NAME} ({ORACLE_SQL['group_capped']})")
+def group_capped_paths(spark, d):
+    return S.group_capped(_named(spark, d), GAP, 90000.0).select("file_id", "ord", "speaker", *_r("start", "end"))
+
+
 @query("ghost_flag", f"""WITH {SEG} SELECT file_id, ord, speaker, sum("end" - start) OVER (PARTITION BY file_id, speaker) < 200000 AS ghost FROM seg""")
 def ghost_flag(spark, d):
     return S.ghosts(seg(spark, d), 200000.0).select("file_id", "ord", "speaker", "ghost")
@@ -196,6 +230,11 @@ def ghost_full(spark, d):
     return S.drop_ghosts(seg(spark, d).select("file_id", "ord", "start", "end", "speaker"), 200000.0, 1.0).select("file_id", "ord", "speaker", *_r("start", "end"))
 
 
+@query("ghost_full_paths", f"{_NAME} ({ORACLE_SQL['ghost_full']})")
+def ghost_full_paths(spark, d):
+    return S.drop_ghosts(_named(spark, d), 200000.0, 1.0).select("file_id", "ord", "speaker", *_r("start", "end"))
+
+
 _VOTE = f"""{SEG}, t AS (SELECT speaker, ord, start, CASE WHEN value < 50 THEN 'left' ELSE 'right' END AS side, ord // 40 AS k FROM seg)"""
 
 
