@@ -75,15 +75,15 @@ BLOCK = 512
 
 
 def paired(probes: DataFrame, prints: DataFrame) -> DataFrame:
-    """probes, each row once for every block of prints, with _prints, the block's prints as structs. The prints are a query set against all probes: written once, as they are looked at twice, and broadcast if they are small
+    """probes, each row once for every block of prints, with _block, its number, and _prints, its prints as structs in order (their first column tells them apart). The prints are a query set against all probes: written once, as they are looked at twice, and broadcast if they are small
     enough, else each block meets its copy of the probes by a shuffle. There are as many blocks as the prints need."""
     prints = saved(prints)
     n, size = sized(prints)
     few = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     count = max(1, -(-(n if few else prints.count()) // BLOCK))
-    blocks = prints.groupBy(F.pmod(F.xxhash64("name"), F.lit(count)).alias("_b")).agg(F.collect_list(F.struct(*prints.columns)).alias("_prints"))
-    every = probes.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    return every.join(F.broadcast(blocks) if few else blocks, "_b").drop("_b")
+    blocks = prints.groupBy(F.pmod(F.xxhash64("name"), F.lit(count)).alias("_block")).agg(F.sort_array(F.collect_list(F.struct(*prints.columns))).alias("_prints"))
+    every = probes.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    return every.join(F.broadcast(blocks) if few else blocks, "_block")
 
 
 def nearest(probes: DataFrame, prints: DataFrame, k: int = 1) -> DataFrame:
@@ -96,6 +96,59 @@ def nearest(probes: DataFrame, prints: DataFrame, k: int = 1) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Angles are widened by this much, more than rounding can move them.
+ANGLE = 1e-6
+
+
+def _angle(dist: Column) -> Column:
+    return F.when(dist.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - dist))))
+
+
+def cells(prints: DataFrame, pivots: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Prints (name, v) dealt to the nearest of some of them, the pivots (about the root of their number if not given): (cell, name, v), and for each cell (cell, pv, radius, n), its pivot, the angle to its farthest print and its size."""
+    some = saved(prints.where(F.col("v").isNotNull() & (norm(F.col("v")) > 0)).select("name", "v"))
+    count = pivots or max(1, int(some.count() ** 0.5))
+    # The pivots are those of the smallest hashes; equal vectors would give empty cells, which do no harm.
+    chosen = saved(some.orderBy(F.xxhash64("name"), "name").limit(count))
+    home = nearest(some.select(F.col("name").alias("cluster_id"), "v"), chosen).select(F.col("cluster_id").alias("name"), F.col("name").alias("cell"), "dist")
+    dealt = saved(some.join(home, "name").select("cell", "name", "v", _angle(F.col("dist")).alias("angle")))
+    size = dealt.groupBy("cell").agg((F.max("angle") + ANGLE).alias("radius"), F.count(F.lit(1)).alias("n"))
+    return dealt.select("cell", "name", "v"), saved(size.join(chosen.withColumnsRenamed({"name": "cell", "v": "pv"}), "cell").select("cell", "pv", "radius", "n"))
+
+
+def searched(probes: DataFrame, cell: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, v, cell) of the cells that may hold a neighbour: with bound (cluster_id, most), an angle, those whose prints can be as near as that by the triangle inequality; without, each probe's nearest cell that isn't empty."""
+    near = F.transform("_prints", lambda p: F.struct(_angle(cosine_distance(F.col("v"), p["pv"])).alias("a"), p["cell"].alias("cell"), p["radius"].alias("r")))
+    met = paired(probes.where(F.col("v").isNotNull() & (norm(F.col("v")) > 0)).select("cluster_id", "v"), cell.select("cell", "pv", "radius").withColumnRenamed("cell", "name").select("name", F.col("name").alias("cell"), "pv", "radius"))
+    if bound is None:
+        first = met.select("cluster_id", "v", F.array_min(near).alias("_m"))
+        return first.groupBy("cluster_id").agg(F.min_by("v", "_m").alias("v"), F.min("_m.cell").alias("_c"), F.min("_m").alias("_m")).select("cluster_id", "v", F.col("_m.cell").alias("cell"))
+    some = met.join(bound, "cluster_id").select("cluster_id", "v", F.explode(F.filter(near, lambda c: c["a"] - c["r"] <= F.col("most") + ANGLE)).alias("_m"))
+    return some.select("cluster_id", "v", F.col("_m.cell").alias("cell"))
+
+
+def _best_in(asked: DataFrame, dealt: DataFrame, k: int) -> DataFrame:
+    """(cluster_id, dist, name) of the k best prints of each block of the cells asked (cluster_id, v, cell). A large cell is some blocks."""
+    at = F.pmod(F.xxhash64("name"), F.ceil(F.col("n") / BLOCK)).alias("_block")
+    size = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    blocks = dealt.join(size, "cell").select("cell", at, "name", "v").groupBy("cell", "_block").agg(F.collect_list(F.struct("name", "v")).alias("_prints"))
+    every = asked.join(size, "cell").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1))).drop("n")
+    near = F.transform("_prints", lambda p: F.struct(cosine_distance(F.col("v"), p["v"]).alias("dist"), p["name"].alias("name")))
+    return every.join(blocks, ["cell", "_block"]).select("cluster_id", F.explode(F.slice(F.sort_array(near), 1, k)).alias("_m")).select("cluster_id", "_m.*")
+
+
+def nearest_pruned(probes: DataFrame, prints: DataFrame, k: int = 1, pivots: int | None = None) -> DataFrame:
+    """OP-66 without meeting every print: the same rows as nearest, for many prints. A probe looks into its nearest cell first; the k-th angle found there bounds what other cells may hold, and
+    only those that the triangle inequality leaves are looked into. Probes' cluster_id are distinct."""
+    dealt, cell = cells(prints, pivots)
+    first = saved(_best_in(searched(probes, cell), dealt, k))
+    kth = first.groupBy("cluster_id").agg(F.get(F.sort_array(F.collect_list("dist")), F.lit(k - 1)).alias("d"))
+    bound = kth.select("cluster_id", F.coalesce(_angle(F.col("d")), F.lit(4.0)).alias("most"))
+    found = _best_in(searched(probes, cell, bound), dealt, k)
+    w = Window.partitionBy("cluster_id").orderBy("dist", "name")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 _CONFIG = Config()
 WEIGHTS, SCALES, MATCHING = _CONFIG.get("weights"), _CONFIG.get("normalization"), _CONFIG.get("matching")
 SPEECH_FACTOR = 2.0  # fixed value
@@ -131,37 +184,61 @@ def mfcc_distance(a: Column, b: Column, scales: dict[str, float] = SCALES) -> Co
     return F.when(count > 0, total / count).otherwise(0.5)
 
 
-def composite(pairs: DataFrame, config: Config = _CONFIG) -> DataFrame:
-    """OP-65: pairs with v/pitch_hz/energy_rms of both sides (suffixes _a, _b), and features_a, features_b (structs of SPECTRAL and MFCC) or not, get emb_dist, spectral_dist, mfcc_dist, combined and confidence."""
+def _scores(a, b, config: Config, known: bool = True) -> dict[str, Column]:
+    """OP-65 for two sides, each a function of a name to a column: emb_dist, spectral_dist, mfcc_dist, combined and confidence."""
     weights, scales = config.get("weights"), config.get("normalization")
-    emb = F.coalesce(cosine_distance(F.col("v_a"), F.col("v_b")), F.lit(1.0))
-    known = "features_a" in pairs.columns
-    spectral = spectral_distance(F.col("features_a"), F.col("features_b"), scales) if known else F.lit(0.5)
-    mfcc = mfcc_distance(F.col("features_a"), F.col("features_b"), scales) if known else F.lit(0.5)
+    emb = F.coalesce(cosine_distance(a("v"), b("v")), F.lit(1.0))
+    spectral = spectral_distance(a("features"), b("features"), scales) if known else F.lit(0.5)
+    mfcc = mfcc_distance(a("features"), b("features"), scales) if known else F.lit(0.5)
     part = {
         "embedding": emb,
-        "pitch": capped_difference(F.col("pitch_hz_a"), F.col("pitch_hz_b"), scales["pitch_hz_per_unit"]),
-        "energy": capped_difference(F.col("energy_rms_a"), F.col("energy_rms_b"), scales["energy_rms_per_unit"]),
+        "pitch": capped_difference(a("pitch_hz"), b("pitch_hz"), scales["pitch_hz_per_unit"]),
+        "energy": capped_difference(a("energy_rms"), b("energy_rms"), scales["energy_rms_per_unit"]),
         "spectral": F.least(F.lit(1.0), spectral),
         "mfcc": F.least(F.lit(1.0), mfcc),
     }
     combined = sum(weights[k] * v for k, v in part.items()) / sum(weights[k] for k in part)
-    out = pairs.withColumn("emb_dist", F.round(emb, 3)).withColumn("spectral_dist", F.round(spectral, 3)).withColumn("mfcc_dist", F.round(mfcc, 3)).withColumn("combined", F.round(combined, 3))
-    return out.withColumn("confidence", F.round(F.greatest(F.lit(0.0), 1 - combined / scales["confidence_max_distance"]), 3))
+    confidence = F.round(F.greatest(F.lit(0.0), 1 - combined / scales["confidence_max_distance"]), 3)
+    return {"emb_dist": F.round(emb, 3), "spectral_dist": F.round(spectral, 3), "mfcc_dist": F.round(mfcc, 3), "combined": F.round(combined, 3), "confidence": confidence}
 
 
-def candidates(clusters: DataFrame, prints: DataFrame, config: Config = _CONFIG) -> DataFrame:
-    """OP-65, 66: clusters (file_id, cluster_id, v, pitch_hz, energy_rms and features) against all voiceprints (name, the same, total_speech_sec): (file_id, cluster_id, name, emb_dist,
-    spectral_dist, mfcc_dist, combined, confidence, total_speech_sec). Features that a table lacks are unknown."""
+def composite(pairs: DataFrame, config: Config = _CONFIG) -> DataFrame:
+    """OP-65: pairs with v/pitch_hz/energy_rms of both sides (suffixes _a, _b), and features_a, features_b (structs of SPECTRAL and MFCC) or not, get emb_dist, spectral_dist, mfcc_dist, combined and confidence."""
+    return pairs.withColumns(_scores(lambda n: F.col(f"{n}_a"), lambda n: F.col(f"{n}_b"), config, "features_a" in pairs.columns))
+
+
+def scored_blocks(clusters: DataFrame, prints: DataFrame, config: Config = _CONFIG, best: int | None = None) -> DataFrame:
+    """OP-65, 66: clusters (file_id, cluster_id, v, pitch_hz, energy_rms and features) against blocks of voiceprints (name, the same, total_speech_sec), scored inside the row: (file_id, cluster_id, block,
+    top: the best prints of the block with their scores, or all, and dists: the combined distances of all, in the block's order). Vectors don't leave the row, and of what follows only the best are shuffled. Features that a table lacks are unknown."""
 
     def side(df: DataFrame) -> Column:
         have = [n for n in (*SPECTRAL, *MFCC) if n in df.columns]
-        return F.struct(*[(F.col(n) if n in have else F.lit(None).cast("double")).alias(n) for n in (*SPECTRAL, *MFCC)])
+        return F.struct(*[(F.col(n) if n in have else F.lit(None).cast("double")).alias(n) for n in (*SPECTRAL, *MFCC)]).alias("features")
+
+    names = ["v", "pitch_hz", "energy_rms"]
+    a = clusters.select("file_id", "cluster_id", F.struct(*names, side(clusters)).alias("_a"))
+    b = prints.where(F.col("v").isNotNull()).select("name", *names, side(prints), "total_speech_sec")
+
+    def score(p: Column) -> Column:
+        s = _scores(lambda n: F.col("_a").getField(n), lambda n: p[n], config)
+        return F.struct(s.pop("combined").alias("combined"), p["name"].alias("name"), *[c.alias(n) for n, c in s.items()], p["total_speech_sec"].alias("total_speech_sec"))
+
+    rows = paired(a, b).select("file_id", "cluster_id", F.col("_block").alias("block"), F.transform("_prints", score).alias("_s"))
+    top = F.slice(F.sort_array("_s"), 1, best) if best else F.col("_s")
+    return rows.select("file_id", "cluster_id", "block", top.alias("top"), F.transform("_s", lambda x: x["combined"]).alias("dists"))
+
 
-    a = clusters.select("file_id", "cluster_id", F.col("v").alias("v_a"), F.col("pitch_hz").alias("pitch_hz_a"), F.col("energy_rms").alias("energy_rms_a"), side(clusters).alias("features_a"))
-    b = prints.where(F.col("v").isNotNull()).select("name", F.col("v").alias("v_b"), F.col("pitch_hz").alias("pitch_hz_b"), F.col("energy_rms").alias("energy_rms_b"), side(prints).alias("features_b"), "total_speech_sec")
-    pairs = paired(a, b).select(*a.columns, F.inline("_prints"))
-    return composite(pairs, config).select("file_id", "cluster_id", "name", "emb_dist", "spectral_dist", "mfcc_dist", "combined", "confidence", "total_speech_sec")
+_CANDIDATE = ["file_id", "cluster_id", "name", "emb_dist", "spectral_dist", "mfcc_dist", "combined", "confidence", "total_speech_sec"]
+
+
+def candidates(clusters: DataFrame, prints: DataFrame, config: Config = _CONFIG, best: int | None = None) -> DataFrame:
+    """OP-65, 66: (file_id, cluster_id, name, emb_dist, spectral_dist, mfcc_dist, combined, confidence, total_speech_sec) of all voiceprints, or of the best of each cluster, by combined distance and name."""
+    return best_of(scored_blocks(clusters, prints, config, best), best)
+
+
+def best_of(blocks: DataFrame, best: int | None = None) -> DataFrame:
+    rows = blocks.select("file_id", "cluster_id", F.inline("top")).select(*_CANDIDATE)
+    return ranked(rows).where(F.col("rank") <= best).drop("rank") if best else rows
 
 
 def _of(df: DataFrame) -> list[str]:
@@ -238,6 +315,14 @@ def similar_profiles(distances: DataFrame, common: int = 3, tolerance: float = 0
     return both.where((F.col("n") >= common) & (F.col("worst") < tolerance))
 
 
+def similar_blocks(blocks: DataFrame, common: int = 3, tolerance: float = 0.05) -> DataFrame:
+    """OP-72 from scored blocks: a file's clusters meet with their distances as one array for each block, not as a row for each voiceprint."""
+    side = lambda n: blocks.select("file_id", "block", F.col("cluster_id").alias(n), F.col("dists").alias(f"_d{n}"))
+    far = F.array_max(F.zip_with("_da", "_db", lambda x, y: F.abs(x - y)))
+    both = side("a").join(side("b"), ["file_id", "block"]).where("a < b").groupBy("file_id", "a", "b").agg(F.sum(F.size("_da")).alias("n"), F.max(far).alias("worst"))
+    return both.where((F.col("n") >= common) & (F.col("worst") < tolerance))
+
+
 def clarity(distances: DataFrame) -> DataFrame:
     """OP-73: of windows' distances to all centroids (window_id, cluster_id, dist), the least over the second least, at most 1; 0 with one cluster."""
     two = distances.groupBy("window_id").agg(F.slice(F.sort_array(F.collect_list("dist")), 1, 2).alias("_d"))

@@ -98,7 +98,7 @@ def diarised(windows: DataFrame, prints: DataFrame | None = None, far: float = 0
             cluster = cluster.join(profiles.withColumnRenamed("speaker", "cluster_id"), ["file_id", "cluster_id"])
         zero = {c: F.lit(0.0) for c in ("pitch_hz", "energy_rms") if c not in cluster.columns}
         full = {c: F.lit(0.0) for c in ("pitch_hz", "energy_rms", "total_speech_sec") if c not in prints.columns}
-        found = saved(V.candidates(cluster.withColumns(zero) if zero else cluster, prints.withColumns(full) if full else prints, config))
+        found = saved(V.scored_blocks(cluster.withColumns(zero) if zero else cluster, prints.withColumns(full) if full else prints, config, best=4))
         seg = saved(_named(seg, found))
     out = saved(S.drop_ghosts(seg, 10.0, 1.0))
     return _confident(out, labelled, prints).join(seg.select("file_id", "ord", *(["alternatives"] if prints is not None else [F.array().cast("array<struct<speaker:string,confidence:double>>").alias("alternatives")])), ["file_id", "ord"], "left")
@@ -112,13 +112,14 @@ def diarised_files(audio: DataFrame, embed, prints: DataFrame | None = None, vad
     return diarised(windows, prints, far, audio=some, embed=embed, config=config)
 
 
-def _named(seg: DataFrame, found: DataFrame) -> DataFrame:
-    """seg with names and alternatives by the candidates (file_id, cluster_id, name, ...) of its speakers."""
+def _named(seg: DataFrame, blocks: DataFrame) -> DataFrame:
+    """seg with names and alternatives by the scored blocks of voiceprints of its speakers."""
+    found = V.best_of(blocks, 4)
     match = V.match_clusters(found, tight=V.LOOSE).select("file_id", "cluster_id", "name", "matched", "combined")
     near = match.where(F.col("combined") <= V.LOOSE)
     # Of speakers whose best name is the same, the first keeps its own match; the others take the name.
     first = near.withColumn("_r", F.row_number().over(Window.partitionBy("file_id", "name").orderBy("cluster_id"))).select("file_id", "cluster_id", (F.col("_r") > 1).alias("_later"))
-    alike = V.similar_profiles(found.withColumn("dist", F.col("combined"))).groupBy("file_id", F.col("b").alias("cluster_id")).agg(F.min("a").alias("_like"))
+    alike = V.similar_blocks(blocks).groupBy("file_id", F.col("b").alias("cluster_id")).agg(F.min("a").alias("_like"))
     named = match.join(first, ["file_id", "cluster_id"], "left").join(alike, ["file_id", "cluster_id"], "left")
     own = F.when(F.col("matched") | F.coalesce("_later", F.lit(False)), F.col("name"))
     named = named.select("file_id", "cluster_id", own.alias("_own"), "_like")

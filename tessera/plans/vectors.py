@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import vectors as V
@@ -121,6 +122,16 @@ def nearest_prints(spark, d):
     return V.nearest(v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("cluster_id"), "v"), prints, 3).select("cluster_id", "name", F.round("dist", 5).alias("dist"), "rank")
 
 
+@query("nearest_prints_pruned", f"WITH {VEC}, p AS (SELECT a.vec_id AS cluster_id, b.vec_id AS name, {cos('a.v', 'b.v')} AS dist FROM vec a, vec b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) SELECT cluster_id, name, round(dist, 5) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dist, name) AS rank FROM p) WHERE rank <= 3")
+def nearest_prints_pruned(spark, d):
+    """A search: every vector whose id is divisible by 20 against all, by cells and the triangle inequality; its nearest is itself."""
+    v = vec(spark, d)
+    probes, prints = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("cluster_id"), "v"), v.select(F.col("vec_id").alias("name"), "v")
+    near = V.nearest_pruned(probes, prints, 4).where("cluster_id <> name")
+    w = Window.partitionBy("cluster_id").orderBy("dist", "name")
+    return near.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("cluster_id", "name", F.round("dist", 5).alias("dist"), "rank")
+
+
 @query("composite_distance", f"WITH {_CAND} SELECT cluster_id, name, emb_dist, spectral_dist, mfcc_dist, combined, confidence FROM cand")
 def composite_distance(spark, d):
     return _candidates(spark, d).select("cluster_id", "name", "emb_dist", "spectral_dist", "mfcc_dist", "combined", "confidence")
