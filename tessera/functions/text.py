@@ -28,6 +28,11 @@ def parse_clock(t: Column) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda a, x: a * 60 + x)
 
 
+def base64_of(content: Column) -> Column:
+    """OP-93: bytes of a file as a model's request takes them, without line ends."""
+    return F.regexp_replace(F.base64(content), r"\s", "")
+
+
 def short_hash(stem: Column) -> Column:
     """OP-83: six letters for a file name: the low six base-32 digits of its MD5, the lowest first, in letters and digits."""
     n = F.conv(F.right(F.md5(stem.cast("binary")), F.lit(8)), 16, 10).cast("long")

@@ -336,6 +336,11 @@ def speaker_totals(df: DataFrame) -> DataFrame:
     return df.groupBy("file_id", "speaker").agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum(d), 1).alias("seconds"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
 
 
+def job_totals(results: DataFrame, failed: Column) -> DataFrame:
+    """OP-100, 104: of results, a row each: how many there are, how many have failed, and the distinct speakers, those of failed ones too."""
+    return results.agg(F.count(F.lit(1)).alias("files"), F.count_if(failed).alias("failed"), F.countDistinct("speaker").alias("speakers"))
+
+
 def review(df: DataFrame) -> DataFrame:
     """OP-19: (file_id, json) with each speaker's totals, by name, and all segments in order."""
     t = speaker_totals(df).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("speaker", "segments", "seconds", "mean_confidence"))).alias("speakers"))

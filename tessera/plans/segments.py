@@ -355,4 +355,4 @@ def carried_context(spark, d):
 
 @query("job_totals", f"""WITH {SEG} SELECT count(*) AS files, count(*) FILTER (WHERE confidence < 0.5) AS failed, count(DISTINCT speaker) AS speakers FROM seg""")
 def job_totals(spark, d):
-    return seg(spark, d).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("confidence") < 0.5).alias("failed"), F.countDistinct("speaker").alias("speakers"))
+    return S.job_totals(seg(spark, d), F.col("confidence") < 0.5)

@@ -222,11 +222,47 @@ def agglomerative(spark, d):
     return V.clustered(vec(spark, d).select(F.col("label").alias("file_id"), "vec_id", "v"), far=0.9, near=0.6)
 
 
-@query("agglomerative_exact")
+# Of all pairs of clusters that with the least mean distance becomes one, in the place of the first, until three are left.
+_LINKED = f"""WITH RECURSIVE {VEC}, f AS (SELECT label, list(v ORDER BY vec_id) AS vs, list(vec_id ORDER BY vec_id) AS ids FROM vec GROUP BY label),
+    d AS MATERIALIZED (SELECT label, ids, list_transform(vs, lambda a: list_transform(vs, lambda b: {cos('a', 'b')})) AS d FROM f),
+    r AS (SELECT label, list_transform(range(1, len(ids) + 1), lambda i: [i]) AS c FROM d
+      UNION ALL SELECT label, list_transform(list_filter(range(1, len(c) + 1), lambda k: k <> p.j), lambda k: CASE WHEN k = p.i THEN list_concat(c[k], c[p.j]) ELSE c[k] END)
+      FROM (SELECT r.label, c, list_min(flatten(list_transform(range(1, len(c)), lambda i: list_transform(range(i + 1, len(c) + 1), lambda j: struct_pack(m := list_avg(flatten(list_transform(c[i], lambda a: list_transform(c[j], lambda b: d.d[a][b])))), i := i, j := j))))) AS p
+        FROM r JOIN d ON r.label = d.label WHERE len(c) > 3)),
+    o AS (SELECT label, unnest(c) AS m, generate_subscripts(c, 1) - 1 AS cluster FROM r WHERE len(c) <= 3), e AS (SELECT label, cluster, unnest(m) AS i FROM o)
+    SELECT e.label AS file_id, d.ids[e.i] AS vec_id, e.cluster FROM e JOIN d ON e.label = d.label"""
+
+
+@query("agglomerative_exact", _LINKED)
 def agglomerative_exact(spark, d):
     return V.clustered(vec(spark, d).select(F.col("label").alias("file_id"), "vec_id", "v"), clusters=3)
 
 
+@query("embed_files_raw", f"WITH {VEC}, {_by_label('m', 'vec_id % 7 <> 0')} SELECT l.label AS file_id, list_transform(m.v, lambda x: round(x / {NORM.format(a='m.v')}, 5)) AS v FROM (SELECT DISTINCT label FROM vec) l LEFT JOIN m USING (label)")
+def embed_files_raw(spark, d):
+    """The mean of the raw windows; every seventh window has no vector."""
+    w = vec(spark, d).select(F.col("label").alias("file_id"), F.when(F.col("vec_id") % 7 != 0, F.col("v")).alias("v"))
+    return V.embed_files(w, raw_mean=True).select("file_id", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
+
+
+@query("nearest_prints_null", f"WITH {VEC}, {_MEAN}, p AS (SELECT a.vec_id AS cluster_id, e.label AS name, {cos('a.v', 'e.v')} AS dist FROM vec a, mean_even e WHERE a.vec_id % 5 <> 0 AND e.label % 3 <> 0) SELECT cluster_id, name, round(dist, 5) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY dist, name) AS rank FROM p) WHERE rank <= 2")
+def nearest_prints_null(spark, d):
+    """A third of the voiceprints have no vector, and every fifth probe has none."""
+    v = vec(spark, d)
+    prints = V.mean_vector(v.where("vec_id % 2 = 0"), ["label"]).select(F.col("label").alias("name"), F.when(F.col("label") % 3 != 0, F.col("v")).alias("v"))
+    probes = v.select(F.col("vec_id").alias("cluster_id"), F.when(F.col("vec_id") % 5 != 0, F.col("v")).alias("v"))
+    return V.nearest(probes, prints, 2).select("cluster_id", "name", F.round("dist", 5).alias("dist"), "rank")
+
+
+@query("refined_new_only", f"WITH {VEC}, n AS (SELECT label, sum((120.0 + vec_id % 5) * (vec_id % 9 + 1)) / sum(vec_id % 9 + 1) AS p, sum(vec_id % 9 + 1) AS t FROM vec WHERE vec_id % 2 = 1 GROUP BY label), l AS (SELECT DISTINCT label FROM vec) SELECT label AS name, round((CASE WHEN label < 8 THEN 100.0 ELSE p END)::DOUBLE, 1) AS pitch_hz, (CASE WHEN label < 8 THEN 60 ELSE t END)::DOUBLE AS total_speech_sec FROM l LEFT JOIN n USING (label) WHERE label < 8 OR t IS NOT NULL")
+def refined_new_only(spark, d):
+    """Samples of voiceprints that are stored already are left out."""
+    v = vec(spark, d)
+    samples = v.where("vec_id % 2 = 1").select(F.col("label").alias("name"), "v", (F.lit(120.0) + F.col("vec_id") % 5).alias("pitch_hz"), F.lit(0.05).alias("energy_rms"), (F.col("vec_id") % 9 + 1).cast("double").alias("duration"))
+    stored = V.centroids(v.where("label < 8"), ["label"]).select(F.col("label").alias("name"), "v", F.lit(100.0).alias("pitch_hz"), F.lit(0.04).alias("energy_rms"), F.lit(60.0).alias("total_speech_sec"))
+    return V.refined(samples, stored, skip_existing=True).select("name", F.round("pitch_hz", 1).alias("pitch_hz"), "total_speech_sec")
+
+
 @query("embed_files", f"WITH {VEC}, u AS (SELECT label, p, avg(x) AS m FROM (SELECT label, unnest(list_transform(v, lambda x: x / {NORM.format(a='v')})) AS x, generate_subscripts(v, 1) AS p FROM vec) GROUP BY ALL), m AS (SELECT label, list(m ORDER BY p) AS v FROM u GROUP BY label) SELECT label AS file_id, list_transform(v, lambda x: round(x / {NORM.format(a='v')}, 5)) AS v FROM m")
 def embed_files(spark, d):
     return V.embed_files(vec(spark, d).select(F.col("label").alias("file_id"), "v")).select("file_id", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
