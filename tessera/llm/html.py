@@ -8,13 +8,13 @@ tags of each. The page's lines are then judged by numbers:
 3. The score is the logarithm of the smoothed ratio times the line's weight: elements, roles and class names of menus, headers, footers, sidebars, notices, adverts, forms and reader
    comments lower it (LOWERED, or HINTED inside an article for words and ids that may have another meaning there), article and main elements raise it (RAISED).
 4. The threshold that parts the scores in two groups of the least variance inside clusters the lines in high and low. Lines within NEAR of the score at which half of the text stands are high
-   too, as are lines of an article that aren't lowered and have a smoothed ratio of ENOUGH, and all lines if the groups' means are less than APART apart.
+   too, as are lines of an article that aren't lowered and have a smoothed ratio of ENOUGH, and all lines if the groups' means are less than APART apart. Text counts by its weight if that is under 1, and
+   what is lowered outside of an article must have a weighed ratio of LEAST.
 5. Regions run from a high line to a high line of more text than links; what is high, or is text that isn't lowered, between two such lines belongs to the region. If article or
    main elements hold the most of the high text, other regions are left out.
 
-Only what is never text of the page is left out beforehand: scripts, styles, heads and the like, hidden elements, and, outside of article and main elements, the elements that the
-standard declares for menus, footers, sidebars and forms, and elements whose class or id names such a part.
-Headings in an article's own header stay.
+Only what is never text of the page is left out beforehand: scripts, styles, heads and the like, and hidden elements. Menus, footers, sidebars and all else are lines with a weight, and the
+numbers decide. Of an article's own header the headings stay.
 
 Null and empty pages, and pages without text, give the empty text. Broken markup doesn't stop the parser: an end tag closes what is open inside its element,
 one without a start is passed over, and an article that starts inside an unclosed marked element ends it. Very long pages cost time in proportion. Repeated rows give equal texts;
@@ -62,6 +62,7 @@ HINTED = 0.3
 RAISED = 20.0
 ENOUGH = 2.0
 NEAR = 2.2
+LEAST = 1.0
 APART = 1.4
 PIECE = 65_536
 
@@ -85,13 +86,13 @@ def _named(value: str, inside: bool, is_id: bool) -> int:
         words = [w.lower() for w in _SPLIT.split(name) if w]
         sure, maybe = not _NAMES.isdisjoint(words), not _AMBIGUOUS.isdisjoint(words)
         if not inside and (sure or maybe):
-            return _OUT
+            return _LOW
         if sure and (not is_id or len(words) == 1):
             return _LOW
         if sure or maybe:
             found = _HINT
         elif not found and not _HEADER.isdisjoint(words):
-            found = _HEAD if inside else _OUT
+            found = _HEAD if inside else _LOW
     return found
 
 
@@ -120,9 +121,9 @@ class Lines(HTMLParser):
         inside, content = self.content > 0, tag in _CONTENT
         if tag in _NEVER:
             return _OUT, False
-        mark = (_LOW if inside else _OUT) if tag in _MARKED else 0
+        mark = _LOW if tag in _MARKED else 0
         if tag == "header":
-            mark = _HEAD if inside else _OUT
+            mark = _HEAD if inside else _LOW
         for name, value in attrs if tag not in ("a", "html", "body") else ():
             value = value or ""
             if name in ("class", "id") and tag not in _HEADINGS and tag not in _CONTENT:
@@ -130,7 +131,7 @@ class Lines(HTMLParser):
                     mark = min(mark or got, got)
             elif name == "role":
                 if value.lower() in _ROLES:
-                    mark = _LOW if inside else _OUT
+                    mark = _LOW
                 content = content or value.lower() in _CONTENT
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN.search(value)):
                 return _OUT, False
@@ -152,7 +153,7 @@ class Lines(HTMLParser):
                 if self.stack[k][0] in _BLOCK:
                     break
         mark, content = self._mark(tag, attrs)
-        if content and not self.content and self.count[_OUT] and not any(s[0] in _NEVER or s[0] in ("footer", "nav", "aside") for s in self.stack):
+        if content and not self.content and (self.count[_LOW] or self.count[_HINT]) and not any(s[1] == _OUT or s[0] in ("footer", "nav", "aside") for s in self.stack):
             self.stack = [(s, 0, c) for s, _, c in self.stack]
             self.count, self.zones = [0] * 5, [0]
         self.stack.append((tag, mark, content))
@@ -224,12 +225,13 @@ def scores(lines: list[Line]) -> np.ndarray:
 
 def selected(lines: list[Line], score: np.ndarray) -> np.ndarray:
     """Which lines are main text."""
-    size = np.array([len(x.text) for x in lines])
+    size = np.array([len(x.text) * min(1.0, x.weight) for x in lines])  # what is lowered counts for as much less
     order = np.argsort(-score, kind="stable")
     middle = score[order][np.searchsorted(np.cumsum(size[order]), size.sum() / 2)]  # half of the text stands in lines of this score or more
     weight = np.array([x.weight for x in lines])
     high = parted(score) | (score >= middle - NEAR) | ((weight == RAISED) & (score >= np.log1p(ENOUGH * RAISED)))
     inside = np.array([x.content for x in lines])
+    high &= inside | (weight > LOWERED) | (score >= np.log1p(LEAST))
     if size[high & inside].sum() * 2 >= size[high].sum():
         high &= inside
     links = np.array([2 * x.linked > len(x.text) for x in lines])

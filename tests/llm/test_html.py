@@ -100,12 +100,14 @@ def plain_text(page):
         return ""
     score = plain_scores(lines)
     held, middle = 0, None
+    mass = [len(x.text) * min(1.0, x.weight) for x in lines]
     for k in sorted(range(len(lines)), key=lambda k: -score[k]):
-        held += len(lines[k].text)
-        if middle is None and 2 * held >= sum(len(x.text) for x in lines):
+        held += mass[k]
+        if middle is None and 2 * held >= sum(mass):
             middle = score[k]
     high = [p or s >= middle - html.NEAR or (x.weight == html.RAISED and s >= math.log(1 + html.ENOUGH * html.RAISED)) for p, s, x in zip(plain_parted(score), score, lines)]
-    size = lambda inside: sum(len(x.text) for x, h in zip(lines, high) if h and x.content == inside)
+    high = [h and (x.content or x.weight > html.LOWERED or s >= math.log(1 + html.LEAST)) for h, x, s in zip(high, lines, score)]
+    size = lambda inside: sum(m for x, h, m in zip(lines, high, mass) if h and x.content == inside)
     if size(True) >= size(False):
         high = [h and x.content for h, x in zip(high, lines)]
     links = [2 * x.linked > len(x.text) for x in lines]
@@ -136,6 +138,23 @@ def test_ratios_decide_where_nothing_is_marked(monkeypatch):
         assert got != want and "Topic 3" in got
 
 
+def test_on_the_table_the_scores_decide(spark, monkeypatch):
+    """Nothing but scripts and the like is left out beforehand: on every page lines are dropped by their scores, no text of an article is lost, and without the weights of article and main nearly all pages come out alike."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    dropped = alike = 0
+    for page in pages:
+        lines = lines_of(page)
+        got = html.main_text(page)
+        keep = html.selected(lines, html.scores(lines))
+        dropped += not keep.all()
+        assert got.split("\n") == [x.text for x in lines if x.content and x.weight == html.RAISED]
+        bare = [x._replace(weight=x.weight / (html.RAISED if x.content else 1.0), content=False, zone=x.zone // 2) for x in lines]
+        alike += (html.selected(bare, html.scores(bare)) == keep).all()
+    assert dropped == len(pages) and alike >= 0.98 * len(pages)
+    monkeypatch.setattr(html, "selected", lambda lines, score: score > -1)
+    assert all(html.main_text(p) != "\n".join(x.text for x in lines_of(p) if x.content and x.weight == html.RAISED) for p in pages)
+
+
 def test_rows(spark):
     schema = "page_id long, text string, n_chars string, html string"
     rows = [(1, "a", "b", CASES["article"][0]), (1, "a", "b", CASES["article"][0]), (2, None, None, None), (None, "x", "y", "")]
