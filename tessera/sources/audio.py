@@ -156,7 +156,7 @@ def write_sound(df: DataFrame, path: str, rate: int = RATE, encoding: str = "wav
 
 
 def read_sound(spark: SparkSession, path: str, rate: int = RATE, seconds: float = 30.0, **options: object) -> DataFrame:
-    """OP-01, 02, 04, 05, 07: WAV and FLAC files of any length as chunks at the rate, mono; comparisons of start and end with constants read those parts only."""
+    """OP-01, 02, 04, 05, 07: WAV and FLAC files of any length as chunks at the rate, mono. Options: see sources.sound; from and to read the parts of that time only."""
     sound.register(spark)
     return spark.read.format("sound").options(path=path, rate=rate, seconds=seconds, **options).load()
 

@@ -1,8 +1,9 @@
 """A Spark data source for sound files: spark.read.format("sound") reads files of any length as chunks, df.write.format("sound") writes segments as files.
 
 Reading. Options: path (a folder with all below it, or a file), rate (16000), seconds (30, of a chunk), split (32 MB). A file is dealt to tasks by its size, without being opened by the driver; a task reads the
-header, then only the bytes of its own chunks and what the resampling filter reaches to. Comparisons of file_id, speaker, chunk, first, start and end with constants are
-pushed down: files are not opened, and chunks not read, that they rule out. Rows are chunks as in operators.signals, with the sub-folder as speaker and the times of a chunk.
+header, then only the bytes of its own chunks and what the resampling filter reaches to. Options from and to (seconds) take the chunks that
+overlap that time only, speaker one folder only: files are not opened, and chunks not read, that they rule out. With option pushdown, comparisons of file_id, speaker, chunk, first, start and end with constants do the
+same; Spark 4.1 keeps what has been pushed for all uses of a loaded frame, so such a frame is for one query that reads it once, and the session must allow it (spark.sql.python.filterPushdown.enabled). Rows are chunks as in operators.signals, with the sub-folder as speaker and the times of a chunk.
 What can't be read is a row with an error and null samples; chunks before a place that can't be read stay.
 
 Writing. Rows (speaker, file_name, samples, ...) become path/speaker/file_name.wav or .flac (option encoding), of rate hertz. Tasks write below path/_staging; the commit moves the files of the attempts that counted, and
@@ -145,13 +146,9 @@ class SoundReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.rate, self.seconds = options["path"], int(options.get("rate", 16_000)), float(options.get("seconds", 30))
         self.split, self.tests = int(options.get("split", 32 << 20)), []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            columns = ("file_id", "speaker", "chunk", "first", "start", "end")
-            if type(f) in (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual) and len(f.attribute) == 1 and f.attribute[0] in columns and f.value is not None:
-                self.tests.append((f.attribute[0], type(f), f.value))
-            yield f  # rows of files that can't be read have no times, so Spark looks again
+        for name, column, op, kind in (("from", "end", GreaterThan, float), ("to", "start", LessThan, float), ("speaker", "speaker", EqualTo, str)):
+            if name in options:
+                self.tests.append((column, op, kind(options[name])))
 
     def partitions(self) -> list[Part]:
         store, top = located(self.path)
@@ -184,6 +181,15 @@ class SoundReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(_ones(p.file, who, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"), schema=_ARROW)
 
 
+class PushedReader(SoundReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            columns = ("file_id", "speaker", "chunk", "first", "start", "end")
+            if type(f) in (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual) and len(f.attribute) == 1 and f.attribute[0] in columns and f.value is not None:
+                self.tests.append((f.attribute[0], type(f), f.value))
+            yield f  # rows of files that can't be read have no times, so Spark looks again
+
+
 def _ones(*values) -> list[pa.Array]:
     return [pa.array([v], _ARROW.field(k).type) for k, v in enumerate(values)]
 
@@ -271,7 +277,8 @@ class Sound(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> SoundReader:
-        return SoundReader(dict(self.options))
+        options = dict(self.options)
+        return (PushedReader if options.get("pushdown", "false").lower() == "true" else SoundReader)(options)
 
     def writer(self, schema, overwrite: bool) -> SoundWriter:
         if missing := {"speaker", "file_name", "samples"} - set(schema.names):

@@ -156,11 +156,18 @@ def test_files_are_read_in_parts_as_a_whole(spark, folder):
 
 
 def test_comparisons_are_pushed_to_the_source(spark, folder):
-    d = A.read_sound(spark, folder, seconds=0.5)
+    d = A.read_sound(spark, folder, seconds=0.5, pushdown=True)
     some = d.where((F.col("speaker") == "ann") & (F.col("start") >= 1.0) & (F.col("end") <= 2.0))
     assert {(r.file_id.split("/")[-1], r.chunk) for r in some.collect()} == {("long.wav", 2), ("long.wav", 3), ("slow.wav", 2), ("slow.wav", 3)}
     assert some.rdd.getNumPartitions() == 2
-    assert d.where("file_id = 'x'").count() == 0 and d.where("chunk = 3 AND error IS NULL").select("n").count() == 3
+    again = lambda: A.read_sound(spark, folder, seconds=0.5, pushdown=True)
+    assert again().where("file_id = 'x'").count() == 0 and again().where("chunk = 3 AND error IS NULL").select("n").count() == 3
+    told = A.read_sound(spark, folder, seconds=0.5, speaker="ann", **{"from": 1.0, "to": 1.9})
+    assert {(r.file_id.split("/")[-1], r.chunk) for r in told.collect()} == {("long.wav", 2), ("long.wav", 3), ("slow.wav", 2), ("slow.wav", 3)}
+    # Without pushdown a frame may be used with different conditions in one query, as by halos.
+    every = A.read_sound(spark, folder, seconds=0.5)
+    both = every.where("chunk = 0 AND error IS NULL").select("file_id", "n").join(every.where("chunk > 0").groupBy("file_id").count(), "file_id", "left")
+    assert {(r.file_id.split("/")[-1], r["count"]) for r in both.collect()} == {("long.wav", 12), ("slow.wav", 7), ("cd.flac", 3), ("none.wav", None)}
     with pytest.raises(Exception, match="FileNotFound"):
         A.read_sound(spark, f"{folder}/nothing").count()
 
