@@ -9,7 +9,7 @@ blocks of about BLOCK ids. A block is a grammar of its own, by Re-Pair: pairs of
 no pair occurs twice in the block. Symbols are linked, so only places whose pairs have changed are counted again. A round replaces all pairs that repeat, of overlapping
 ones the more frequent one, so that rules are found in order of frequency wherever they compete.
 The block's bytes hold the rules, the length of each rule's expansion, the symbols, and for each document its id, its last symbol and its number of ids: a document, or a position
-in it, is decoded from its own symbols and the rules they lead to, without the others. Blocks are rows of a Parquet table in the shared folder, so any store that Spark writes will do.
+in it, is expanded from its own symbols and the rules they lead to, without other documents' symbols; the block's rules are unpacked first, as a whole. Blocks are rows of a Parquet table in the shared folder, so any store that Spark writes will do.
 
 Null and empty texts have the end id only. Null ids come first, in one block row or more; rows of equal id are ordered by their ids' bytes.
 An empty table gives an empty file.
