@@ -147,8 +147,8 @@ def decoded(df: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return df.select(key, "ids").mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, text string")
 
 
-def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Encodes and decodes every row in one pass and returns key, n_tokens, ids_sha256 and decoded_sha256, and the ids if asked for."""
+def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", with_ids: bool = False, hold: bool = True) -> DataFrame:
+    """Encodes and decodes every row in one pass and returns key, n_tokens, ids_sha256 and decoded_sha256, and the ids if asked for. hold: a worker keeps its cache for its next task; without, the memory is free for other operators' tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = loaded(path), hashlib.sha256
@@ -169,6 +169,8 @@ def digests(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", w
                     off = np.cumsum([0, *n]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(off), pa.concat_arrays([pa.array([], pa.int32()), *every])))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        if not hold:
+            bpe.clear()
 
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' if with_ids else ''}")
