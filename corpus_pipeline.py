@@ -46,7 +46,7 @@ def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, hold=False)
 
 
 STAGES = [
