@@ -7,7 +7,7 @@ same; Spark 4.1 keeps what has been pushed for all uses of a loaded frame, so su
 What can't be read is a row with an error and null samples; chunks before a place that can't be read stay.
 
 Writing. Rows (speaker, file_name, samples, ...) become path/speaker/file_name.wav or .flac (option encoding), of rate hertz. Tasks write below path/_staging; the commit moves the files of the attempts that counted, and
-a failed or repeated attempt leaves nothing behind. Characters that no name may have become "_"; of rows of one name one is kept. Null samples give an empty file. Mode overwrite removes what was there when the new files are complete.
+a failed or repeated attempt leaves nothing that a reader sees; a task that is still at work while its job is aborted may leave files below path/_staging. Characters that no name may have become "_"; of rows of one name one is kept. Null samples give an empty file. Mode overwrite removes what was there when the new files are complete.
 
 Paths are what pyarrow's file systems take: local, hdfs, s3 and gs, or a path without a scheme.
 """
@@ -216,15 +216,20 @@ class SoundWriter(DataSourceWriter):
 
         store, top = located(self.path)
         folder, made, n = f"{top}/_staging/{self.job}/{TaskContext.get().taskAttemptId() if TaskContext.get() else uuid.uuid4().hex}", set(), 0
-        for row in rows:
-            to = f"{folder}/{safe(row['speaker'])}"
-            if to not in made:
-                store.create_dir(to, recursive=True)
-                made.add(to)
-            x = np.asarray([] if row["samples"] is None else row["samples"], np.float32)
-            with store.open_output_stream(f"{to}/{safe(row['file_name'])}.{self.encoding}") as out:
-                out.write(wav(x, self.rate) if self.encoding == "wav" else flac.encoded(whole(x)[:, None], self.rate))
-            n += 1
+        try:
+            for row in rows:
+                to = f"{folder}/{safe(row['speaker'])}"
+                if to not in made:
+                    store.create_dir(to, recursive=True)
+                    made.add(to)
+                x = np.asarray([] if row["samples"] is None else row["samples"], np.float32)
+                with store.open_output_stream(f"{to}/{safe(row['file_name'])}.{self.encoding}") as out:
+                    out.write(wav(x, self.rate) if self.encoding == "wav" else flac.encoded(whole(x)[:, None], self.rate))
+                n += 1
+        except BaseException:
+            if made:
+                store.delete_dir(folder)
+            raise
         return Written(folder, n)
 
     def commit(self, messages: list[Written | None]) -> None:
