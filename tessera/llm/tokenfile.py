@@ -1,8 +1,9 @@
 """Operator 2: token ids in a grammar-compressed binary format.
 
 Encoding uses the public tokenizers library. White space separates its tokens and is dropped, so a text's ids are those of its
-chunks between ASCII white space, one after the other; ids of recent chunks are kept in a cache of bounded size. Chunks of
-plain Latin letters, digits and ASCII signs go to the library's BPE model piece by piece, all others through its whole chain.
+chunks between ASCII white space, one after the other. The distinct chunks of a part of a batch are found in Arrow; those of plain Latin letters, with ASCII signs behind
+them or none, are lower-cased there and their distinct words go to the library's BPE model by the thousand. Other chunks of plain letters, digits and ASCII signs go to it
+piece by piece, all others through the library's whole chain.
 
 The ids of all documents in ascending id order, each closed by the end id, are dealt to ranges of document ids and there to
 blocks of about BLOCK ids. A block is a grammar of its own, by Re-Pair: pairs of neighbouring symbols that repeat become nonterminals, never across a document's end, until
@@ -26,10 +27,11 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,19 +41,43 @@ from tessera.llm.common import saved, shared_dir, table
 END = 1
 #: Stands for the end id at a document's end while pairs are replaced; the same id may occur inside a text.
 STOP = 2**32 - 1
+FREE = np.int32(2**31 - 1)
 BLOCK = 1_000_000
-CACHE = 450_000
+#: Bytes of text whose chunks are encoded together, and words that the library gets at once.
+PART = 1 << 25
+WORDS = 4000
+CACHE = 100_000
 MAX_RANGES = 4096
 _SAFE = re.compile("[!-~À-ÖØ-öø-ÿ]{1,64}").fullmatch
 #: Fixed value: the public split pattern of this vocabulary, for chunks without white space.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-
-
-class Chunks(dict):
-    """From a chunk's bytes to its ids as bytes; two generations, so that chunks that come again stay."""
+#: A word of plain letters, with signs or none behind it, which are one piece: what _SAFE takes, but for "<".
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_ALL = "".join(c for c in map(chr, range(65, 256)) if re.match(f"[{_LETTERS}]", c))
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "<")
+_WORD = f"^[{_LETTERS}]{{1,56}}[{re.escape(_SIGNS)}]{{0,8}}$"
+
+
+def _gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """The ranges of ids that begin at start, one after the other. Places are made for short ranges only, and for some of them at a time."""
+    out, total = np.empty(int(size.sum()), ids.dtype), 0
+    for k in range(0, len(size), step):
+        begin, own = start[k : k + step], size[k : k + step]
+        n = int(own.sum())
+        if n > 64 * len(own):
+            np.concatenate([ids[i : i + j] for i, j in zip(begin.tolist(), own.tolist())], out=out[total : total + n])
+        else:
+            at = np.repeat(begin - np.cumsum(own) + own, own)
+            at += np.arange(n)
+            np.take(ids, at, out=out[total : total + n], mode="clip")
+        total += n
+    return out
+
+
+class Encoder:
+    """From texts to their ids."""
 
     def __init__(self, path: str):
-        super().__init__()
         import tokenizers
 
         from tessera.llm.bpe import byte_letters
@@ -60,141 +86,191 @@ class Chunks(dict):
         self.tool.no_truncation()
         self.tool.no_padding()
         self.tokenize, self.letters = self.tool.model.tokenize, byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.points = np.array([ord(self.letters[b]) if b != 32 else 32 for b in range(256)], "<u4")
+        self.by_space = tokenizers.Tokenizer(self.tool.model)
+        self.by_space.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
         self.size = self.tool.get_vocab_size()
         self.kind = "<u2" if self.size < 65536 else "<u4"
         self.code = "H" if self.size < 65536 else "I"
+        #: Ids that end a word.
+        suffix = self.tool.model.end_of_word_suffix
+        self.closing = np.zeros(self.size, bool)
+        self.closing[[i for t, i in self.tool.get_vocab().items() if suffix and t.endswith(suffix)]] = True
+        #: Of pieces of _SAFE chunks, and of chunks that are none: no text is both.
+        self.known: dict[str, bytes] = {}
 
     def piece(self, text: str) -> bytes:
         plain = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
         return array(self.code, [t.id for t in self.tokenize(plain)]).tobytes()
 
-    def kept_piece(self, text: str) -> bytes:
-        ids = self.pieces.get(text)
-        if ids is None:
-            if len(self.pieces) >= CACHE // 2:
-                self.pieces.clear()
-            ids = self.pieces[text] = self.piece(text)
-        return ids
+    def whole(self, text: str) -> bytes:
+        return array(self.code, self.tool.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.old.get(chunk)
+    def kept(self, text: str, made: Callable[[str], bytes]) -> bytes:
+        ids = self.known.get(text)
         if ids is None:
-            text = chunk.decode()
-            if _SAFE(text) and "<|" not in text:
-                low = text.lower()
-                ids = self.piece(low) if low.isalpha() else b"".join(map(self.kept_piece, _PIECES(low)))
-            else:
-                ids = array(self.code, self.tool.encode(text, add_special_tokens=False).ids).tobytes()
-            if len(chunk) > 96:
-                return ids
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = ids
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            ids = self.known[text] = made(text)
         return ids
 
-    def packed(self, text: bytes) -> bytes:
-        """Ids of a text, as little-endian numbers of 2 or 4 bytes."""
-        return b"".join(map(self.__getitem__, text.split()))
-
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text.encode()), self.kind).tolist()
-
-
-_loaded: dict[str, Chunks] = {}
-
-
-def loaded(path: str) -> Chunks:
+    def chunk(self, text: str) -> bytes:
+        """Ids of a chunk without ASCII white space."""
+        if _SAFE(text) and "<|" not in text:
+            return b"".join([self.kept(p, self.piece) for p in _PIECES(text.lower())])
+        return self.kept(text, self.whole) if len(text) <= 96 else self.whole(text)
+
+    def joined(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, one after the other, and their number for each."""
+        ids = np.frombuffer(b"".join(parts), self.kind)
+        return ids, np.fromiter(map(len, parts), np.int64, len(parts)) // ids.itemsize
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of plain letters, one after the other, and their number for each."""
+        out, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), WORDS):
+            part = words.slice(k, WORDS)
+            raw = np.frombuffer(b" ".join(part.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint8)
+            text = self.points[raw].tobytes().decode("utf-32-le")
+            ids = np.array(self.by_space.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            size = np.diff(np.flatnonzero(self.closing[ids]), prepend=-1)
+            if len(size) != len(part) or size.sum() != len(ids):  # a vocabulary that doesn't mark the ends of words
+                ids, size = self.joined([self.piece(w) for w in part.to_pylist()])
+            out.append(ids)
+            sizes.append(size)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): those of chunk k are ids[start[k] : start[k] + size[k]]."""
+        plain = pc.match_substring_regex(chunks, _WORD)
+        some = chunks.filter(plain)
+        words = pc.utf8_lower(pc.utf8_rtrim(some, _SIGNS)).dictionary_encode()
+        signs = pc.utf8_ltrim(some, _ALL).dictionary_encode()
+        ids, size = self.words(words.dictionary)
+        behind, own = self.joined([self.kept(x, self.piece) if x else b"" for x in signs.dictionary.to_pylist()])
+        ids, size = np.concatenate((ids, behind)), np.concatenate((size, own))
+        part = np.stack((words.indices.to_numpy(), len(words.dictionary) + signs.indices.to_numpy()), axis=1).reshape(-1)
+        start, size = (np.cumsum(size) - size)[part], size[part]
+        mask = plain.to_numpy(zero_copy_only=False)
+        other, own = self.joined([self.chunk(x) for x in chunks.filter(pc.invert(plain)).to_pylist()])
+        sizes, starts = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        sizes[mask], sizes[~mask] = size[::2] + size[1::2], own
+        ids = _gathered(ids, start, size)
+        starts[mask], starts[~mask] = np.cumsum(sizes[mask]) - sizes[mask], len(ids) + np.cumsum(own) - own
+        return np.concatenate((ids, other)), starts, sizes
+
+    def texts(self, texts: pa.Array, rows: int = 500) -> Iterator[pa.Array]:
+        """Ids of each text and the end id, as little-endian numbers of 2 or 4 bytes, in arrays of some rows; null is an empty text."""
+        parts = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = parts.flatten().dictionary_encode()
+        ids, start, size = self.chunks(words.dictionary)
+        ids, start, size = np.append(ids, ids.dtype.type(END)), np.append(start, len(ids)), np.append(size, 1)
+        index, edge = words.indices.to_numpy(), np.asarray(parts.offsets).astype(np.int64)
+        edge -= edge[0]
+        for k in range(0, len(texts), rows):
+            ends = edge[k : k + rows + 1]
+            at = np.insert(index[ends[0] : ends[-1]], ends[1:] - ends[0], len(size) - 1)  # each text is closed by the last entry
+            own = size.take(at)
+            got = _gathered(ids, start.take(at), own)
+            stops = np.cumsum(own).take(ends[1:] - ends[0] + np.arange(len(ends) - 1)) * ids.itemsize
+            offsets = np.concatenate(([0], stops)).astype(np.int64)
+            yield pa.Array.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(got)]).cast(pa.binary())
+
+
+_loaded: dict[str, Encoder] = {}
+
+
+def loaded(path: str) -> Encoder:
     if path not in _loaded:
-        _loaded[path] = Chunks(path)
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
-def _groups(left: np.ndarray, right: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each pair's group, groups in order of their pairs, and a member of each group. Symbols have bits bits."""
+def _groups(left: np.ndarray, right: np.ndarray, odd: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs that occur twice or more: all members, pair by pair in order, a member of each and the number of its members. The odd ones don't count. Symbols have bits bits."""
     size = max(1, (len(left) - 1).bit_length())
+    key = left.astype(np.int64)
     if 2 * bits + size < 64:  # a value sort of pair and index in one number is faster than a sort of indexes
-        both = np.sort((((left.astype(np.int64) << bits) | right) << size) | np.arange(len(left)))
-        order, key = both & ((1 << size) - 1), both >> size
+        key = np.delete((((key << bits) | right) << size) | np.arange(len(left)), odd)
+        key.sort()
+        order = key & ((1 << size) - 1)
+        key >>= size
     else:
-        key = (left.astype(np.int64) << 32) | right
-        order = np.argsort(key)
+        key = (key << 32) | right
+        order = np.delete(np.arange(len(left)), odd)
+        order = order[np.argsort(key[order], kind="stable")]
         key = key[order]
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    group = np.empty(len(left), np.int32)
-    group[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
-    return group, order[new]
+    if not len(key):
+        return order, order, order
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.diff(begin, append=len(key))
+    often = count > 1
+    return order[np.repeat(often, count)], order[begin[often]], count[often]
 
 
 def repair(seq: np.ndarray, first: int, stop: int = STOP) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule k is nonterminal first + k. Nothing but overlapping places of one pair occurs twice in the symbols; no pair holds the stop symbol."""
+    """(symbols, rules): rule k is nonterminal first + k. Nothing but overlapping places of one pair occurs twice in the symbols; no pair holds the stop symbol.
+
+    Only places whose pair still repeats, and those beside a new symbol, are looked at again. That is enough: a pair without a new symbol never gets more places, and a pair with one is new.
+    """
     n = len(seq)
     sym = np.append(np.where(seq == stop, -1, seq.astype(np.int64)), -1).astype(np.int32)
-    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
     after[-1] = n
     alive, marked = np.ones(n + 1, bool), np.zeros(n + 1, bool)
     alive[n] = False
-    rank = np.zeros(n + 1, np.int32)  # of a place's pair in this round, the most frequent first; 0 for no candidate
-    rules, total, whole = [], 0, True
-    at = np.arange(n, dtype=np.int32)
+    rank = np.full(n + 1, FREE)  # of a place's pair in this round, the most frequent first; FREE for no candidate
+    rules, total = [], 0
+    at, left, right = np.arange(n), sym[:-1], sym[1:]
     while True:
-        at = at[(sym[at] >= 0) & (sym[after[at]] >= 0)]
-        right = after[at]
-        group, one = _groups(sym[at], sym[right], max(1, (first + total).bit_length())) if len(at) else (at, at)
+        whole = np.flatnonzero((left | right) >= 0)
+        at, left, right = at.take(whole), left.take(whole), right.take(whole)
         # Of places of one pair that overlap, as in a run of one id, every second one counts.
-        again = np.zeros(len(at), bool)
-        again[1:] = (group[1:] == group[:-1]) & (right[:-1] == at[1:])
-        odd = again
-        if again.any():
-            index = np.arange(len(at))
-            odd = ((index - np.maximum.accumulate(np.where(again, 0, index))) & 1) == 1
-        count = np.bincount(group[~odd], minlength=len(one))
-        good = (count[group] > 1) & ~odd
-        if not good.any():
-            if whole:
-                break
-            at, whole = np.flatnonzero(alive).astype(np.int32), True
-            continue
-        pairs = np.stack((sym[at[one]], sym[right[one]]), axis=1)
-        often = np.flatnonzero(count > 1)
-        place = np.zeros(len(one), np.int32)
-        place[often[np.argsort(65535 - np.minimum(count[often], 65535).astype(np.uint16), kind="stable")]] = np.arange(1, len(often) + 1)
-        cand, of = at[good], group[good]
-        rank[cand] = place[of]
-        undecided, won = cand, []
+        twin = np.flatnonzero(left == right)
+        index, place = np.arange(len(twin)), at.take(twin)
+        again = np.zeros(len(twin), bool)
+        again[1:] = after.take(place[:-1]) == place[1:]
+        odd = twin[((index - np.maximum.accumulate(np.where(again, 0, index))) & 1) == 1]
+        members, one, count = _groups(left, right, odd, max(1, (first + total).bit_length()))
+        if not len(one):
+            break
+        pairs = np.stack((left.take(one), right.take(one)), axis=1)
+        by_count = np.argsort(65535 - np.minimum(count, 65535).astype(np.uint16), kind="stable")
+        number = np.empty(len(one), np.int32)
+        number[by_count] = np.arange(len(one), dtype=np.int32)
+        cand = at.take(members)
+        rank[cand] = np.repeat(number, count)
+        marked[cand] = True
+        undecided = np.flatnonzero(marked)
+        marked[at.take(odd)] = True
+        won, of = [], []
         while len(undecided):
-            mine, left_, right_ = rank[undecided], rank[before[undecided]], rank[after[undecided]]
-            best = ((left_ == 0) | (mine < left_)) & ((right_ == 0) | (mine <= right_))
-            now = undecided[best]
+            mine, prior, later = rank.take(undecided), before.take(undecided), after.take(undecided)
+            best = np.flatnonzero((mine < rank.take(prior)) & (mine <= rank.take(later)))
+            now = undecided.take(best)
             won.append(now)
-            rank[now] = 0
-            rank[before[now]] = 0
-            rank[after[now]] = 0
-            undecided = undecided[~best]
-            undecided = undecided[rank[undecided] > 0]
-        marked[np.concatenate(won)] = True
-        good = marked[cand]
-        marked[cand] = False
-        cand, of = cand[good], of[good]
+            of.append(mine.take(best))
+            rank[now] = rank[prior.take(best)] = rank[later.take(best)] = FREE
+            undecided = undecided.take(np.flatnonzero(rank.take(undecided) != FREE))
+        cand, of = np.concatenate(won), by_count.take(np.concatenate(of))
         often = np.bincount(of, minlength=len(one)) > 1
-        number = np.cumsum(often) - 1
-        cand, of = cand[often[of]], of[often[of]]
-        gone = after[cand]
-        sym[cand] = first + total + number[of]
+        good = np.flatnonzero(often.take(of))
+        cand, of = cand.take(good), of.take(good)
+        gone = after.take(cand)
+        sym[cand] = (np.cumsum(often) + (first + total - 1)).take(of)
         rules.append(pairs[often])
-        total += int(often.sum())
+        total += len(rules[-1])
         alive[gone] = False
-        after[cand] = after[gone]
-        before[after[cand]] = cand
+        beyond = after.take(gone)
+        after[cand] = beyond
+        before[beyond] = cand
         # Pairs that repeated and are still there, and those around a new symbol.
-        marked[at[count[group] > 1]] = True
         marked[cand] = True
-        marked[before[cand]] = True
-        at = np.flatnonzero(marked & alive).astype(np.int32)
+        marked[before.take(cand)] = True
+        marked &= alive
+        at = np.flatnonzero(marked)
         marked[:] = False
-        whole = False
+        left, right = sym.take(at), sym.take(after.take(at))
     out = sym[:n][alive[:n]].astype(np.int64)
     return np.where(out < 0, stop, out), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
@@ -345,14 +421,16 @@ def write(df: DataFrame, path: str, where: str, text: str = "text", key: str = "
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, edge = loaded(path), np.array(bounds, np.int64)
-        end = array(tool.code, [END]).tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                ids = [tool.packed(t or b"") + end for t in part.column(1).cast(pa.binary()).to_pylist()]
-                doc = part.column(0).cast(pa.int64())
-                pid = np.searchsorted(edge, doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(pid), doc, pa.array(ids, pa.binary())], ["pid", "doc_id", "ids"])
+            doc = b.column(0).cast(pa.int64())
+            pid = np.searchsorted(edge, doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left").astype(np.int32)
+            size = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            k = 0
+            while k < b.num_rows:
+                end = max(k + 1, int(np.searchsorted(size, (size[k - 1] if k else 0) + PART, "right")))
+                for ids in tool.texts(b.column(1).slice(k, end - k)):
+                    yield pa.RecordBatch.from_arrays([pa.array(pid[k : k + len(ids)]), doc.slice(k, len(ids)), ids], ["pid", "doc_id", "ids"])
+                    k += len(ids)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = loaded(path).kind

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -143,6 +144,51 @@ def non_overlapping(seq, stop):
     return count
 
 
+def test_op2_encodes_a_batch_as_the_library_does_in_few_calls():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = Tokenizer.from_file(path), tokenfile.Encoder(path)
+    atoms = [*"abcXYZéÀßÿñ×÷ªº0123.,;:!?'\"<>|#$%*()[]^_`~-=\\/ \t\n\x0b\x1c\x85\xa0\u2028ΣςİıﬁÅ中😀\u0301\u200d", "'s", "'ll", "It's", "<|endoftext|>", "<|", "</w>", "the", "a" * 70, "b" * 56 + "!" * 8, "c" * 57 + "!", "d" + "!" * 9]
+    r = np.random.default_rng(5)
+    texts = [None, "", " "] + ["".join(atoms[k] + " " * (r.random() < 0.2) for k in r.integers(0, len(atoms), int(r.integers(0, 40)))) for _ in range(3000)]
+    for part in (pa.array(texts).slice(1, 700), pa.array(texts, pa.large_string())):
+        got = [x for ids in own.texts(part, 333) for x in ids.to_pylist()]
+        assert [np.frombuffer(x, own.kind).tolist() for x in got] == [[*lib.encode(t or "", add_special_tokens=False).ids, 1] for t in part.to_pylist()]
+    assert list(own.texts(pa.array([], pa.string()))) == []
+
+    class Counted:
+        n = 0
+
+        def encode_batch_fast(self, *args, **named):
+            self.n += 1
+            return whole.encode_batch_fast(*args, **named)
+
+    whole, own.by_space = own.by_space, Counted()
+    single = []
+    own.tokenize = lambda t: single.append(t) or own.tool.model.tokenize(t)
+    words = ["".join(map(chr, r.integers(97, 123, 9))) for _ in range(3 * tokenfile.WORDS)]
+    forms = [f(w) for w in words for f in (str, str.upper, str.title, lambda w: w + ".", lambda w: w + "$$$")]
+    assert len(next(own.texts(pa.array([" ".join(forms)])))[0].as_py()) > 2 * len(forms)
+    assert own.by_space.n == 3 and len(single) <= 2
+    own.closing[:] = False  # as of a vocabulary that doesn't mark the ends of words
+    assert [np.frombuffer(x, own.kind).tolist() for x in next(own.texts(pa.array(["The house, éa"]))).to_pylist()] == [[*lib.encode("The house, éa", add_special_tokens=False).ids, 1]]
+
+
+def test_op2_parts_of_a_batch_give_what_the_whole_batch_gives(spark, docs, tmp_path, monkeypatch):
+    path, got = public_tokenizers.path("word_bpe_49k.json"), []
+    for size in (tokenfile.PART, 700, 1):
+        monkeypatch.setattr(tokenfile, "PART", size)  # goes to the workers with the function that uses it
+        got.append(sorted(map(tuple, tokenfile.read(tokenfile.write(docs, path, f"file://{tmp_path}/{size}")).collect()), key=lambda r: r[1]))
+    assert got[0] == got[1] == got[2] and len(got[0]) == docs.count()
+
+
+def test_op2_grammar_looks_again_only_where_something_changed(monkeypatch):
+    seen, plain = [], tokenfile._groups
+    monkeypatch.setattr(tokenfile, "_groups", lambda left, *rest: seen.append(len(left)) or plain(left, *rest))
+    ids = np.random.default_rng(6).integers(0, 400, 50_000).astype(np.uint32)
+    seq, _ = tokenfile.repair(ids, 400)
+    assert seen[0] == len(ids) - 1 and seen[-1] < 0.1 * len(seq) and sum(seen[1:]) < 2.5 * len(ids)
+
+
 def test_op2_grammar_leaves_no_pair_twice():
     r = np.random.default_rng(2)
     for k in range(200):
