@@ -35,6 +35,28 @@ def test_search_in_cells_equals_the_search_in_all(spark, monkeypatch, kind, k):
     assert V.nearest_pruned(probes.limit(0), prints, k).count() == 0 and V.nearest_pruned(probes, prints.limit(0), k).count() == 0
 
 
+def test_cells_of_odd_vectors(spark):
+    r = np.random.default_rng(5)
+    v = [x.tolist() for x in r.normal(size=(60, 4))] + [[float("nan"), 1.0, 0.0, 0.0], [1e200, 1.0, 0.0, 0.0], [1e-200, 0.0, 0.0, 0.0], [1.0, 2.0], [2.0, 1.0], [1.0, None, 0.0, 0.0], [0.0] * 4, [], None]
+    prints = spark.createDataFrame(list(enumerate(v)), "name long, v array<double>")
+    probes = prints.withColumnRenamed("name", "cluster_id")
+    rows = lambda d: sorted((x.cluster_id, x.rank, x.name, str(x.dist)) for x in d.collect())
+    assert rows(V.nearest_pruned(probes, prints, 63)) == rows(V.nearest(probes, prints, 63))
+
+
+def test_search_where_no_cell_is_left_out_takes_less_than_the_search_in_all(spark):
+    v = np.random.default_rng(6).normal(size=(2000, 128))
+    prints = frame(spark, v, "name").cache()
+    probes = frame(spark, v[:1000], "cluster_id").cache()
+    assert prints.count() + probes.count() == 3000
+    took = []
+    for search in (V.nearest_pruned, V.nearest):
+        began = time.time()
+        assert search(probes, prints, 2).count() == 2000
+        took.append(time.time() - began)
+    assert took[0] < took[1]
+
+
 def test_most_cells_are_left_out(spark):
     r = np.random.default_rng(3)
     c = r.normal(size=(20, 32))
