@@ -212,3 +212,14 @@ def test_early_match_merges_a_split_known_speaker_before_segments_do(spark):
     # 18 degrees to each side are less than 0.2 apart: by themselves neither is within 0.03 of Ann.
     near = spark.createDataFrame([(1, k, float(k), k + 1.0, at(-18 if k % 2 else 18)) for k in range(8)], windows.schema)
     assert {r.speaker for r in P.diarised(near, prints, far=0.01).collect()} == {"Ann"}
+
+
+def test_nearest_label_has_no_frame_of_all_that_follows(spark):
+    """Such a frame is quadratic in a file's rows."""
+    r = random.Random(7)
+    rows = [("f", k, float(r.randint(0, 300)), float(r.randint(0, 300)), r.choice([None, None, "a", "b"])) for k in range(400)]
+    df = S.nearest_label(spark.createDataFrame(rows, "file_id string, ord long, start double, end double, label string"))
+    assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+    mid = {k: (a + b) / 2 for _, k, a, b, _ in rows}
+    for got in df.collect():
+        assert got.nearest == (got.label or min((abs(mid[k] - mid[got.ord]), k, x) for _, k, _, _, x in rows if x)[2])

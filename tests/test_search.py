@@ -124,6 +124,16 @@ def test_clusters_with_ties(monkeypatch, most, far):
             assert (V._linkage(v, most, far) == got).all()
 
 
+@pytest.mark.parametrize("matrix", [5000, 0])
+def test_equally_near_windows_look_again_but_seldom(monkeypatch, matrix):
+    monkeypatch.setattr(V, "MATRIX", matrix)
+    looked, rows = [], V._Distances.rows
+    monkeypatch.setattr(V._Distances, "rows", lambda self, k: looked.append(len(k)) or rows(self, k))
+    who = np.random.default_rng(4).integers(0, 3, 600)
+    label = V._linkage(np.eye(64)[who], None, 0.35)
+    assert len({*zip(who.tolist(), label.tolist())}) == 3 and sum(looked) < 3 * 600
+
+
 def test_thousands_of_windows_of_one_file(spark):
     r = np.random.default_rng(2)
     c = r.normal(size=(9, 64))
