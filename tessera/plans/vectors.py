@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import vectors as V
-from tessera.plans.adapters import VEC, vec
+from tessera.plans.adapters import VEC, rounded, vec
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -278,7 +278,7 @@ def add_new_prints(spark, d):
     old = V.mean_vector(v.where("label < 5"), ["label"]).select(F.col("label").alias("name"), "v", F.lit(False).alias("fresh"))
     new = V.mean_vector(v, ["label"]).select(F.col("label").alias("name"), F.when(F.col("label") != 7, F.col("v")).alias("v"), F.lit(True).alias("fresh"))
     both = V.add_new(old, new).withColumn("overwritten", F.lit(False)).unionByName(V.add_new(old, new, True).withColumn("overwritten", F.lit(True)))
-    return both.select("overwritten", "name", "fresh", F.transform("v", lambda x: F.round(x, 5)).alias("v"))
+    return both.select("overwritten", "name", "fresh", F.transform("v", lambda x: rounded(x, 5)).alias("v"))
 
 
 @query("add_samples", f"WITH {VEC}, {_by_label('m', 'true')}, a AS (SELECT label, round(avg(100.0 + vec_id % 5)::DOUBLE, 4) AS pitch_hz, 0.05::DOUBLE AS energy_rms, (60 + count(*))::DOUBLE AS total_speech_sec FROM vec GROUP BY label) SELECT label AS name, pitch_hz, energy_rms, total_speech_sec, list_transform({_unit('v')}, lambda x: round(x, 5)) AS v FROM a JOIN m USING (label)")
