@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import frames as R
 from tessera.operators import segments as S
 from tessera.operators import signals as G
-from tessera.plans.adapters import VEC, vec
+from tessera.plans.adapters import VEC, rounded, vec
 from tessera.sources import audio as A
 
 QUERIES: dict = {}
@@ -80,7 +80,7 @@ def vad_chunks(spark, d):
 def audio_cut(spark, d):
     s = _signal(spark, d)
     a = (F.col("file_id") % 10).cast("double")
-    return s.select("file_id", F.transform(A.cut(F.col("samples"), a, a + 20, 1), lambda x: F.round(x, 5)).alias("part"), A.duration(F.col("samples"), 16).alias("seconds"))
+    return s.select("file_id", F.transform(A.cut(F.col("samples"), a, a + 20, 1), lambda x: rounded(x, 5)).alias("part"), A.duration(F.col("samples"), 16).alias("seconds"))
 
 
 @query("chunk_padded", f"WITH {VEC}, k AS (SELECT vec_id AS file_id, unnest(range(3)) AS chunk, v FROM vec) SELECT file_id, chunk, list_transform(range(24), lambda i: round(coalesce(v[chunk * 24 + i + 1], 0.0), 5)) AS samples FROM k")
