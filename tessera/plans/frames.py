@@ -204,7 +204,7 @@ def audio_cut_chunked(spark, d):
     c = _chunks(spark, d, 10)
     a = (F.col("file_id") % 7).cast("double")
     p = G.lengths(c).select("file_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ord")).select("file_id", F.col("ord").cast("long").alias("ord"), (a + F.col("ord") * 9).alias("start"), (a + F.col("ord") * 19 + 3).alias("end"))
-    return G.sliced(c, p, 1, 8).select("file_id", "ord", F.transform("samples", lambda x: F.round(x, 5)).alias("samples"))
+    return G.sliced(c, p, 1, 8).select("file_id", "ord", F.transform("samples", lambda x: rounded(x, 5)).alias("samples"))
 
 
 @query("speaker_profiles_chunked", ORACLE_SQL["speaker_profiles"])
