@@ -86,7 +86,7 @@ def audio_cut(spark, d):
 @query("chunk_padded", f"WITH {VEC}, k AS (SELECT vec_id AS file_id, unnest(range(3)) AS chunk, v FROM vec) SELECT file_id, chunk, list_transform(range(24), lambda i: round(coalesce(v[chunk * 24 + i + 1], 0.0), 5)) AS samples FROM k")
 def chunk_padded(spark, d):
     c = S.chunk_padded(_signal(spark, d), size=24)
-    return c.select("file_id", "chunk", F.transform("samples", lambda x: F.round(x.cast("double"), 5)).alias("samples"))
+    return c.select("file_id", "chunk", F.transform("samples", lambda x: rounded(x.cast("double"), 5)).alias("samples"))
 
 
 def _chunks(spark, d, size: int, times: int = 1):
