@@ -104,7 +104,7 @@ def mean_removed(spark, d):
 @query("concatenated", f"WITH {VEC} SELECT vec_id // 5 AS grp, flatten(list(list_transform(v, lambda x: round(x, 5)) ORDER BY vec_id)) AS samples FROM vec GROUP BY ALL")
 def concatenated(spark, d):
     s = _signal(spark, d).select(F.floor(F.col("file_id") / 5).alias("grp"), F.col("file_id").alias("ord"), F.transform("samples", lambda x: x.cast("float")).alias("samples"))
-    return A.concatenated(s, ["grp"]).select("grp", F.transform("samples", lambda x: F.round(x.cast("double"), 5)).alias("samples"))
+    return A.concatenated(s, ["grp"]).select("grp", F.transform("samples", lambda x: rounded(x.cast("double"), 5)).alias("samples"))
 
 
 @query("down_mix", f"WITH {VEC} SELECT vec_id AS file_id, list_transform(range(1, 33), lambda i: round((v[i] + v[i + 32]) / 2, 5)) AS mono FROM vec")
