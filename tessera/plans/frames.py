@@ -110,7 +110,7 @@ def concatenated(spark, d):
 @query("down_mix", f"WITH {VEC} SELECT vec_id AS file_id, list_transform(range(1, 33), lambda i: round((v[i] + v[i + 32]) / 2, 5)) AS mono FROM vec")
 def down_mix(spark, d):
     c = F.array(F.slice("samples", 1, 32), F.slice("samples", 33, 32))
-    return _signal(spark, d).withColumn("c", c).select("file_id", F.transform(R.down_mixed(F.col("c")), lambda x: F.round(x, 5)).alias("mono"))
+    return _signal(spark, d).withColumn("c", c).select("file_id", F.transform(R.down_mixed(F.col("c")), lambda x: rounded(x, 5)).alias("mono"))
 
 
 @query(
