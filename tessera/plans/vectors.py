@@ -68,7 +68,7 @@ win AS (SELECT *, gap IS NULL OR gap >= 0.02 OR coalesce(total_speech_sec > 2 *
 
 @query("l2_norm", f"WITH {VEC} SELECT vec_id, round({NORM.format(a='v')}, 6) AS norm, list_transform(v, lambda x: round(x / {NORM.format(a='v')}, 5)) AS unit FROM vec")
 def l2_norm(spark, d):
-    return vec(spark, d).select("vec_id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.transform(V.normalised(F.col("v")), lambda x: F.round(x, 5)).alias("unit"))
+    return vec(spark, d).select("vec_id", rounded(V.norm(F.col("v")), 6).alias("norm"), F.transform(V.normalised(F.col("v")), lambda x: rounded(x, 5)).alias("unit"))
 
 
 @query("cosine_pairs", f"WITH {VEC} SELECT a.vec_id AS a, b.vec_id AS b, round({cos('a.v', 'b.v')}, 5) AS dist FROM vec a JOIN vec b ON a.vec_id // 40 = b.vec_id // 40 AND a.vec_id < b.vec_id")
