@@ -98,7 +98,7 @@ def _chunks(spark, d, size: int, times: int = 1):
 @query("mean_removed", f"WITH {VEC}, f AS (SELECT vec_id, list_transform(range(8), lambda k: v[8 * k + 1:8 * k + 8]) AS f FROM vec) SELECT vec_id AS file_id, list_transform(f, lambda r: list_transform(r, lambda x, i: round(x - list_sum(list_transform(f, lambda g: g[i])) / 8, 5))) AS frames FROM f")
 def mean_removed(spark, d):
     f = F.array(*[F.slice("samples", 8 * k + 1, 8) for k in range(8)])
-    return _signal(spark, d).withColumn("f", f).select("file_id", F.transform(R.mean_removed(F.col("f")), lambda r: F.transform(r, lambda x: F.round(x, 5))).alias("frames"))
+    return _signal(spark, d).withColumn("f", f).select("file_id", F.transform(R.mean_removed(F.col("f")), lambda r: F.transform(r, lambda x: rounded(x, 5))).alias("frames"))
 
 
 @query("concatenated", f"WITH {VEC} SELECT vec_id // 5 AS grp, flatten(list(list_transform(v, lambda x: round(x, 5)) ORDER BY vec_id)) AS samples FROM vec GROUP BY ALL")
